@@ -1,0 +1 @@
+"""No streaming operators: the engine's query surface is batch only."""
