@@ -1,0 +1,78 @@
+import hashlib
+import io
+import random
+import zipfile
+
+import pytest
+from pyarrow import fs
+
+from kmerloom.llm import warc
+
+SCHEMA = "page_id long, url string, html string, digest string"
+
+
+def reader(data):
+    return lambda offset, length: data[offset : offset + length]
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_own_archives_open_with_zipfile_and_own_reader(zip64):
+    members = [("a/b.bin", [b"one", b"two" * 100]), ("é.txt", [b""]), ("c", [bytes(range(256))])]
+    data = b"".join(warc.zip_bytes(members, zip64))
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        assert z.testzip() is None
+        assert {n: z.read(n) for n in z.namelist()} == {n: b"".join(c) for n, c in members}
+    found = warc.zip_members(reader(data), len(data))
+    assert {n: data[a : a + k] for n, (a, k) in found.items()} == {n: b"".join(c) for n, c in members}
+
+
+def test_foreign_archives():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("x", b"hello")
+        with z.open("big", "w", force_zip64=True) as f:
+            f.write(b"data" * 50)
+        z.comment = b"comment with PK\x05\x06 inside"
+    data = buffer.getvalue()
+    found = warc.zip_members(reader(data), len(data))
+    assert data[found["big"][0] :][: found["big"][1]] == b"data" * 50
+    deflated = io.BytesIO()
+    with zipfile.ZipFile(deflated, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x", b"hello" * 99)
+    with pytest.raises(ValueError, match="stored"):
+        warc.zip_members(reader(deflated.getvalue()), len(deflated.getvalue()))
+    with pytest.raises(ValueError, match="not a ZIP"):
+        warc.zip_members(reader(b"junk" * 30), 120)
+
+
+def expected(rows):
+    sha = lambda h: hashlib.sha1((h or "").encode()).hexdigest()
+    top = {}
+    for i, _, h, _ in rows:
+        if len((h or "").encode()) >= 1000 and i is not None:
+            top[h] = max(i, top.get(h, i))
+    out = []
+    for i, _, h, _ in rows:
+        keeper = top.get(h) if len((h or "").encode()) >= 1000 else None
+        revisit = keeper is not None and keeper != i
+        out.append((i, len((h or "").encode()), sha(h), "revisit" if revisit else "response", keeper if revisit else None))
+    return sorted(out, key=str)
+
+
+def test_round_trip(spark):
+    rng = random.Random(2)
+    big = ["é" * 600 + "\r\n\r\nWARC/1.1\r\n" + str(k) for k in range(6)]
+    rows = [(0, None, None, "d"), (1, "u", "", "d"), (2, "http://x/\nInjected: 1", "é" * 499, "d"), (3, "u", "é" * 499, "d"), (None, "u", "alone" * 300, "d"), (None, "u", big[0], "d")]
+    rows += [(i, f"http://h/{i}", rng.choice(big), "d") for i in range(10, 80)] + [(79, "again", big[1], "d")] * 2
+    got = warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == expected(rows)
+    assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_records_hold_the_payload(spark, tmp_path):
+    root = f"file://{tmp_path}/archives"
+    html = {1: "<p>größe</p>", 2: "x" * 5000}
+    manifest = warc.write_archives(spark.createDataFrame([(i, "u", h, "d") for i, h in html.items()], SCHEMA), root)
+    store = fs.LocalFileSystem()
+    found = [x for r in manifest.collect() for x in warc.records(store, r.archive)]
+    assert {f["warc-record-id"]: body.decode() for f, body in found} == {f"<urn:page:{i}>": h for i, h in html.items()}
