@@ -22,7 +22,7 @@ LEADING, SPANS = 3, 4
 
 
 def _signatures(line: Column, min_tokens: int, long_tokens: int) -> Column:
-    masked = F.regexp_replace(line, r"(?<!\S)[^\s\d]*+\d\S*+", "<*>")
+    masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "<*>")
     tokens = F.filter(F.split(masked, r"[\x20\x09-\x0D]+"), lambda t: t != "")
 
     def of(t: Column) -> Column:

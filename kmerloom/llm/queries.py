@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import decontaminate, linededup, packing, sharding, simhash, tokencount, warc
+from kmerloom.llm import decontaminate, langid, linecrf, linededup, packing, puquality, sharding, simhash, tokencount, warc
 from kmerloom.llm.common import table
 
 
@@ -16,10 +16,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return puquality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -46,7 +58,44 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_line_dedup, op4_karmarkar_karp_sharding, op5_simhash_near_dedup, op6_benchmark_decontamination, op7_packing, op9_token_counts, op10_warc_zip)
+    for f in (
+        op1_quality_rules,
+        op2_line_dedup,
+        op3_language_id,
+        op4_karmarkar_karp_sharding,
+        op5_simhash_near_dedup,
+        op6_benchmark_decontamination,
+        op7_packing,
+        op8_quality_classifier,
+        op9_token_counts,
+        op10_warc_zip,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Line templates by strings instead of hashes; everything else has no SQL form and is tested against brute force.
+_LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, text, pos, line,
+         list_filter(regexp_split_to_array(regexp_replace(line, '(^|[\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '\1<*>', 'g'), '[\x20\x09-\x0D]+'), t -> t <> '') AS t
+  FROM (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+), sized AS (SELECT *, len(t) AS n, len(t) - 3 AS m FROM lines WHERE len(t) >= 3
+), signed AS (
+  SELECT doc_id, text, pos, n, -1 AS span, t[:3] AS lead, array_to_string(t[4:], ' ') AS rest FROM sized
+  UNION ALL
+  SELECT doc_id, text, pos, n, i, t[:3], array_to_string(t[4:3 + m * i // 4], ' ') || ' <> ' || array_to_string(t[4 + m * (i + 1) // 4:], ' ')
+  FROM sized, range(4) AS r(i) WHERE n >= 12
+), counted AS (
+  SELECT n, span, lead, rest, min(doc_id) AS first FROM (SELECT DISTINCT doc_id, n, span, lead, rest FROM signed)
+  GROUP BY ALL HAVING count(*) >= 3
+), dropped AS (
+  SELECT DISTINCT s.doc_id, s.pos FROM signed s JOIN counted c USING (n, span, lead, rest) WHERE s.doc_id <> c.first
+), kept AS (
+  SELECT l.doc_id, count(*) AS n_lines,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE d.pos IS NULL), '') AS kept
+  FROM lines l LEFT JOIN dropped d USING (doc_id, pos) GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, length(kept) AS kept_chars, md5(kept) AS text_md5 FROM kept
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": _LINE_DEDUP}

@@ -1,0 +1,143 @@
+"""Held-out accuracy of the trained operators, and their exact parts against brute force."""
+
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kmerloom.llm import langid, linecrf, puquality, queries
+from kmerloom.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, score string"
+ODD = [(0, None, "x"), (1, "", "x"), (2, " \n\t", "x"), (3, "1 2 3 !!", "x"), (4, "word " * 40000, "x"), (None, "the plain text of a row without an id", "x"), (5, "same", "x"), (5, "same", "x")]
+
+
+def brute_statistics(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 3)}
+    lines = text.split("\n")
+    dup = sum(1 for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x) and x in lines[:i])
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
+
+
+def test_base_statistics_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(150):
+        text = "".join(rng.choice(["a ", "b ", "é", "\n", "#", "a b c ", "\x0b", " ", "x|y ", "\r\n", "日本 "]) for _ in range(rng.randrange(0, 60)))
+        data = text.encode()
+        assert linecrf.base_statistics(data, data.split()) == brute_statistics(text)
+
+
+def test_viterbi_and_gradient_equal_enumeration():
+    rng = np.random.default_rng(2)
+    chain = linecrf.Chain()
+    chain.emit[:], chain.move[:] = rng.normal(size=chain.emit.shape), rng.normal(size=(2, 2))
+    x = rng.normal(size=(1, 5, linecrf.FEATURES))
+    e = x[0] @ chain.emit
+    score = lambda y, e=e: sum(e[i, k] for i, k in enumerate(y)) + sum(chain.move[a, b] for a, b in zip(y, y[1:]))
+    paths = list(itertools.product((0, 1), repeat=5))
+    assert tuple(chain.viterbi(e)) == max(paths, key=score)
+    gold = (0, 1, 1, 0, 0)
+    padded = np.concatenate([x, np.zeros((1, 2, linecrf.FEATURES))], axis=1)
+    mask = np.array([[True] * 5 + [False] * 2])
+    value, emit, move = chain.gradient(padded, np.array([[*gold, 0, 0]]), mask)
+    z = np.logaddexp.reduce([score(y) for y in paths])
+    assert value == pytest.approx((score(gold) - z) / 5)
+    for weights, grad in ((chain.emit, emit), (chain.move, move)):
+        for at in itertools.islice(np.ndindex(weights.shape), 6):
+            old = weights[at]
+            weights[at] = old + 1e-6
+            above = chain.gradient(padded, np.array([[*gold, 0, 0]]), mask)[0]
+            weights[at] = old
+            assert (above - value) / 1e-6 == pytest.approx(grad[at], abs=1e-4)
+
+
+def test_quality_rules(spark):
+    out = queries.op1_quality_rules(spark, SF).join(table(spark, SF, "labels"), "doc_id").where("not base_failed").collect()
+    assert np.mean([r.kept for r in out if r.quality == 1]) > 0.98
+    assert np.mean([r.kept for r in out if r.quality == 0]) < 0.2
+    odd = linecrf.apply_rules(spark.createDataFrame(ODD, SCHEMA)).collect()
+    assert len(odd) == len(ODD) and not any(r.kept for r in odd) and all(r.base_failed for r in odd)
+    assert linecrf.apply_rules(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_language(spark):
+    out = queries.op3_language_id(spark, SF).join(table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in out if r.held_out]
+    assert {r.doc_id for r in held} == {r.doc_id for r in out if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
+    assert all(0 <= r.score <= 1 for r in out)
+    schema = "doc_id long, text string, score string, lang string"
+    rows = [(*r, None) for r in ODD] + [(i, f"ein text nummer {i} über etwas" * 5, "x", "de") for i in range(10, 30)] + [(i, f"the text number {i} about something" * 5, "x", "en") for i in range(30, 50)]
+    got = langid.identify(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows)
+    assert [r.lang_pred for r in got if r.doc_id in (0, 1, 2, 3)] == ["und"] * 4
+    assert all(r.lang_pred in ("de", "en") for r in got if r.doc_id is None or r.doc_id >= 4)
+    unlabelled = langid.identify(spark.createDataFrame([(*r, None) for r in ODD], schema)).collect()
+    assert {(r.lang_pred, r.score) for r in unlabelled} == {("und", 0.0)}
+    assert langid.identify(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_folded_tables_equal_plain_convolution():
+    net = langid.Network(["a", "b"])
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
+    pooled = [sum(f[j][x[:, j : langid.WINDOW - w + 1 + j].astype(int)] for j in range(w)).max(axis=1) for f, w in zip(net.filters, langid.WIDTHS)]
+    want = np.maximum(np.concatenate(pooled, axis=1), 0) @ net.out + net.bias
+    assert np.allclose(net.logits(x, net.tables()), want, atol=1e-5)
+
+
+def test_quality_classifier(spark):
+    out = queries.op8_quality_classifier(spark, SF).join(table(spark, SF, "labels"), "doc_id").where("held_out").collect()
+    good, bad = [r.score for r in out if r.quality == 1], [r.score for r in out if r.quality == 0]
+    assert np.mean([a > b for a in good for b in bad]) > 0.95
+    assert np.mean([r.predicted == r.quality for r in out]) > 0.9
+    assert all(r.predicted == (r.score >= 0.3) for r in out)
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    labels = table(spark, SF, "labels")
+    got = puquality.score_documents(docs, labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    none = puquality.score_documents(docs, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5}
+    assert puquality.score_documents(docs.limit(0), labels).count() == 0
+    kept = puquality.drop_rejected(table(spark, SF, "documents"), labels)
+    assert kept.columns == table(spark, SF, "documents").columns
+    assert 0.7 < kept.count() / table(spark, SF, "documents").count() < 1
+
+
+def test_risk_gradient():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(size=(40, 5)), rng.normal(size=(60, 5))
+    model = puquality.Model(u)
+    prior = 0.6
+
+    def value():
+        return sum(puquality.risk(model.forward(p)[1], model.forward(u)[1], prior))
+
+    (hp, zp), (hu, zu) = model.forward(p), model.forward(u)
+    sp, su = puquality._sigmoid(zp), puquality._sigmoid(zu)
+    grads = [a + b for a, b in zip(model.backward(p, hp, prior * (sp - 1 - sp) / 40), model.backward(u, hu, su / 60))]
+    base = value()
+    for w, g in zip(model.weights, grads):
+        at = tuple(0 for _ in w.shape)
+        w[at] += 1e-6
+        assert (value() - base) / 1e-6 == pytest.approx(g[at], abs=1e-4)
+        w[at] -= 1e-6
+
+
+def test_training_rows_are_never_held_out(spark):
+    """Labels and languages of held-out rows can't change any prediction."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    flipped = labels.withColumn("quality", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    score = lambda x: {r.doc_id: r.score for r in puquality.score_documents(docs, x).collect()}
+    assert score(labels) == score(flipped)
+    hidden = docs.withColumn("lang", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit("xx")).otherwise(F.col("lang")))
+    guess = lambda x: {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(x).collect()}
+    assert guess(docs) == guess(hidden)
