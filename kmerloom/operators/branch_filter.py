@@ -66,5 +66,5 @@ def surviving_occurrences(occurrences: DataFrame, groups: DataFrame, bad: DataFr
     min_degree and max_degree keep k-mers of min_degree <= deg < max_degree; both are off by default.
     """
     drop = groups.where("(n_prev > 1 AND n_next > 1)" + (f" OR deg < {int(min_degree)}" if min_degree else "") + (f" OR deg >= {int(max_degree)}" if max_degree else "")).select("kmer")
-    linked = occurrences.select("read_id", "kmer").where(F.ltrim(F.lit("A"), F.col("kmer")) != "")
+    linked = occurrences.select("read_id", "kmer").where(F.ltrim(F.col("kmer"), F.lit("A")) != "")
     return linked.join(drop, "kmer", "left_anti").join(bad, "read_id", "left_anti")

@@ -1,0 +1,103 @@
+"""Plain Python statements of the read operators, for tests on hand-made reads."""
+
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+
+COMPLEMENT = str.maketrans("ACGT", "TGCA")
+
+
+def clean(seq: str) -> str:
+    return "".join(c if c in "ACGT" else "N" for c in seq.upper())
+
+
+def canonical(seq: str, k: int) -> list[tuple[int, str, str, str]]:
+    """(position, kmer, prev, next)"""
+    s, out = clean(seq), []
+    if len(s) <= k:
+        return out
+    for i in range(len(s) - k + 1):
+        f = s[i : i + k]
+        if "N" in f:
+            continue
+        b = f.translate(COMPLEMENT)[::-1]
+        p, n = s[i - 1] if i else "N", s[i + k] if i + k < len(s) else "N"
+        out.append((i, f, p, n) if f < b else (i, b, n.translate(COMPLEMENT), p.translate(COMPLEMENT)))
+    return out
+
+
+def minimizers(seq: str, k: int) -> list[tuple[str, str, str]]:
+    last = len(seq) - k
+    until, low, out = last // 3, None, []
+    for i, *rest in canonical(seq, k):
+        real = tuple(rest) if rest[0] != "A" * k else None
+        if i > until:
+            if low:
+                out.append(low)
+            low = real
+            until += last // 3
+            if until + last // 3 > last:
+                until = last
+        elif low is None or real is not None and real[0] < low[0]:
+            low = real if real is not None or low is None else low
+    return out + [low] if low else out
+
+
+def branch(occurrences: list[tuple[int, str, str, str]]):
+    """occurrences (read_id, kmer, prev, next) -> ambiguous k-mers, bad reads."""
+    groups = defaultdict(list)
+    for r, k, p, n in occurrences:
+        groups[k].append((r, p, n))
+    ambiguous, bad = set(), set()
+    for k, rows in groups.items():
+        sides = []
+        for j in (1, 2):
+            c = Counter(x[j] for x in rows if x[j] != "N")
+            order = sorted(c, key=lambda b: (-c[b], "ACTG".index(b)))
+            sides.append((len(c), order[0] if order else None, sorted(c.values())[-2] if len(c) > 1 else 0))
+        if sides[0][0] > 1 and sides[1][0] > 1:
+            ambiguous.add(k)
+        elif sides[0][0] > 1 or sides[1][0] > 1:
+            j = 1 if sides[0][0] > 1 else 2
+            _, top, second = sides[j - 1]
+            bad |= {x[0] for x in rows if x[j] != top or 5 * second >= len(rows)}
+    return ambiguous, bad
+
+
+def components(ids, edges) -> dict[int, int]:
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        parent[min(a, b)] = max(a, b)
+    return {i: root(i) for i in ids}
+
+
+def merge_mates(labels: dict[int, int], pairs, cap: int) -> dict[int, int]:
+    parent, size = {c: c for c in labels.values()}, Counter(labels.values())
+
+    def root(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    for a, b in sorted(pairs):
+        x, y = root(labels[a]), root(labels[b])
+        if x != y and min(size[x], size[y]) <= cap:
+            parent[min(x, y)] = max(x, y)
+            size[max(x, y)] += size[min(x, y)]
+    return {r: root(c) for r, c in labels.items()}
+
+
+def bin_pack(labels: dict[int, int], parts: int) -> dict[int, int]:
+    """Walks component ids upwards and moves on where the running size reaches the next multiple of the share."""
+    sizes, q, total, out = Counter(labels.values()), len(labels) // parts, 0, {}
+    for c in sorted(sizes):
+        out[c] = parts - 1 if q == 0 else min(parts - 1, total // q)
+        total += sizes[c]
+    return out
