@@ -60,15 +60,14 @@ def align(source, start: int) -> int | None:
 
     Of the four possible phases of the lines that follow, the one in which the next two records are well formed wins.
     """
-    lines = lines_from(source, max(0, start - 1))
-    if start:
-        next(lines, None)  # the line that holds the byte before: the next one begins at start or later
+    if start == 0:
+        return next((at for at, line in lines_from(source, 0) if line), None)
+    lines = lines_from(source, start - 1)
+    next(lines, None)  # the line that holds the byte before: the next one begins at start or later
     ahead = [x for _, x in zip(range(12), lines)]
-    while ahead and ahead[-1][1] == b"":
-        ahead.pop()
     for i in range(min(4, len(ahead))):
         first, second = ahead[i : i + 4], ahead[i + 4 : i + 8]
-        if len(first) == 4 and _is_record(first) and (len(second) < 4 or _is_record(second)):
+        if len(first) == 4 and _is_record(first) and (len(second) < 4 or not any(line for _, line in second) or _is_record(second)):
             return first[0][0]
     return None
 
