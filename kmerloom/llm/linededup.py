@@ -21,36 +21,46 @@ from kmerloom.storage import materialize
 LEADING, SPANS = 3, 4
 
 
-def _signatures(line: Column, min_tokens: int, long_tokens: int) -> Column:
-    masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "<*>")
-    tokens = F.filter(F.split(masked, r"[\x20\x09-\x0D]+"), lambda t: t != "")
-
-    def of(t: Column) -> Column:
-        n = F.size(t)
-        lead, rest = F.slice(t, 1, LEADING), F.slice(t, LEADING + 1, F.greatest(n - LEADING, F.lit(0)))
-        m = n - LEADING
-        cut = [F.floor(m * i / SPANS).cast("int") for i in range(SPANS + 1)]
-        spans = [F.xxhash64(n, lead, F.lit(i), F.slice(rest, 1, cut[i]), F.slice(rest, cut[i + 1] + 1, m - cut[i + 1])) for i in range(SPANS)]
-        whole = F.xxhash64(n, lead, F.lit(-1), rest)
-        return F.when(n < min_tokens, F.array().cast("array<long>")).when(n < long_tokens, F.array(whole)).otherwise(F.array(whole, *spans))
+def line_templates(docs: DataFrame, min_tokens: int = 3, long_tokens: int = 12) -> DataFrame:
+    """(doc_id, sig, signatures): per row an array with one array of template signatures for each \\n-split line.
 
-    return F.element_at(F.transform(F.array(tokens), of), 1)
+    Tokens are never split out: a line is brought to single blanks and wildcards, only if it has anything to bring,
+    blanks are counted, and the spans' neighbours are cut at the blank of that number.
+    """
+    blank = r"[\x20\x09-\x0D]"
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
 
+    def plain(line: Column) -> Column:
+        masked = F.regexp_replace(line, rf"(?<!{blank.replace('[', '[^')})[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "<*>")
+        odd = line.rlike(r"[0-9\x09-\x0D]") | F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ")
+        return F.when(odd, F.trim(F.regexp_replace(masked, f"{blank}+", " "))).otherwise(line)
 
-def line_templates(docs: DataFrame, min_tokens: int = 3, long_tokens: int = 12) -> DataFrame:
-    """(doc_id, sig, signatures): per row an array with one array of template signatures for each \\n-split line."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("sig"), F.transform(lines, lambda x: _signatures(x, min_tokens, long_tokens)).alias("signatures"))
+    def counted(line: Column) -> Column:
+        blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+        return F.struct(line.alias("l"), F.when(line == "", 0).otherwise(blanks + 1).alias("n"))
+
+    def signatures(x: Column) -> Column:
+        line, n = x["l"], x["n"]
+        cut = [LEADING + F.floor((n - LEADING) * i / SPANS).cast("int") for i in range(SPANS + 1)]
+        spans = [F.xxhash64(n, F.lit(i), F.call_function("substring_index", line, F.lit(" "), cut[i]), F.call_function("substring_index", line, F.lit(" "), cut[i + 1] - n)) for i in range(SPANS)]
+        whole = F.xxhash64(n, F.lit(-1), line)
+        return F.when(n < min_tokens, F.array().cast("array<long>")).when(n < long_tokens, F.array(whole)).otherwise(F.array(whole, *spans))
+
+    found = F.transform(F.transform(F.transform(lines, plain), counted), signatures)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("sig"), found.alias("signatures"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 12) -> DataFrame:
-    """(doc_id, sig, drop): positions (from 0) of the lines to drop, for rows that lose any; sig is the text's hash."""
-    lines = materialize(line_templates(docs, min_tokens, long_tokens).where("exists(signatures, x -> size(x) > 0)"), "templates")
+    """(doc_id, sig, drop): positions (from 0) of the lines to drop, for rows that lose any; sig is the text's hash.
+
+    The join is a merge join at every size: recurring templates multiply with the input and a frequent one is split.
+    """
+    lines = materialize(line_templates(docs, min_tokens, long_tokens), "templates")
     each = lines.select("doc_id", "sig", F.explode(F.array_distinct(F.flatten("signatures"))).alias("template"))
     counts = each.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     recurring = materialize(counts.where(F.col("n") >= min_docs).select("template", "first"), "recurring")
     found = lines.select("doc_id", "sig", F.posexplode("signatures").alias("pos", "own")).select("doc_id", "sig", "pos", F.explode("own").alias("template"))
-    hit = found.join(recurring, "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    hit = found.join(recurring.hint("merge"), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return hit.groupBy("doc_id", "sig").agg(F.collect_set("pos").alias("drop"))
 
 
