@@ -76,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LINE_DEDUP = r"""
 WITH lines AS (
   SELECT doc_id, text, pos, line,
-         list_filter(regexp_split_to_array(regexp_replace(line, '(^|[\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '\1<*>', 'g'), '[\x20\x09-\x0D]+'), t -> t <> '') AS t
+         list_filter(regexp_split_to_array(regexp_replace(line, '(^|[\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '\1<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS t
   FROM (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
 ), sized AS (SELECT *, len(t) AS n, len(t) - 3 AS m FROM lines WHERE len(t) >= 3
