@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import slices, splitmix
+from kmerloom.llm.common import map_arrow, slices, splitmix
 
 BLOCKS, WIDTH, RADIUS = 8, 8, 23
 #: Items of a run: larger benchmarks are searched in blocks of so many bytes, each in a pass of its own.
@@ -182,7 +182,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, shingle_words: int
     found = None
     for i in range(passes):
         some = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
-        part = rows.mapInArrow(_search([tuple(r) for r in some], shingle_words, similarity), "doc_id long, sig long, item_id long, similarity double, start long, n_words long")
+        part = map_arrow(rows, _search([tuple(r) for r in some], shingle_words, similarity), "doc_id long, sig long, item_id long, similarity double, start long, n_words long")
         found = part if found is None else found.union(part)
     return found
 
@@ -209,5 +209,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle_words: int
     passes = -(-size // ITEM_BYTES) or 1
     for i in range(passes):
         some = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
-        docs = docs.mapInArrow(_clean([tuple(r) for r in some], shingle_words, similarity), docs.schema)
+        docs = map_arrow(docs, _clean([tuple(r) for r in some], shingle_words, similarity), docs.schema)
     return docs

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import raw, slices
+from kmerloom.llm.common import map_arrow, raw, slices
 from kmerloom.llm.sampling import hashed_sample, remainder
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
@@ -135,7 +135,7 @@ def train(docs: DataFrame) -> Network | None:
     """Fit on rows of non-null lang whose crc32(doc_id) mod 4 is not 2."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), "text").where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
     ids = hashed_sample(rows.select("doc_id"), ROWS).distinct()
-    found = rows.join(F.broadcast(ids), "doc_id").select("lang", "text").mapInArrow(_samples, "lang string, data binary").collect()  # ROWS ids
+    found = map_arrow(rows.join(F.broadcast(ids), "doc_id").select("lang", "text"), _samples, "lang string, data binary").collect()  # ROWS ids
     return fit(sorted((r.lang, bytes(r.data)) for r in found))
 
 
@@ -166,4 +166,4 @@ def identify(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import raw, slices
+from kmerloom.llm.common import map_arrow, raw, slices
 from kmerloom.llm.sampling import hashed_sample
 
 #: Documents fitted on at most, and lines of each.
@@ -166,7 +166,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> Chain:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     ids = hashed_sample(rows.select("doc_id"), DOCUMENTS).distinct()
-    found = rows.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(_sampled, "x array<double>").collect()  # DOCUMENTS ids
+    found = map_arrow(rows.join(F.broadcast(ids), "doc_id").select("text"), _sampled, "x array<double>").collect()  # DOCUMENTS ids
     return fit([[tuple(x[i : i + FEATURES]) for i in range(0, len(x), FEATURES)] for x in sorted(r.x for r in found)])
 
 
@@ -201,4 +201,4 @@ def apply_rules(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50,
 
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"]
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import slices
+from kmerloom.llm.common import map_arrow, slices
 from kmerloom.storage import materialize
 
 EOS = 0
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, group_pieces: int =
     are packed each on its own; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    pieces = materialize(rows.mapInArrow(_pieces(tokenizer, size), PIECES), "pieces")
+    pieces = materialize(map_arrow(rows, _pieces(tokenizer, size), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
 

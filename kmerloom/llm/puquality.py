@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import raw, slices
+from kmerloom.llm.common import map_arrow, raw, slices
 from kmerloom.llm.sampling import hashed_sample, remainder
 
 #: Rows fitted on at most: trusted positives, unlabelled documents.
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     trusted = hashed_sample(marked.where("quality = 1").select("doc_id").distinct(), POSITIVES).withColumn("positive", F.lit(True))
     plain = hashed_sample(known, UNLABELLED).withColumn("positive", F.lit(False)).distinct()
     rows = open_docs.join(F.broadcast(trusted.union(plain)), "doc_id")  # POSITIVES + UNLABELLED rows of two small columns
-    found = rows.select("positive", "text").mapInArrow(_featurised, "positive boolean, x array<double>").collect()
+    found = map_arrow(rows.select("positive", "text"), _featurised, "positive boolean, x array<double>").collect()
     positive = np.array([r.x for r in found if r.positive])
     unlabelled = np.array([r.x for r in found if not r.positive])
     if not len(positive) or not len(unlabelled):
@@ -164,7 +164,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,4 +175,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in slices(batches):
             yield batch.filter(pa.array(scores(model, raw(batch)) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

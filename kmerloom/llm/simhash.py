@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import raw, slices, splitmix
+from kmerloom.llm.common import map_arrow, raw, slices, splitmix
 from kmerloom.operators.components import connected_components
 from kmerloom.storage import materialize
 
@@ -86,7 +86,7 @@ def _fingerprints(k: int):
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """(doc_id, fp): the SimHash of each row's whole text as a long; null and wordless texts have fingerprint zero."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(shingle_words), "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _fingerprints(shingle_words), "doc_id long, fp long")
 
 
 def segment_popcounts(fp: Column) -> Column:
@@ -167,7 +167,7 @@ def grid_edges(nodes: DataFrame, radius: int = 2) -> DataFrame:
     if not 0 <= radius <= 2:
         raise ValueError("the one-step grid covers a radius of two bits at most")
     cells = nodes.select(F.explode(grid_cells(segment_popcounts(F.col("fp")))).alias("cell"), F.col("fp").alias("node")).where("cell is not null")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_edges(radius, 1), "u long, v long")
+    return map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_edges(radius, 1), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
@@ -228,7 +228,7 @@ def wide_radius(similarity: float) -> int:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, sig (hash of the text), n (rows), keeper (whether it stays).
+    """One row per distinct (doc_id, text): doc_id, sig (hash of the text), n (rows), component, keeper (whether it stays).
 
     Rows are linked if their 512-bit SimHashes over the word shingles are within ``wide_radius(similarity)`` and they
     share a band of the min-wise sketch. Of every component the row of the smallest doc_id (null first; then of the
@@ -236,15 +236,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"), "text")
-    found = materialize(rows.mapInArrow(_sketches(shingle_words), "doc_id long, sig long, wide binary, cells array<long>").withColumn("node", F.xxhash64("wide")), "sketches")
+    found = materialize(map_arrow(rows, _sketches(shingle_words), "doc_id long, sig long, wide binary, cells array<long>").withColumn("node", F.xxhash64("wide")), "sketches")
     nodes = found.groupBy("node").agg(F.first("wide").alias("wide"), F.first("cells").alias("cells"))
     cells = nodes.select(F.explode("cells").alias("cell"), "node", "wide")
-    edges = materialize(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_edges(wide_radius(similarity), WIDE), "u long, v long"), "links")
+    edges = materialize(map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_edges(wide_radius(similarity), WIDE), "u long, v long"), "links")
     labels = connected_components(edges)
     each = found.groupBy("doc_id", "sig", "node").agg(F.count("*").alias("n"))
     linked = materialize(each.join(labels, F.col("node") == F.col("id"), "left").select("doc_id", "sig", "n", F.coalesce("label", "node").alias("label")), "members")
     first = linked.groupBy("label").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
-    return linked.join(first, "label").select("doc_id", "sig", "n", F.struct("doc_id", "sig").eqNullSafe(F.col("first")).alias("keeper"))
+    return linked.join(first, "label").select("doc_id", "sig", "n", F.col("label").alias("component"), F.struct("doc_id", "sig").eqNullSafe(F.col("first")).alias("keeper"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import raw, slices
+from kmerloom.llm.common import map_arrow, raw, slices
 
 #: Pre-tokens whose counts a Python worker remembers; beyond, it starts anew.
 REMEMBERED = 400_000
@@ -125,4 +125,4 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     count 0. Repeated rows and null doc_ids are counted like any other; an empty table gives an empty result; other
     columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count(vocabulary), "doc_id long, n_pretokens long, n_tokens long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _count(vocabulary), "doc_id long, n_pretokens long, n_tokens long")

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import raw, slices
+from kmerloom.llm.common import map_arrow, raw, slices
 from kmerloom.storage import materialize, new_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -218,13 +218,13 @@ def write_archives(pages: DataFrame, root: str, minimum: int = 1000) -> DataFram
     keeper = slim.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
     refers = F.when(F.col("page_id").eqNullSafe(F.col("keeper")), None).otherwise(F.col("keeper"))
     rows = own.join(keeper, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
-    return materialize(rows.mapInArrow(_write(root), "archive string, records long"), "manifest")
+    return materialize(map_arrow(rows, _write(root), "archive string, records long"), "manifest")
 
 
 def read_archives(manifest: DataFrame, root: str) -> DataFrame:
     """One row per record of the manifest's archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.select("archive").repartition(manifest.sparkSession.sparkContext.defaultParallelism).mapInArrow(_read(root), schema)
+    return map_arrow(manifest.select("archive").repartition(manifest.sparkSession.sparkContext.defaultParallelism), _read(root), schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
