@@ -12,6 +12,6 @@ def star_edges(survivors: DataFrame) -> DataFrame:
     The centre is a combined aggregate joined back, so that a k-mer of a repeat is a skewed join key, which adaptive
     execution splits, and never one task's group.
     """
-    pairs = survivors.select("kmer", "read_id").distinct()
-    centre = pairs.groupBy("kmer").agg(F.max("read_id").alias("u"), F.count("*").alias("n")).where("n > 1").select("kmer", "u")
+    pairs = survivors.select("kmer", "read_id")
+    centre = pairs.groupBy("kmer").agg(F.max("read_id").alias("u"), F.min("read_id").alias("low")).where("low < u").select("kmer", "u")
     return pairs.join(centre, "kmer").where("read_id <> u").select("u", F.col("read_id").alias("v")).distinct()
