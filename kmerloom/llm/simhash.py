@@ -11,7 +11,10 @@ one for each fingerprint. Equal fingerprints are one node from the start, so cop
 
 For whole-document similarity (``near_duplicates``) two bits are far too near: documents that share four fifths of
 their five-word shingles differ in some ten bits of 64. There a 512-bit SimHash is the embedding, with eight 64-bit
-segments, and cells are min-wise sketch bands of the shingle hashes; popcount distance, then Hamming distance decide.
+segments, and cells are min-wise sketch bands of the shingle hashes. In a cell the pairs within the radius (popcount
+distance first, as a lower bound, then Hamming distance) are reduced to a minimum spanning forest and every row's three
+nearest: what a threshold on all pairs connects, the same threshold on that forest connects too. These edges, a few per
+fingerprint, are then verified by the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ LANES = np.uint64(0x0101010101010101)
 #: Sketch bands of near_duplicates: a pair at similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS.
 BANDS, ROWS = 14, 4
 WIDE = 8
+#: Rows of a cell that are compared with each other at once; beyond, blocks of so many share the landmarks.
+BLOCK, LANDMARKS, NEAREST = 1024, 64, 3
 
 
 def shingle_hashes(words: list[bytes], k: int) -> bytes:
@@ -64,12 +69,14 @@ def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def _hashed(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(batch: pa.RecordBatch, k: int, distinct: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all documents in a row, sizes of the non-empty ones, their row numbers."""
-    digests = [shingle_hashes((t or b"").lower().split(), k) for t in raw(batch)]
-    sizes = np.array([len(d) // 8 for d in digests], np.int64)
+    hashes = [np.frombuffer(shingle_hashes((t or b"").lower().split(), k), ">u8").astype("<u8") for t in raw(batch)]
+    if distinct:
+        hashes = [np.unique(h) for h in hashes]
+    sizes = np.array([len(h) for h in hashes], np.int64)
     rows = np.flatnonzero(sizes)
-    return np.frombuffer(b"".join(digests), ">u8").astype("<u8"), sizes[rows], rows
+    return np.concatenate(hashes), sizes[rows], rows
 
 
 def _fingerprints(k: int):
@@ -107,19 +114,14 @@ def grid_cells(counts: Column) -> Column:
 
 def _forest(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Spanning-forest edges of the graph that joins rows of ``bits`` (n, words) within ``radius`` bits."""
-    n = len(bits)
-    counts = np.bitwise_count(bits).astype(np.int32) if bits.shape[1] > 1 else None
-    rest, edges = np.arange(1, n), []
+    rest, edges = np.arange(1, len(bits)), []
     queue = [0]
     while len(rest):
         if not queue:
             queue, rest = [int(rest[0])], rest[1:]
             continue
         at = queue.pop()
-        near = rest
-        if counts is not None:  # Manhattan distance of the counts bounds the Hamming distance from below
-            near = near[np.abs(counts[near] - counts[at]).sum(axis=1) <= radius]
-        near = near[np.bitwise_count(bits[near] ^ bits[at]).sum(axis=1, dtype=np.int32) <= radius]
+        near = rest[np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1, dtype=np.int32) <= radius]
         if len(near):
             edges += [(at, int(x)) for x in near]
             queue += near.tolist()
@@ -127,6 +129,61 @@ def _forest(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _distances(bits: np.ndarray, radius: int) -> np.ndarray:
+    """(n, n) Hamming distances, radius + 1 where they are larger. The Manhattan distance of the popcounts bounds them
+    from below and spares most."""
+    n = len(bits)
+    counts = np.bitwise_count(bits).astype(np.int32)
+    out = np.full((n, n), radius + 1, np.int32)
+    step = max(1, (1 << 16) // n)
+    for a in range(0, n, step):
+        i, j = np.nonzero(np.abs(counts[a : a + step, None] - counts).sum(axis=2) <= radius)
+        out[a + i, j] = np.minimum(np.bitwise_count(bits[a + i] ^ bits[j]).sum(axis=1, dtype=np.int32), radius + 1)
+    return out
+
+
+def _nearest_forest(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges within ``radius`` bits: a minimum spanning forest by Hamming distance (Prim), and from every row to its
+    NEAREST nearest, since the later exact measure may order near distances otherwise.
+
+    A large cell is cut into blocks. Each block includes the landmarks, the rows nearest to the bitwise majority of the
+    cell: of a group of edited copies these are the original and what is closest to it.
+    """
+    n = len(bits)
+    if n > BLOCK + LANDMARKS:
+        majority = np.packbits(2 * _bit_totals(bits) > n, bitorder="little").view("<u8")
+        order = np.argsort(np.bitwise_count(bits ^ majority).sum(axis=1, dtype=np.int32), kind="stable")
+        marks, rest, edges = order[:LANDMARKS], order[LANDMARKS:], set()
+        for a in range(0, len(rest), BLOCK):
+            own = np.concatenate([marks, rest[a : a + BLOCK]])
+            edges.update((int(own[x]), int(own[y])) for x, y in _nearest_forest(bits[own], radius))
+        return sorted(edges)
+    distance = _distances(bits, radius)
+    np.fill_diagonal(distance, radius + 1)
+    k = min(NEAREST, n - 1)
+    nearest = np.argpartition(distance, k - 1, axis=1)[:, :k]
+    rows = np.repeat(np.arange(n), k)
+    near = distance[rows, nearest.ravel()] <= radius
+    edges = set(zip(*(x[near].tolist() for x in (np.minimum(rows, nearest.ravel()), np.maximum(rows, nearest.ravel())))))
+    rest, best, parent = np.arange(1, n), distance[0, 1:].copy(), np.zeros(n - 1, np.int64)
+    while len(rest):
+        i = int(best.argmin())
+        at = int(rest[i])
+        if best[i] <= radius:
+            edges.add((min(at, int(parent[i])), max(at, int(parent[i]))))
+        rest, best, parent = (np.delete(x, i) for x in (rest, best, parent))
+        closer = distance[at, rest] < best
+        best[closer], parent[closer] = distance[at, rest[closer]], at
+    return sorted(edges)
+
+
+def _bit_totals(bits: np.ndarray) -> np.ndarray:
+    """Set bits of each position over all rows, a million bytes at a time."""
+    data = np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), -1)
+    step = max(1, (1 << 20) // data.shape[1])
+    return sum(np.unpackbits(data[a : a + step], axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for a in range(0, len(data), step))
+
+
 def _cell_edges(radius: int, words: int):
     """Rows (cell, node[, bits]) sorted by cell -> edges inside every cell. One cell's rows are in memory at a time."""
 
@@ -140,7 +197,7 @@ def _cell_edges(radius: int, words: int):
             two = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int32) <= radius]
             u, v = [node[two]], [node[two + 1]]
             for a, b in zip(*(x[ends - starts > 2] for x in (starts, ends))):
-                if found := _forest(bits[a:b], radius):
+                if found := (_forest if words == 1 else _nearest_forest)(bits[a:b], radius):
                     pair = np.array(found) + a
                     u.append(node[pair[:, 0]])
                     v.append(node[pair[:, 1]])
@@ -195,7 +252,7 @@ def _sketches(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            h, sizes, rows = _hashed(batch, k)
+            h, sizes, rows = _hashed(batch, k, distinct=True)
             n = batch.num_rows
             wide, low = np.zeros((n, WIDE), np.uint64), np.zeros((n, BANDS * ROWS), np.uint64)
             if len(rows):
@@ -221,26 +278,49 @@ def _sketches(k: int):
 
 
 def wide_radius(similarity: float) -> int:
-    """Bits of the wide fingerprint that pairs of that Jaccard similarity differ in, plus two standard deviations."""
+    """Bits of the wide fingerprint that pairs of that Jaccard similarity differ in, plus three standard deviations."""
     bits = 64 * WIDE
     flip = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return round(bits * flip + 2 * math.sqrt(bits * flip * (1 - flip)))
+    return round(bits * flip + 3 * math.sqrt(bits * flip * (1 - flip)))
+
+
+def _shingle_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(np.frombuffer(shingle_hashes((t or b"").lower().split(), k), ">i8").astype(np.int64)) for t in raw(batch)]
+            offsets = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(offsets, np.concatenate(sets))], names=["node", "shingles"])
+
+    return run
+
+
+def _verified(edges: DataFrame, rows: DataFrame, found: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges (u, v) whose shingle sets have a Jaccard similarity of ``similarity`` or more. One text speaks for a node."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    own = found.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "sig")).alias("one")).select("node", F.col("one.doc_id").alias("__id"), F.col("one.sig").alias("__sig"))
+    texts = rows.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sig") == F.col("__sig"))).select("node", "text")
+    sets = materialize(map_arrow(texts, _shingle_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
+    left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return edges.join(left, "u").join(right, "v").withColumn("both", both).where(F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, sig (hash of the text), n (rows), component, keeper (whether it stays).
 
-    Rows are linked if their 512-bit SimHashes over the word shingles are within ``wide_radius(similarity)`` and they
-    share a band of the min-wise sketch. Of every component the row of the smallest doc_id (null first; then of the
-    smallest sig) stays. Null, empty and wordless texts are copies of one another. An empty table gives an empty
-    result.
+    Rows of equal 512-bit SimHash are one node. Nodes that share a band of the min-wise sketch and are within
+    ``wide_radius(similarity)`` of each other are candidates, and linked if the Jaccard similarity of their shingle
+    sets (lower-cased A-Z) is ``similarity`` or more. Of every component the row of the smallest doc_id (null first;
+    then of the smallest sig) stays. Null, empty and wordless texts are copies of one another; fewer words than a
+    shingle make one. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"), "text")
     found = materialize(map_arrow(rows, _sketches(shingle_words), "doc_id long, sig long, wide binary, cells array<long>").withColumn("node", F.xxhash64("wide")), "sketches")
     nodes = found.groupBy("node").agg(F.first("wide").alias("wide"), F.first("cells").alias("cells"))
     cells = nodes.select(F.explode("cells").alias("cell"), "node", "wide")
-    edges = materialize(map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_edges(wide_radius(similarity), WIDE), "u long, v long"), "links")
-    labels = connected_components(edges)
+    pairs = map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_edges(wide_radius(similarity), WIDE), "u long, v long")
+    edges = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
+    labels = connected_components(_verified(edges, rows, found, shingle_words, similarity))
     each = found.groupBy("doc_id", "sig", "node").agg(F.count("*").alias("n"))
     linked = materialize(each.join(labels, F.col("node") == F.col("id"), "left").select("doc_id", "sig", "n", F.coalesce("label", "node").alias("label")), "members")
     first = linked.groupBy("label").agg(F.min(F.struct("doc_id", "sig")).alias("first"))

@@ -97,6 +97,54 @@ def test_forest_of_a_large_cell():
     assert all(np.bitwise_count(bits[a] ^ bits[b]).sum() <= 2 for a, b in edges)
 
 
+def test_nearest_forest_keeps_what_any_threshold_connects():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (12, 8), dtype=np.uint64)
+    bits = np.repeat(base, 15, axis=0)
+    for _ in range(25):
+        at = rng.integers(0, 8, len(bits))
+        bits[np.arange(len(bits)), at] ^= np.uint64(1) << rng.integers(0, 64, len(bits), dtype=np.uint64)
+    edges = simhash._nearest_forest(bits, 90)
+    distance = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=int)
+
+    def groups(pairs):
+        parent = list(range(len(bits)))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[root(a)] = root(b)
+        return [[root(a) == root(b) for b in range(len(bits))] for a in range(len(bits))]
+
+    for limit in (20, 30, 40, 90):
+        want = groups([(a, b) for a in range(len(bits)) for b in range(a) if distance[a, b] <= limit])
+        assert groups([(a, b) for a, b in edges if distance[a, b] <= limit]) == want
+
+
+def test_nearest_forest_of_a_hot_cell():
+    """Thousands of edited copies whose mutual distances exceed the radius, though each is near the original."""
+    rng = np.random.default_rng(7)
+    original = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    bits = np.repeat(original[None], 5000, axis=0)
+    for _ in range(70):
+        bits[np.arange(1, 5000), rng.integers(0, 8, 4999)] ^= np.uint64(1) << rng.integers(0, 64, 4999, dtype=np.uint64)
+    edges = simhash._nearest_forest(bits, 80)
+    assert len(edges) < 4 * 5000
+    seen, todo, near = {0}, [0], {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    while todo:
+        for b in near.get(todo.pop(), []):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    assert len(seen) == 5000
+
+
 def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.simhash_components(df).count() == 0
@@ -106,6 +154,28 @@ def test_empty_table_and_null_ids(spark):
     assert got == {(None, 7), (7, 7), (None, None)}
 
 
+def test_links_are_exact(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 300))]
+        for edits in (0, 1, 2, 3, 5, 8, 13):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), min(edits, len(copy) // 2)):
+                copy[at] = f"e{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(copy), "e"))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    label = list(range(len(rows)))
+    while True:
+        new = [min(label[j] for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    keeper = {r.component: r.doc_id for r in got if r.keeper}
+    assert {r.doc_id: keeper[r.component] for r in got} == dict(enumerate(label))
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     rng = random.Random(9)
     rows, group = [], {}
