@@ -8,7 +8,6 @@ takes two lookups per position. A document's logits are the mean of those of its
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,10 @@ WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
 ROWS, EACH = 4000, 3
 BATCH, STEPS, RATE = 64, 700, 0.01
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 def windows(text: bytes) -> np.ndarray:
@@ -123,7 +125,7 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         out = []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            if text and LETTER.search(text):
+            if has_letter(text):
                 data = text.lower().encode()
                 for i in range(EACH):
                     at = zlib.crc32(data, i) % max(1, len(data) - WINDOW + 1)
@@ -152,7 +154,7 @@ def identify(docs: DataFrame) -> DataFrame:
         tables = net.tables() if net else None
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            known = [i for i, t in enumerate(texts) if net and t and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if net and has_letter(t)]
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             if known:
                 x = [windows(texts[i].lower().encode()) for i in known]

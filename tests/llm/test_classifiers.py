@@ -13,7 +13,7 @@ from kmerloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, score string"
-ODD = [(0, None, "x"), (1, "", "x"), (2, " \n\t", "x"), (3, "1 2 3 !!", "x"), (4, "word " * 40000, "x"), (None, "the plain text of a row without an id", "x"), (5, "same", "x"), (5, "same", "x")]
+ODD = [(0, None, "x"), (1, "", "x"), (2, " \n\t", "x"), (3, "1 2 3 ½ !!", "x"), (4, "word " * 40000, "x"), (None, "the plain text of a row without an id", "x"), (5, "same", "x"), (5, "same", "x")]
 
 
 def brute_statistics(text):
