@@ -17,7 +17,7 @@ _LOCAL_ROOT: str | None = None
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
     global _LOCAL_ROOT
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -27,8 +27,23 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT
 
 
+def session_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/kmerloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/kmerloom/{label}-{uuid.uuid4().hex}"
+    return f"{session_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this session. DataFrames that were built on them can't be read any more."""
+    _delete(spark, session_root(spark))
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
@@ -45,6 +60,4 @@ def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     path = getattr(df, "_kmerloom_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
