@@ -61,10 +61,11 @@ def bad_reads(occurrences: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def surviving_occurrences(occurrences: DataFrame, groups: DataFrame, bad: DataFrame, min_degree: int | None = None, max_degree: int | None = None) -> DataFrame:
-    """(read_id, kmer) that may link reads: no ambiguous k-mer, no k-mer of A only, no bad read.
+    """(read_id, kmer) that may link reads: k-mers seen twice or more that aren't ambiguous nor of A only, without bad
+    reads. The many k-mers seen once go here, before anything else is grouped.
 
     min_degree and max_degree keep k-mers of min_degree <= deg < max_degree; both are off by default.
     """
-    drop = groups.where("(n_prev > 1 AND n_next > 1)" + (f" OR deg < {int(min_degree)}" if min_degree else "") + (f" OR deg >= {int(max_degree)}" if max_degree else "")).select("kmer")
-    linked = occurrences.select("read_id", "kmer").where(F.ltrim(F.col("kmer"), F.lit("A")) != "")
-    return linked.join(drop, "kmer", "left_anti").join(bad, "read_id", "left_anti")
+    keep = f"deg >= {max(2, int(min_degree or 2))} AND NOT (n_prev > 1 AND n_next > 1)" + (f" AND deg < {int(max_degree)}" if max_degree else "")
+    linking = groups.where(keep).where(F.ltrim(F.col("kmer"), F.lit("A")) != "").select("kmer")
+    return occurrences.select("read_id", "kmer").join(linking, "kmer", "left_semi").join(bad, "read_id", "left_anti")

@@ -13,10 +13,10 @@ def exclusive_sum(df: DataFrame, order: list[str], value: str | None, out: str)
     """df with the column ``out``: the sum of ``value`` (of ones if None) over all rows before it in ``order``.
 
     Rows are range-partitioned on ``order``, which should be a key; windows stay inside a range and the sums of whole
-    ranges, one row per partition, are added on top.
+    ranges, one row per partition, are added on top. df is stored first, since finding the ranges reads it once more.
     """
     one = F.col(value) if value else F.lit(1).cast("long")
-    ranged = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
+    ranged = materialize(materialize(df, "unranged").repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("__range").agg(F.sum(one).alias("__own"))
     before = sums.select("__range", F.coalesce(F.sum("__own").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     inside = F.coalesce(F.sum(one).over(W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -12,7 +12,7 @@ from kmerloom.operators.components import connected_components
 from kmerloom.operators.kmers import kmer_occurrences, minimizers3
 from kmerloom.operators.links import star_edges
 from kmerloom.operators.mates import full_labels, mate_pairs, merge_mates
-from kmerloom.storage import materialize
+from kmerloom.storage import materialize, spread
 
 
 @dataclass
@@ -43,12 +43,16 @@ def occurrences_of(reads: DataFrame, k: int = 27, mode: str = "all") -> DataFram
 
 
 def link_reads(reads: DataFrame, k: int = 27, mode: str = "all", min_degree: int | None = None, max_degree: int | None = None) -> Linked:
-    """Filter k-mers and reads, then take star edges. Statistics and condemned reads are stored, since the later steps
-    read them several times; occurrences aren't: generating them anew costs less than storing them."""
-    occurrences = occurrences_of(reads, k, mode)
+    """Filter k-mers and reads, then take star edges.
+
+    reads should be a stored table. Statistics of k-mers seen twice or more, condemned reads and surviving occurrences
+    are stored, since later steps read them several times. All occurrences aren't: they are some thirty times the
+    input, and generating them anew costs less than storing them.
+    """
+    occurrences = occurrences_of(spread(reads), k, mode)
     groups = materialize(branch_groups(occurrences).where("deg > 1"), "groups")
     bad = materialize(bad_reads(occurrences, groups), "bad")
-    survivors = surviving_occurrences(occurrences, groups, bad, min_degree, max_degree)
+    survivors = materialize(surviving_occurrences(occurrences, groups, bad, min_degree, max_degree), "survivors")
     return Linked(occurrences, groups, bad, materialize(star_edges(survivors), "stars"))
 
 

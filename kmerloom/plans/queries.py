@@ -12,7 +12,7 @@ from kmerloom.operators.binpack import component_partitions, partition_manifest
 from kmerloom.plans.partition_reads import Linked, link_reads
 from kmerloom.sources.fastq import scan_fastq
 from kmerloom.sources.text_reads import conversation_reads, document_reads
-from kmerloom.storage import materialize, new_path
+from kmerloom.storage import materialize, new_path, spread
 
 K, PARTS, CAP, CHUNK = 27, 16, 1000, 1000
 
@@ -36,7 +36,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, sf_dir: str, neighbours: bool = True) -> DataFrame:
-    return kmers.kmer_occurrences(reads(spark, sf_dir), K, neighbours)
+    return kmers.kmer_occurrences(spread(reads(spark, sf_dir)), K, neighbours)
 
 
 def chunks(rows: DataFrame) -> DataFrame:
@@ -225,12 +225,12 @@ def partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def minimizers3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.minimizers3(reads(spark, sf_dir), K)
+    return kmers.minimizers3(spread(reads(spark, sf_dir)), K)
 
 
 @query
 def minimizer_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histograms.bucket_histogram(kmers.minimizers3(reads(spark, sf_dir), K))
+    return histograms.bucket_histogram(kmers.minimizers3(spread(reads(spark, sf_dir)), K))
 
 
 @query

@@ -10,16 +10,20 @@ from kmerloom.operators.prefix import dense_ids
 ALPHABET, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGT" * 6 + "AC"
 
 
-def encode_letters(text: Column) -> Column:
-    """Letters of the lower-cased text as bases, in turn of the alphabet; other letters than a to z are N."""
-    letters = F.regexp_replace(F.lower(text), r"[^\p{L}]", "")
-    return F.regexp_replace(F.translate(letters, ALPHABET, BASES), "[^ACGT]", "N")
+def encode_letters(text: Column, bases: int) -> Column:
+    """The first ``bases`` letters of the lower-cased text as bases, in turn of the alphabet; other letters than a to z
+    are N. A long text is searched beyond its head only if that has too few letters."""
+    head = bases * 3 // 2
+    letters = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}]+", "")
+    first = letters(F.substring(text, 1, head))
+    found = F.when((F.length(text) <= head) | (F.length(first) >= bases), first).otherwise(letters(text))
+    return F.regexp_replace(F.translate(F.substring(found, 1, bases), ALPHABET, BASES), "[^ACGT]", "N")
 
 
 def document_reads(documents: DataFrame, fragments: int = 10, length: int = 100, stride: int = 60, paired: bool = False) -> DataFrame:
     """(read_id, mate_id, doc_id, seq): overlapping fragments of every document's first bases; ids are dense in
     (doc_id, fragment). Paired: fragments 2j and 2j + 1 are mates and only whole pairs are kept."""
-    s = F.substring(encode_letters("text"), 1, fragments * stride)
+    s = encode_letters(F.col("text"), fragments * stride)
     step = 2 if paired else 1
     last = F.least(F.lit(fragments), F.ceil(F.length("s") / stride).cast("int"))
     count = (F.floor(last / step) * step).cast("int")
@@ -32,8 +36,7 @@ def document_reads(documents: DataFrame, fragments: int = 10, length: int = 100,
 
 def conversation_reads(conversations: DataFrame, length: int = 100) -> DataFrame:
     """(read_id, mate_id, seq): turns 2j and 2j + 1 of a conversation are mates, by their first bases."""
-    seq = F.substring(encode_letters("text"), 1, length)
-    turns = conversations.select("conv_id", F.expr("turn div 2").alias("j"), "turn", seq.alias("seq"))
+    turns = conversations.select("conv_id", F.expr("turn div 2").alias("j"), "turn", encode_letters(F.col("text"), length).alias("seq"))
     pairs = turns.groupBy("conv_id", "j").agg(F.min_by("seq", "turn").alias("s1"), F.max_by("seq", "turn").alias("s2"), F.count("*").alias("n")).where("n = 2").drop("n")
     numbered = dense_ids(pairs, ["conv_id", "j"], "pair")
     mates = F.expr("stack(2, 2 * pair, 2 * pair + 1, s1, 2 * pair + 1, 2 * pair, s2) AS (read_id, mate_id, seq)")

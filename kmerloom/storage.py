@@ -56,6 +56,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return stored
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table in at least as many partitions as there are cores, for work that multiplies its rows.
+
+    Only tables too small to fill the cores are dealt anew; a large one has partitions enough and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     path = getattr(df, "_kmerloom_path", None)
