@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from kmerloom.storage import discard, materialize
 
+#: Stars of a round are stored in files of so many edges, however many partitions the shuffle had.
+EDGES_PER_FILE = 100_000
+
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.u", "p.v")
@@ -40,7 +43,7 @@ def connected_components(edges: DataFrame, label: str = "min") -> DataFrame:
         if seen == tuple(n) or n[0] == 0:
             break
         seen = tuple(n)
-        step = materialize(_small_star(_large_star(e)), "edges")
+        step = materialize(_small_star(_large_star(e)).coalesce(-(-n[0] // EDGES_PER_FILE)), "edges")
         discard(e)
         e = step
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
