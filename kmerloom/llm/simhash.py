@@ -239,8 +239,7 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2)
     """
     fps = materialize(fingerprints(docs, shingle_words), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = materialize(grid_edges(nodes.select("fp"), radius), "links")
-    labels = connected_components(edges)
+    labels = connected_components(grid_edges(nodes.select("fp"), radius))
     linked = nodes.join(labels, F.col("fp") == F.col("id"), "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     lowest = linked.groupBy("label").agg(F.min("low").alias("component_id"))
     named = linked.join(lowest, "label").select("fp", "component_id")
