@@ -14,10 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import map_arrow, slices
-from kmerloom.storage import materialize
 
 EOS = 0
-#: Pieces of a group, on average: groups multiply with the input, their size doesn't grow.
+#: Pieces of a group at most, on average: groups multiply with the input, their size doesn't grow.
 GROUP_PIECES = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -115,9 +114,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, group_pieces: int =
     are packed each on its own; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    pieces = materialize(map_arrow(rows, _pieces(tokenizer, size), PIECES), "pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    n, most = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    groups = max(1, -(-(n + most // size) // group_pieces))  # a token has a byte or more, so this bounds the pieces
+    dealt = map_arrow(rows, _pieces(tokenizer, size), PIECES).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
