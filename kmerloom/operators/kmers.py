@@ -26,10 +26,6 @@ def _strands(reads: DataFrame, k: int) -> DataFrame:
     return forward.withColumn("r", reverse_complement(F.col("s")))
 
 
-def _at(s: Column, start: Column, length: int) -> Column:
-    return F.substring(s, start, F.lit(length)) if isinstance(start, Column) else F.substring(s, start, length)
-
-
 def kmer_occurrences(reads: DataFrame, k: int = 27, neighbours: bool = True) -> DataFrame:
     """(read_id, kmer[, prev, next]), a row per N-free window of every read longer than k.
 
