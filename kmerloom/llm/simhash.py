@@ -10,16 +10,15 @@ Cells never emit all their pairs: a cell is searched breadth-first and yields th
 one for each fingerprint. Equal fingerprints are one node from the start, so copies cost nothing here.
 
 For whole-document similarity (``near_duplicates``) two bits are far too near: documents that share four fifths of
-their five-word shingles differ in some ten bits of 64. There a 512-bit SimHash is the embedding, with eight 64-bit
-segments, and cells are min-wise sketch bands of the shingle hashes. In a cell the pairs within the radius (popcount
-distance first, as a lower bound, then Hamming distance) are reduced to a minimum spanning forest and every row's three
-nearest: what a threshold on all pairs connects, the same threshold on that forest connects too. These edges, a few per
-fingerprint, are then verified by the exact Jaccard similarity of the shingle sets.
+their five-word shingles differ in some ten bits of 64. There cells are min-wise sketch bands of the shingle hashes, and
+a 512-bit SimHash only makes copies one node. The exact Jaccard similarity of the shingle sets decides on every pair of a
+cell: small cells emit their pairs, which are verified once however many cells they share; large cells are cut into
+blocks, and each pair of blocks is a task that searches the exact graph breadth-first and yields a spanning forest. The
+only pairs left out are those whose numbers of shingles rule the similarity out.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -38,7 +37,9 @@ LANES = np.uint64(0x0101010101010101)
 #: Sketch bands of near_duplicates: a pair at similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS.
 BANDS, ROWS = 14, 4
 WIDE = 8
-#: Rows of a cell that are compared with each other at once; beyond, blocks of so many share the landmarks.
+#: Rows of a cell that emits its pairs; a larger one is cut into blocks of so many shingles (or one longer row).
+PAIRED, BLOCK_SHINGLES = 48, 1 << 20
+#: Of _nearest_forest.
 BLOCK, LANDMARKS, NEAREST = 1024, 64, 3
 
 
@@ -253,7 +254,8 @@ def _sketches(k: int):
         for batch in slices(batches):
             h, sizes, rows = _hashed(batch, k, distinct=True)
             n = batch.num_rows
-            wide, low = np.zeros((n, WIDE), np.uint64), np.zeros((n, BANDS * ROWS), np.uint64)
+            wide, low, counts = np.zeros((n, WIDE), np.uint64), np.zeros((n, BANDS * ROWS), np.uint64), np.zeros(n, np.int64)
+            counts[rows] = sizes
             if len(rows):
                 starts = np.cumsum(sizes) - sizes
                 for j in range(WIDE):
@@ -268,19 +270,138 @@ def _sketches(k: int):
                     batch.column("doc_id"),
                     batch.column("sig"),
                     pa.array([x.tobytes() for x in wide], pa.binary()),
+                    pa.array(counts),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "sig", "wide", "cells"],
+                names=["doc_id", "sig", "wide", "size", "cells"],
             )
 
     return run
 
 
-def wide_radius(similarity: float) -> int:
-    """Bits of the wide fingerprint that pairs of that Jaccard similarity differ in, plus three standard deviations."""
-    bits = 64 * WIDE
-    flip = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return round(bits * flip + 3 * math.sqrt(bits * flip * (1 - flip)))
+def _blocks(sizes: np.ndarray, similarity: float) -> list[tuple[int, int, int, int]]:
+    """Ranges (a, b, c, d) of rows in order of ``sizes``: rows a to b meet rows c to d. Together they hold every pair that
+    the sizes allow to be similar, once; (a, b) = (c, d) stands for the pairs inside."""
+    ends = np.cumsum(sizes)
+    part = (ends - sizes) // BLOCK_SHINGLES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    spans = list(zip(cuts, cuts[1:]))
+    return [(*x, *y) for i, x in enumerate(spans) for y in spans[i:] if sizes[x[1] - 1] >= similarity * sizes[y[0]] - 1e-9]
+
+
+def _cell_pairs(similarity: float):
+    """Rows (cell, node, size) sorted by cell -> rows (task, side, u, v): pairs (u, v) of small cells, with no task; and
+    the rows u of large cells for every task that compares a block with itself (side 0) or two blocks (sides 1 and 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((3, 0), np.int64)
+
+        def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cell, node, size = rows
+            cuts = np.flatnonzero(np.diff(cell)) + 1
+            starts, counts = np.r_[0, cuts], np.diff(np.r_[0, cuts, len(cell)])
+            for n in np.unique(counts[(counts > 1) & (counts <= PAIRED)]).tolist():
+                i, j = np.triu_indices(n, 1)
+                first = starts[counts == n]
+                for at in range(0, len(first), max(1, (1 << 18) // len(i))):
+                    some = first[at : at + max(1, (1 << 18) // len(i)), None]
+                    x, y = (some + i).ravel(), (some + j).ravel()
+                    able = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
+                    x, y = node[x[able]], node[y[able]]
+                    yield batch(None, 0, np.maximum(x, y), np.minimum(x, y))
+            for a, n in zip(starts[counts > PAIRED].tolist(), counts[counts > PAIRED].tolist()):
+                order = a + np.lexsort((node[a : a + n], size[a : a + n]))
+                for p, q, r, t in _blocks(size[order], similarity):
+                    task = xxhash.xxh64_intdigest(np.array([cell[a], p, r]).tobytes(), SEED) - (1 << 63)
+                    if p == r:
+                        yield batch(task, 0, node[order[p:q]], None)
+                    else:
+                        yield batch(task, 1, node[order[p:q]], None)
+                        yield batch(task, 2, node[order[r:t]], None)
+
+        def batch(task: int | None, side: int, u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
+            n = len(u)
+            other = pa.nulls(n, pa.int64()) if v is None else pa.array(v)
+            return pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int64()), pa.array([side] * n, pa.int32()), pa.array(u), other], names=["task", "side", "u", "v"])
+
+        for given in batches:
+            if not given.num_rows:
+                continue
+            held = np.concatenate([held, np.array([given.column(i).to_numpy(zero_copy_only=False) for i in range(3)])], axis=1)
+            last = int(np.searchsorted(held[0], held[0, -1]))  # the last cell may go on in the next batch
+            if last:
+                yield from solve(held[:, :last])
+                held = held[:, last:].copy()
+        if held.size:
+            yield from solve(held)
+
+    return run
+
+
+def _similar_forest(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Spanning-forest edges of the graph that joins sets of ``similarity`` or more, all (side 0) or of different sides.
+
+    A row's intersections with all others are counted at once: members that many rows have as bits, others by the lists
+    of rows that have them. Members of one row only count in the sizes.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    members, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    common = df > max(64, n // 16)
+    rank = np.cumsum(common) - 1
+    bits = np.zeros((n, -(-int(common.sum()) // 64) * 8), np.uint8)
+    hot = common[ids]
+    np.bitwise_or.at(bits, (owner[hot], rank[ids[hot]] >> 3), np.uint8(1) << (rank[ids[hot]] & 7).astype(np.uint8))
+    bits = bits.view(np.uint64)
+    rare = (df[ids] > 1) & ~hot
+    ids, owner = ids[rare], owner[rare]
+    own = np.split(ids, np.searchsorted(owner, np.arange(1, n)))
+    order = np.argsort(ids, kind="stable")
+    lists, starts = owner[order], np.searchsorted(ids[order], np.arange(len(members) + 1))
+
+    rest, edges, queue = np.arange(1, n), [], [0]
+    while len(rest):
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+            continue
+        at = queue.pop()
+        both = np.bitwise_count(bits[rest] & bits[at]).sum(axis=1, dtype=np.int64)
+        if len(own[at]):
+            both += np.bincount(np.concatenate([lists[starts[x] : starts[x + 1]] for x in own[at]]), minlength=n)[rest]
+        able = (side[rest] != side[at]) | (side[at] == 0)
+        near = rest[able & (both >= similarity * (sizes[at] + sizes[rest] - both) - 1e-9)]
+        if len(near):
+            edges += [(at, int(x)) for x in near]
+            queue += near.tolist()
+            rest = rest[~np.isin(rest, near, assume_unique=True)]
+    return edges
+
+
+def _task_edges(similarity: float):
+    """Rows (task, side, node, shingles) sorted by task -> edges (u, v). One task's rows are in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve() -> pa.RecordBatch:
+            pairs = np.array(_similar_forest(sets, np.array(sides), similarity), np.int64).reshape(-1, 2)
+            own = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(own[pairs[:, 0]]), pa.array(own[pairs[:, 1]])], names=["u", "v"])
+
+        task, sides, nodes, sets = None, [], [], []
+        for batch in batches:
+            shingles = batch.column("shingles")
+            values, offsets = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+            for i, (t, side, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node")))):
+                if t != task:
+                    if len(sets) > 1:
+                        yield solve()
+                    task, sides, nodes, sets = t, [], [], []
+                sides.append(side)
+                nodes.append(node)
+                sets.append(values[offsets[i] : offsets[i + 1]].copy())
+        if len(sets) > 1:
+            yield solve()
+
+    return run
 
 
 def _shingle_sets(k: int):
@@ -293,33 +414,37 @@ def _shingle_sets(k: int):
     return run
 
 
-def _verified(edges: DataFrame, rows: DataFrame, found: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Edges (u, v) whose shingle sets have a Jaccard similarity of ``similarity`` or more. One text speaks for a node."""
-    ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = found.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "sig")).alias("one")).select("node", F.col("one.doc_id").alias("__id"), F.col("one.sig").alias("__sig"))
+def _verified(candidates: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges (u, v) of the candidates of _cell_pairs whose shingle sets have a Jaccard similarity of ``similarity`` or
+    more; of a task's, a spanning forest. One text speaks for a node."""
+    ends = candidates.select(F.explode(F.array("u", "v")).alias("node")).where("node is not null").distinct()
+    own = nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"))
     texts = rows.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sig") == F.col("__sig"))).select("node", "text")
     sets = materialize(map_arrow(texts, _shingle_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return edges.join(left, "u").join(right, "v").withColumn("both", both).where(F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v")
+    pairs = candidates.where("task is null").select("u", "v").distinct().join(left, "u").join(right, "v").withColumn("both", both)
+    near = pairs.where(F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v")
+    tasks = candidates.where("task is not null").select("task", "side", F.col("u").alias("node")).join(sets, "node")
+    hot = map_arrow(tasks.repartition("task").sortWithinPartitions("task"), _task_edges(similarity), "u long, v long")
+    return near.union(hot.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, sig (hash of the text), n (rows), component, keeper (whether it stays).
 
-    Rows of equal 512-bit SimHash are one node. Nodes that share a band of the min-wise sketch and are within
-    ``wide_radius(similarity)`` of each other are candidates, and linked if the Jaccard similarity of their shingle
-    sets (lower-cased A-Z) is ``similarity`` or more. Of every component the row of the smallest doc_id (null first;
-    then of the smallest sig) stays. Null, empty and wordless texts are copies of one another; fewer words than a
-    shingle make one. An empty table gives an empty result.
+    Rows of equal 512-bit SimHash are one node. Nodes that share a band of the min-wise sketch are linked if the Jaccard
+    similarity of their shingle sets (lower-cased A-Z) is ``similarity`` or more; no pair of a cell is left out, whatever
+    the cell's size. Of every component the row of the smallest doc_id (null first; then of the smallest sig) stays. Null,
+    empty and wordless texts are copies of one another; fewer words than a shingle make one. An empty table gives an
+    empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"), "text")
-    found = materialize(map_arrow(rows, _sketches(shingle_words), "doc_id long, sig long, wide binary, cells array<long>").withColumn("node", F.xxhash64("wide")), "sketches")
-    nodes = found.groupBy("node").agg(F.first("wide").alias("wide"), F.first("cells").alias("cells"))
-    cells = nodes.select(F.explode("cells").alias("cell"), "node", "wide")
-    pairs = map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_edges(wide_radius(similarity), WIDE), "u long, v long")
-    edges = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
-    labels = connected_components(_verified(edges, rows, found, shingle_words, similarity))
+    found = materialize(map_arrow(rows, _sketches(shingle_words), "doc_id long, sig long, wide binary, size long, cells array<long>").withColumn("node", F.xxhash64("wide")), "sketches")
+    nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "sig", "size", "cells")).alias("one")).select("node", "one.*")
+    cells = nodes.select(F.explode("cells").alias("cell"), "node", "size")
+    candidates = materialize(map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_pairs(similarity), "task long, side int, u long, v long"), "candidates")
+    labels = connected_components(_verified(candidates, rows, nodes, shingle_words, similarity))
     each = found.groupBy("doc_id", "sig", "node").agg(F.count("*").alias("n"))
     linked = materialize(each.join(labels, F.col("node") == F.col("id"), "left").select("doc_id", "sig", "n", F.coalesce("label", "node").alias("label")), "members")
     first = linked.groupBy("label").agg(F.min(F.struct("doc_id", "sig")).alias("first"))

@@ -195,3 +195,25 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     kept = [r.doc_id for r in out.collect()]
     assert sorted(group[i] for i in kept if i < 900) == list(range(60))
     assert sorted(i for i in kept if i >= 900) == [900, 905]
+
+
+def shared_passage(n, pairs, changed, seed):
+    """n documents of one 204-word passage and 30 words of their own (Jaccard 0.77); of ``pairs`` of them also an edited
+    copy, with the last ``changed`` words replaced."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(204)]
+    texts = [passage + [word() for _ in range(30)] for _ in range(n)]
+    texts += [t[:-changed] + [word() for _ in range(changed)] for t in texts[:pairs]]
+    return [(i, " ".join(t), "e") for i, t in enumerate(texts)]
+
+
+def lowest(spark, rows):
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    keeper = {r.component: r.doc_id for r in got if r.keeper}
+    return {r.doc_id: keeper[r.component] for r in got}
+
+
+def test_pairs_among_documents_that_share_a_passage(spark):
+    """Jaccard 0.8 or more beside hundreds of neighbours just below it."""
+    assert lowest(spark, shared_passage(600, 80, 20, 13)) == {i: i - 600 if i >= 600 else i for i in range(680)}
