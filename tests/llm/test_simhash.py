@@ -217,3 +217,17 @@ def lowest(spark, rows):
 def test_pairs_among_documents_that_share_a_passage(spark):
     """Jaccard 0.8 or more beside hundreds of neighbours just below it."""
     assert lowest(spark, shared_passage(600, 80, 20, 13)) == {i: i - 600 if i >= 600 else i for i in range(680)}
+
+
+def test_hot_cell_of_many_small_groups(spark):
+    """A cell of several blocks; the copies come last and by size, so most pairs lie in different blocks."""
+    rows = shared_passage(5000, 400, 15, 14)
+    assert lowest(spark, rows) == {i: i - 5000 if i >= 5000 else i for i in range(5400)}
+
+
+def test_blocks_meet_every_pair_that_sizes_allow():
+    rng = np.random.default_rng(15)
+    sizes = np.sort(rng.integers(1, simhash.BLOCK_SHINGLES // 3, 40))
+    met = [(i, j) for a, b, c, d in simhash._blocks(sizes, 0.8) for i in range(a, b) for j in range(c, d) if i < j]
+    assert len(met) == len(set(met))
+    assert {(i, j) for i in range(40) for j in range(i + 1, 40) if sizes[i] >= 0.8 * sizes[j]} <= set(met)
