@@ -231,3 +231,11 @@ def test_blocks_meet_every_pair_that_sizes_allow():
     met = [(i, j) for a, b, c, d in simhash._blocks(sizes, 0.8) for i in range(a, b) for j in range(c, d) if i < j]
     assert len(met) == len(set(met))
     assert {(i, j) for i in range(40) for j in range(i + 1, 40) if sizes[i] >= 0.8 * sizes[j]} <= set(met)
+
+
+def test_pairs_of_short_texts(spark):
+    """Eight words and one word more: four of five shingles."""
+    rng = random.Random(16)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(100)]
+    rows = [(i, t, "e") for i, t in enumerate(texts + [f"{t} more{i}" for i, t in enumerate(texts)])]
+    assert lowest(spark, rows) == {i: i % 100 for i in range(200)}
