@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,15 @@ from kmerloom.operators import branch_filter, components, histograms, kmers, lin
 from kmerloom.operators.binpack import component_partitions, partition_manifest
 from kmerloom.plans.partition_reads import Linked, link_reads
 from kmerloom.sources.fastq import scan_fastq
-from kmerloom.sources.text_reads import conversation_reads, document_reads
+from kmerloom.sources.text_reads import conversation_reads, document_reads, whole_document_reads
 from kmerloom.storage import materialize, new_path, spread
 
 K, PARTS, CAP, CHUNK = 27, 16, 1000, 1000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Whether reads are cut from whole texts, not from the prefixes that the oracles' SQL states.
+WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 
 
 def query(f: Query) -> Query:
@@ -27,7 +30,8 @@ def query(f: Query) -> Query:
 
 def reads(spark: SparkSession, sf_dir: str, paired: bool = False) -> DataFrame:
     """F1 (overlapping fragments of documents) or F2 (the same in mate pairs), stored."""
-    return materialize(document_reads(spark.read.parquet(f"{sf_dir}/documents.parquet"), paired=paired), "reads")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return materialize(whole_document_reads(documents) if WHOLE.get() else document_reads(documents, paired=paired), "reads")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,3 +254,21 @@ def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = sorted(f.getPath().toString() for f in files if f.getPath().getName().startswith("part-"))
     names = [n if "://" in n else n.replace("file:/", "file:///", 1) for n in names]
     return scan_fastq(spark, names, 1 << 16).select("header", "seq", F.length("qual").cast("long").alias("quals"))
+
+
+def whole(f: Query) -> Query:
+    """The same query over the reads of whole texts. No oracle: tested against plain Python."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = WHOLE.set(True)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            WHOLE.reset(token)
+
+    run.__name__ = f"whole_{f.__name__}"
+    return run
+
+
+MATED = {"paired_read_inventory", "conversation_read_inventory", "separated_pairs", "mate_merged_components", "conversation_components", "supported_component_merge", "component_partitions_16", "partition_manifest_16", "partition_sizes"}
+QUERIES |= {f"whole_{name}": whole(f) for name, f in QUERIES.items() if name not in MATED}

@@ -34,6 +34,20 @@ def document_reads(documents: DataFrame, fragments: int = 10, length: int = 100,
     return numbered.select("read_id", mate.alias("mate_id"), "doc_id", "seq")
 
 
+def encode_text(text: Column) -> Column:
+    """All letters of the lower-cased text as bases, like ``encode_letters``."""
+    letters = F.regexp_replace(F.lower(text), r"[^\p{L}]+", "")
+    return F.regexp_replace(F.translate(letters, ALPHABET, BASES), "[^ACGT]", "N")
+
+
+def whole_document_reads(documents: DataFrame, length: int = 100, stride: int = 60) -> DataFrame:
+    """(read_id, mate_id, doc_id, seq): overlapping fragments over the whole length of every document; ids are dense in
+    (doc_id, fragment). One pass of a pattern cuts a text, whatever its length."""
+    cut = F.regexp_extract_all(encode_text(F.col("text")), F.lit(f"(?=(.{{1,{length}}})).{{1,{stride}}}"), F.lit(1))
+    parts = documents.select("doc_id", F.posexplode(cut).alias("o", "seq"))
+    return dense_ids(parts, ["doc_id", "o"], "read_id").select("read_id", F.lit(None).cast("long").alias("mate_id"), "doc_id", "seq")
+
+
 def conversation_reads(conversations: DataFrame, length: int = 100) -> DataFrame:
     """(read_id, mate_id, seq): turns 2j and 2j + 1 of a conversation are mates, by their first bases."""
     turns = conversations.select("conv_id", F.expr("turn div 2").alias("j"), "turn", encode_letters(F.col("text"), length).alias("seq"))

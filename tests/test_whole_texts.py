@@ -1,0 +1,59 @@
+"""Reads of whole texts, and the queries over them, against plain Python."""
+
+import random
+
+import plain
+import pytest
+
+from kmerloom.plans.queries import QUERIES
+
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", "ACGT" * 6 + "AC"))
+
+
+def bases(text):
+    return "".join(LETTERS.get(c, "N") for c in (text or "").lower() if c.isalpha())
+
+
+def fragments(text):
+    s = bases(text)
+    return [s[o : o + 100] for o in range(0, len(s), 60)]
+
+
+def text(rng, n):
+    return "".join(rng.choice("acgt" * 5 + "xyzé .,1\n") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    rng = random.Random(1)
+    long = text(rng, 3000)
+    docs = [(0, None), (1, ""), (2, "12 .\n"), (3, "Short"), (5, text(rng, 650)), (6, long), (8, "zz " + long[1500:]), (9, text(rng, 40000))]
+    docs += [(20 + n, text(rng, n)) for n in (59, 60, 61, 119, 120, 121, 180)]
+    path = str(tmp_path_factory.mktemp("whole"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return path, docs
+
+
+def components(seqs):
+    """Of reads numbered from 0, by shared k-mers of 27 after the branch filter."""
+    occurrences = [(r, *x[1:]) for r, s in enumerate(seqs) for x in plain.canonical(s, 27)]
+    ambiguous, bad = plain.branch(occurrences)
+    holders = {}
+    for r, kmer, _, _ in occurrences:
+        if kmer not in ambiguous and r not in bad and kmer != "A" * 27:
+            holders.setdefault(kmer, set()).add(r)
+    return plain.components(range(len(seqs)), [(max(x), r) for x in holders.values() for r in x])
+
+
+def test_whole_documents(spark, documents):
+    path, docs = documents
+    seqs = [(i, s) for i, t in docs for s in fragments(t)]
+    got = sorted(tuple(r) for r in QUERIES["whole_read_inventory"](spark, path).collect())
+    assert got == [(r, i, len(s), s.count("N")) for r, (i, s) in enumerate(seqs)]
+    assert sum(i == 9 for i, _ in seqs) > 500
+    totals = QUERIES["whole_read_totals"](spark, path).first()
+    assert tuple(totals) == (len(seqs), sum(len(s) for _, s in seqs), sum(len(plain.canonical(s, 27)) for _, s in seqs))
+    got = dict(tuple(r) for r in QUERIES["whole_read_components"](spark, path).collect())
+    assert got == components([s for _, s in seqs])
+    last = {i: r for r, (i, _) in enumerate(seqs)}
+    assert QUERIES["read_inventory"](spark, path).count() < len(seqs) and last[9] in got
