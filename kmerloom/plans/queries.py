@@ -12,7 +12,7 @@ from kmerloom.operators import branch_filter, components, histograms, kmers, lin
 from kmerloom.operators.binpack import component_partitions, partition_manifest
 from kmerloom.plans.partition_reads import Linked, link_reads
 from kmerloom.sources.fastq import scan_fastq
-from kmerloom.sources.text_reads import conversation_reads, document_reads, whole_document_reads
+from kmerloom.sources.text_reads import conversation_reads, document_reads, whole_conversation_reads, whole_document_reads
 from kmerloom.storage import materialize, new_path, spread
 
 K, PARTS, CAP, CHUNK = 27, 16, 1000, 1000
@@ -31,12 +31,12 @@ def query(f: Query) -> Query:
 def reads(spark: SparkSession, sf_dir: str, paired: bool = False) -> DataFrame:
     """F1 (overlapping fragments of documents) or F2 (the same in mate pairs), stored."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return materialize(whole_document_reads(documents) if WHOLE.get() else document_reads(documents, paired=paired), "reads")
+    return materialize((whole_document_reads if WHOLE.get() else document_reads)(documents, paired=paired), "reads")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pairs of conversation turns as mates, stored."""
-    return materialize(conversation_reads(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
+    return materialize((whole_conversation_reads if WHOLE.get() else conversation_reads)(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
 
 
 def occurrences(spark: SparkSession, sf_dir: str, neighbours: bool = True) -> DataFrame:
@@ -270,5 +270,4 @@ def whole(f: Query) -> Query:
     return run
 
 
-MATED = {"paired_read_inventory", "conversation_read_inventory", "separated_pairs", "mate_merged_components", "conversation_components", "supported_component_merge", "component_partitions_16", "partition_manifest_16", "partition_sizes"}
-QUERIES |= {f"whole_{name}": whole(f) for name, f in QUERIES.items() if name not in MATED}
+QUERIES |= {f"whole_{name}": whole(f) for name, f in QUERIES.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.operators.prefix import dense_ids
+from kmerloom.storage import materialize
 
 ALPHABET, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGT" * 6 + "AC"
 
@@ -40,12 +41,15 @@ def encode_text(text: Column) -> Column:
     return F.regexp_replace(F.translate(letters, ALPHABET, BASES), "[^ACGT]", "N")
 
 
-def whole_document_reads(documents: DataFrame, length: int = 100, stride: int = 60) -> DataFrame:
+def whole_document_reads(documents: DataFrame, length: int = 100, stride: int = 60, paired: bool = False) -> DataFrame:
     """(read_id, mate_id, doc_id, seq): overlapping fragments over the whole length of every document; ids are dense in
-    (doc_id, fragment). One pass of a pattern cuts a text, whatever its length."""
+    (doc_id, fragment). Paired: fragments 2j and 2j + 1 are mates, and a last one without a mate is a single read. One
+    pass of a pattern cuts a text, whatever its length."""
     cut = F.regexp_extract_all(encode_text(F.col("text")), F.lit(f"(?=(.{{1,{length}}})).{{1,{stride}}}"), F.lit(1))
-    parts = documents.select("doc_id", F.posexplode(cut).alias("o", "seq"))
-    return dense_ids(parts, ["doc_id", "o"], "read_id").select("read_id", F.lit(None).cast("long").alias("mate_id"), "doc_id", "seq")
+    parts = documents.select("doc_id", cut.alias("cut")).select("doc_id", F.size("cut").alias("n"), F.posexplode("cut").alias("o", "seq"))
+    numbered = dense_ids(parts, ["doc_id", "o"], "read_id")
+    mate = F.expr("CASE WHEN o % 2 = 1 THEN read_id - 1 WHEN o + 1 < n THEN read_id + 1 END") if paired else F.lit(None).cast("long")
+    return numbered.select("read_id", mate.alias("mate_id"), "doc_id", "seq")
 
 
 def conversation_reads(conversations: DataFrame, length: int = 100) -> DataFrame:
@@ -55,3 +59,13 @@ def conversation_reads(conversations: DataFrame, length: int = 100) -> DataFrame
     numbered = dense_ids(pairs, ["conv_id", "j"], "pair")
     mates = F.expr("stack(2, 2 * pair, 2 * pair + 1, s1, 2 * pair + 1, 2 * pair, s2) AS (read_id, mate_id, seq)")
     return numbered.select(mates)
+
+
+def whole_conversation_reads(conversations: DataFrame) -> DataFrame:
+    """(read_id, mate_id, seq): every turn is a read of its whole text; ids are dense in (conv_id, turn). Turns 2j and
+    2j + 1 of a conversation are mates. A turn without the other one, or of which there are several, is a single read."""
+    turns = conversations.select("conv_id", F.expr("turn div 2").alias("j"), "turn", encode_text(F.coalesce("text", F.lit(""))).alias("seq"))
+    numbered = materialize(dense_ids(turns, ["conv_id", "turn"], "read_id"), "numbered")
+    pairs = numbered.groupBy("conv_id", "j").agg(F.min("read_id").alias("a"), F.max("read_id").alias("b"), F.count("*").alias("n"), F.min("turn").alias("low"), F.max("turn").alias("high"))
+    mated = pairs.where("n = 2 AND low < high").select(F.expr("stack(2, a, b, b, a) AS (read_id, mate_id)"))
+    return numbered.join(mated, "read_id", "left").select("read_id", "mate_id", "seq")
