@@ -16,14 +16,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import map_arrow, raw, slices
+from kmerloom.llm.common import map_arrow, raw, slices, splitmix
 from kmerloom.llm.sampling import hashed_sample
 
-#: Documents fitted on at most, and lines of each.
-DOCUMENTS, LINES = 1000, 40
+#: Documents fitted on at most, lines of a run, and runs of each: all of a shorter document, else those of least hash.
+DOCUMENTS, LINES, RUNS = 1000, 40, 4
 CONTENT_SHARE = 0.5
 SYMBOLS, UPPER, DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58))
 CONTINUATION = bytes(range(128, 192))  # of UTF-8: every other byte begins a code point
@@ -157,16 +158,24 @@ def document_lines(text: bytes) -> tuple[list[tuple], list[int]]:
     return found, sizes
 
 
+def sampled_runs(text: bytes) -> list[list[tuple]]:
+    """Features of at most RUNS runs of LINES lines (the last may be shorter), from anywhere in the document."""
+    found = document_lines(text)[0]
+    seed = xxhash.xxh64_intdigest(text)
+    starts = sorted(range(0, len(found), LINES), key=lambda a: splitmix(seed + a))[:RUNS]
+    return [found[a : a + LINES] for a in sorted(starts)]
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        x = [[v for f in document_lines(t or b"")[0][:LINES] for v in f] for t in raw(batch)]
+        x = [[v for f in run for v in f] for t in raw(batch) for run in sampled_runs(t or b"")]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64()))], names=["x"])
 
 
 def train(docs: DataFrame) -> Chain:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     ids = hashed_sample(rows.select("doc_id"), DOCUMENTS).distinct()
-    found = map_arrow(rows.join(F.broadcast(ids), "doc_id").select("text"), _sampled, "x array<double>").collect()  # DOCUMENTS ids
+    found = map_arrow(rows.join(F.broadcast(ids), "doc_id").select("text"), _sampled, "x array<double>").collect()  # RUNS runs of DOCUMENTS documents
     return fit([[tuple(x[i : i + FEATURES]) for i in range(0, len(x), FEATURES)] for x in sorted(r.x for r in found)])
 
 

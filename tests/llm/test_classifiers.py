@@ -141,3 +141,16 @@ def test_training_rows_are_never_held_out(spark):
     hidden = docs.withColumn("lang", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit("xx")).otherwise(F.col("lang")))
     guess = lambda x: {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(x).collect()}
     assert guess(docs) == guess(hidden)
+
+
+def test_line_crf_is_fitted_on_lines_from_anywhere(spark):
+    text = "\n".join(f"Sentence {i} of a plain text that goes on for a while." for i in range(60)) + "\n" + "\n".join(f"| MENU {i} | HOME | ### |" for i in range(20))
+    runs = linecrf.sampled_runs(text.encode())
+    assert sum(runs, []) == linecrf.document_lines(text.encode())[0]
+    long = linecrf.document_lines(("line of text\n" * 4000).encode())[0]
+    assert [len(r) for r in linecrf.sampled_runs(("line of text\n" * 4000).encode())] == [linecrf.LINES] * linecrf.RUNS and len(long) == 4000
+    last = [any(f == linecrf.document_lines(t.encode())[0][-1] for r in linecrf.sampled_runs(t.encode()) for f in r) for t in (f"{i}\n" + "a b c\n" * 500 + "THE LAST LINE" for i in range(100))]
+    assert 10 < sum(last) < 60
+    chain = linecrf.train(spark.createDataFrame([(i, f"{i} {text}", "") for i in range(50)], "doc_id long, text string, x string"))
+    bars = np.array(linecrf.document_lines(b"| MENU 1 | HOME | ### |")[0]) @ chain.emit
+    assert bars[0, linecrf.BOILERPLATE] > bars[0, linecrf.CONTENT]
