@@ -2,8 +2,13 @@
 
     python -m kmerloom index     -o DIR [--paired A B]... [--single F]... [--interleaved F]...
     python -m kmerloom view      DIR
-    python -m kmerloom histogram -o DIR -k 27 [--min3] [files as above]
-    python -m kmerloom partition -o DIR -k 27 [--min3] [--parts 16] [--mate-cap 1000] [files as above]
+    python -m kmerloom histogram -o DIR -k 27 [--min3] [--index DIR] [files as above]
+    python -m kmerloom ranges    DIR [--parts 16]
+    python -m kmerloom partition -o DIR -k 27 [--min3] [--parts 16] [--mate-cap 1000] [--merge-support N]
+                                 [--min-degree N] [--max-degree N] [--largest] [--index DIR] [files as above]
+
+``--index`` takes the output of ``index`` over the same files and chunk size, which spares counting their records;
+``ranges`` takes the output of ``histogram``.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators import histograms, mates, stats
 from kmerloom.plans.partition_reads import occurrences_of, partition_reads
-from kmerloom.sources.fastq import chunk_index, read_fastq, scan_fastq, write_partitions
+from kmerloom.sources.fastq import chunk_index, read_fastq, scan_fastq, write_largest_component, write_partitions
 from kmerloom.storage import materialize
 
 
@@ -33,10 +38,18 @@ def parser() -> argparse.ArgumentParser:
         if name != "index":
             p.add_argument("-k", type=int, default=27)
             p.add_argument("--min3", action="store_true")
+            p.add_argument("--index")
         if name == "partition":
             p.add_argument("--parts", type=int, default=16)
             p.add_argument("--mate-cap", type=int, default=1000)
+            p.add_argument("--merge-support", type=int, help="unite components that more mate pairs than this join")
+            p.add_argument("--min-degree", type=int)
+            p.add_argument("--max-degree", type=int)
+            p.add_argument("--largest", action="store_true", help="also write the largest component apart from all others")
     commands.add_parser("view").add_argument("index")
+    p = commands.add_parser("ranges")
+    p.add_argument("histogram")
+    p.add_argument("--parts", type=int, default=16)
     return top
 
 
@@ -45,7 +58,8 @@ def files(args: argparse.Namespace) -> list[str]:
 
 
 def reads_of(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    return materialize(read_fastq(spark, [tuple(p) for p in args.paired], args.single, args.interleaved, args.chunk_bytes), "reads")
+    index = spark.read.parquet(args.index) if args.index else None
+    return materialize(read_fastq(spark, [tuple(p) for p in args.paired], args.single, args.interleaved, args.chunk_bytes, index), "reads")
 
 
 def index(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -62,7 +76,7 @@ def histogram(spark: SparkSession, args: argparse.Namespace) -> None:
     """Per-chunk and whole histograms over buckets, prefix sums and reads per chunk, as Parquet under the output."""
     reads = reads_of(spark, args)
     rows, chunks = occurrences_of(reads, args.k, "min3" if args.min3 else "all"), reads.select("read_id", "chunk_id")
-    by_chunk = materialize(histograms.chunk_bucket_histogram(rows, chunks), "histogram")
+    by_chunk = materialize(histograms.chunk_bucket_histogram(rows, args.k, chunks), "histogram")
     whole = by_chunk.groupBy("bucket").agg(F.sum("n").alias("n"))
     by_chunk.write.parquet(f"{args.out}/chunk_histogram")
     whole.write.parquet(f"{args.out}/histogram")
@@ -70,11 +84,20 @@ def histogram(spark: SparkSession, args: argparse.Namespace) -> None:
     histograms.reads_per_chunk(chunks).write.parquet(f"{args.out}/reads_per_chunk")
 
 
+def ranges(spark: SparkSession, args: argparse.Namespace) -> None:
+    """One line per boundary of equal-frequency bucket ranges: number, first bucket."""
+    stored = spark.read.parquet(f"{args.histogram}/histogram")
+    for r in histograms.equal_frequency_ranges(stored, args.parts).orderBy("idx").collect():  # a row per part
+        print(r.idx, r.bound)
+
+
 def partition(spark: SparkSession, args: argparse.Namespace) -> None:
     """Write FASTQ text per partition and the labels; print the statistics."""
     reads = reads_of(spark, args)
-    out = partition_reads(reads, args.k, "min3" if args.min3 else "all", args.mate_cap, args.parts)
+    out = partition_reads(reads, args.k, "min3" if args.min3 else "all", args.mate_cap, args.parts, args.min_degree, args.max_degree, args.merge_support)
     write_partitions(out.manifest, reads, f"{args.out}/reads")
+    if args.largest:
+        write_largest_component(out.labels, reads, stats.largest_component(out.labels).first().comp_id, f"{args.out}/largest")
     out.labels.write.parquet(f"{args.out}/labels")
     stats.component_size_distribution(out.labels).write.parquet(f"{args.out}/component_sizes")
     pairs = mates.mate_pairs(reads)
@@ -88,7 +111,7 @@ def partition(spark: SparkSession, args: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("kmerloom").getOrCreate()
-    {"index": index, "view": view, "histogram": histogram, "partition": partition}[args.command](spark, args)
+    {"index": index, "view": view, "histogram": histogram, "ranges": ranges, "partition": partition}[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.dna import PREFIX
 from kmerloom.operators.kmers import with_bucket
+from kmerloom.operators.prefix import exclusive_sum
 
 
-def bucket_histogram(occurrences: DataFrame) -> DataFrame:
+def bucket_histogram(occurrences: DataFrame, k: int) -> DataFrame:
     """(bucket, n) of the occurrences."""
-    return with_bucket(occurrences).groupBy("bucket").agg(F.count("*").alias("n"))
+    return with_bucket(occurrences, k).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def chunk_bucket_histogram(occurrences: DataFrame, chunks: DataFrame) -> DataFrame:
+def chunk_bucket_histogram(occurrences: DataFrame, k: int, chunks: DataFrame) -> DataFrame:
     """(chunk_id, bucket, n); chunks has read_id and chunk_id."""
-    return with_bucket(occurrences).join(chunks, "read_id").groupBy("chunk_id", "bucket").agg(F.count("*").alias("n"))
+    return with_bucket(occurrences, k).join(chunks, "read_id").groupBy("chunk_id", "bucket").agg(F.count("*").alias("n"))
 
 
 def bucket_prefix_sum(histogram: DataFrame, bases: int = PREFIX) -> DataFrame:
@@ -57,6 +58,4 @@ def equal_frequency_ranges(histogram: DataFrame, parts: int, round_up: bool = Tr
 
 def reads_per_chunk(chunks: DataFrame) -> DataFrame:
     """(chunk_id, n, first_read_id): rows of each chunk and the reads before it."""
-    n = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"))
-    first = F.coalesce(F.sum("n").over(W.orderBy("chunk_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return n.select("chunk_id", "n", first.alias("first_read_id"))
+    return exclusive_sum(chunks.groupBy("chunk_id").agg(F.count("*").alias("n")), ["chunk_id"], "n", "first_read_id")

@@ -1,17 +1,31 @@
 """K-mer enumeration: reads exploded into canonical k-mers with their neighbour bases.
 
-The reverse complement is taken once per read: the window at position i of a read of length n is the window at
-n - k - i of its reverse complement, so no window is reversed or translated by itself.
+Cutting a window at every position as a string copies k bytes for every base, and again for the reverse strand. Here
+k-mers are base-4 numbers, built in Arrow batches by doubling: the numbers of 2, 4, 8 ... bases from all positions on
+come from those of half as many, forward and in reverse. A slice of positions is worked on at a time, wherever reads
+begin and end, so a read may have any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.functions.dna import bucket, normalise, reverse_complement
+from kmerloom.arrow import map_arrow
+from kmerloom.functions.dna import BASES, PACKED, PREFIX, bucket
 
 MIN_K, MAX_K = 2, 1 << 15
+#: Positions of a slice of packed windows; bytes of one of longer windows; positions of the reads that give minimizers.
+SLICE, TEXT_BYTES, READS = 1 << 17, 1 << 23, 1 << 18
+UNKNOWN = BASES.index("N")
+CODES = np.full(256, UNKNOWN, np.uint8)
+for _letters in (b"ACGT", b"acgt"):
+    CODES[list(_letters)] = range(4)
+COMPLEMENT = np.array([3, 2, 1, 0, UNKNOWN], np.uint8)
 
 
 def check_k(k: int) -> None:
@@ -19,74 +33,163 @@ def check_k(k: int) -> None:
         raise ValueError(f"k must be between {MIN_K} and {MAX_K}")
 
 
-def _strands(reads: DataFrame, k: int) -> DataFrame:
-    """(read_id, s, r): normalised sequences of more than k bases and their reverse complements."""
+def base_codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The bases of all reads in a row, and where each read ends. A letter of several bytes is one unknown base."""
+    text = batch.column("seq").cast(pa.large_string())
+    _, offsets, data = text.buffers()
+    at = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+    letters = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    ends = at[1:] - at[0]
+    if len(letters) and letters.max() > 127:
+        first = (letters & 0xC0) != 0x80
+        ends = np.r_[0, np.cumsum(first)][ends]
+        letters = letters[first]
+    return CODES[letters], ends
+
+
+def packed(digits: np.ndarray, k: int, reverse: bool) -> np.ndarray:
+    """Base-4 numbers of the k digits from every position on; in reverse the first digit counts least."""
+    n, out, done, size, power = len(digits) - k + 1, None, 0, 1, digits
+    while True:
+        if k & size:
+            part, wide = power[done : done + n], np.uint64(2 * size)
+            out = part if out is None else out | part << np.uint64(2 * done) if reverse else out << wide | part
+            done += size
+        if 2 * size > k:
+            return out
+        wide = np.uint64(2 * size)
+        power = power[:-size] | power[size:] << wide if reverse else power[:-size] << wide | power[size:]
+        size *= 2
+
+
+def _strands(codes: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows at the positions ``at`` and their reverse complements: numbers, or bytes if k is too long for those."""
+    if k <= PACKED:
+        digits = codes.astype(np.uint64) & np.uint64(3)
+        return packed(digits, k, False)[at], packed(digits ^ np.uint64(3), k, True)[at]
+    letters = np.frombuffer(BASES.encode(), np.uint8)
+    cut = lambda x: np.lib.stride_tricks.sliding_window_view(x, k)[at]
+    text = lambda x: np.ascontiguousarray(x).view(f"S{k}")[:, 0]
+    return text(cut(letters[codes])), text(cut(letters[COMPLEMENT[codes]])[:, ::-1])
+
+
+def windows(codes: np.ndarray, ends: np.ndarray, k: int, a: int, b: int) -> tuple[np.ndarray, ...]:
+    """(position, read, kmer, prev, next) of the N-free windows that begin at positions a to b; codes as of base_codes."""
+    low, high = np.searchsorted(ends, [a, b], side="right")
+    high = min(high + 1, len(ends))
+    sizes = np.diff(np.clip(ends[low:high], a, b), prepend=a)
+    read = np.repeat(np.arange(low, high), sizes)
+    position = np.arange(a, a + len(read))
+    own = codes[a : b + k - 1]
+    unknown = np.cumsum(np.r_[0, own == UNKNOWN], dtype=np.int32)
+    able = np.flatnonzero(position + k <= ends[read])
+    able = able[unknown[able + k] == unknown[able]]
+    if not len(able):
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64 if k <= PACKED else f"S{k}", np.uint8, np.uint8))
+    forward, back = _strands(own, k, able)
+    read, position = read[able], position[able]
+    starts = np.r_[0, ends[:-1]]
+    prev = np.where(position == starts[read], UNKNOWN, codes[position - 1])
+    after = np.where(position + k == ends[read], UNKNOWN, codes[np.minimum(position + k, len(codes) - 1)])
+    straight = forward < back
+    kmer = np.where(straight, forward, back)
+    return position, read, kmer, np.where(straight, prev, COMPLEMENT[after]), np.where(straight, after, COMPLEMENT[prev])
+
+
+def _kmer_array(kmer: np.ndarray, k: int) -> pa.Array:
+    if k <= PACKED:
+        return pa.array(kmer.view(np.int64))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(kmer), [None, pa.py_buffer(np.ascontiguousarray(kmer))]).cast(pa.binary()).cast(pa.string())
+
+
+def _rows(read_id: np.ndarray, k: int, read, kmer, prev, after, neighbours: bool = True) -> pa.RecordBatch:
+    columns = {"read_id": pa.array(read_id[read]), "kmer": _kmer_array(kmer, k)}
+    if neighbours:
+        columns |= {"prev": pa.array(prev.astype(np.int8)), "next": pa.array(after.astype(np.int8))}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _schema(k: int, neighbours: bool = True) -> str:
+    return f"read_id long, kmer {'long' if k <= PACKED else 'string'}" + (", prev tinyint, next tinyint" if neighbours else "")
+
+
+def _long_reads(reads: DataFrame, k: int) -> DataFrame:
     check_k(k)
-    forward = reads.where(F.length("seq") > k).select("read_id", normalise(F.col("seq")).alias("s"))
-    return forward.withColumn("r", reverse_complement(F.col("s")))
+    return reads.where(F.length("seq") > k).select(F.col("read_id").cast("long"), "seq")
 
 
 def kmer_occurrences(reads: DataFrame, k: int = 27, neighbours: bool = True) -> DataFrame:
     """(read_id, kmer[, prev, next]), a row per N-free window of every read longer than k.
 
-    kmer is the smaller of window and reverse complement. prev and next are the bases beside it in that orientation, N
-    at the ends of a read and beside ambiguous bases; a palindrome takes the reverse strand.
+    kmer is the smaller of window and reverse complement (see functions.dna for its type). prev and next are the numbers
+    of the bases beside it in that orientation, N at the ends of a read and beside ambiguous bases; a palindrome takes
+    the reverse strand. Any letter other than A, C, G and T, of either case, is N. Null reads have no k-mer.
     """
-    i, n = F.col("i"), F.length("s")
-    windows = _strands(reads, k).select("read_id", "s", "r", F.explode(F.sequence(F.lit(0), n - k)).alias("i"))
-    f, b = F.substring("s", i + 1, F.lit(k)), F.substring("r", n - k - i + 1, F.lit(k))
-    cut = windows.select("read_id", "s", "r", "i", f.alias("f"), b.alias("b")).where("instr(f, 'N') = 0")
-    if not neighbours:
-        return cut.select("read_id", F.least("f", "b").alias("kmer"))
-    forward, at = F.col("f") < F.col("b"), F.length("s") - k - F.col("i")
-
-    def beside(s: str, before: Column) -> tuple[Column, Column]:
-        prev = F.when(before == 0, "N").otherwise(F.substring(s, before, F.lit(1)))
-        last = F.substring(s, before + k + 1, F.lit(1))
-        return prev, F.when(last == "", "N").otherwise(last)
-
-    (fp, fn), (bp, bn) = beside("s", F.col("i")), beside("r", at)
-    return cut.select("read_id", F.least("f", "b").alias("kmer"), F.when(forward, fp).otherwise(bp).alias("prev"), F.when(forward, fn).otherwise(bn).alias("next"))
+    step = SLICE if k <= PACKED else max(1, TEXT_BYTES // k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, ends = base_codes(batch)
+            read_id = batch.column("read_id").to_numpy(zero_copy_only=False)
+            for a in range(0, len(codes), step):
+                _, *found = windows(codes, ends, k, a, min(a + step, len(codes)))
+                yield _rows(read_id, k, *found, neighbours)
+
+    return map_arrow(_long_reads(reads, k), run, _schema(k, neighbours))
+
+
+def _third_starts(position: np.ndarray, read: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """Where, in windows sorted by position, the run of every minimizer begins."""
+    reads, first, counts = np.unique(read, return_index=True, return_counts=True)
+    begin = np.r_[0, ends[:-1]][reads]
+    last = ends[reads] - k - begin
+    third, stop, at = last // 3, first + counts, first - 1
+    until, found = third.copy(), [first]
+    while len(at):
+        at = np.maximum(np.searchsorted(position, begin + until + 1), at + 1)
+        live = at < stop
+        begin, last, third, stop, at, until = (x[live] for x in (begin, last, third, stop, at, until))
+        found.append(at)
+        until = np.where(until + 2 * third > last, last, until + third)
+    return np.unique(np.concatenate(found))
 
 
 def minimizers3(reads: DataFrame, k: int = 27) -> DataFrame:
     """(read_id, kmer, prev, next): the least canonical k-mer of each third of a read, three rows a read as a rule.
 
     Windows end at last/3, then a third on, then at the last position; N-free k-mers are taken in order and a window
-    advances one step per k-mer that lies beyond its end, so gaps of N shift it. A k-mer of A only is never a minimum.
+    advances one step per k-mer that lies beyond its end, so gaps of N shift it. A k-mer of A only is never a minimum;
+    of equal ones the first counts. A read is held whole.
     """
-    poly = "A" * k
-    s = _strands(reads, k).withColumn("last", F.length("s") - k)
-    at = f"""transform(sequence(0, last), i -> struct(
-        i,
-        substring(s, i + 1, {k}) AS f,
-        substring(r, last - i + 1, {k}) AS b,
-        if(i = 0, 'N', substring(s, i, 1)) AS p,
-        if(i = last, 'N', substring(s, i + {k} + 1, 1)) AS n))"""
-    valid = s.select("read_id", "last", F.expr(f"filter({at}, x -> instr(x.f, 'N') = 0)").alias("w"))
-    oriented = valid.select("read_id", "last", F.expr("""transform(w, x -> struct(x.i AS i, struct(
-        least(x.f, x.b) AS kmer,
-        if(x.f < x.b, x.p, translate(x.n, 'ACGT', 'TGCA')) AS prev,
-        if(x.f < x.b, x.n, translate(x.p, 'ACGT', 'TGCA')) AS next) AS k))""").alias("w"))
-    unit = "CAST(NULL AS STRUCT<kmer: STRING, prev: STRING, next: STRING>)"
-    real = f"if(x.k.kmer = '{poly}', {unit}, x.k)"
-    # state: first window ends at last div 3; a step beyond it flushes the minimum and moves the end
-    fold = f"""aggregate(w,
-        struct(last div 3 AS until, {unit} AS low, CAST(array() AS ARRAY<STRUCT<kmer: STRING, prev: STRING, next: STRING>>) AS found),
-        (a, x) -> if(x.i > a.until,
-            struct(CAST(if(a.until + 2 * (last div 3) > last, last, a.until + last div 3) AS INT) AS until,
-                   {real} AS low,
-                   if(a.low IS NULL, a.found, array_append(a.found, a.low)) AS found),
-            struct(a.until AS until,
-                   CASE WHEN a.low IS NULL OR ({real}).kmer < a.low.kmer THEN {real} ELSE a.low END AS low,
-                   a.found AS found)),
-        a -> if(a.low IS NULL, a.found, array_append(a.found, a.low)))"""
-    typed = oriented.withColumn("last", F.col("last").cast("int"))
-    return typed.select("read_id", F.explode(F.expr(fold.replace("last div 3 AS until", "CAST(last div 3 AS INT) AS until"))).alias("m")).select("read_id", "m.kmer", "m.prev", "m.next")
-
-
-def with_bucket(occurrences: DataFrame) -> DataFrame:
-    return occurrences.withColumn("bucket", bucket(F.col("kmer")))
+    step = READS if k <= PACKED else max(1, TEXT_BYTES // k)
+
+    def least(codes: np.ndarray, ends: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...] | None:
+        position, read, kmer, prev, after = windows(codes, ends, k, a, b)
+        if not len(read):
+            return None
+        starts = _third_starts(position, read, ends, k)
+        rank = kmer if k <= PACKED else np.unique(kmer, return_inverse=True)[1].astype(np.uint64)
+        rank = np.where(kmer == (0 if k <= PACKED else b"A" * k), np.uint64(2**64 - 1), rank)
+        low = np.minimum.reduceat(rank, starts)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(rank)]))
+        hit = np.flatnonzero((rank == low[group]) & (rank != np.uint64(2**64 - 1)))
+        pick = hit[np.unique(group[hit], return_index=True)[1]]
+        return read[pick], kmer[pick], prev[pick], after[pick]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, ends = base_codes(batch)
+            read_id = batch.column("read_id").to_numpy(zero_copy_only=False)
+            cuts = [0, *ends[np.flatnonzero(np.diff(ends // step))].tolist(), len(codes)]
+            for a, b in zip(cuts, cuts[1:]):
+                if found := least(codes, ends, a, b):
+                    yield _rows(read_id, k, *found)
+
+    return map_arrow(_long_reads(reads, k), run, _schema(k))
+
+
+def with_bucket(occurrences: DataFrame, k: int, bases: int = PREFIX) -> DataFrame:
+    return occurrences.withColumn("bucket", bucket(F.col("kmer"), k, bases))
 
 
 def canonical_counts(occurrences: DataFrame) -> DataFrame:

@@ -23,8 +23,9 @@ def full_labels(reads: DataFrame, labels: DataFrame) -> DataFrame:
 def _merge_in_order(cap: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pair")
-        parent = {c: c for c in pd.concat([pdf["c1"], pdf["c2"]])}
         size = dict(zip(pdf["c1"], pdf["n1"])) | dict(zip(pdf["c2"], pdf["n2"]))
+        parent = {c: c for c in size}
+        giant = {c for c, n in size.items() if n > cap}
 
         def root(c):
             while parent[c] != c:
@@ -35,7 +36,7 @@ def _merge_in_order(cap: int):
         for c1, c2 in zip(pdf["c1"], pdf["c2"]):
             x, y = root(c1), root(c2)
             if x != y and min(size[x], size[y]) <= cap:
-                x, y = max(x, y), min(x, y)
+                x, y = (y, x) if y in giant else (x, y)  # a giant stays the root
                 parent[y] = x
                 size[x] += size[y]
         return pd.DataFrame({"comp_id": list(parent), "merged": [root(c) for c in parent]})
@@ -47,10 +48,11 @@ def merge_mates(labels: DataFrame, pairs: DataFrame, cap: int = 1000) -> DataFra
     """(read_id, comp_id) after the mates' components are united, in ascending order of pairs, wherever one of the two
     has ``cap`` reads or fewer at that moment; the larger id names the union.
 
-    Sizes only grow, so a pair of two components over the cap never unites, and of the pairs between the same two
-    components the first decides. What remains falls into clusters that can't touch each other. A cluster of no more
-    reads than the cap in all unites as a whole; only larger ones are replayed in order, one small row per pair of
-    components.
+    Sizes only grow, so components over the cap (giants) never unite with one another, whatever joins them, and of the
+    pairs between the same two components the first decides. Without its giants the graph of components therefore falls
+    into clusters that can't touch each other. A cluster of no more reads than the cap in all unites as a whole, and with
+    its giant if it has one; only clusters that exceed the cap by small components alone, or lie between several giants,
+    are replayed in order, each by itself, with one small row per pair of components.
     """
     sizes = labels.groupBy("comp_id").agg(F.count("*").alias("n"))
     left, right = labels.select(F.col("read_id").alias("a"), F.col("comp_id").alias("c1")), labels.select(F.col("read_id").alias("b"), F.col("comp_id").alias("c2"))
@@ -58,12 +60,22 @@ def merge_mates(labels: DataFrame, pairs: DataFrame, cap: int = 1000) -> DataFra
     first = joined.groupBy("c1", "c2").agg(F.min("pair").alias("pair"))
     sized = first.join(sizes.select(F.col("comp_id").alias("c1"), F.col("n").alias("n1")), "c1").join(sizes.select(F.col("comp_id").alias("c2"), F.col("n").alias("n2")), "c2")
     edges = materialize(sized.where(F.least("n1", "n2") <= cap), "mates")
-    clusters = materialize(connected_components(edges.select(F.col("c1").alias("u"), F.col("c2").alias("v")), "max"), "clusters")
-    total = clusters.join(sizes, F.col("id") == F.col("comp_id")).groupBy("label").agg(F.sum("n").alias("total"))
-    small = clusters.join(total.where(F.col("total") <= cap), "label").select(F.col("id").alias("comp_id"), F.col("label").alias("merged"))
-    large = edges.join(clusters, F.col("c1") == F.col("id")).join(total.where(F.col("total") > cap).select("label"), "label", "left_semi")
-    replayed = large.groupBy("label").applyInPandas(_merge_in_order(cap), "comp_id long, merged long")
-    return labels.join(small.union(replayed), "comp_id", "left").select("read_id", F.coalesce("merged", "comp_id").alias("comp_id"))
+
+    small = edges.select(F.explode(F.array(F.struct(F.col("c1").alias("id"), F.col("n1").alias("n")), F.struct(F.col("c2").alias("id"), F.col("n2").alias("n")))).alias("x")).select("x.*").where(F.col("n") <= cap).distinct()
+    joins = connected_components(edges.where((F.col("n1") <= cap) & (F.col("n2") <= cap)).select(F.col("c1").alias("u"), F.col("c2").alias("v")), "max")
+    member = materialize(small.join(joins, "id", "left").select("id", "n", F.coalesce("label", "id").alias("cluster")), "clusters")
+    inner = F.when(F.col("n1") <= cap, F.col("c1")).otherwise(F.col("c2"))  # an edge has a small end, and the cluster of that
+    placed = edges.withColumn("id", inner).join(member.select("id", "cluster"), "id").drop("id")
+    giant = F.when(F.col("n1") > cap, F.col("c1")).when(F.col("n2") > cap, F.col("c2"))
+    around = placed.groupBy("cluster").agg(F.min(giant).alias("g1"), F.max(giant).alias("g2"))
+    plan = member.groupBy("cluster").agg(F.sum("n").alias("total")).join(around, "cluster").withColumn("whole", (F.col("total") <= cap) & F.col("g1").eqNullSafe(F.col("g2")))
+    plan = materialize(plan.select("cluster", "g1", "whole"), "plan")
+    whole = member.join(plan.where("whole"), "cluster").select(F.col("id").alias("comp_id"), F.coalesce("g1", "cluster").alias("merged"))
+    replayed = placed.join(plan.where("NOT whole").select("cluster"), "cluster").groupBy("cluster").applyInPandas(_merge_in_order(cap), "comp_id long, merged long")
+    moved = materialize(whole.union(replayed.where("comp_id <> merged")), "moved")
+    names = moved.groupBy("merged").agg(F.greatest(F.max("comp_id"), F.col("merged")).alias("name"))
+    every = moved.join(names, "merged").select("comp_id", "name").union(names.select("merged", "name")).distinct()
+    return labels.join(every, "comp_id", "left").select("read_id", F.coalesce("name", "comp_id").alias("comp_id"))
 
 
 def merge_supported(labels: DataFrame, pairs: DataFrame, support: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kmerloom.storage import materialize
+from kmerloom.storage import discard, materialize
 
 
 def exclusive_sum(df: DataFrame, order: list[str], value: str | None, out: str) -> DataFrame:
@@ -16,7 +16,9 @@ def exclusive_sum(df: DataFrame, order: list[str], value: str | None, out: str)
     ranges, one row per partition, are added on top. df is stored first, since finding the ranges reads it once more.
     """
     one = F.col(value) if value else F.lit(1).cast("long")
-    ranged = materialize(materialize(df, "unranged").repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
+    stored = materialize(df, "unranged")
+    ranged = materialize(stored.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
+    discard(stored)
     sums = ranged.groupBy("__range").agg(F.sum(one).alias("__own"))
     before = sums.select("__range", F.coalesce(F.sum("__own").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     inside = F.coalesce(F.sum(one).over(W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from kmerloom.operators.binpack import component_partitions, partition_manifest
-from kmerloom.operators.branch_filter import bad_reads, branch_groups, surviving_occurrences
+from kmerloom.operators.branch_filter import bad_reads, branch_groups, surviving_occurrences, touched_occurrences
 from kmerloom.operators.components import connected_components
 from kmerloom.operators.kmers import kmer_occurrences, minimizers3
 from kmerloom.operators.links import star_edges
-from kmerloom.operators.mates import full_labels, mate_pairs, merge_mates
-from kmerloom.storage import materialize, spread
+from kmerloom.operators.mates import full_labels, mate_pairs, merge_mates, merge_supported
+from kmerloom.storage import discard, materialize, spread
 
 
 @dataclass
@@ -45,21 +45,29 @@ def occurrences_of(reads: DataFrame, k: int = 27, mode: str = "all") -> DataFram
 def link_reads(reads: DataFrame, k: int = 27, mode: str = "all", min_degree: int | None = None, max_degree: int | None = None) -> Linked:
     """Filter k-mers and reads, then take star edges.
 
-    reads should be a stored table. Statistics of k-mers seen twice or more, condemned reads and surviving occurrences
-    are stored, since later steps read them several times. All occurrences aren't: they are some thirty times the
-    input, and generating them anew costs less than storing them.
+    reads should be a stored table. K-mers are generated twice, for their statistics and for the one join that marks
+    what condemns reads and what may link them. Statistics of k-mers seen twice or more, marked occurrences, condemned
+    reads and surviving occurrences are stored, since later steps read them. All occurrences aren't: they are some
+    thirty times the input, and generating them anew costs less than storing them.
     """
     occurrences = occurrences_of(spread(reads), k, mode)
     groups = materialize(branch_groups(occurrences).where("deg > 1"), "groups")
-    bad = materialize(bad_reads(occurrences, groups), "bad")
-    survivors = materialize(surviving_occurrences(occurrences, groups, bad, min_degree, max_degree), "survivors")
+    touched = materialize(touched_occurrences(occurrences, groups, min_degree, max_degree), "touched")
+    bad = materialize(bad_reads(touched), "bad")
+    survivors = materialize(surviving_occurrences(touched, bad), "survivors")
+    discard(touched)
     return Linked(occurrences, groups, bad, materialize(star_edges(survivors), "stars"))
 
 
-def partition_reads(reads: DataFrame, k: int = 27, mode: str = "all", mate_cap: int = 1000, parts: int = 16, min_degree: int | None = None, max_degree: int | None = None) -> Partitioned:
-    """reads: read_id (dense from 0), mate_id (null for single reads), seq."""
+def partition_reads(
+    reads: DataFrame, k: int = 27, mode: str = "all", mate_cap: int = 1000, parts: int = 16, min_degree: int | None = None, max_degree: int | None = None, merge_support: int | None = None
+) -> Partitioned:
+    """reads: read_id (dense from 0), mate_id (null for single reads), seq. merge_support unites components that more
+    mate pairs than this join, before the mate merge; off by default."""
     linked = link_reads(reads, k, mode, min_degree, max_degree)
     components = materialize(full_labels(reads, connected_components(linked.edges, "max")), "components")
+    if merge_support is not None:
+        components = materialize(merge_supported(components, mate_pairs(reads), merge_support), "supported")
     labels = materialize(merge_mates(components, mate_pairs(reads), mate_cap), "labels")
     partitions = materialize(component_partitions(labels, parts), "parts")
     return Partitioned(linked, components, labels, partitions, partition_manifest(labels, reads, partitions))

@@ -1,26 +1,28 @@
-"""The registered queries: every operator over reads derived from the driver's text tables, k = 27."""
+"""The registered queries: every operator over reads derived from the whole texts of the driver's tables, k = 27."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom.functions.dna import base_text, kmer_text
 from kmerloom.operators import branch_filter, components, histograms, kmers, links, mates, stats
 from kmerloom.operators.binpack import component_partitions, partition_manifest
 from kmerloom.plans.partition_reads import Linked, link_reads
-from kmerloom.sources.fastq import scan_fastq
-from kmerloom.sources.text_reads import conversation_reads, document_reads, whole_conversation_reads, whole_document_reads
+from kmerloom.sources.fastq import chunk_index, read_fastq, scan_fastq, write_largest_component, write_partitions
+from kmerloom.sources.text_reads import conversation_reads, document_reads
 from kmerloom.storage import materialize, new_path, spread
 
 K, PARTS, CAP, CHUNK = 27, 16, 1000, 1000
+#: Of the FASTQ files that queries write: reads of a file by id, bytes of a scanned range.
+FILE_IDS, RANGE = 8192, 1 << 16
+#: -1 for reads without a mate.
+MATE = "coalesce(mate_id, -1) AS mate_id"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: Whether reads are cut from whole texts, not from the prefixes that the oracles' SQL states.
-WHOLE: ContextVar[bool] = ContextVar("whole", default=False)
 
 
 def query(f: Query) -> Query:
@@ -30,19 +32,24 @@ def query(f: Query) -> Query:
 
 def reads(spark: SparkSession, sf_dir: str, paired: bool = False) -> DataFrame:
     """F1 (overlapping fragments of documents) or F2 (the same in mate pairs), stored."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return materialize((whole_document_reads if WHOLE.get() else document_reads)(documents, paired=paired), "reads")
+    return materialize(document_reads(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), paired=paired), "reads")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pairs of conversation turns as mates, stored."""
-    return materialize((whole_conversation_reads if WHOLE.get() else conversation_reads)(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
+    """turns of conversations, two and two as mates, stored."""
+    return materialize(conversation_reads(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))), "turns")
 
 
 def occurrences(spark: SparkSession, sf_dir: str, neighbours: bool = True) -> DataFrame:
     return kmers.kmer_occurrences(spread(reads(spark, sf_dir)), K, neighbours)
 
 
+def spelled(df: DataFrame) -> DataFrame:
+    """Numbers of k-mers and bases as text."""
+    text = {"kmer": kmer_text(F.col("kmer"), K)} | {c: base_text(F.col(c)) for c in ("prev", "next", "top_prev", "top_next")}
+    return df.withColumns({c: x for c, x in text.items() if c in df.columns})
+
+
 def chunks(rows: DataFrame) -> DataFrame:
     return rows.select("read_id", F.expr(f"CAST(read_id div {CHUNK} AS INT)").alias("chunk_id"))
 
@@ -57,6 +64,43 @@ def merged(rows: DataFrame) -> DataFrame:
     return materialize(mates.merge_mates(materialize(own, "components"), mates.mate_pairs(rows), CAP), "labels")
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The text files of a written folder, in order of their names."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    found, names = path.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        names.append(found.next().getPath().toString())
+    names = sorted(n for n in names if n.rpartition("/")[2].startswith("part-"))
+    return [n if "://" in n else n.replace("file:/", "file:///", 1) for n in names]
+
+
+def fastq(name: Column) -> Column:
+    """The record of a named read without its last line end."""
+    return F.concat(F.lit("@"), name, F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.regexp_replace("seq", ".", "@"))
+
+
+def stored_files(rows: DataFrame, first: str = "read_id") -> list[str]:
+    """Write rows (read_id, record) as FASTQ files of FILE_IDS ids of ``first`` each; the files in order."""
+    spark = rows.sparkSession
+    path = new_path(spark, "files")
+    filed = rows.withColumn("file", F.expr(f"lpad(CAST({first} div {FILE_IDS} AS STRING), 12, '0')")).repartition("file").sortWithinPartitions("file", "read_id")
+    filed.select("file", F.col("record").alias("value")).write.partitionBy("file").text(path)
+    return listed(spark, path)
+
+
+def headed(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("read_id", MATE, "substring_index(record, '\\n', 1) AS header", "seq")
+
+
+def mated_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(read_id, first, record) of mates, named as their pair's first with /1 and /2, and of single reads."""
+    first = F.least("read_id", "mate_id")
+    side = F.when(F.col("read_id") == first, "/1").otherwise("/2")
+    pairs = rows.where("mate_id IS NOT NULL").select("read_id", first.alias("first"), fastq(F.concat(F.lit("r"), first, side)).alias("record"))
+    return pairs, rows.where("mate_id IS NULL").select("read_id", fastq(F.concat(F.lit("r"), F.col("read_id"))).alias("record"))
+
+
 @query
 def read_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("seq").cast("long")
@@ -65,12 +109,12 @@ def read_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def paired_read_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads(spark, sf_dir, paired=True).select("read_id", "mate_id", "doc_id", "seq")
+    return reads(spark, sf_dir, paired=True).selectExpr("read_id", MATE, "doc_id", "seq")
 
 
 @query
 def conversation_read_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).select("read_id", "mate_id", "seq")
+    return turns(spark, sf_dir).selectExpr("read_id", MATE, "seq")
 
 
 @query
@@ -82,38 +126,38 @@ def read_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def kmer_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per read: its k-mers, the least and the greatest."""
-    return occurrences(spark, sf_dir, False).groupBy("read_id").agg(F.count("*").alias("n"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"))
+    return occurrences(spark, sf_dir, False).groupBy("read_id").agg(F.count("*").alias("n"), kmer_text(F.min("kmer"), K).alias("least"), kmer_text(F.max("kmer"), K).alias("greatest"))
 
 
 @query
 def kmer_canonical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.canonical_counts(occurrences(spark, sf_dir, False))
+    return spelled(kmers.canonical_counts(occurrences(spark, sf_dir, False)))
 
 
 @query
 def kmer_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occurrences(spark, sf_dir).groupBy("prev", "next").agg(F.count("*").alias("n"))
+    return spelled(occurrences(spark, sf_dir).groupBy("prev", "next").agg(F.count("*").alias("n")))
 
 
 @query
 def bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histograms.bucket_histogram(occurrences(spark, sf_dir, False))
+    return histograms.bucket_histogram(occurrences(spark, sf_dir, False), K)
 
 
 @query
 def chunk_bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reads(spark, sf_dir)
-    return histograms.chunk_bucket_histogram(kmers.kmer_occurrences(rows, K, False), chunks(rows))
+    return histograms.chunk_bucket_histogram(kmers.kmer_occurrences(spread(rows), K, False), K, chunks(rows))
 
 
 @query
 def bucket_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histograms.bucket_prefix_sum(histograms.bucket_histogram(occurrences(spark, sf_dir, False)))
+    return histograms.bucket_prefix_sum(histograms.bucket_histogram(occurrences(spark, sf_dir, False), K))
 
 
 @query
 def equal_frequency_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histograms.equal_frequency_ranges(materialize(histograms.bucket_histogram(occurrences(spark, sf_dir, False)), "histogram"), PARTS)
+    return histograms.equal_frequency_ranges(materialize(histograms.bucket_histogram(occurrences(spark, sf_dir, False), K), "histogram"), PARTS)
 
 
 @query
@@ -123,7 +167,7 @@ def reads_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmer_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.kmer_degrees(occurrences(spark, sf_dir, False))
+    return spelled(stats.kmer_degrees(occurrences(spark, sf_dir, False)))
 
 
 @query
@@ -133,18 +177,19 @@ def degree_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def branch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return branch_filter.branch_groups(occurrences(spark, sf_dir))
+    return spelled(branch_filter.branch_groups(occurrences(spark, sf_dir)))
 
 
 @query
 def ambiguous_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return branch_filter.ambiguous_kmers(branch_filter.branch_groups(occurrences(spark, sf_dir)))
+    return spelled(branch_filter.ambiguous_kmers(branch_filter.branch_groups(occurrences(spark, sf_dir))))
 
 
 @query
 def bad_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = occurrences(spark, sf_dir)
-    return branch_filter.bad_reads(rows, branch_filter.branch_groups(rows))
+    groups = materialize(branch_filter.branch_groups(rows).where("deg > 1"), "groups")
+    return branch_filter.bad_reads(branch_filter.touched_occurrences(rows, groups))
 
 
 @query
@@ -229,12 +274,12 @@ def partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def minimizers3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.minimizers3(spread(reads(spark, sf_dir)), K)
+    return spelled(kmers.minimizers3(spread(reads(spark, sf_dir)), K))
 
 
 @query
 def minimizer_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histograms.bucket_histogram(kmers.minimizers3(spread(reads(spark, sf_dir)), K))
+    return histograms.bucket_histogram(kmers.minimizers3(spread(reads(spark, sf_dir)), K), K)
 
 
 @query
@@ -246,28 +291,69 @@ def minimizer_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads written as FASTQ text and scanned again in small byte ranges."""
     path = new_path(spark, "fastq")
-    record = F.concat(F.lit("@r"), F.col("read_id"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.regexp_replace("seq", ".", "@"))
-    reads(spark, sf_dir).select(record.alias("value")).write.text(path)
-    sc = spark.sparkContext
-    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(folder)
-    names = sorted(f.getPath().toString() for f in files if f.getPath().getName().startswith("part-"))
-    names = [n if "://" in n else n.replace("file:/", "file:///", 1) for n in names]
-    return scan_fastq(spark, names, 1 << 16).select("header", "seq", F.length("qual").cast("long").alias("quals"))
+    reads(spark, sf_dir).select(fastq(F.concat(F.lit("r"), F.col("read_id"))).alias("value")).write.text(path)
+    return scan_fastq(spark, listed(spark, path), RANGE).select("header", "seq", F.length("qual").cast("long").alias("quals"))
+
+
+@query
+def paired_input_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mates written to two files each, single reads to others, read as one input set."""
+    pairs, alone = mated_records(reads(spark, sf_dir, paired=True))
+    left, right = (stored_files(pairs.where(side), "first") for side in ("read_id = first", "read_id <> first"))
+    return headed(read_fastq(spark, list(zip(left, right)), stored_files(alone), chunk_bytes=RANGE))
 
 
-def whole(f: Query) -> Query:
-    """The same query over the reads of whole texts. No oracle: tested against plain Python."""
+@query
+def interleaved_input_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, alone = mated_records(reads(spark, sf_dir, paired=True))
+    return headed(read_fastq(spark, single=stored_files(alone), interleaved=stored_files(pairs, "first"), chunk_bytes=RANGE))
+
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = WHOLE.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            WHOLE.reset(token)
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame]:
+    files = stored_files(mated_records(reads(spark, sf_dir))[1])
+    return files, materialize(chunk_index(scan_fastq(spark, files, RANGE)), "index")
 
-    run.__name__ = f"whole_{f.__name__}"
-    return run
 
+@query
+def stored_chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of byte ranges, written and read again."""
+    return indexed(spark, sf_dir)[1]
 
-QUERIES |= {f"whole_{name}": whole(f) for name, f in QUERIES.items()}
+
+@query
+def indexed_input_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An input set that takes its ids from a stored index."""
+    files, index = indexed(spark, sf_dir)
+    return headed(read_fastq(spark, single=files, chunk_bytes=RANGE, index=index))
+
+
+@query
+def written_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written by partition, pairs of two components twice, and scanned again."""
+    rows = reads(spark, sf_dir, paired=True)
+    own = merged(rows)
+    path = new_path(spark, "partitions")
+    records = rows.withColumn("record", fastq(F.concat(F.lit("r"), F.col("read_id"))))
+    write_partitions(partition_manifest(own, rows, component_partitions(own, PARTS)), records, path, FILE_IDS)
+    files = listed(spark, path)
+    parts = spark.createDataFrame([(i, int(f.partition("part_id=")[2].partition("/")[0])) for i, f in enumerate(files)], "file_no int, part_id int")
+    return scan_fastq(spark, files, RANGE).join(F.broadcast(parts), "file_no").select("part_id", "header", "seq")  # a row per file
+
+
+@query
+def written_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the largest component, written apart from all others and scanned again."""
+    rows = reads(spark, sf_dir)
+    own = materialize(labels(rows)[1], "components")
+    path = new_path(spark, "largest")
+    write_largest_component(own, rows.withColumn("record", fastq(F.concat(F.lit("r"), F.col("read_id")))), stats.largest_component(own).first().comp_id, path)
+    files = listed(spark, path)
+    kinds = spark.createDataFrame([(i, "/largest=true/" in f) for i, f in enumerate(files)], "file_no int, largest boolean")
+    return scan_fastq(spark, files, RANGE).join(F.broadcast(kinds), "file_no").select("largest", "header", "seq")  # a row per file
+
+
+@query
+def component_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with more than one read, written and read again."""
+    own = materialize(labels(reads(spark, sf_dir))[1], "components")
+    return materialize(own.join(stats.component_sizes(own).where("n > 1"), "comp_id"), "dump").select("comp_id", "read_id", "n")

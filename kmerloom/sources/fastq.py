@@ -8,6 +8,7 @@ quality line may begin with @ or +, so alignment takes the line structure of rec
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyarrow import fs
@@ -18,7 +19,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from kmerloom.operators.prefix import exclusive_sum
 from kmerloom.storage import materialize
 
-RECORDS = "file_no int, chunk_id int, offset long, header string, seq string, plus string, qual string"
+RECORDS = "file_no int, chunk_id int, offset long, row long, header string, seq string, plus string, qual string"
+#: Up to a slash or blank, mates have one name.
+NAME = "^@([^/ ]*)"
+#: Reads of a file that write_partitions writes, about.
+FILE_READS = 1 << 20
 BLOCK = 1 << 20
 ROWS = 4096
 
@@ -94,35 +99,40 @@ def _open(path: str):
     return store, name
 
 
+def file_sizes(paths: list[str]) -> list[int]:
+    """Bytes of every file, asked for many at a time."""
+    size = lambda path: (lambda store, name: store.get_file_info(name).size or 0)(*_open(path))
+    with ThreadPoolExecutor(32) as pool:
+        return list(pool.map(size, paths))
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, paths: list[str], chunk_bytes: int):
         self.paths, self.chunk_bytes = paths, chunk_bytes
 
     def partitions(self) -> list[Chunk]:
-        sizes = []
-        for path in self.paths:
-            store, name = _open(path)
-            sizes.append(store.get_file_info(name).size or 0)
-        planned = plan_chunks(sizes, self.chunk_bytes)
+        planned = plan_chunks(file_sizes(self.paths), self.chunk_bytes)
         return [Chunk(c, i, self.paths[i], a, b) for c, (i, a, b) in enumerate(planned)]
 
     def read(self, chunk: Chunk) -> Iterator[pa.RecordBatch]:
         store, name = _open(chunk.path)
-        schema = pa.schema([("file_no", pa.int32()), ("chunk_id", pa.int32()), ("offset", pa.int64()), *((c, pa.string()) for c in ("header", "seq", "plus", "qual"))])
+        schema = pa.schema([("file_no", pa.int32()), ("chunk_id", pa.int32()), ("offset", pa.int64()), ("row", pa.int64()), *((c, pa.string()) for c in ("header", "seq", "plus", "qual"))])
 
-        def batch(rows):
+        def batch(rows: list[tuple], first: int) -> pa.RecordBatch:
             at, *text = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array([chunk.file_no] * len(rows), pa.int32()), pa.array([chunk.chunk_id] * len(rows), pa.int32()), pa.array(at, pa.int64()), *(pa.array([x.decode("latin-1") for x in c]) for c in text)], schema=schema)
+            n = len(rows)
+            numbers = [pa.array([chunk.file_no] * n, pa.int32()), pa.array([chunk.chunk_id] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(range(first, first + n), pa.int64())]
+            return pa.RecordBatch.from_arrays([*numbers, *(pa.array([x.decode("latin-1") for x in c]) for c in text)], schema=schema)
 
         with store.open_input_file(name) as source:
-            rows = []
+            rows, done = [], 0
             for record in records_in(source, chunk.start, chunk.end):
                 rows.append(record)
                 if len(rows) == ROWS:
-                    yield batch(rows)
-                    rows = []
+                    yield batch(rows, done)
+                    rows, done = [], done + ROWS
             if rows:
-                yield batch(rows)
+                yield batch(rows, done)
 
 
 class FastqSource(DataSource):
@@ -141,59 +151,89 @@ class FastqSource(DataSource):
 
 
 def scan_fastq(spark: SparkSession, paths: list[str], chunk_bytes: int = 64 << 20) -> DataFrame:
-    """The records of FASTQ files, a row each; file_no is the position in ``paths``. No paths give no rows."""
+    """The records of FASTQ files, a row each: file_no is the position in ``paths``, chunk_id that of the byte range and
+    row the position in it. No paths give no rows."""
     if not paths:
         return spark.createDataFrame([], RECORDS)
     spark.dataSource.register(FastqSource)
     return spark.read.format("fastq").option("paths", "\n".join(paths)).option("chunkBytes", chunk_bytes).load()
 
 
-def read_fastq(spark: SparkSession, paired: list[tuple[str, str]] = (), single: list[str] = (), interleaved: list[str] = (), chunk_bytes: int = 64 << 20) -> DataFrame:
+def read_fastq(
+    spark: SparkSession, paired: list[tuple[str, str]] = (), single: list[str] = (), interleaved: list[str] = (), chunk_bytes: int = 64 << 20, index: DataFrame | None = None
+) -> DataFrame:
     """(read_id, mate_id, chunk_id, seq, record) of an ordered input set: paired files, then single, then interleaved.
 
     Ids are dense. The records of a file pair are mates by position and get ids 2i and 2i + 1 from the pair's base on;
-    in an interleaved file records 2j and 2j + 1 are mates; single reads have no mate. A paired or interleaved input
-    without equal counts raises ValueError.
+    in an interleaved file records 2j and 2j + 1 are mates; single reads have no mate. Mates must have one name, up to a
+    slash or blank. Inputs with unequal counts or mates of different names raise ValueError.
+
+    A record's id is its position in its byte range plus the records before that range, so reads are never sorted.
+    ``index`` is a stored chunk_index of these files in this order and with these chunk_bytes, which spares counting
+    the records; one of other files raises ValueError.
     """
     paths = [p for pair in paired for p in pair] + list(single) + list(interleaved)
     rows = materialize(scan_fastq(spark, paths, chunk_bytes), "fastq")
+    counted = chunk_index(rows) if index is None else _checked(index, paths, chunk_bytes)
+    counted = materialize(counted.select("chunk_id", "file_no", "n"), "counts")
     n_paired, n_mates = 2 * len(paired), len(paths) - len(interleaved)
-    counts = {r.file_no: r.n for r in rows.groupBy("file_no").agg(F.count("*").alias("n")).collect()}  # a row per file
+    counts = {r.file_no: r.n for r in counted.groupBy("file_no").agg(F.sum("n").alias("n")).collect()}  # a row per file
     for i in range(0, n_paired, 2):
         if counts.get(i, 0) != counts.get(i + 1, 0):
             raise ValueError(f"{paths[i]} and {paths[i + 1]} have different numbers of records")
     for i in range(n_mates, len(paths)):
         if counts.get(i, 0) % 2:
             raise ValueError(f"{paths[i]} has an odd number of records")
-    bases, at = [], 0
+    bases, before = [], [0]
     for i in range(len(paths)):
-        bases.append(bases[-1] if i < n_paired and i % 2 else at)
-        at += counts.get(i, 0)
-    files = spark.createDataFrame([(i, b, sum(counts.get(j, 0) for j in range(i))) for i, b in enumerate(bases)], "file_no int, base long, before long")
-    placed = exclusive_sum(rows, ["file_no", "offset"], None, "rank").join(F.broadcast(files), "file_no").withColumn("row", F.col("rank") - F.col("before"))  # a row per file
+        bases.append(bases[-1] if i < n_paired and i % 2 else before[-1])
+        before.append(before[-1] + counts.get(i, 0))
+    files = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(bases, before))], "file_no int, base long, before long")
+    starts = exclusive_sum(counted, ["chunk_id"], "n", "rank").join(F.broadcast(files), "file_no")  # a row per file
+    starts = starts.select("chunk_id", "base", (F.col("rank") - F.col("before")).alias("start"))
+    placed = rows.join(starts, "chunk_id").withColumn("row", F.col("start") + F.col("row"))
     read_id = F.when(F.col("file_no") < n_paired, F.col("base") + 2 * F.col("row") + F.col("file_no") % 2).otherwise(F.col("base") + F.col("row"))
     mate = (
         F.when(F.col("file_no") < n_paired, F.col("read_id") + 1 - 2 * (F.col("file_no") % 2))
         .when(F.col("file_no") >= n_mates, F.col("read_id") + 1 - 2 * (F.col("row") % 2))
     )
+    placed = placed.withColumn("read_id", read_id).withColumn("mate_id", mate)
+    name = F.xxhash64(F.regexp_extract("header", NAME, 1))
+    pairs = placed.where("mate_id IS NOT NULL").groupBy(F.least("read_id", "mate_id").alias("pair")).agg(F.min(name).alias("low"), F.max(name).alias("high"), F.min("file_no").alias("file_no"))
+    apart = pairs.where("low <> high").agg(F.min("file_no")).first()[0] if paired or interleaved else None
+    if apart is not None:
+        raise ValueError(f"{paths[apart]} has reads whose mates have other names")
     record = F.concat_ws("\n", "header", "seq", "plus", "qual")
-    return placed.withColumn("read_id", read_id).select("read_id", mate.alias("mate_id"), "chunk_id", "seq", record.alias("record"))
+    return placed.select("read_id", "mate_id", "chunk_id", "seq", record.alias("record"))
 
 
-def chunk_index(reads_or_records: DataFrame) -> DataFrame:
+def chunk_index(records: DataFrame) -> DataFrame:
     """(chunk_id, file_no, first_offset, n) of scanned records: the index of byte ranges that hold any."""
-    return reads_or_records.groupBy("chunk_id").agg(F.min("file_no").alias("file_no"), F.min("offset").alias("first_offset"), F.count("*").alias("n"))
+    return records.groupBy("chunk_id").agg(F.min("file_no").alias("file_no"), F.min("offset").alias("first_offset"), F.count("*").alias("n"))
+
+
+def _checked(index: DataFrame, paths: list[str], chunk_bytes: int) -> DataFrame:
+    """The index, if each of its chunks is one of these files' and begins in its byte range."""
+    starts = [0]
+    for size in file_sizes(paths):
+        starts.append(starts[-1] + -(-size // chunk_bytes))
+    files = index.sparkSession.createDataFrame([(i, starts[i], starts[i + 1]) for i in range(len(paths))], "file_no int, low int, high int")
+    known = index.join(F.broadcast(files), "file_no", "left")  # a row per file
+    fits = F.expr(f"chunk_id >= low AND chunk_id < high AND first_offset div {chunk_bytes} = chunk_id - low")
+    if not known.where(~F.coalesce(fits, F.lit(False))).isEmpty():
+        raise ValueError("the index is of other files or another chunk size")
+    return index
 
 
-def write_partitions(manifest: DataFrame, reads: DataFrame, path: str) -> None:
-    """Write each partition's records as FASTQ text under path/part_id=<p>/.
+def write_partitions(manifest: DataFrame, reads: DataFrame, path: str, file_reads: int = FILE_READS) -> None:
+    """Write each partition's records as FASTQ text under path/part_id=<p>/, in files of about ``file_reads`` records.
 
-    Records join late, on read_id alone; rows are dealt by partition and a hash of read_id, so one large partition is
-    written by many tasks.
+    Records join late, on read_id alone. A partition's rows are dealt over as many files as its size asks for, so one
+    large partition is written by many tasks.
     """
-    rows = manifest.join(reads.select("read_id", "record"), "read_id")
-    tasks = max(1, int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartition(tasks, "part_id", F.pmod(F.xxhash64("read_id"), F.lit(8)))
+    sizes = manifest.groupBy("part_id").agg(F.ceil(F.count("*") / file_reads).alias("files"))
+    rows = manifest.join(reads.select("read_id", "record"), "read_id").join(F.broadcast(sizes), "part_id")  # a row per partition
+    dealt = rows.repartition("part_id", F.pmod(F.xxhash64("read_id"), F.col("files")))
     dealt.sortWithinPartitions("part_id", "read_id").select("part_id", F.col("record").alias("value")).write.partitionBy("part_id").text(path)
 
 

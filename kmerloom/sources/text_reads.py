@@ -5,63 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.operators.prefix import dense_ids
+from kmerloom.operators.prefix import dense_ids, exclusive_sum
 from kmerloom.storage import materialize
 
 ALPHABET, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGT" * 6 + "AC"
 
 
-def encode_letters(text: Column, bases: int) -> Column:
-    """The first ``bases`` letters of the lower-cased text as bases, in turn of the alphabet; other letters than a to z
-    are N. A long text is searched beyond its head only if that has too few letters."""
-    head = bases * 3 // 2
-    letters = lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}]+", "")
-    first = letters(F.substring(text, 1, head))
-    found = F.when((F.length(text) <= head) | (F.length(first) >= bases), first).otherwise(letters(text))
-    return F.regexp_replace(F.translate(F.substring(found, 1, bases), ALPHABET, BASES), "[^ACGT]", "N")
-
-
-def document_reads(documents: DataFrame, fragments: int = 10, length: int = 100, stride: int = 60, paired: bool = False) -> DataFrame:
-    """(read_id, mate_id, doc_id, seq): overlapping fragments of every document's first bases; ids are dense in
-    (doc_id, fragment). Paired: fragments 2j and 2j + 1 are mates and only whole pairs are kept."""
-    s = encode_letters(F.col("text"), fragments * stride)
-    step = 2 if paired else 1
-    last = F.least(F.lit(fragments), F.ceil(F.length("s") / stride).cast("int"))
-    count = (F.floor(last / step) * step).cast("int")
-    cut = documents.select("doc_id", s.alias("s")).withColumn("count", count).where("count > 0")
-    parts = cut.select("doc_id", "s", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("o")).select("doc_id", "o", F.substring("s", F.col("o") * stride + 1, F.lit(length)).alias("seq"))
-    numbered = dense_ids(parts, ["doc_id", "o"], "read_id")
-    mate = F.expr("read_id + 1 - 2 * (read_id % 2)") if paired else F.lit(None).cast("long")
-    return numbered.select("read_id", mate.alias("mate_id"), "doc_id", "seq")
-
-
 def encode_text(text: Column) -> Column:
-    """All letters of the lower-cased text as bases, like ``encode_letters``."""
+    """All letters of the lower-cased text as bases, in turn of the alphabet; other letters than a to z are N."""
     letters = F.regexp_replace(F.lower(text), r"[^\p{L}]+", "")
     return F.regexp_replace(F.translate(letters, ALPHABET, BASES), "[^ACGT]", "N")
 
 
-def whole_document_reads(documents: DataFrame, length: int = 100, stride: int = 60, paired: bool = False) -> DataFrame:
+def document_reads(documents: DataFrame, length: int = 100, stride: int = 60, paired: bool = False) -> DataFrame:
     """(read_id, mate_id, doc_id, seq): overlapping fragments over the whole length of every document; ids are dense in
-    (doc_id, fragment). Paired: fragments 2j and 2j + 1 are mates, and a last one without a mate is a single read. One
-    pass of a pattern cuts a text, whatever its length."""
-    cut = F.regexp_extract_all(encode_text(F.col("text")), F.lit(f"(?=(.{{1,{length}}})).{{1,{stride}}}"), F.lit(1))
-    parts = documents.select("doc_id", cut.alias("cut")).select("doc_id", F.size("cut").alias("n"), F.posexplode("cut").alias("o", "seq"))
-    numbered = dense_ids(parts, ["doc_id", "o"], "read_id")
-    mate = F.expr("CASE WHEN o % 2 = 1 THEN read_id - 1 WHEN o + 1 < n THEN read_id + 1 END") if paired else F.lit(None).cast("long")
-    return numbered.select("read_id", mate.alias("mate_id"), "doc_id", "seq")
-
+    (doc_id, fragment). Paired: fragments 2j and 2j + 1 are mates, and a last one without a mate is a single read.
 
-def conversation_reads(conversations: DataFrame, length: int = 100) -> DataFrame:
-    """(read_id, mate_id, seq): turns 2j and 2j + 1 of a conversation are mates, by their first bases."""
-    turns = conversations.select("conv_id", F.expr("turn div 2").alias("j"), "turn", encode_letters(F.col("text"), length).alias("seq"))
-    pairs = turns.groupBy("conv_id", "j").agg(F.min_by("seq", "turn").alias("s1"), F.max_by("seq", "turn").alias("s2"), F.count("*").alias("n")).where("n = 2").drop("n")
-    numbered = dense_ids(pairs, ["conv_id", "j"], "pair")
-    mates = F.expr("stack(2, 2 * pair, 2 * pair + 1, s1, 2 * pair + 1, 2 * pair, s2) AS (read_id, mate_id, seq)")
-    return numbered.select(mates)
+    One pass of a pattern cuts a text, whatever its length, and documents are numbered, not fragments. Texts without
+    letters have no reads; of rows of one doc_id that of the smaller hash comes first.
+    """
+    cut = F.regexp_extract_all(encode_text(F.col("text")), F.lit(f"(?=(.{{1,{length}}})).{{1,{stride}}}"), F.lit(1))
+    cuts = documents.select("doc_id", F.xxhash64("text").alias("hash"), cut.alias("cut")).withColumn("n", F.size("cut").cast("long")).where("n > 0")
+    parts = exclusive_sum(cuts, ["doc_id", "hash"], "n", "first").select("doc_id", "n", "first", F.posexplode("cut").alias("o", "seq"))
+    read_id = (F.col("first") + F.col("o")).alias("read_id")
+    mate = F.expr("CASE WHEN o % 2 = 1 THEN first + o - 1 WHEN o + 1 < n THEN first + o + 1 END") if paired else F.lit(None).cast("long")
+    return parts.select(read_id, mate.alias("mate_id"), "doc_id", "seq")
 
 
-def whole_conversation_reads(conversations: DataFrame) -> DataFrame:
+def conversation_reads(conversations: DataFrame) -> DataFrame:
     """(read_id, mate_id, seq): every turn is a read of its whole text; ids are dense in (conv_id, turn). Turns 2j and
     2j + 1 of a conversation are mates. A turn without the other one, or of which there are several, is a single read."""
     turns = conversations.select("conv_id", F.expr("turn div 2").alias("j"), "turn", encode_text(F.coalesce("text", F.lit(""))).alias("seq"))

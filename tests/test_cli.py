@@ -21,7 +21,12 @@ def test_commands(spark, tmp_path, capsys):
         assert total == (80 * 40 if not mode else 80 * 3)
         assert spark.read.parquet(f"{out}/prefix_sums").where("bucket = 1048576").first().before == total
         assert spark.read.parquet(f"{out}/reads_per_chunk").groupBy().sum("n").first()[0] == 80
-    main(["partition", "-o", str(tmp_path / "out"), "-k", "21", "--parts", "4", *files], spark)
+    main(["ranges", str(tmp_path / "histogram0"), "--parts", "4"], spark)
+    assert capsys.readouterr().out.splitlines()[0] == "0 0"
+    options = ["--index", str(tmp_path / "index"), "--largest", "--merge-support", "1", "--min-degree", "2", "--max-degree", "50"]
+    main(["partition", "-o", str(tmp_path / "out"), "-k", "21", "--parts", "4", *options, *files], spark)
+    halves = {x: sorted(map(str, (tmp_path / f"out/largest/largest={x}").glob("part-*"))) for x in ("true", "false")}
+    assert sum(scan_fastq(spark, x).count() for x in halves.values()) == 80 and halves["true"]
     assert "components" in capsys.readouterr().out
     parts = sorted(map(str, (tmp_path / "out/reads").glob("part_id=*/part-*")))
     assert {r.header for r in scan_fastq(spark, parts).collect()} == {f"@r{i}/{j}" for i in range(40) for j in (1, 2)}

@@ -35,12 +35,13 @@ def test_any_split_reads_every_record_once(spark, tmp_path, chunk):
 
 def test_input_set_layouts(spark, tmp_path):
     rng = random.Random(2)
-    left, right, single, mixed = ([record(i, rng, f"{kind}{i}") for i in range(n)] for kind, n in (("l", 5), ("r", 5), ("s", 3), ("m", 4)))
+    left, right = ([record(i, rng, f"p{i}/{side}") for i in range(5)] for side in (1, 2))
+    single, mixed = [record(i, rng, f"s{i}") for i in range(3)], [record(i, rng, f"m{i // 2} {i % 2 + 1}:N") for i in range(4)]
     paths = [write(tmp_path / f"{i}.fq", r) for i, r in enumerate((left, right, single, mixed))]
     rows = fastq.read_fastq(spark, [(paths[0], paths[1])], [paths[2]], [paths[3]], chunk_bytes=100).orderBy("read_id").collect()
     assert [r.read_id for r in rows] == list(range(17))
     names = [r.record.split("\n")[0][1:] for r in rows]
-    assert names[:10] == [f"{x}{i}" for i in range(5) for x in "lr"] and names[10:] == ["s0", "s1", "s2", "m0", "m1", "m2", "m3"]
+    assert names[:10] == [f"p{i}/{x}" for i in range(5) for x in (1, 2)] and names[10:] == ["s0", "s1", "s2", "m0 1:N", "m0 2:N", "m1 1:N", "m1 2:N"]
     assert [r.mate_id for r in rows] == [1, 0, 3, 2, 5, 4, 7, 6, 9, 8, None, None, None, 14, 13, 16, 15]
     assert fastq.read_fastq(spark).count() == 0
     with pytest.raises(ValueError):
@@ -49,10 +50,38 @@ def test_input_set_layouts(spark, tmp_path):
         fastq.read_fastq(spark, interleaved=[paths[0]])
 
 
+def test_mates_need_one_name(spark, tmp_path):
+    rng = random.Random(7)
+    pair = [[record(i, rng, f"r{i}/{side}") for i in range(6)] for side in (1, 2)]
+    swapped = [*pair[1][:2], pair[1][3], pair[1][2], *pair[1][4:]]
+    a, b, c = (write(tmp_path / f"{i}.fq", r) for i, r in enumerate((*pair, swapped)))
+    assert fastq.read_fastq(spark, [(a, b)]).count() == 12
+    with pytest.raises(ValueError, match="2.fq has reads|0.fq has reads"):
+        fastq.read_fastq(spark, [(a, b), (a, c)])
+    mixed = [x for two in zip(*pair) for x in two]
+    off = write(tmp_path / "off.fq", mixed[1:] + mixed[:1])
+    assert fastq.read_fastq(spark, interleaved=[write(tmp_path / "mixed.fq", mixed)]).count() == 12
+    with pytest.raises(ValueError, match="off.fq has reads"):
+        fastq.read_fastq(spark, interleaved=[off])
+
+
+def test_stored_index(spark, tmp_path):
+    rng = random.Random(8)
+    paths = [write(tmp_path / f"{i}.fq", [record(i, rng) for i in range(n)]) for i, n in enumerate((30, 0, 17))]
+    index = fastq.chunk_index(fastq.scan_fastq(spark, paths, 300))
+    key = lambda r: r.read_id
+    want = sorted(fastq.read_fastq(spark, single=paths, chunk_bytes=300).collect(), key=key)
+    assert sorted(fastq.read_fastq(spark, single=paths, chunk_bytes=300, index=index).collect(), key=key) == want
+    assert [r.read_id for r in want] == list(range(47))
+    for files, size in ((paths, 200), (paths[::-1], 300)):
+        with pytest.raises(ValueError, match="other files"):
+            fastq.read_fastq(spark, single=files, chunk_bytes=size, index=index)
+
+
 def test_windows_line_ends_and_missing_last_newline(spark, tmp_path):
     rows = [("@a", "ACGT", "+", "@@@@"), ("@b", "AC", "+", "+@")]
     path = write(tmp_path / "w.fq", rows, "\r\n")
-    assert [tuple(r)[3:] for r in fastq.scan_fastq(spark, [path], 9).orderBy("offset").collect()] == rows
+    assert [tuple(r)[4:] for r in fastq.scan_fastq(spark, [path], 9).orderBy("offset").collect()] == rows
     bare = tmp_path / "b.fq"
     bare.write_text("@a\nACGT\n+\nIIII")
     assert fastq.scan_fastq(spark, [str(bare)]).first().qual == "IIII"
@@ -67,10 +96,11 @@ def test_index_and_sinks(spark, tmp_path):
     reads = fastq.read_fastq(spark, single=[path])
     manifest = reads.selectExpr("CAST(read_id % 3 AS INT) AS part_id", "read_id").union(reads.where("read_id = 4").selectExpr("0", "read_id"))
     out = str(tmp_path / "parts")
-    fastq.write_partitions(manifest, reads, out)
+    fastq.write_partitions(manifest, reads, out, file_reads=4)
     files = sorted(str(p) for p in (tmp_path / "parts").glob("part_id=*/part-*"))
     again = fastq.scan_fastq(spark, files).collect()
     assert sorted(r.header for r in again) == sorted([f"@r{i}" for i in range(30)] + ["@r4"])
+    assert len(files) >= 3
     labels = reads.selectExpr("read_id", "read_id % 2 AS comp_id")
     fastq.write_largest_component(labels, reads, 1, str(tmp_path / "largest"))
     files = [str(p) for p in (tmp_path / "largest" / "largest=true").glob("part-*")]

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -12,8 +13,8 @@ QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 
 def rows(df):
-    df = df[sorted(df.columns)]
-    return sorted((tuple(None if x is None or x != x else x for x in r) for r in df.itertuples(index=False)), key=str)
+    df = df[sorted(df.columns)].astype(object)
+    return sorted((tuple(None if pd.isna(x) else x for x in r) for r in df.itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -19,7 +19,7 @@ READS = "read_id long, mate_id long, seq string, record string"
 
 
 def frame(spark, seqs, mated=False):
-    return spark.createDataFrame([(i, (i ^ 1 if (i ^ 1) < len(seqs) else None) if mated else None, s, f"@r{i}\n{s}\n+\n{'I' * len(s)}") for i, s in enumerate(seqs)], READS)
+    return spark.createDataFrame([(i, (i ^ 1 if (i ^ 1) < len(seqs) else None) if mated else None, s, f"@r{i}\n{s}\n+\n{chr(73) * len(s or str())}") for i, s in enumerate(seqs)], READS)
 
 
 def random_reads(seed, n=60, k=8):
@@ -36,14 +36,24 @@ def random_reads(seed, n=60, k=8):
     return out
 
 
-CASES = ["ACGTACG", "ACGTACGT", "ACGTACGTA", "ACGTNACGTTGCA", "acgtacgtac", "A" * 15, "T" * 15, "", "NNNNNNNNNNNN", "ACGTTGCAAT-GCATTGCA", "GATTACAGATTACA"]
+CASES = ["ACGTACG", "ACGTACGT", "ACGTACGTA", "ACGTNACGTTGCA", "acgtacgtac", "A" * 15, "T" * 15, "", "NNNNNNNNNNNN", "ACGTTGCAAT-GCATTGCA", "GATTACAGATTACA", "ACGTÉGTACGTTGAA€CGTACGATTG", None]
 
 
-@pytest.mark.parametrize("k", [4, 7, 8])
-def test_occurrences(spark, k):
-    seqs = CASES + random_reads(1)
-    got = sorted(tuple(r) for r in kmers.kmer_occurrences(frame(spark, seqs), k).collect())
-    assert got == sorted((r, *x[1:]) for r, s in enumerate(seqs) for x in plain.canonical(s, k))
+def spelled(df, k):
+    text = {"kmer": dna.kmer_text(F.col("kmer"), k)} | {c: dna.base_text(F.col(c)) for c in ("prev", "next")}
+    return sorted(tuple(r) for r in df.select("read_id", *(x.alias(c) for c, x in text.items())).collect())
+
+
+@pytest.mark.parametrize("k,step", [(4, 1 << 17), (7, 5), (8, 1 << 17), (31, 50), (32, 50), (33, 1 << 17), (40, 7)])
+def test_occurrences(spark, monkeypatch, k, step):
+    """Packed and long k-mers, in slices that cut reads anywhere."""
+    monkeypatch.setattr(kmers, "SLICE", step)
+    monkeypatch.setattr(kmers, "TEXT_BYTES", step * k)
+    rng = random.Random(k)
+    seqs = CASES + random_reads(1) + ["".join(rng.choice("ACGT" * 20 + "N") for _ in range(300)) for _ in range(3)]
+    got = spelled(kmers.kmer_occurrences(frame(spark, seqs), k), k)
+    assert got == sorted((r, *x[1:]) for r, s in enumerate(seqs) for x in plain.canonical(s or "", k))
+    assert len(got) > 100
 
 
 def test_length_equal_to_k_gives_none_and_one_more_gives_two(spark):
@@ -51,17 +61,20 @@ def test_length_equal_to_k_gives_none_and_one_more_gives_two(spark):
     assert n == {1: 2}
 
 
-@pytest.mark.parametrize("k", [4, 7])
-def test_minimizers(spark, k):
+@pytest.mark.parametrize("k,step", [(4, 1 << 18), (7, 30), (33, 1 << 18), (35, 20)])
+def test_minimizers(spark, monkeypatch, k, step):
+    monkeypatch.setattr(kmers, "READS", step)
+    monkeypatch.setattr(kmers, "TEXT_BYTES", step * k)
     rng = random.Random(5)
     seqs = CASES + ["".join(rng.choice("ACGT") for _ in range(k + last)) for last in (1, 2, 3, 4, 5, 8, 9, 20)]
-    seqs += ["".join(rng.choice("AAACGTN") for _ in range(rng.randrange(k, 60))) for _ in range(80)]
-    got = sorted(tuple(r) for r in kmers.minimizers3(frame(spark, seqs), k).collect())
-    assert got == sorted((r, *x) for r, s in enumerate(seqs) for x in plain.minimizers(s, k))
+    seqs += ["".join(rng.choice("AAACGTN") for _ in range(rng.randrange(k, k + 60))) for _ in range(80)] + ["A" * (k + 30)]
+    got = spelled(kmers.minimizers3(frame(spark, seqs), k), k)
+    assert got == sorted((r, *x) for r, s in enumerate(seqs) for x in plain.minimizers(s or "", k))
 
 
 def occurrence_frame(spark, rows):
-    return spark.createDataFrame(rows, "read_id long, kmer string, prev string, next string")
+    """K-mers as text, as of long ones."""
+    return spark.createDataFrame([(r, k, dna.BASES.index(p), dna.BASES.index(n)) for r, k, p, n in rows], "read_id long, kmer string, prev byte, next byte")
 
 
 def check_branch(spark, rows):
@@ -69,7 +82,7 @@ def check_branch(spark, rows):
     groups = branch_filter.branch_groups(df)
     ambiguous, bad = plain.branch(rows)
     assert {r.kmer for r in branch_filter.ambiguous_kmers(groups).collect()} == ambiguous
-    assert {r.read_id for r in branch_filter.bad_reads(df, groups).collect()} == bad
+    assert {r.read_id for r in branch_filter.bad_reads(branch_filter.touched_occurrences(df, groups)).collect()} == bad
 
 
 @pytest.mark.parametrize("minor", [19, 20, 21])
@@ -196,8 +209,13 @@ def test_ranges_equal_the_scan(spark, rows, parts, up):
 
 def test_bucket_is_the_rank_of_ten_bases(spark):
     kmer = ["AAAAAAAAAAT", "TTTTTTTTTTA", "ACGTACGTACG"]
-    got = spark.createDataFrame([(x,) for x in kmer], "kmer string").select(dna.bucket(F.col("kmer")).alias("b")).collect()
-    assert [r.b for r in got] == [int(x[:10].translate(str.maketrans("ACGT", "0123")), 4) for x in kmer]
+    got = spark.createDataFrame([(x,) for x in kmer], "kmer string").select(dna.bucket(F.col("kmer"), 99).alias("b")).collect()
+    number = lambda x: int(x.translate(str.maketrans("ACGT", "0123")), 4)
+    assert [r.b for r in got] == [number(x[:10]) for x in kmer]
+    for size in (4, 10, 11):
+        codes = spark.createDataFrame([(number(x[:size]),) for x in kmer], "kmer long")
+        got = codes.select(dna.bucket(F.col("kmer"), size).alias("b"), dna.kmer_text(F.col("kmer"), size).alias("t"), dna.other_than_a(codes).alias("a")).collect()
+        assert [tuple(r) for r in got] == [(number(x[: min(size, 10)]), x[:size], x[:size] != "A" * size) for x in kmer]
 
 
 def test_dense_ids_and_sums(spark):
