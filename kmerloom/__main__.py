@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.operators import histograms, mates, stats
-from kmerloom.plans.partition_reads import occurrences_of, partition_reads
+from kmerloom.operators.kmers import kmer_occurrences, minimizers3
+from kmerloom.plans.partition_reads import partition_reads
 from kmerloom.sources.fastq import chunk_index, read_fastq, scan_fastq, write_largest_component, write_partitions
 from kmerloom.storage import materialize
 
@@ -75,13 +76,12 @@ def view(spark: SparkSession, args: argparse.Namespace) -> None:
 def histogram(spark: SparkSession, args: argparse.Namespace) -> None:
     """Per-chunk and whole histograms over buckets, prefix sums and reads per chunk, as Parquet under the output."""
     reads = reads_of(spark, args)
-    rows, chunks = occurrences_of(reads, args.k, "min3" if args.min3 else "all"), reads.select("read_id", "chunk_id")
-    by_chunk = materialize(histograms.chunk_bucket_histogram(rows, args.k, chunks), "histogram")
+    by_chunk = materialize(histograms.chunk_bucket_histogram(reads, args.k, minimizers3 if args.min3 else kmer_occurrences), "histogram")
     whole = by_chunk.groupBy("bucket").agg(F.sum("n").alias("n"))
     by_chunk.write.parquet(f"{args.out}/chunk_histogram")
     whole.write.parquet(f"{args.out}/histogram")
     histograms.bucket_prefix_sum(whole).write.parquet(f"{args.out}/prefix_sums")
-    histograms.reads_per_chunk(chunks).write.parquet(f"{args.out}/reads_per_chunk")
+    histograms.reads_per_chunk(reads).write.parquet(f"{args.out}/reads_per_chunk")
 
 
 def ranges(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -1,16 +1,24 @@
 """Connected components as a fixpoint of star contractions.
 
 Every round is two joins with map-side combined aggregates. A hub vertex is a skewed join key, never a collected
-group, so adaptive execution can split it. Edges shrink to stars, one per component, in O(log n) rounds.
+group, so adaptive execution can split it. Edges shrink to stars, one per component, in O(log n) rounds. Once no more
+than ``ONE_TASK`` edges are left (16 bytes each), one task contracts them all, which saves the rounds of small graphs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.arrow import map_arrow
 from kmerloom.storage import discard, materialize
 
+ONE_TASK = 1_000_000
+
 #: Stars of a round are stored in files of so many edges, however many partitions the shuffle had.
 EDGES_PER_FILE = 100_000
 
@@ -27,7 +35,29 @@ def _small_star(e: DataFrame) -> DataFrame:
     return e.join(low, "u").select(pair.alias("p")).select(F.col("p.v").alias("u"), F.col("p.m").alias("v")).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, label: str = "min") -> DataFrame:
+def lowest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of edges (u, v) and the least vertex that each reaches."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(ids))
+    while len(a):
+        x, y = low[a], low[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+    return ids, ids[low]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [[c.to_numpy(zero_copy_only=False) for c in (b.column("u"), b.column("v"))] for b in batches]
+    if held:
+        ids, low = lowest_reachable(*(np.concatenate(x) for x in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["u", "v"])
+
+
+def connected_components(edges: DataFrame, label: str = "min", one_task: int = ONE_TASK) -> DataFrame:
     """(id, label) of every vertex that has an edge; label is the smallest or the largest id of its component.
 
     ``edges`` has the columns u and v (long, no nulls; repeats, both directions and self loops are allowed; a vertex
@@ -43,6 +73,10 @@ def connected_components(edges: DataFrame, label: str = "min") -> DataFrame:
         if seen == tuple(n) or n[0] == 0:
             break
         seen = tuple(n)
+        if n[0] <= one_task:
+            whole = materialize(map_arrow(e.select("u", "v").coalesce(1), _contract, "u long, v long"), "edges")
+            discard(e)
+            return whole.select((F.col("u") * sign).alias("id"), (F.col("v") * sign).alias("label"))
         step = materialize(_small_star(_large_star(e)).coalesce(-(-n[0] // EDGES_PER_FILE)), "edges")
         discard(e)
         e = step

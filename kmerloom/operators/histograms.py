@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kmerloom.functions.dna import PREFIX
-from kmerloom.operators.kmers import with_bucket
+from kmerloom.operators.kmers import kmer_occurrences, with_bucket
 from kmerloom.operators.prefix import exclusive_sum
 
 
@@ -18,9 +19,13 @@ def bucket_histogram(occurrences: DataFrame, k: int) -> DataFrame:
     return with_bucket(occurrences, k).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def chunk_bucket_histogram(occurrences: DataFrame, k: int, chunks: DataFrame) -> DataFrame:
-    """(chunk_id, bucket, n); chunks has read_id and chunk_id."""
-    return with_bucket(occurrences, k).join(chunks, "read_id").groupBy("chunk_id", "bucket").agg(F.count("*").alias("n"))
+def chunk_bucket_histogram(reads: DataFrame, k: int, enumerate: Callable[..., DataFrame] = kmer_occurrences) -> DataFrame:
+    """(chunk_id, bucket, n) of the k-mers of reads (chunk_id, seq), of all or of those that ``enumerate`` picks.
+
+    Reads go in under their chunk's id, so nothing is joined.
+    """
+    found = with_bucket(enumerate(reads.select(F.col("chunk_id").cast("long").alias("read_id"), "seq"), k), k)
+    return found.groupBy(F.col("read_id").cast("int").alias("chunk_id"), "bucket").agg(F.count("*").alias("n"))
 
 
 def bucket_prefix_sum(histogram: DataFrame, bases: int = PREFIX) -> DataFrame:

@@ -14,6 +14,18 @@ from kmerloom.operators.links import star_edges
 from kmerloom.operators.mates import full_labels, mate_pairs, merge_mates, merge_supported
 from kmerloom.storage import discard, materialize, spread
 
+#: K-mers of a shuffled partition that a join may hash, some 100 bytes each, instead of sorting both sides.
+HASHED = 1 << 20
+
+
+def joinable(groups: DataFrame) -> DataFrame:
+    """Stored groups as the hashed side of a join while partitions stay small, else of a merge join.
+
+    Without either hint occurrences would count as no larger than the reads they come from, and might be broadcast.
+    """
+    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.hint("shuffle_hash" if groups.count() <= HASHED * partitions else "merge")
+
 
 @dataclass
 class Linked:
@@ -52,7 +64,7 @@ def link_reads(reads: DataFrame, k: int = 27, mode: str = "all", min_degree: int
     """
     occurrences = occurrences_of(spread(reads), k, mode)
     groups = materialize(branch_groups(occurrences).where("deg > 1"), "groups")
-    touched = materialize(touched_occurrences(occurrences, groups, min_degree, max_degree), "touched")
+    touched = materialize(touched_occurrences(occurrences, joinable(groups), min_degree, max_degree), "touched")
     bad = materialize(bad_reads(touched), "bad")
     survivors = materialize(surviving_occurrences(touched, bad), "survivors")
     discard(touched)

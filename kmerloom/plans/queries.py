@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kmerloom.functions.dna import base_text, kmer_text
 from kmerloom.operators import branch_filter, components, histograms, kmers, links, mates, stats
 from kmerloom.operators.binpack import component_partitions, partition_manifest
-from kmerloom.plans.partition_reads import Linked, link_reads
+from kmerloom.plans.partition_reads import Linked, joinable, link_reads
 from kmerloom.sources.fastq import chunk_index, read_fastq, scan_fastq, write_largest_component, write_partitions
 from kmerloom.sources.text_reads import conversation_reads, document_reads
 from kmerloom.storage import materialize, new_path, spread
@@ -51,7 +51,7 @@ def spelled(df: DataFrame) -> DataFrame:
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    return rows.select("read_id", F.expr(f"CAST(read_id div {CHUNK} AS INT)").alias("chunk_id"))
+    return rows.select(F.expr(f"CAST(read_id div {CHUNK} AS INT)").alias("chunk_id"), "seq")
 
 
 def labels(rows: DataFrame, mode: str = "all") -> tuple[Linked, DataFrame]:
@@ -146,8 +146,7 @@ def bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reads(spark, sf_dir)
-    return histograms.chunk_bucket_histogram(kmers.kmer_occurrences(spread(rows), K, False), K, chunks(rows))
+    return histograms.chunk_bucket_histogram(spread(chunks(reads(spark, sf_dir))), K)
 
 
 @query
@@ -189,7 +188,7 @@ def ambiguous_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bad_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = occurrences(spark, sf_dir)
     groups = materialize(branch_filter.branch_groups(rows).where("deg > 1"), "groups")
-    return branch_filter.bad_reads(branch_filter.touched_occurrences(rows, groups))
+    return branch_filter.bad_reads(branch_filter.touched_occurrences(rows, joinable(groups)))
 
 
 @query

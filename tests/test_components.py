@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -23,15 +24,17 @@ def union_find(edges, pick):
     return {x: pick(g) for g in groups.values() for x in g}
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), max_size=25))
-def test_components_equal_union_find(spark, edges):
+def test_components_equal_union_find(spark, one_task, edges):
     df = spark.createDataFrame(edges, "u long, v long")
     for label, pick in (("min", min), ("max", max)):
-        assert {r.id: r.label for r in connected_components(df, label).collect()} == union_find(edges, pick)
+        assert {r.id: r.label for r in connected_components(df, label, one_task).collect()} == union_find(edges, pick)
 
 
-def test_long_path_and_hub(spark):
+@pytest.mark.parametrize("one_task", [0, 150, 1_000_000])
+def test_long_path_and_hub(spark, one_task):
     edges = [(i, i + 1) for i in range(64)] + [(1000, 1001 + i) for i in range(200)]
     df = spark.createDataFrame(edges, "u long, v long")
-    assert {r.id: r.label for r in connected_components(df, "max").collect()} == union_find(edges, max)
+    assert {r.id: r.label for r in connected_components(df, "max", one_task).collect()} == union_find(edges, max)
