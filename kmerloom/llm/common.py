@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kmerloom.arrow import map_arrow
+
+__all__ = ["column", "free_names", "map_arrow", "raw", "slices", "splitmix", "table"]
 
 SLICE_BYTES = 2 << 20
-#: Bytes of an Arrow batch between Spark and Python: rows may be long, and every task holds some copies of a batch.
-BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """mapInArrow with batches bounded in bytes as well as rows; the session keeps that setting."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(function, schema)
+def column(name: str) -> Column:
+    """A column of any name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no such column in either case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

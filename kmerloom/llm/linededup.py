@@ -3,9 +3,11 @@
 A line is a log message. The tree has a fixed depth: its token count, then its leading tokens, where tokens with digits
 are wildcards. In a leaf, messages of one template differ in variable fields: digit tokens are always such, and in lines
 of ``long_tokens`` or more the tokens behind the leading ones fall into four spans of which one may vary. Each line thus
-has up to five signatures (its wildcarded tokens whole, and with each span as a wildcard); lines that share a signature
-share a template. A template that occurs in ``min_docs`` documents or more is recurring: its line stays in the document
-of the smallest doc_id and is dropped from all others.
+has up to five signatures (its wildcarded tokens whole, and with each span as a wildcard). A signature that occurs in
+``min_docs`` documents or more is recurring. Of its recurring signatures a line takes the one of most documents as its
+template (of equal ones the whole line, then the earlier span). A template's lines stay in the document of the smallest
+doc_id among those whose lines took it, and are dropped from all others: since every line has one template, each dropped
+line has a line of its template that stays elsewhere.
 
 Texts are tokenised once and shuffled once; counting shuffles hashes, combined before the exchange. A line found in a
 third of all documents is a skewed join key of rows a few bytes long, not a collected group.
@@ -16,9 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.llm.common import column, free_names
 from kmerloom.storage import materialize
 
 LEADING, SPANS = 3, 4
+#: Characters of a line that has a template however few its tokens, as in scripts without blanks.
+LONG_CHARS = 50
 
 
 def line_templates(docs: DataFrame, min_tokens: int = 3, long_tokens: int = 12) -> DataFrame:
@@ -44,7 +49,7 @@ def line_templates(docs: DataFrame, min_tokens: int = 3, long_tokens: int = 12)
         cut = [LEADING + F.floor((n - LEADING) * i / SPANS).cast("int") for i in range(SPANS + 1)]
         spans = [F.xxhash64(n, F.lit(i), F.call_function("substring_index", line, F.lit(" "), cut[i]), F.call_function("substring_index", line, F.lit(" "), cut[i + 1] - n)) for i in range(SPANS)]
         whole = F.xxhash64(n, F.lit(-1), line)
-        return F.when(n < min_tokens, F.array().cast("array<long>")).when(n < long_tokens, F.array(whole)).otherwise(F.array(whole, *spans))
+        return F.when((n < min_tokens) & (F.length(line) < LONG_CHARS), F.array().cast("array<long>")).when(n < long_tokens, F.array(whole)).otherwise(F.array(whole, *spans))
 
     found = F.transform(F.transform(F.transform(lines, plain), counted), signatures)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("sig"), found.alias("signatures"))
@@ -53,32 +58,39 @@ def line_templates(docs: DataFrame, min_tokens: int = 3, long_tokens: int = 12)
 def dropped_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 12) -> DataFrame:
     """(doc_id, sig, drop): positions (from 0) of the lines to drop, for rows that lose any; sig is the text's hash.
 
-    The join is a merge join at every size: recurring templates multiply with the input and a frequent one is split.
+    The joins are merge joins at every size: recurring templates multiply with the input and a frequent one is split.
     """
     lines = materialize(line_templates(docs, min_tokens, long_tokens), "templates")
     each = lines.select("doc_id", "sig", F.explode(F.array_distinct(F.flatten("signatures"))).alias("template"))
-    counts = each.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    recurring = materialize(counts.where(F.col("n") >= min_docs).select("template", "first"), "recurring")
-    found = lines.select("doc_id", "sig", F.posexplode("signatures").alias("pos", "own")).select("doc_id", "sig", "pos", F.explode("own").alias("template"))
-    hit = found.join(recurring.hint("merge"), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return hit.groupBy("doc_id", "sig").agg(F.collect_set("pos").alias("drop"))
+    recurring = materialize(each.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "recurring")
+    found = lines.select("doc_id", "sig", F.posexplode("signatures").alias("pos", "own")).select("doc_id", "sig", "pos", F.posexplode("own").alias("order", "template"))
+    hit = found.join(recurring.hint("merge"), "template")
+    best = hit.groupBy("doc_id", "sig", "pos").agg(F.max(F.struct("n", -F.col("order"), "template")).alias("best"))
+    taken = materialize(best.select("doc_id", "sig", "pos", F.col("best.template").alias("template")), "taken")
+    first = taken.groupBy("template").agg(F.min("doc_id").alias("first"))
+    lost = taken.join(first.hint("merge"), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return lost.groupBy("doc_id", "sig").agg(F.collect_set("pos").alias("drop"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 12) -> DataFrame:
     """docs with every column kept, recurring lines cut from text, and n_chars (if there is such a column) counted anew.
 
     Rows are never dropped: a text that loses all lines becomes empty. Null text stays null. Lines of fewer than
-    ``min_tokens`` tokens stay. Repeats inside one document count once, and stay where the document is the template's
-    first. Repeated rows count as documents of their own for ``min_docs``, lose the same lines and are all returned.
-    Null doc_ids are never first, unless a template has no other. An empty table gives an empty result.
+    ``min_tokens`` tokens stay, unless they have LONG_CHARS characters or more. Repeats inside one document count once,
+    and stay where the document is the template's first. Repeated rows count as documents of their own for ``min_docs``,
+    lose the same lines and are all returned. Null doc_ids are never first, unless a template has no other. An empty
+    table gives an empty result. Extra columns may have any names.
     """
-    drop = dropped_lines(docs, min_docs, min_tokens, long_tokens).select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.col("drop").alias("__drop"))
-    own = docs.withColumn("__own", F.xxhash64("text"))
-    joined = own.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sig")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__drop", i))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    columns = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.withColumns({f"__{c}": x for c, x in columns.items()}).select(*(F.col(f"__{c}").alias(c) if c in columns else F.col(c) for c in docs.columns))
+    own, other, sig, lost, new_text, new_size = free_names(docs, "own", "other_id", "sig", "lost", "new_text", "new_size")
+    drop = dropped_lines(docs, min_docs, min_tokens, long_tokens).toDF(other, sig, lost)
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    joined = hashed.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(own) == F.col(sig)), "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(lost, i))
+    joined = joined.withColumn(new_text, F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    new = {"text": F.col(new_text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(new_text).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new[c].alias(c) if c in new else column(c) for c in docs.columns))
 
 
 def line_report(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 12) -> DataFrame:

@@ -79,17 +79,20 @@ WITH lines AS (
          list_filter(regexp_split_to_array(regexp_replace(line, '(^|[\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '\1<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS t
   FROM (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
-), sized AS (SELECT *, len(t) AS n, len(t) - 3 AS m FROM lines WHERE len(t) >= 3
+), sized AS (SELECT *, len(t) AS n, len(t) - 3 AS m FROM lines WHERE len(t) >= 3 OR length(array_to_string(t, ' ')) >= 50
 ), signed AS (
   SELECT doc_id, text, pos, n, -1 AS span, t[:3] AS lead, array_to_string(t[4:], ' ') AS rest FROM sized
   UNION ALL
   SELECT doc_id, text, pos, n, i, t[:3], array_to_string(t[4:3 + m * i // 4], ' ') || ' <> ' || array_to_string(t[4 + m * (i + 1) // 4:], ' ')
   FROM sized, range(4) AS r(i) WHERE n >= 12
 ), counted AS (
-  SELECT n, span, lead, rest, min(doc_id) AS first FROM (SELECT DISTINCT doc_id, n, span, lead, rest FROM signed)
+  SELECT n, span, lead, rest, count(*) AS docs FROM (SELECT DISTINCT doc_id, n, span, lead, rest FROM signed)
   GROUP BY ALL HAVING count(*) >= 3
+), taken AS (
+  SELECT * FROM signed JOIN counted USING (n, span, lead, rest)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY docs DESC, span) = 1
 ), dropped AS (
-  SELECT DISTINCT s.doc_id, s.pos FROM signed s JOIN counted c USING (n, span, lead, rest) WHERE s.doc_id <> c.first
+  SELECT doc_id, pos FROM taken QUALIFY doc_id <> min(doc_id) OVER (PARTITION BY n, span, lead, rest)
 ), kept AS (
   SELECT l.doc_id, count(*) AS n_lines,
          coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE d.pos IS NULL), '') AS kept
