@@ -14,14 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import map_arrow, raw, slices
-from kmerloom.llm.sampling import hashed_sample, remainder
+from kmerloom.llm.sampling import remainder
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
-#: Labelled rows fitted on at most, and windows of each.
-ROWS, EACH = 4000, 3
+#: Labelled rows fitted on at most, dealt equally to the languages (to each at most so many), and windows of each row.
+ROWS, PER_LANGUAGE, EACH = 4000, 1000, 3
+#: A language with fewer windows than this share of the most frequent one's has its windows repeated.
+LEAST_SHARE = 0.25
 BATCH, STEPS, RATE = 64, 700, 0.01
 UNKNOWN = "und"
 
@@ -108,6 +111,9 @@ def fit(samples: list[tuple[str, bytes]]) -> Network | None:
     net, rng = Network(languages), np.random.default_rng(5)
     x = np.concatenate([windows(t)[:1] for _, t in samples]).astype(np.intp)
     y = np.array([languages.index(lang) for lang, _ in samples])
+    counts = np.bincount(y)
+    repeats = np.maximum(1, LEAST_SHARE * counts.max() // counts).astype(int)
+    x, y = np.repeat(x, repeats[y], axis=0), np.repeat(y, repeats[y])
     first, second, t = [np.zeros_like(w) for w in net.parameters()], [np.zeros_like(w) for w in net.parameters()], 0
     while t < STEPS:
         order = rng.permutation(len(x))
@@ -134,17 +140,22 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame) -> Network | None:
-    """Fit on rows of non-null lang whose crc32(doc_id) mod 4 is not 2."""
+    """Fit on rows of non-null lang whose crc32(doc_id) mod 4 is not 2, as many of each language as there are."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), "text").where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
-    ids = hashed_sample(rows.select("doc_id"), ROWS).distinct()
-    found = map_arrow(rows.join(F.broadcast(ids), "doc_id").select("lang", "text"), _samples, "lang string, data binary").collect()  # ROWS ids
+    languages = rows.select("lang").distinct().count()
+    each = min(PER_LANGUAGE, max(1, ROWS // max(1, languages)))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # cut to ``each`` rows before the exchange
+    ids = rows.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang")
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(ROWS).distinct()
+    found = map_arrow(rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text"), _samples, "lang string, data binary").collect()  # ROWS ids
     return fit(sorted((r.lang, bytes(r.data)) for r in found))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (probability of lang_pred).
 
-    Null texts and texts without a letter are 'und' with score 0, as is everything if no row can be learned from.
+    Null texts and texts without a letter are 'und' with score 0, as is everything if no row can be learned from. Of
+    equally probable languages the first by name is taken.
     Repeated rows are predicted each; a row of null doc_id is never learned from and counts as not held out; an empty
     table gives an empty result; columns other than doc_id, text and lang are ignored.
     """

@@ -1,10 +1,12 @@
 """Quality rules with line labels: a linear-chain conditional random field marks lines as content or boilerplate.
 
 Lines are the positions of a chain with two labels. Emission scores are linear in the features of a line, transition
-scores are a two-by-two table; Viterbi decoding gives the best labelling of a document. The model is fitted here: seed
-rules of high precision label the lines of a bounded sample of documents, and the log-likelihood of those labels, with
-gradients by forward-backward, is maximised. Decoded on whole documents, the chain carries evidence across lines that
-no seed rule covers. A document stays if its base statistics pass and enough of its words stand in content lines.
+scores are a two-by-two table; Viterbi decoding gives the best labelling of a document. The model is fitted here, to
+evidence that its features don't hold: the quality marks of a bounded sample of documents. Every line of a document of
+quality 0 counts as boilerplate, every line of quality 1 as content, and the log-likelihood of those labels, with
+gradients by forward-backward, is maximised. Lines that occur in both kinds thus get weak emissions, and the chain decides
+them by their neighbours. Without documents of both kinds, rules of high precision label the lines instead. A document
+stays if its base statistics pass and enough of its words stand in content lines.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import map_arrow, raw, slices, splitmix
-from kmerloom.llm.sampling import hashed_sample
+from kmerloom.llm.sampling import hashed_sample, remainder
 
 #: Documents fitted on at most, lines of a run, and runs of each: all of a shorter document, else those of least hash.
-DOCUMENTS, LINES, RUNS = 1000, 40, 4
+#: Documents whose crc32(doc_id as text) is divisible by HELD_OUT are never fitted on.
+DOCUMENTS, LINES, RUNS, HELD_OUT = 1000, 40, 4, 5
 CONTENT_SHARE = 0.5
 SYMBOLS, UPPER, DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58))
 CONTINUATION = bytes(range(128, 192))  # of UTF-8: every other byte begins a code point
@@ -103,16 +106,24 @@ class Chain:
         return labels[::-1]
 
 
-def fit(documents: list[list[tuple]]) -> Chain:
-    """Adam on the likelihood of seed labels; documents are lists of line features. Without any, weights stay zero."""
+def fit(documents: list[tuple[list[tuple], int | None]]) -> Chain:
+    """Adam on the likelihood of the labels of lines; documents are lists of line features, each with its quality.
+
+    Without documents of both qualities seed labels take their place. Without any line weights stay zero.
+    """
     chain = Chain()
-    documents = [d for d in documents if d]
+    documents = [d for d in documents if d[0]]
+    marked = [d for d in documents if d[1] is not None]
+    if {q for _, q in marked} == {0, 1}:
+        labelled = [(d, [CONTENT if q else BOILERPLATE] * len(d)) for d, q in marked]
+    else:
+        labelled = [(d, [seed_label(f) for f in d]) for d, _ in documents]
     if not documents:
         return chain
-    t = max(map(len, documents))
-    x, y, mask = np.zeros((len(documents), t, FEATURES)), np.zeros((len(documents), t), int), np.zeros((len(documents), t), bool)
-    for i, d in enumerate(documents):
-        x[i, : len(d)], y[i, : len(d)], mask[i, : len(d)] = d, [seed_label(f) for f in d], True
+    n, t = len(labelled), max(len(d) for d, _ in labelled)
+    x, y, mask = np.zeros((n, t, FEATURES)), np.zeros((n, t), int), np.zeros((n, t), bool)
+    for i, (d, labels) in enumerate(labelled):
+        x[i, : len(d)], y[i, : len(d)], mask[i, : len(d)] = d, labels, True
     weights = [chain.emit, chain.move]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, STEPS + 1):
@@ -168,28 +179,39 @@ def sampled_runs(text: bytes) -> list[list[tuple]]:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        x = [[v for f in run for v in f] for t in raw(batch) for run in sampled_runs(t or b"")]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64()))], names=["x"])
-
-
-def train(docs: DataFrame) -> Chain:
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    ids = hashed_sample(rows.select("doc_id"), DOCUMENTS).distinct()
-    found = map_arrow(rows.join(F.broadcast(ids), "doc_id").select("text"), _sampled, "x array<double>").collect()  # RUNS runs of DOCUMENTS documents
-    return fit([[tuple(x[i : i + FEATURES]) for i in range(0, len(x), FEATURES)] for x in sorted(r.x for r in found)])
-
-
-def apply_rules(docs: DataFrame, min_words: int = 50, repeat_percent: int = 50, content_share: float = CONTENT_SHARE) -> DataFrame:
+        runs = [(q, run) for q, t in zip(batch.column("quality").to_pylist(), raw(batch)) for run in sampled_runs(t or b"")]
+        x = pa.array([[v for f in run for v in f] for _, run in runs], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in runs], pa.int32()), x], names=["quality", "x"])
+
+
+def train(docs: DataFrame, labels: DataFrame | None = None) -> Chain:
+    """Fit on a hashed sample of the documents that labels (doc_id, quality) mark, or of all if there are no labels."""
+    fitted = F.coalesce(remainder("doc_id", HELD_OUT) != 0, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where(fitted)
+    marks = None
+    if labels is not None:
+        own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality")).where(fitted & F.col("quality").isin(0, 1))
+        marks = own.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCUMENTS)
+    if marks is None or marks.isEmpty():
+        marks = hashed_sample(rows.select("doc_id"), DOCUMENTS).distinct().withColumn("quality", F.lit(None).cast("int"))
+    chosen = rows.join(F.broadcast(marks), "doc_id").select("quality", "text")  # DOCUMENTS rows of two numbers
+    found = map_arrow(chosen, _sampled, "quality int, x array<double>").collect()  # RUNS runs of DOCUMENTS documents
+    split = lambda x: [tuple(x[i : i + FEATURES]) for i in range(0, len(x), FEATURES)]
+    return fit([(split(x), q) for x, q in sorted(((r.x, r.quality) for r in found), key=lambda r: (r[0], r[1] or 0))])
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame | None = None, min_words: int = 50, repeat_percent: int = 50, content_share: float = CONTENT_SHARE) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     content_share.
 
     Words are runs other than space and 09-0D. base_failed: fewer than ``min_words`` words, or more than
     ``repeat_percent`` in a hundred words stand in three-word windows found twice or more. kept: not base_failed, and
     ``content_share`` or more of the words are in lines decoded as content. Null, empty and blank texts have no words:
-    they fail. Repeated rows and null doc_ids are judged like any other; an empty table gives an empty result; other
-    columns are ignored.
+    they fail. Of labels of equal score content wins. Repeated rows and null doc_ids are judged like any other; an empty
+    table gives an empty result; other columns are ignored. labels (doc_id, quality) is what the field is fitted to;
+    repeated labels of one document count once, by the smallest quality.
     """
-    chain = train(docs)
+    chain = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -111,12 +111,16 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, group_pieces: int =
     A document is its ids and id 0 (null or empty text: id 0 alone). It is cut at multiples of ``size``: full pieces
     fill a sequence each, the rests are packed first-fit decreasing, in groups that a hash deals. Rows: doc_id, start,
     length, ids_crc32, doc_tokens, sequence_id (group * 2**32 + bin), offset. Repeated rows and rows of null doc_id
-    are packed each on its own; an empty table gives an empty result; other columns are ignored.
+    are packed each on its own: equal pieces are counted and numbered, so that they fall in different groups. An empty
+    table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     n, most = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     groups = max(1, -(-(n + most // size) // group_pieces))  # a token has a byte or more, so this bounds the pieces
-    dealt = map_arrow(rows, _pieces(tokenizer, size), PIECES).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    pieces = map_arrow(rows, _pieces(tokenizer, size), PIECES)
+    alike = pieces.groupBy(pieces.columns).agg(F.count("*").alias("copies"))
+    numbered = alike.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    dealt = numbered.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups))).drop("copies", "copy")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)

@@ -3,7 +3,8 @@
 A small network is fitted on trusted positives (rows of quality label 1) and unlabelled documents. Its risk is the
 non-negative unbiased one: prior * E_pos[l(z)] + max(0, E_unl[l(-z)] - prior * E_pos[l(-z)]) with the logistic loss l;
 where the bracket is negative its gradient is reversed, which undoes overfitting. The class prior is estimated as the
-share of label 1 among the labelled training rows. Labels of quality 0 serve that estimate alone.
+share of label 1 among the labelled training rows, which are taken for a fair sample of the corpus: where only some kind
+of documents is labelled the prior is that of this kind. Labels of quality 0 serve that estimate alone.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ class Model:
         return [x.T @ inner, inner.sum(axis=0), hidden.T @ slope, np.array([slope.sum()])]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.forward(self.prepare(x))[1])
+        """Rounded, since the last bits of a matrix product depend on the rows beside a row."""
+        return np.round(_sigmoid(self.forward(self.prepare(x))[1]), 12)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -136,8 +138,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     plain = hashed_sample(known, UNLABELLED).withColumn("positive", F.lit(False)).distinct()
     rows = open_docs.join(F.broadcast(trusted.union(plain)), "doc_id")  # POSITIVES + UNLABELLED rows of two small columns
     found = map_arrow(rows.select("positive", "text"), _featurised, "positive boolean, x array<double>").collect()
-    positive = np.array([r.x for r in found if r.positive])
-    unlabelled = np.array([r.x for r in found if not r.positive])
+    positive, unlabelled = (np.array(sorted(r.x for r in found if r.positive == kind)) for kind in (True, False))
     if not len(positive) or not len(unlabelled):
         return None
     return fit(positive, unlabelled, prior)

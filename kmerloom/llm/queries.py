@@ -17,7 +17,7 @@ def tokenizer_path() -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linecrf.apply_rules(table(spark, sf_dir, "documents"))
+    return linecrf.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

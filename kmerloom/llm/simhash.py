@@ -7,7 +7,8 @@ axis (33 at most): two vectors within distance two always share a cell, their ow
 thus an equi-join on cells, and inside a cell the exact Hamming distance decides.
 
 Cells never emit all their pairs: a cell is searched breadth-first and yields the edges of a spanning forest, at most
-one for each fingerprint. Equal fingerprints are one node from the start, so copies cost nothing here.
+one for each fingerprint; a large cell is searched among the rows that agree in a third of their bits, as all within two
+bits do. Equal fingerprints are one node from the start, so copies cost nothing here.
 
 For whole-document similarity (``near_duplicates``) two bits are far too near: documents that share four fifths of
 their five-word shingles differ in some ten bits of 64. There cells are min-wise sketch bands of the shingle hashes, and
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import map_arrow, raw, slices, splitmix
+from kmerloom.llm.common import column, free_names, map_arrow, raw, slices, splitmix
 from kmerloom.operators.components import connected_components
 from kmerloom.storage import materialize
 
@@ -39,8 +40,8 @@ BANDS, ROWS = 14, 4
 WIDE = 8
 #: Rows of a cell that emits its pairs; a larger one is cut into blocks of so many shingles (or one longer row).
 PAIRED, BLOCK_SHINGLES = 48, 1 << 20
-#: Of _nearest_forest.
-BLOCK, LANDMARKS, NEAREST = 1024, 64, 3
+#: Rows of a grid cell that is searched as it is; a larger one is cut by blocks of the fingerprint.
+CELL = 2048
 
 
 def shingle_hashes(words: list[bytes], k: int) -> bytes:
@@ -130,92 +131,53 @@ def _forest(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _distances(bits: np.ndarray, radius: int) -> np.ndarray:
-    """(n, n) Hamming distances, radius + 1 where they are larger. The Manhattan distance of the popcounts bounds them
-    from below and spares most."""
-    n = len(bits)
-    counts = np.bitwise_count(bits).astype(np.int32)
-    out = np.full((n, n), radius + 1, np.int32)
-    step = max(1, (1 << 16) // n)
-    for a in range(0, n, step):
-        i, j = np.nonzero(np.abs(counts[a : a + step, None] - counts).sum(axis=2) <= radius)
-        out[a + i, j] = np.minimum(np.bitwise_count(bits[a + i] ^ bits[j]).sum(axis=1, dtype=np.int32), radius + 1)
-    return out
-
-
-def _nearest_forest(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges within ``radius`` bits: a minimum spanning forest by Hamming distance (Prim), and from every row to its
-    NEAREST nearest, since the later exact measure may order near distances otherwise.
-
-    A large cell is cut into blocks. Each block includes the landmarks, the rows nearest to the bitwise majority of the
-    cell: of a group of edited copies these are the original and what is closest to it.
-    """
-    n = len(bits)
-    if n > BLOCK + LANDMARKS:
-        majority = np.packbits(2 * _bit_totals(bits) > n, bitorder="little").view("<u8")
-        order = np.argsort(np.bitwise_count(bits ^ majority).sum(axis=1, dtype=np.int32), kind="stable")
-        marks, rest, edges = order[:LANDMARKS], order[LANDMARKS:], set()
-        for a in range(0, len(rest), BLOCK):
-            own = np.concatenate([marks, rest[a : a + BLOCK]])
-            edges.update((int(own[x]), int(own[y])) for x, y in _nearest_forest(bits[own], radius))
-        return sorted(edges)
-    distance = _distances(bits, radius)
-    np.fill_diagonal(distance, radius + 1)
-    k = min(NEAREST, n - 1)
-    nearest = np.argpartition(distance, k - 1, axis=1)[:, :k]
-    rows = np.repeat(np.arange(n), k)
-    near = distance[rows, nearest.ravel()] <= radius
-    edges = set(zip(*(x[near].tolist() for x in (np.minimum(rows, nearest.ravel()), np.maximum(rows, nearest.ravel())))))
-    rest, best, parent = np.arange(1, n), distance[0, 1:].copy(), np.zeros(n - 1, np.int64)
-    while len(rest):
-        i = int(best.argmin())
-        at = int(rest[i])
-        if best[i] <= radius:
-            edges.add((min(at, int(parent[i])), max(at, int(parent[i]))))
-        rest, best, parent = (np.delete(x, i) for x in (rest, best, parent))
-        closer = distance[at, rest] < best
-        best[closer], parent[closer] = distance[at, rest[closer]], at
-    return sorted(edges)
-
-
-def _bit_totals(bits: np.ndarray) -> np.ndarray:
-    """Set bits of each position over all rows, a million bytes at a time."""
-    data = np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), -1)
-    step = max(1, (1 << 20) // data.shape[1])
-    return sum(np.unpackbits(data[a : a + step], axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for a in range(0, len(data), step))
+def _cell_forest(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges with the components of ``_forest`` for one-word rows. A large cell is cut by blocks of the fingerprint: two
+    that differ in ``radius`` bits agree in one of radius + 1 blocks, so searching the rows of equal blocks finds all."""
+    if len(bits) <= CELL:
+        return _forest(bits, radius)
+    edges, width = [], -(-64 // (radius + 1))
+    for shift in range(0, 64, width):
+        block = bits[:, 0] >> np.uint64(shift) & np.uint64((1 << min(width, 64 - shift)) - 1)
+        order = np.argsort(block, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(block[order])) + 1, len(order)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a > 1:
+                own = order[a:b]
+                edges += [(int(own[x]), int(own[y])) for x, y in _forest(bits[own], radius)]
+    return edges
 
 
-def _cell_edges(radius: int, words: int):
-    """Rows (cell, node[, bits]) sorted by cell -> edges inside every cell. One cell's rows are in memory at a time."""
+def _cell_edges(radius: int):
+    """Rows (cell, node) sorted by cell, where nodes are fingerprints -> edges inside every cell. One cell's rows are in
+    memory at a time."""
+
+    def solve(cell: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        bits = node.view(np.uint64)[:, None]
+        cuts = np.flatnonzero(np.diff(cell)) + 1
+        starts, ends = np.r_[0, cuts], np.r_[cuts, len(cell)]
+        two = starts[ends - starts == 2]
+        two = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int32) <= radius]
+        u, v = [node[two]], [node[two + 1]]
+        for a, b in zip(*(x[ends - starts > 2] for x in (starts, ends))):
+            if found := _cell_forest(bits[a:b], radius):
+                pair = np.array(found) + a
+                u.append(node[pair[:, 0]])
+                v.append(node[pair[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, node, bits = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)
-
-        def solve(cell, node, bits):
-            cuts = np.flatnonzero(np.diff(cell)) + 1
-            starts, ends = np.r_[0, cuts], np.r_[cuts, len(cell)]
-            two = starts[ends - starts == 2]
-            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1, dtype=np.int32) <= radius]
-            u, v = [node[two]], [node[two + 1]]
-            for a, b in zip(*(x[ends - starts > 2] for x in (starts, ends))):
-                if found := (_forest if words == 1 else _nearest_forest)(bits[a:b], radius):
-                    pair = np.array(found) + a
-                    u.append(node[pair[:, 0]])
-                    v.append(node[pair[:, 1]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
+        cell, node = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c, x = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            y = x.view(np.uint64)[:, None] if words == 1 else np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, words)
-            cell, node, bits = np.concatenate([cell, c]), np.concatenate([node, x]), np.concatenate([bits, y])
+            cell, node = (np.concatenate([old, batch.column(i).to_numpy(zero_copy_only=False)]) for i, old in enumerate((cell, node)))
             last = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
             if last:
-                yield solve(cell[:last], node[:last], bits[:last])
-                cell, node, bits = cell[last:].copy(), node[last:].copy(), bits[last:].copy()
+                yield solve(cell[:last], node[:last])
+                cell, node = cell[last:].copy(), node[last:].copy()
         if len(cell):
-            yield solve(cell, node, bits)
+            yield solve(cell, node)
 
     return run
 
@@ -224,8 +186,10 @@ def grid_edges(nodes: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v) whose components are those of all pairs of distinct fingerprints ``fp`` within ``radius`` bits."""
     if not 0 <= radius <= 2:
         raise ValueError("the one-step grid covers a radius of two bits at most")
-    cells = nodes.select(F.explode(grid_cells(segment_popcounts(F.col("fp")))).alias("cell"), F.col("fp").alias("node")).where("cell is not null")
-    return map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_edges(radius, 1), "u long, v long")
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.select("fp").repartition(tasks, "fp")  # by number, so that the rows stay spread before they multiply
+    cells = dealt.select(F.explode(grid_cells(segment_popcounts(F.col("fp")))).alias("cell"), F.col("fp").alias("node")).where("cell is not null")
+    return map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_edges(radius), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
@@ -454,12 +418,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all their columns, with one of every group of near-duplicates (see ``near_duplicates``).
 
-    Of repeated rows (equal doc_id and text) one stays.
+    Of repeated rows (equal doc_id and text) one stays. Extra columns may have any names.
     """
+    own, other, sig, n = free_names(docs, "own", "other_id", "sig", "n")
     keep = near_duplicates(docs, shingle_words, similarity).where("keeper")
-    keep = materialize(keep.select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.col("n").alias("__n")), "keepers")
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = own.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sig")))
-    if not keep.where("__n > 1").isEmpty():
-        kept = kept.where("__n = 1").union(kept.where("__n > 1").dropDuplicates(["__id", "__sig"]))
-    return kept.select(docs.columns)
+    keep = materialize(keep.select(F.col("doc_id").alias(other), F.col("sig").alias(sig), F.col("n").alias(n)), "keepers")
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = hashed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(own) == F.col(sig)))
+    if not keep.where(F.col(n) > 1).isEmpty():
+        kept = kept.where(F.col(n) == 1).union(kept.where(F.col(n) > 1).dropDuplicates([other, sig]))
+    return kept.select(*(column(c) for c in docs.columns))

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.common import map_arrow, raw, slices
 
-#: Pre-tokens whose counts a Python worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+#: Bytes that remembered pre-tokens may take in a Python worker, of which each takes some ENTRY beside its own; beyond, the
+#: worker starts anew. Longer pre-tokens than LONGEST are counted wherever they occur.
+REMEMBERED, ENTRY, LONGEST = 64 << 20, 130, 1 << 10
 
 
 @functools.cache
@@ -90,39 +91,53 @@ class Trie:
         return pieces[path[-1]]
 
 
-_remembered: dict[str, dict[bytes, int]] = {}
+class Memory:
+    """Counts of pre-tokens, bounded in bytes."""
+
+    def __init__(self, suffixes: dict, limit: int):
+        self.suffixes, self.limit, self.size, self.counts = suffixes, limit, 0, {}
+
+    def count(self, texts: list[list[bytes]]) -> list[int]:
+        """Tokens of every text, given as its pre-tokens."""
+        distinct = set().union(*texts)
+        new = distinct.difference(self.counts)
+        size = sum(map(len, new)) + ENTRY * len(new)
+        if self.size + size > self.limit:
+            self.counts, self.size, new = {}, 0, distinct
+            size = sum(map(len, new)) + ENTRY * len(new)
+        trie = Trie(self.suffixes)
+        for w in sorted(new):
+            self.counts[w] = trie.insert(b" " + w)
+        self.size += size
+        tokens = [sum(map(self.counts.__getitem__, ws)) for ws in texts]
+        for w in new:
+            if len(w) > LONGEST:
+                self.size -= len(w) + ENTRY
+                del self.counts[w]
+        return tokens
 
 
 @functools.cache
-def _suffixes(path: str) -> dict:
-    return suffix_tree(unigram_scores(path))
+def _memory(path: str, limit: int) -> Memory:
+    return Memory(suffix_tree(unigram_scores(path)), limit)
 
 
-def _count(path: str):
+def _count(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes = _suffixes(path)
-        known = _remembered.setdefault(path, {})
+        memory = _memory(path, limit)
         for batch in slices(batches):
             words = [(t or b"").split() for t in raw(batch)]
-            new = set().union(*words).difference(known)
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set().union(*words)
-            trie = Trie(suffixes)
-            for w in sorted(new):
-                known[w] = trie.insert(b" " + w)
-            tokens = [sum(map(known.__getitem__, ws)) for ws in words]
-            columns = [batch.column("doc_id"), pa.array(map(len, words), pa.int64()), pa.array(tokens, pa.int64())]
+            columns = [batch.column("doc_id"), pa.array(map(len, words), pa.int64()), pa.array(memory.count(words), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pretokens", "n_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, remembered: int = REMEMBERED) -> DataFrame:
     """One row per input row: doc_id, n_pretokens, n_tokens.
 
     Pre-tokens are the runs other than space and 09-0D, each with one space in front. Null, empty and blank texts
     count 0. Repeated rows and null doc_ids are counted like any other; an empty table gives an empty result; other
     columns are ignored.
     """
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _count(vocabulary), "doc_id long, n_pretokens long, n_tokens long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _count(vocabulary, remembered), "doc_id long, n_pretokens long, n_tokens long")

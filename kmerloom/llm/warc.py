@@ -1,9 +1,12 @@
 """WARC records in ZIP archives: a writer, and a reader that fetches records by byte range without extraction.
 
-An archive is a ZIP file whose members are stored, not deflated: ``archive/data.warc.gz`` (one gzip member per record)
-and ``indexes/index.cdx`` (a JSON line per record: offset and length inside the first member). The reader looks for the
-end-of-central-directory record at the tail, follows its ZIP64 locator if there is one, walks the central directory,
-finds where each stored member's bytes begin and then reads index and records by range.
+The writer's archives are ZIP files whose members are stored, not deflated: ``archive/data.warc.gz`` (one gzip member
+per record) and ``indexes/index.cdx`` (a JSON line per record: offset and length inside the first member). The reader
+looks for the end-of-central-directory record at the tail, follows its ZIP64 locator if there is one, walks the central
+directory and finds where each member's bytes begin. Of any package it takes the members under ``archive/`` that are WARC
+files and those under ``indexes/`` that are indexes, of whatever names and however many; other members (page lists, logs)
+may be deflated and are never read. Index lines hold a JSON object, behind a key and a time stamp or alone. Records
+are read by range; members without an index entry are walked record by record.
 
 Archives are written to the folder the cluster shares, under names of their own for every task attempt; only names in
 the returned manifest count, so a repeated or lost attempt leaves nothing but an unread file.
@@ -14,10 +17,12 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,6 +36,9 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Payload bytes after which a task begins another archive.
 ARCHIVE_BYTES = 32 << 20
 U32, U16 = 0xFFFFFFFF, 0xFFFF
+#: Members that hold records, and those that say where: names in web archive packages.
+ARCHIVES, INDEXES = re.compile(r"^archive/.*\.warc(\.gz)?$"), re.compile(r"^indexes/.*\.(cdxj?|idx)(\.gz)?$")
+STORED, DEFLATED = 0, 8
 #: Signatures of the ZIP format: fixed values.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 
@@ -61,11 +69,17 @@ def zip_bytes(members: list[tuple[str, list[bytes]]], zip64: bool = False) -> It
     yield END + struct.pack("<4H2LH", 0, 0, U16 if big else n, U16 if big else n, U32 if big else len(central), U32 if big else at, 0)
 
 
-def zip_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple[int, int]]:
-    """Name -> (first byte, length) of every stored member, from the directory alone. read(offset, length) gives bytes.
+class Member(NamedTuple):
+    """Where the bytes of a ZIP member lie: they are its content if the method is STORED."""
 
-    Raises ValueError for a file without an end record and for deflated or encrypted members, which have no byte range.
-    """
+    start: int
+    length: int
+    method: int = STORED
+
+
+def zip_members(read: Callable[[int, int], bytes], size: int) -> dict[str, Member]:
+    """The members by name, encrypted ones left out, from directory and local headers alone. read(offset, length) gives
+    bytes. Raises ValueError for a file without an end record or with a broken directory."""
     tail_at = max(0, size - 22 - U16)
     tail = read(tail_at, size - tail_at)
     at = tail.rfind(END)
@@ -94,12 +108,11 @@ def zip_members(read: Callable[[int, int], bytes], size: int) -> dict[str, tuple
                 packed = next(wide) if packed == U32 else packed
                 header = next(wide) if header == U32 else header
             k += 4 + many
-        if method or flags & 1:
-            raise ValueError(f"member {name} isn't stored plainly")
-        local = read(header, 30)
-        if local[:4] != LOCAL:
-            raise ValueError(f"no local header for {name}")
-        found[name] = (header + 30 + sum(struct.unpack_from("<26xHH", local)), whole)
+        if not flags & 1 and not name.endswith("/"):
+            local = read(header, 30)
+            if local[:4] != LOCAL:
+                raise ValueError(f"no local header for {name}")
+            found[name] = Member(header + 30 + sum(struct.unpack_from("<26xHH", local)), packed, method)
         at += 46 + names + extras + comments
     return found
 
@@ -130,14 +143,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (names in lower case) and block of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, *lines = head.decode("utf-8", "replace").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     return fields, rest[: int(fields["content-length"])]
 
 
-def _write(root: str):
+def _write(root: str, limit: int = ARCHIVE_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
@@ -158,7 +171,7 @@ def _write(root: str):
                 chunks.append(packed)
                 index.append(json.dumps({"url": url, "offset": at, "length": len(packed)}) + "\n")
                 at, size = at + len(packed), size + len(payload)
-                if size >= ARCHIVE_BYTES:
+                if size >= limit:
                     yield close()
                     chunks, index, size, at = [], [], 0, 0
         if index:
@@ -177,13 +190,81 @@ def open_archive(store: fs.FileSystem, name: str):
     return read, zip_members(read, source.size())
 
 
+def _lines(read: Callable[[int, int], bytes], member: Member) -> list[bytes]:
+    """The lines of an index, which may be deflated, gzipped or both."""
+    data = read(member.start, member.length)
+    if member.method == DEFLATED:
+        data = zlib.decompress(data, -15)
+    return (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).splitlines()
+
+
+def _walk(read: Callable[[int, int], bytes], member: Member, block: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records of a member without an index: of its gzip members, or by their Content-Length."""
+    at, end = 0, member.length
+    while at < end:
+        if read(member.start + at, 2) == b"\x1f\x8b":
+            unzip, to = zlib.decompressobj(31), at
+            while not unzip.eof and to < end:
+                piece = read(member.start + to, min(block, end - to))
+                unzip.decompress(piece)
+                to += len(piece)
+            length = to - at - len(unzip.unused_data)
+        else:
+            head, size = b"", 0
+            while b"\r\n\r\n" not in head and len(head) < end - at:
+                size = min(end - at, size + 4096)
+                head = read(member.start + at, size)
+            blank = head.find(b"\r\n\r\n") + 4
+            found = re.search(rb"(?i)\r\ncontent-length: *([0-9]+)", head[:blank])
+            if not found:
+                raise ValueError("a WARC record has no Content-Length")
+            length = blank + int(found[1]) + 4
+        yield at, min(length, end - at)
+        at += length
+
+
+def entries(store: fs.FileSystem, name: str) -> Iterator[tuple[str, int, int]]:
+    """(member, offset, length) of every record of an archive, in the order of its indexes.
+
+    An entry without a file name belongs to the only WARC member. Members that no entry names are walked. A deflated
+    WARC member has no byte ranges and raises ValueError.
+    """
+    read, members = open_archive(store, name)
+    archives = {n: m for n, m in members.items() if ARCHIVES.match(n)}
+    if packed := sorted(n for n, m in archives.items() if m.method != STORED):
+        raise ValueError(f"{name}: {packed[0]} isn't stored, so its records have no byte range")
+    seen, done = set(), set()
+    for index in sorted(n for n in members if INDEXES.match(n)):
+        for line in _lines(read, members[index]):
+            at = line.find(b"{")
+            entry = json.loads(line[at:]) if at >= 0 else {}
+            if "offset" not in entry or "length" not in entry:
+                continue  # a header, or a line of an index over indexes
+            file = entry.get("filename")
+            own = next((n for n in archives if n in (file, f"archive/{file}")), None) if file else next(iter(archives), None)
+            if own is None or not file and len(archives) > 1:
+                raise ValueError(f"{name}: {index} names no WARC member of this package")
+            found = (own, int(entry["offset"]), int(entry["length"]))
+            done.add(own)
+            if found not in seen:
+                seen.add(found)
+                yield found
+    for own, member in archives.items():
+        if own not in done:
+            yield from ((own, at, length) for at, length in _walk(read, member))
+
+
+def read_entry(read: Callable[[int, int], bytes], members: dict[str, Member], member: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """Header fields and block of one record, by a range read."""
+    data = read(members[member].start + offset, length)
+    return parse_record(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+
+
 def records(store: fs.FileSystem, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive in the order of its index, each by a range read of its own."""
+    """The records of an archive in the order of its indexes, each by a range read of its own."""
     read, members = open_archive(store, name)
-    start, _ = members[DATA]
-    for line in read(*members[INDEX]).splitlines():
-        entry = json.loads(line)
-        yield parse_record(gzip.decompress(read(start + entry["offset"], entry["length"])))
+    for entry in entries(store, name):
+        yield read_entry(read, members, *entry)
 
 
 def _read(root: str):
@@ -227,6 +308,40 @@ def read_archives(manifest: DataFrame, root: str) -> DataFrame:
     return map_arrow(manifest.select("archive").repartition(manifest.sparkSession.sparkContext.defaultParallelism), _read(root), schema)
 
 
+def read_packages(packages: DataFrame, root: str) -> DataFrame:
+    """(archive, member, offset, record_type, record_id, target_uri, fields, block): a row per record of web archive
+    packages of any origin; packages has the column archive, names on the file system of root.
+
+    Entries are found first and then dealt over all tasks, so the records of one large package are read by many.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name in batch.column("archive").to_pylist():
+                found = list(zip(*entries(store, name))) or [(), (), ()]
+                columns = [pa.array([name] * len(found[0]), pa.string()), *(pa.array(c, t) for c, t in zip(found, (pa.string(), pa.int64(), pa.int64())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["archive", "member", "offset", "length"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(root)
+        name, opened = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["archive"] != name:
+                    name, opened = row["archive"], open_archive(store, row["archive"])
+                fields, block = read_entry(*opened, row["member"], row["offset"], row["length"])
+                known = [fields.get(k) for k in ("warc-type", "warc-record-id", "warc-target-uri")]
+                columns = [pa.array([x]) for x in (row["archive"], row["member"], row["offset"])] + [pa.array([x], pa.string()) for x in known]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([list(fields.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], names=names)
+
+    names = ["archive", "member", "offset", "record_type", "record_id", "target_uri", "fields", "block"]
+    tasks = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = map_arrow(packages.select("archive").repartition(tasks, "archive"), find, "archive string, member string, offset long, length long")
+    dealt = found.repartition(tasks, "archive", "member", "offset").sortWithinPartitions("archive", "member", "offset")
+    return map_arrow(dealt, fetch, "archive string, member string, offset long, record_type string, record_id string, target_uri string, fields map<string, string>, block binary")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages' archives to the shared folder and read them back."""
     root = new_path(pages.sparkSession, "archives")

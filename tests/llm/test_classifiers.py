@@ -63,6 +63,29 @@ def test_quality_rules(spark):
     out = queries.op1_quality_rules(spark, SF).join(table(spark, SF, "labels"), "doc_id").where("not base_failed").collect()
     assert np.mean([r.kept for r in out if r.quality == 1]) > 0.98
     assert np.mean([r.kept for r in out if r.quality == 0]) < 0.2
+    labels = table(spark, SF, "labels")
+    chain = linecrf.train(table(spark, SF, "documents"), labels)
+    again = linecrf.train(table(spark, SF, "documents").repartition(5), labels.repartition(3))
+    assert (chain.emit == again.emit).all() and (chain.move == again.move).all()
+    rng = random.Random(4)
+    lines = ["the plain words of an ordinary line of text, as they come.", "BUY!! NOW!! CHEAP!!", "home | about | news | more", "a a a a a a a a", "### $$$ ***", ""]
+    docs = [(i, "\n".join(rng.choice(lines[: rng.randrange(1, 7)]) for _ in range(rng.randrange(1, 11)))) for i in range(60)]
+    kinds = set()
+    for r in linecrf.apply_rules(spark.createDataFrame([(*d, "x") for d in docs], SCHEMA), labels.limit(0), 1, 100).collect():
+        kinds.add(r.kept)
+    assert kinds == {True, False}
+    found = linecrf.apply_rules(table(spark, SF, "documents"), labels, 1, 100).collect()
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    flips = 0
+    for r in found:
+        features, sizes = linecrf.document_lines(texts[r.doc_id].encode())
+        if 0 < len(features) <= 10:
+            e = np.array(features) @ chain.emit
+            best = max(itertools.product((0, 1), repeat=len(e)), key=lambda y: sum(e[i, k] for i, k in enumerate(y)) + sum(chain.move[a, b] for a, b in zip(y, y[1:])))
+            share = sum(n for n, k in zip(sizes, best) if k == linecrf.CONTENT) / sum(sizes)
+            assert r.content_share == pytest.approx(share) and r.kept == (not r.base_failed and share >= 0.5)
+            flips += sum(k != int(a < b) for k, (a, b) in zip(best, e))
+    assert flips > 0  # the chain decides lines against their own scores
     odd = linecrf.apply_rules(spark.createDataFrame(ODD, SCHEMA)).collect()
     assert len(odd) == len(ODD) and not any(r.kept for r in odd) and all(r.base_failed for r in odd)
     assert linecrf.apply_rules(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -85,6 +108,54 @@ def test_language(spark):
     assert langid.identify(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_rare_language(spark):
+    """Eight rows of one language among thousands of another are learned."""
+    rng = random.Random(6)
+    en, fi = "the of and to in is that for it was with as on by".split(), "ja on ei se että hän oli mutta niin kuin tämä joka yli".split()
+    say = lambda words: " ".join(rng.choice(words) + rng.choice(["", rng.choice(words)]) for _ in range(60))
+    rows = [(i, say(fi if i < 8 else en), "fi" if i < 8 else "en") for i in range(6000)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i] for i in range(8)] == ["fi"] * 8
+    assert sum(got[i] == "en" for i in range(8, 6000)) > 5980
+
+
+def test_equal_languages_go_by_name():
+    net = langid.Network(["b", "c", "a"])
+    for w in net.parameters():
+        w[:] = 0
+    assert net.logits(langid.windows(b"text"), net.tables()).argmax(axis=1).tolist() == [0]
+    assert langid.fit([("c", b"x"), ("a", b"x"), ("b", b"x")]).languages == ["a", "b", "c"]
+
+
+def brute_features(text):
+    """The quality classifier's features, one by one."""
+    data = text.encode()
+    words, lines = data.split(), [x for x in data.split(b"\n") if x.strip()]
+    n, upper, lower, wide = len(words), sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data), sum(b >= 128 for b in data)
+    letters = max(1, upper + lower + wide)
+    entropy = -sum(data.count(b) / len(data) * np.log(data.count(b) / len(data)) for b in set(data))
+    return [
+        np.log(n + 1), upper / letters, text.count("!") / n, sum(c in "#*$%&|<>" for c in text) / n, text.count("|") / n, sum(c in "0123456789" for c in text) / len(data),
+        (text.count(",") + text.count(".")) / n, wide / len(data), letters / len(data), len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+        sum(len(w) for w in words) / n, entropy, len(lines) / n, sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / len(lines),
+        sum(x.isupper() for x in lines) / len(lines), sum(b" | " in x for x in lines) / len(lines), len(set(lines)) / len(lines),
+    ]
+
+
+def test_quality_features_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(100):
+        text = "".join(rng.choice(["a ", "Bc ", "é", "\n", "#", "12 ", "X! ", " | ", ".\n", ", ", "日本 "]) for _ in range(rng.randrange(1, 60)))
+        if text.split():
+            assert puquality.features(text.encode()).tolist() == pytest.approx(brute_features(text))
+
+
+def test_quality_scores_do_not_depend_on_partitions(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    one, two = (dict(map(lambda r: (r.doc_id, r.score), puquality.score_documents(docs.repartition(n), labels.repartition(n)).collect())) for n in (1, 6))
+    assert one == two
+
+
 def test_folded_tables_equal_plain_convolution():
     net = langid.Network(["a", "b"])
     rng = np.random.default_rng(1)
@@ -151,6 +222,6 @@ def test_line_crf_is_fitted_on_lines_from_anywhere(spark):
     assert [len(r) for r in linecrf.sampled_runs(("line of text\n" * 4000).encode())] == [linecrf.LINES] * linecrf.RUNS and len(long) == 4000
     last = [any(f == linecrf.document_lines(t.encode())[0][-1] for r in linecrf.sampled_runs(t.encode()) for f in r) for t in (f"{i}\n" + "a b c\n" * 500 + "THE LAST LINE" for i in range(100))]
     assert 10 < sum(last) < 60
-    chain = linecrf.train(spark.createDataFrame([(i, f"{i} {text}", "") for i in range(50)], "doc_id long, text string, x string"))
+    chain = linecrf.train(spark.createDataFrame([(i, f"{i} {text}", "") for i in range(50)], "doc_id long, text string, x string"))  # seed labels
     bars = np.array(linecrf.document_lines(b"| MENU 1 | HOME | ### |")[0]) @ chain.emit
     assert bars[0, linecrf.BOILERPLATE] > bars[0, linecrf.CONTENT]

@@ -88,3 +88,17 @@ def test_repeats_and_empty(spark):
     assert sorted((r.doc_id or -1, r.length) for r in out) == [(-1, 2), (5, 3), (5, 3)]
     assert len({(r.sequence_id, r.offset) for r in out}) == 3
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_equal_pieces_fall_in_different_groups(spark):
+    """A third of all rows have no id and one text."""
+    rows = [(None, "the same text of a row without an id", "x")] * 400 + [(i, f"text {i} " * (i % 9 + 1), "x") for i in range(800)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, extra string"), PATH, 64, 100).collect()
+    alone = [r for r in got if r.doc_id is None]
+    assert len(alone) == 400 and len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert len({r.sequence_id >> 32 for r in alone}) >= 8
+    used = defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 64

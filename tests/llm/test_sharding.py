@@ -45,6 +45,31 @@ def test_null_ids_repeats_and_empty(spark):
     assert sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def brute_differencing(parts):
+    """Karmarkar-Karp on sorted lists of (sum, members), the two of largest spread first (the earlier of equals)."""
+    k = len(parts[0])
+    todo = [(sorted(((s, [(i, c)]) for c, s in enumerate(p)), key=lambda x: -x[0]), i) for i, p in enumerate(parts)]
+    at = len(todo)
+    while len(todo) > 1:
+        todo.sort(key=lambda x: (x[0][-1][0] - x[0][0][0], x[1]))
+        (a, _), (b, _), *todo = todo
+        merged = [(a[j][0] + b[k - 1 - j][0], a[j][1] + b[k - 1 - j][1]) for j in range(k)]
+        todo.append((sorted(merged, key=lambda x: -x[0]), at))
+        at += 1
+    return {cell: j for j, (_, members) in enumerate(todo[0][0]) for cell in members}
+
+
+def test_differencing_equals_plain_karmarkar_karp():
+    rng = np.random.default_rng(3)
+    for n, k, full in ((1, 3, False), (9, 2, False), (30, 3, False), (40, 5, True), (25, 8, True)):
+        parts = rng.integers(1, 1000, (n, k))
+        if not full:
+            parts[:, 1:] = 0
+        parts[: n // 3] = parts[0]  # ties
+        got, want = sharding.difference(parts), brute_differencing(parts.tolist())
+        assert all(got[i, c] == want[i, c] for i in range(n) for c in range(k) if parts[i, c])
+
+
 def test_differencing_on_a_known_case():
     # 8 7 6 5 4 into two: differencing leaves a difference of two
     parts = np.array([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]])

@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from kmerloom.llm import simhash
+from kmerloom.operators.components import lowest_reachable
 
 SCHEMA = "doc_id long, text string, extra string"
 
@@ -97,52 +98,25 @@ def test_forest_of_a_large_cell():
     assert all(np.bitwise_count(bits[a] ^ bits[b]).sum() <= 2 for a, b in edges)
 
 
-def test_nearest_forest_keeps_what_any_threshold_connects():
+def test_large_cell_is_cut_by_blocks(monkeypatch):
+    """The components of all pairs within the radius, in a cell beyond the bound."""
     rng = np.random.default_rng(6)
-    base = rng.integers(0, 1 << 63, (12, 8), dtype=np.uint64)
-    bits = np.repeat(base, 15, axis=0)
-    for _ in range(25):
-        at = rng.integers(0, 8, len(bits))
-        bits[np.arange(len(bits)), at] ^= np.uint64(1) << rng.integers(0, 64, len(bits), dtype=np.uint64)
-    edges = simhash._nearest_forest(bits, 90)
-    distance = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=int)
-
-    def groups(pairs):
-        parent = list(range(len(bits)))
-
-        def root(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in pairs:
-            parent[root(a)] = root(b)
-        return [[root(a) == root(b) for b in range(len(bits))] for a in range(len(bits))]
-
-    for limit in (20, 30, 40, 90):
-        want = groups([(a, b) for a in range(len(bits)) for b in range(a) if distance[a, b] <= limit])
-        assert groups([(a, b) for a, b in edges if distance[a, b] <= limit]) == want
-
-
-def test_nearest_forest_of_a_hot_cell():
-    """Thousands of edited copies whose mutual distances exceed the radius, though each is near the original."""
-    rng = np.random.default_rng(7)
-    original = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
-    bits = np.repeat(original[None], 5000, axis=0)
-    for _ in range(70):
-        bits[np.arange(1, 5000), rng.integers(0, 8, 4999)] ^= np.uint64(1) << rng.integers(0, 64, 4999, dtype=np.uint64)
-    edges = simhash._nearest_forest(bits, 80)
-    assert len(edges) < 4 * 5000
-    seen, todo, near = {0}, [0], {}
-    for a, b in edges:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    while todo:
-        for b in near.get(todo.pop(), []):
-            if b not in seen:
-                seen.add(b)
-                todo.append(b)
-    assert len(seen) == 5000
+    bits = np.unique(np.repeat(rng.integers(0, 1 << 63, 150, dtype=np.uint64), 20) ^ (np.uint64(1) << rng.integers(0, 64, 3000, dtype=np.uint64)))[:, None]
+    bits[::7] ^= np.uint64(1) << rng.integers(0, 64, len(bits[::7]), dtype=np.uint64)[:, None]
+    assert len(bits) > simhash.CELL
+    for radius in (0, 1, 2):
+        near = np.bitwise_count(bits[:, 0][:, None] ^ bits[:, 0]) <= radius
+        want, got = (lowest_reachable(*np.array(x, np.int64).reshape(-1, 2).T) for x in (np.argwhere(near & ~np.eye(len(bits), dtype=bool)), simhash._cell_forest(bits, radius)))
+        assert all((x == y).all() for x, y in zip(want, got)) and len(got[0]) > (0 if radius else -1)
+
+
+def test_clashing_names(spark):
+    names = ["own", "OTHER_ID", "sig", "n", "node", "cells", "__own", "__id", "__sig", "a.b", "x`y"]
+    rows = [(i, f"the same words for all of {i % 2}", *range(len(names))) for i in range(4)] + [(0, "the same words for all of 0", *range(len(names)))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = simhash.drop_near_duplicates(df, similarity=0.99)
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == rows[:2]
 
 
 def test_empty_table_and_null_ids(spark):

@@ -9,6 +9,7 @@ from kmerloom.llm import tokencount as t
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCORES = t.unigram_scores(PATH)
+SUFFIXES = t.suffix_tree(SCORES)
 
 
 def brute(word, scores):
@@ -23,13 +24,13 @@ def brute(word, scores):
 @settings(deadline=None, max_examples=80)
 @given(st.sets(st.binary(max_size=14), max_size=20))
 def test_trie_equals_dynamic_programming(words):
-    trie = t.Trie(t._suffixes(PATH))
+    trie = t.Trie(SUFFIXES)
     for w in sorted(words):
         assert trie.insert(w) == brute(w, SCORES)
 
 
 def test_prefixes_are_computed_once():
-    trie = t.Trie(t._suffixes(PATH))
+    trie = t.Trie(SUFFIXES)
     words = sorted({b" thing", b" things", b" thinking", b" th", b" other"})
     for w in words:
         trie.insert(w)
@@ -37,7 +38,7 @@ def test_prefixes_are_computed_once():
     assert len(trie.terminal) == len(words)
 
 
-def test_counts(spark, monkeypatch):
+def test_counts(spark):
     rng = random.Random(1)
     rows = [(0, None, "x"), (1, "", "x"), (2, " \n", "x"), (3, "naïve\tcafé \x0bend", "x"), (4, "a" * 3000, "x"), (None, "the the", "x"), (5, "the", "x"), (5, "the", "x")]
     rows += [(i, " ".join(rng.choice(["the", "thing", "wälder", "x1", "unlikelyword"]) for _ in range(50)), "x") for i in range(6, 40)]
@@ -45,3 +46,16 @@ def test_counts(spark, monkeypatch):
     want = sorted((i or -1, len((s or "").encode().split()), sum(brute(b" " + w, SCORES) for w in (s or "").encode().split())) for i, s, _ in rows)
     assert sorted((r.doc_id or -1, r.n_pretokens, r.n_tokens) for r in t.token_counts(df, PATH).collect()) == want
     assert t.token_counts(df.limit(0), PATH).count() == 0
+    for limit in (0, 2000):  # the memory is emptied all the time
+        assert sorted((r.doc_id or -1, r.n_pretokens, r.n_tokens) for r in t.token_counts(df, PATH, limit).collect()) == want
+
+
+def test_memory_is_bounded_in_bytes():
+    rng = random.Random(2)
+    memory = t.Memory(SUFFIXES, 20_000)
+    for _ in range(60):
+        texts = [[rng.randbytes(rng.choice([3, 300, 1500])) for _ in range(rng.randrange(9))] for _ in range(3)]
+        assert memory.count(texts) == [sum(brute(b" " + w, SCORES) for w in ws) for ws in texts]
+        held = sum(len(w) + t.ENTRY for w in memory.counts)
+        assert held == memory.size and all(len(w) <= t.LONGEST for w in memory.counts)
+        assert held <= 20_000 + sum(len(w) + t.ENTRY for ws in texts for w in ws)

@@ -1,8 +1,11 @@
+import gzip
 import hashlib
 import io
+import json
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 
@@ -23,7 +26,7 @@ def test_own_archives_open_with_zipfile_and_own_reader(zip64):
         assert z.testzip() is None
         assert {n: z.read(n) for n in z.namelist()} == {n: b"".join(c) for n, c in members}
     found = warc.zip_members(reader(data), len(data))
-    assert {n: data[a : a + k] for n, (a, k) in found.items()} == {n: b"".join(c) for n, c in members}
+    assert {n: data[a : a + k] for n, (a, k, _) in found.items()} == {n: b"".join(c) for n, c in members}
 
 
 def test_foreign_archives():
@@ -36,15 +39,60 @@ def test_foreign_archives():
     data = buffer.getvalue()
     found = warc.zip_members(reader(data), len(data))
     assert data[found["big"][0] :][: found["big"][1]] == b"data" * 50
-    deflated = io.BytesIO()
-    with zipfile.ZipFile(deflated, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("x", b"hello" * 99)
-    with pytest.raises(ValueError, match="stored"):
-        warc.zip_members(reader(deflated.getvalue()), len(deflated.getvalue()))
     with pytest.raises(ValueError, match="not a ZIP"):
         warc.zip_members(reader(b"junk" * 30), 120)
 
 
+def foreign_package(path, pages, gzipped, indexed, method=zipfile.ZIP_STORED):
+    """A package as other tools write it: two WARC files, a deflated page list, indexes of two kinds. pages: (uri, body)."""
+    files, lines = {"one": [], "two": []}, []
+    for i, (uri, body) in enumerate(pages):
+        name = f"{'one' if i % 3 else 'two'}"
+        text = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        data = gzip.compress(text) if gzipped else text
+        entry = {"url": uri, "offset": str(sum(map(len, files[name]))), "length": len(data), "filename": f"{name}.warc{'.gz' * gzipped}"}
+        files[name].append(data)
+        lines.append(f"com,example)/{i} 20240101000000 {json.dumps(entry)}\n")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("pages/pages.jsonl", '{"format": "json-pages-1.0"}\n' * 500, zipfile.ZIP_DEFLATED)
+        for name, data in files.items():
+            z.writestr(f"archive/{name}.warc{'.gz' * gzipped}", b"".join(data), method)
+        if indexed:
+            z.writestr("indexes/a.cdx.gz", gzip.compress("".join(lines[::2]).encode()))
+            z.writestr("indexes/b.cdxj", "".join(["!meta\n", *lines[1::2], *lines[:2]]), zipfile.ZIP_DEFLATED)
+        z.writestr("datapackage.json", "{}" * 99, zipfile.ZIP_DEFLATED)
+
+
+@pytest.mark.parametrize("gzipped,indexed", [(True, True), (True, False), (False, True), (False, False)])
+def test_packages_of_other_tools(spark, tmp_path, gzipped, indexed):
+    rng = random.Random(3)
+    pages = [(f"http://example.com/{i}", rng.randbytes(rng.choice([0, 10, 9000]))) for i in range(40)]
+    for k in range(2):
+        foreign_package(tmp_path / f"{k}.wacz", pages[20 * k : 20 * k + 20], gzipped, indexed)
+    names = spark.createDataFrame([(str(tmp_path / f"{k}.wacz"),) for k in range(2)], "archive string")
+    got = warc.read_packages(names, f"file://{tmp_path}").collect()
+    assert sorted((r.target_uri, bytes(r.block)) for r in got) == sorted(pages)
+    assert {(r.record_type, r.fields["warc-type"]) for r in got} == {("response", "response")}
+    assert {r.member for r in got} == {f"archive/{x}.warc{'.gz' * gzipped}" for x in ("one", "two")}
+
+
+def test_deflated_records_have_no_range(tmp_path):
+    foreign_package(tmp_path / "x.wacz", [("u", b"body")] * 4, False, True, zipfile.ZIP_DEFLATED)
+    with pytest.raises(ValueError, match="isn't stored"):
+        list(warc.entries(fs.LocalFileSystem(), str(tmp_path / "x.wacz")))
+
+
+def test_a_task_begins_other_archives(tmp_path):
+    """More payload than an archive holds; null urls and payloads of any size."""
+    write = warc._write(f"file://{tmp_path}/many", limit=20_000)
+    rows = [(i, None, "x" * (i * 997 % 9000), "d", None) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "html", "digest", "refers_to"])
+    manifest = [(r["archive"], r["records"]) for b in write(iter([batch])) for r in b.to_pylist()]
+    assert len(manifest) > 5 and sum(n for _, n in manifest) == 40
+    found = [x for name, _ in manifest for x in warc.records(fs.LocalFileSystem(), name)]
+    assert [body.decode() for _, body in found] == [html for _, _, html, _, _ in rows]
+
+
 def expected(rows):
     sha = lambda h: hashlib.sha1((h or "").encode()).hexdigest()
     top = {}
