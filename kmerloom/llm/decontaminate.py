@@ -1,10 +1,12 @@
 """Benchmark decontamination by SimHash windows of item size and multi-index Hamming search.
 
 An item of n words is looked for in every n-word window of a document (the whole of a shorter one). Windows and items
-have SimHash fingerprints over their word shingles; fingerprints within ``RADIUS`` bits are found by a multi-index: they
-are cut into ``BLOCKS`` blocks, and two fingerprints within the radius must have a block that differs in at most
-RADIUS // BLOCKS bits, so looking up each block's neighbourhood finds all of them. Candidates are then verified exactly:
-the weighted Jaccard similarity of the two shingle multisets, weights being multiplicities.
+have SimHash fingerprints of 256 bits over their word shingles, and those within ``RADIUS`` bits are found by a
+multi-index. Fingerprints are cut into 32 blocks of eight bits. Two within the radius can't have more than 21 blocks that
+differ in three bits or more, so at least ``AGREE`` of their blocks differ in two or fewer: looking up each block's
+neighbourhood of two bits and counting finds them all, while of unrelated fingerprints three in a thousand get so many.
+Candidates within the radius are then verified exactly: the weighted Jaccard similarity of the two shingle multisets,
+weights being multiplicities. At a similarity of 0.8 fingerprints differ in 39 bits on average, with a deviation of six.
 
 Two multisets of n and m shingles reach similarity s only if they have s * (n + m) / (1 + s) shingles in common. Windows
 with fewer shingles that occur in items of their size are therefore skipped, which loses no match and spares clean text.
@@ -26,11 +28,17 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.common import map_arrow, slices, splitmix
 
-BLOCKS, WIDTH, RADIUS = 8, 8, 23
+WORDS, BLOCKS, REACH, RADIUS = 4, 32, 2, 63
+#: Blocks within REACH that fingerprints within RADIUS have at least.
+AGREE = BLOCKS - RADIUS // (REACH + 1)
+MASKS = np.array([sum(1 << i for i in c) for r in range(REACH + 1) for c in itertools.combinations(range(8), r)], np.uint8)
 #: Items of a run: larger benchmarks are searched in blocks of so many bytes, each in a pass of its own.
 ITEM_BYTES = 16 << 20
+#: Windows of a document that are fingerprinted at a time.
+WINDOWS = 1024
 PUNCTUATION = string.punctuation.encode()
-ONE, HALF = np.uint64(1), np.uint64(32)
+HALF = np.uint64(32)
+FACTORS = np.array([splitmix(100 + i) | 1 for i in range(WORDS)], np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -54,30 +62,36 @@ def shingle_codes(words: list[bytes], k: int) -> np.ndarray:
 
 
 def fingerprints(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the windows of ``size`` shingles at ``starts``, by prefix sums of bits."""
-    bits = np.unpackbits(np.ascontiguousarray(codes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.zeros((len(codes) + 1, 64), np.int32)
+    """SimHash of the windows of ``size`` shingles at ``starts``, by prefix sums of bits: (windows, BLOCKS) bytes."""
+    wide = (codes ^ codes >> np.uint64(29))[:, None] * FACTORS
+    wide ^= wide >> HALF
+    bits = np.unpackbits(np.ascontiguousarray(wide, "<u8").view(np.uint8).reshape(-1, BLOCKS), axis=1, bitorder="little")
+    sums = np.zeros((len(codes) + 1, 8 * BLOCKS), np.int32)
     np.cumsum(bits, axis=0, out=sums[1:])
-    return np.packbits(2 * (sums[starts + size] - sums[starts]) > size, axis=1, bitorder="little").view("<u8")[:, 0]
+    return np.packbits(2 * (sums[starts + size] - sums[starts]) > size, axis=1, bitorder="little")
 
 
 class MultiIndex:
-    """Fingerprints by the values of their blocks; a query probes every value within RADIUS // BLOCKS bits of its own."""
-
-    def __init__(self, fingerprints: list[int]):
-        self.fingerprints = np.array(fingerprints, np.uint64)
-        self.tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-        for i, f in enumerate(fingerprints):
-            for b, t in enumerate(self.tables):
-                t[f >> WIDTH * b & (1 << WIDTH) - 1].append(i)
-        reach = RADIUS // BLOCKS
-        self.masks = [sum(1 << i for i in c) for r in range(reach + 1) for c in itertools.combinations(range(WIDTH), r)]
-
-    def search(self, f: int) -> list[int]:
+    """Fingerprints by block and value of the block; a query counts the blocks within REACH bits of its own."""
+
+    def __init__(self, fingerprints: np.ndarray):
+        self.fingerprints, n = fingerprints, len(fingerprints)
+        keys = (fingerprints + 256 * np.arange(BLOCKS)[None, :]).T.ravel().astype(np.uint16)  # block by block
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rows = keys[order], (order % n).astype(np.int32) if n else order
+
+    def candidates(self, f: np.ndarray) -> np.ndarray:
+        """Positions of the fingerprints of which AGREE blocks or more are near those of f."""
+        probes = ((f[:, None] ^ MASKS) + 256 * np.arange(BLOCKS)[:, None]).ravel().astype(np.uint16)
+        a, z = np.searchsorted(self.keys, probes, "left"), np.searchsorted(self.keys, probes, "right")
+        sizes = z - a
+        at = np.arange(int(sizes.sum())) + np.repeat(a - (np.cumsum(sizes) - sizes), sizes)
+        return np.flatnonzero(np.bincount(self.rows[at], minlength=len(self.fingerprints)) >= AGREE)
+
+    def search(self, f: np.ndarray) -> list[int]:
         """Positions of all fingerprints within RADIUS of f."""
-        near = {i for b, t in enumerate(self.tables) for m in self.masks for i in t.get(f >> WIDTH * b & (1 << WIDTH) - 1 ^ m, ())}
-        near = np.fromiter(near, np.int64, len(near))
-        return sorted(near[np.bitwise_count(self.fingerprints[near] ^ np.uint64(f)) <= RADIUS].tolist())
+        near = self.candidates(f)
+        return near[np.bitwise_count(self.fingerprints[near] ^ f).sum(axis=1, dtype=np.int32) <= RADIUS].tolist()
 
 
 def weighted_similarity(a: list[tuple], b: list[tuple]) -> float:
@@ -92,22 +106,26 @@ def shingles(words: list[bytes], k: int) -> list[tuple]:
 
 
 class Items:
-    """The benchmark's items by their number of shingles, with what finds them. Built once per task."""
+    """The benchmark's items by their number of shingles, with what finds them: arrays over all shingles, and the texts."""
 
     def __init__(self, items: list[tuple[int, str]], k: int):
-        self.k, self.sizes = k, {}
-        by_size, codes = defaultdict(list), defaultdict(set)
+        self.k, by_size, codes, sizes = k, defaultdict(list), [np.empty(0, np.uint64)], []
         for item_id, text in items:
             words = words_of(text)
             if words:
                 c = shingle_codes(words, k)
-                by_size[len(c)].append((item_id, shingles(words, k), int(fingerprints(c, np.zeros(1, np.int64), len(c))[0])))
-                for x in c.tolist():
-                    codes[x].add(len(c))
-        for size, found in by_size.items():
-            self.sizes[size] = (found, MultiIndex([f for _, _, f in found]))
-        self.codes = np.array(sorted(codes), np.uint64)
-        self.size_of = dict(codes)
+                by_size[len(c)].append((item_id, text, fingerprints(c, np.zeros(1, np.int64), len(c))[0]))
+                codes.append(np.unique(c))
+                sizes.append((len(c), len(codes[-1])))
+        every = np.concatenate(codes)
+        size = np.repeat(np.array([s for s, _ in sizes], np.int64), [n for _, n in sizes]) if sizes else np.empty(0, np.int64)
+        order = np.lexsort((size, every))
+        every, size = every[order], size[order]
+        new = np.r_[True, (every[1:] != every[:-1]) | (size[1:] != size[:-1])] if len(every) else np.empty(0, bool)
+        every, self.size_of = every[new], size[new]  # the sizes of the items that hold a code, code by code
+        first = np.r_[True, every[1:] != every[:-1]] if len(every) else np.empty(0, bool)
+        self.codes, self.starts = every[first], np.r_[np.flatnonzero(first), len(every)]
+        self.sizes = {s: ([(i, t) for i, t, _ in found], MultiIndex(np.array([f for _, _, f in found]))) for s, found in by_size.items()}
         self.seen = np.zeros(1 << 20, bool)  # by the top 20 bits: few codes need the search below
         self.seen[(self.codes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -122,36 +140,56 @@ class Items:
 
     def matches(self, words: list[bytes], codes: np.ndarray, hits: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, first word, words) of every item found: its best window, the earliest of equals."""
-        reach: dict[int, list[int]] = defaultdict(list)
-        for p in hits.tolist():
-            for size in self.size_of[int(codes[p])]:
-                reach[size].append(p)
+        code = np.searchsorted(self.codes, codes[hits])
+        counts = self.starts[code + 1] - self.starts[code]
+        size_of = self.size_of[np.arange(int(counts.sum())) + np.repeat(self.starts[code] - (np.cumsum(counts) - counts), counts)]
+        position = np.repeat(hits, counts)
         best: dict[int, tuple[float, int, int]] = {}
-        for size, at in reach.items():
+        for size in np.unique(size_of).tolist():
             found, index = self.sizes[size]
             n = min(size, len(codes))
             total = np.zeros(len(codes) + 1, np.int32)
-            total[np.array(at) + 1] = 1
+            total[position[size_of == size] + 1] = 1
             np.cumsum(total, out=total)
             starts = np.flatnonzero(total[n:] - total[: len(total) - n] >= math.ceil(least * (n + size) / (1 + least) - 1e-9))
-            if not len(starts):
-                continue
-            a = int(starts[0])
-            for s, f in zip(starts.tolist(), fingerprints(codes[a : int(starts[-1]) + n], starts - a, n).tolist()):
-                near = index.search(f)
-                if near:
-                    window = shingles(words[s : s + n + self.k - 1], self.k)
-                    for i in near:
-                        item_id, own, _ = found[i]
-                        x = weighted_similarity(window, own)
-                        if x >= least and x > best.get(item_id, (0.0,))[0]:
-                            best[item_id] = (x, s, min(n + self.k - 1, len(words) - s))
+            cuts = np.flatnonzero((np.diff(starts, prepend=-1) > n) | (np.arange(len(starts)) % WINDOWS == 0)).tolist()
+            for a, z in zip(cuts, [*cuts[1:], len(starts)]):
+                own = starts[a:z]
+                for s, f in zip(own.tolist(), fingerprints(codes[own[0] : own[-1] + n], own - own[0], n)):
+                    near = index.search(f)
+                    if near:
+                        window = shingles(words[s : s + n + self.k - 1], self.k)
+                        for i in near:
+                            item_id, text = found[i]
+                            x = weighted_similarity(window, shingles(words_of(text), self.k))
+                            if x >= least and x > best.get(item_id, (0.0,))[0]:
+                                best[item_id] = (x, s, min(n + self.k - 1, len(words) - s))
         return [(i, *best[i]) for i in sorted(best)]
 
 
+#: The last items that this process has prepared: its next tasks need the same.
+_prepared: dict[tuple[str, int], Items] = {}
+
+
+def prepared(digest: str, items: list[tuple[int, str]], k: int) -> Items:
+    if (digest, k) not in _prepared:
+        _prepared.clear()
+        _prepared[digest, k] = Items(items, k)
+    return _prepared[digest, k]
+
+
+def digest_of(items: list[tuple[int, str]]) -> str:
+    h = xxhash.xxh3_128()
+    for item_id, text in items:
+        h.update(f"{item_id} {len(text)} {text}")
+    return h.hexdigest()
+
+
 def _search(items: list[tuple[int, str]], k: int, least: float):
+    digest = digest_of(items)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items(items, k)
+        known = prepared(digest, items, k)
         for batch in slices(batches):
             out = []
             words = [words_of(t) for t in batch.column("text").to_pylist()]
@@ -188,8 +226,10 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, shingle_words: int
 
 
 def _clean(items: list[tuple[int, str]], k: int, least: float):
+    digest = digest_of(items)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items(items, k)
+        known = prepared(digest, items, k)
         for batch in slices(batches):
             keep = []
             for text in batch.column("text").to_pylist():

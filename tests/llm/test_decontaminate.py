@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from kmerloom.llm import decontaminate as d
 
 SCHEMA = "doc_id long, text string, item_id string"
@@ -48,15 +50,47 @@ def test_matches_equal_brute_force(spark):
 
 
 def test_multi_index_finds_all_within_radius():
-    rng = random.Random(8)
-    base = [rng.getrandbits(64) for _ in range(50)]
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, (60, d.BLOCKS)).astype(np.uint8)
+    base[50:] = base[:10] ^ rng.choice([0, 0, 0, 1, 16], (10, d.BLOCKS)).astype(np.uint8)
     index = d.MultiIndex(base)
     for f in base:
-        for flips in (0, 5, d.RADIUS - 1, d.RADIUS, d.RADIUS + 1):
-            g = f
-            for b in rng.sample(range(64), flips):
-                g ^= 1 << b
-            assert index.search(g) == [i for i, x in enumerate(base) if (x ^ g).bit_count() <= d.RADIUS]
+        for flips in (0, 5, 40, d.RADIUS - 1, d.RADIUS, d.RADIUS + 1):
+            for packed in (False, True):  # the bits anywhere, or as many blocks as possible with three
+                at = rng.permutation(256)[:flips] if not packed else (8 * rng.permutation(32)[:, None] + np.arange(3)).ravel()[:flips]
+                g = f ^ np.packbits(np.isin(np.arange(256), at), bitorder="little")
+                assert index.search(g) == np.flatnonzero(np.bitwise_count(base ^ g).sum(axis=1) <= d.RADIUS).tolist()
+
+
+def test_multi_index_selects():
+    rng = np.random.default_rng(9)
+    index = d.MultiIndex(rng.integers(0, 256, (20_000, d.BLOCKS)).astype(np.uint8))
+    share = np.mean([len(index.candidates(f)) / 20_000 for f in rng.integers(0, 256, (20, d.BLOCKS)).astype(np.uint8)])
+    assert 0 < share < 0.01
+
+
+def test_memory_of_a_block_of_items():
+    import tracemalloc
+
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(50_000)]
+    items = [(j, " ".join(rng.choices(words, k=rng.randrange(20, 400)))) for j in range(2000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    held = d.Items(items, 5)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held.hits(d.shingle_codes(d.words_of(items[5][1]), 5)).tolist()
+    assert now < 8 * size and peak < 16 * size
+
+
+def test_long_document_with_scattered_passages(spark):
+    rng = random.Random(11)
+    items = [(j, " ".join(f"w{rng.randrange(300)}" for _ in range(30 + j))) for j in range(6)]
+    text = " ".join(x for _ in range(12) for x in (" ".join(f"v{rng.randrange(9000)}" for _ in range(2500)), items[rng.randrange(6)][1]))
+    got = d.benchmark_matches(spark.createDataFrame([(1, text, "q")], SCHEMA), spark.createDataFrame([(*x, "q") for x in items], ITEMS)).collect()
+    assert {(r.item_id, r.similarity) for r in got} == {(j, 1.0) for j, t in items if t in text}
+    assert all(" ".join(text.split()[r.start : r.start + r.n_words]) == dict(items)[r.item_id] for r in got)
 
 
 def test_passes_over_large_benchmarks(spark, monkeypatch):
