@@ -22,6 +22,8 @@ from kmerloom.llm.common import column, free_names
 from kmerloom.storage import materialize
 
 LEADING, SPANS = 3, 4
+#: Documents of a template that one part of a join takes: a frequent template is dealt over several tasks.
+SPLIT = 1000
 #: Characters of a line that has a template however few its tokens, as in scripts without blanks.
 LONG_CHARS = 50
 
@@ -66,9 +68,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, long_
     found = lines.select("doc_id", "sig", F.posexplode("signatures").alias("pos", "own")).select("doc_id", "sig", "pos", F.posexplode("own").alias("order", "template"))
     hit = found.join(recurring.hint("merge"), "template")
     best = hit.groupBy("doc_id", "sig", "pos").agg(F.max(F.struct("n", -F.col("order"), "template")).alias("best"))
-    taken = materialize(best.select("doc_id", "sig", "pos", F.col("best.template").alias("template")), "taken")
-    first = taken.groupBy("template").agg(F.min("doc_id").alias("first"))
-    lost = taken.join(first.hint("merge"), "template").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    parts = F.ceil(F.col("n") / SPLIT)  # of a template by its documents, known on both sides of the join
+    taken = materialize(best.select("doc_id", "sig", "pos", "best.template", "best.n"), "taken").withColumn("part", F.pmod(F.xxhash64("doc_id", "sig"), parts))
+    first = taken.groupBy("template", "n").agg(F.min("doc_id").alias("first")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    lost = taken.join(first.drop("n").hint("merge"), ["template", "part"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return lost.groupBy("doc_id", "sig").agg(F.collect_set("pos").alias("drop"))
 
 
