@@ -187,7 +187,7 @@ def grid_edges(nodes: DataFrame, radius: int = 2) -> DataFrame:
     if not 0 <= radius <= 2:
         raise ValueError("the one-step grid covers a radius of two bits at most")
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.select("fp").repartition(tasks, "fp")  # by number, so that the rows stay spread before they multiply
+    dealt = nodes.select("fp").repartition(tasks, F.xxhash64("fp"))  # by number and anew, so that rows are spread before they multiply
     cells = dealt.select(F.explode(grid_cells(segment_popcounts(F.col("fp")))).alias("cell"), F.col("fp").alias("node")).where("cell is not null")
     return map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_edges(radius), "u long, v long")
 
