@@ -142,11 +142,14 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> Network | None:
     """Fit on rows of non-null lang whose crc32(doc_id) mod 4 is not 2, as many of each language as there are."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), "text").where((remainder("doc_id", 4) != 2) & F.col("lang").isNotNull())
-    languages = rows.select("lang").distinct().count()
-    each = min(PER_LANGUAGE, max(1, ROWS // max(1, languages)))
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # cut to ``each`` rows before the exchange
-    ids = rows.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(ROWS).distinct()
+    counts = rows.groupBy("lang").agg(F.count("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(ROWS).collect()  # ROWS languages
+    each = min(PER_LANGUAGE, max(1, ROWS // max(1, len(counts))))
+    # some four times as many rows as wanted are of a hash below this; the least are then chosen among those
+    below = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 4 * each / max(1, r.n)) * (2**63 - 1025))) for r in counts], "lang string, below long")
+    key = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    near = rows.select("doc_id", "lang", key.alias("key")).join(F.broadcast(below), "lang").where((F.col("key") <= F.col("below")) | (F.col("below") > 2**62))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id"))
+    ids = near.withColumn("place", place).where(F.col("place") <= each).select("doc_id", "lang").distinct()
     found = map_arrow(rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text"), _samples, "lang string, data binary").collect()  # ROWS ids
     return fit(sorted((r.lang, bytes(r.data)) for r in found))
 
