@@ -25,7 +25,8 @@ def document_reads(documents: DataFrame, length: int = 100, stride: int = 60, pa
     letters have no reads; of rows of one doc_id that of the smaller hash comes first.
     """
     cut = F.regexp_extract_all(encode_text(F.col("text")), F.lit(f"(?=(.{{1,{length}}})).{{1,{stride}}}"), F.lit(1))
-    cuts = documents.select("doc_id", F.xxhash64("text").alias("hash"), cut.alias("cut")).withColumn("n", F.size("cut").cast("long")).where("n > 0")
+    cuts = documents.select("doc_id", F.xxhash64("text").alias("hash"), cut.alias("cut"))
+    cuts = cuts.withColumn("n", F.greatest(F.coalesce(F.size("cut"), F.lit(0)), F.lit(0)).cast("long"))  # a filter here would cut every text twice
     parts = exclusive_sum(cuts, ["doc_id", "hash"], "n", "first").select("doc_id", "n", "first", F.posexplode("cut").alias("o", "seq"))
     read_id = (F.col("first") + F.col("o")).alias("read_id")
     mate = F.expr("CASE WHEN o % 2 = 1 THEN first + o - 1 WHEN o + 1 < n THEN first + o + 1 END") if paired else F.lit(None).cast("long")
