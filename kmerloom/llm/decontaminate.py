@@ -4,7 +4,7 @@ An item of n words is looked for in every n-word window of a document (the whole
 have SimHash fingerprints of 256 bits over their word shingles, and those within ``RADIUS`` bits are found by a
 multi-index. Fingerprints are cut into 32 blocks of eight bits. Two within the radius can't have more than 21 blocks that
 differ in three bits or more, so at least ``AGREE`` of their blocks differ in two or fewer: looking up each block's
-neighbourhood of two bits and counting finds them all, while of unrelated fingerprints three in a thousand get so many.
+neighbourhood of two bits and counting finds them all, while of unrelated fingerprints four in a thousand get so many.
 Candidates within the radius are then verified exactly: the weighted Jaccard similarity of the two shingle multisets,
 weights being multiplicities. At a similarity of 0.8 fingerprints differ in 39 bits on average, with a deviation of six.
 
@@ -26,14 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import map_arrow, slices, splitmix
+from kmerloom.llm.common import column, free_names, map_arrow, slices, splitmix
+from kmerloom.storage import materialize
 
 WORDS, BLOCKS, REACH, RADIUS = 4, 32, 2, 63
 #: Blocks within REACH that fingerprints within RADIUS have at least.
 AGREE = BLOCKS - RADIUS // (REACH + 1)
 MASKS = np.array([sum(1 << i for i in c) for r in range(REACH + 1) for c in itertools.combinations(range(8), r)], np.uint8)
-#: Items of a run: larger benchmarks are searched in blocks of so many bytes, each in a pass of its own.
-ITEM_BYTES = 16 << 20
+#: Items of a run: larger benchmarks are searched in blocks of so many bytes, each in a pass of its own over the documents
+#: that hold a shingle of any item, as far as a table of 2**TABLE_BITS bits can tell.
+ITEM_BYTES, TABLE_BITS = 16 << 20, 27
 #: Windows of a document that are fingerprinted at a time.
 WINDOWS = 1024
 PUNCTUATION = string.punctuation.encode()
@@ -214,17 +216,56 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, shingle_words: int
     item_id count once. Empty tables give an empty result; other columns are ignored.
     """
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("sig"), "text")
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = -(-size // ITEM_BYTES) or 1
+    items, passes = _items(benchmark)
+    if passes > 1:
+        rows = materialize(map_arrow(rows, _touching(_shingle_table(items, shingle_words), shingle_words), "doc_id long, sig long, text string"), "touching")
     found = None
     for i in range(passes):
-        some = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
-        part = map_arrow(rows, _search([tuple(r) for r in some], shingle_words, similarity), "doc_id long, sig long, item_id long, similarity double, start long, n_words long")
-        found = part if found is None else found.union(part)
+        part = map_arrow(rows, _search(_block(items, i, passes), shingle_words, similarity), "doc_id long, sig long, item_id long, similarity double, start long, n_words long")
+        found = part if passes == 1 else materialize(part, "matches") if found is None else found.union(materialize(part, "matches"))
     return found
 
 
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The benchmark's items and the number of blocks that they fall into."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, -(-size // ITEM_BYTES) or 1
+
+
+def _block(items: DataFrame, i: int, passes: int) -> list[tuple[int, str]]:
+    some = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i).orderBy("item_id", "text")
+    return [tuple(r) for r in some.collect()]  # ITEM_BYTES on average
+
+
+def _shingle_table(items: DataFrame, k: int) -> bytes:
+    """A bit for every value of the leading TABLE_BITS bits of a shingle's code. The driver holds this table alone."""
+    shift = np.uint64(64 - TABLE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            codes = np.concatenate([shingle_codes(words_of(t), k) for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(codes >> shift).astype(np.int32).tobytes()], pa.binary())], names=["leading"])
+
+    table = np.zeros(1 << TABLE_BITS - 3, np.uint8)
+    for r in map_arrow(items.select("text"), run, "leading binary").toLocalIterator():
+        leading = np.frombuffer(r.leading, np.int32)
+        np.bitwise_or.at(table, leading >> 3, np.uint8(1) << (leading & 7).astype(np.uint8))
+    return table.tobytes()
+
+
+def _touching(table: bytes, k: int):
+    shift = np.uint64(64 - TABLE_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(table, np.uint8)
+        for batch in slices(batches):
+            leading = [(shingle_codes(words_of(t), k) >> shift).astype(np.int64) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([bool((bits[x >> 3] >> (x & 7).astype(np.uint8) & 1).any()) for x in leading], pa.bool_()))
+
+    return run
+
+
 def _clean(items: list[tuple[int, str]], k: int, least: float):
     digest = digest_of(items)
 
@@ -243,11 +284,13 @@ def _clean(items: list[tuple[int, str]], k: int, least: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, all their columns, that hold no item (see ``benchmark_matches``). No shuffle: a filter."""
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = -(-size // ITEM_BYTES) or 1
-    for i in range(passes):
-        some = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
-        docs = map_arrow(docs, _clean([tuple(r) for r in some], shingle_words, similarity), docs.schema)
-    return docs
+    """The rows of docs, all their columns, that hold no item (see ``benchmark_matches``): a filter without a shuffle, or an
+    anti-join with the documents found if the benchmark exceeds ITEM_BYTES. Extra columns may have any names."""
+    items, passes = _items(benchmark)
+    if passes == 1:
+        return map_arrow(docs, _clean(_block(items, 0, 1), shingle_words, similarity), docs.schema)
+    own, other, sig = free_names(docs, "own", "other_id", "sig")
+    found = benchmark_matches(docs, benchmark, shingle_words, similarity).select(F.col("doc_id").alias(other), F.col("sig").alias(sig)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(own) == F.col(sig))
+    kept = docs.withColumn(own, F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(found, same, "left_anti")
+    return kept.select(*(column(c) for c in docs.columns))

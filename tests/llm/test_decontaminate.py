@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from kmerloom.llm import decontaminate as d
 
@@ -96,9 +97,22 @@ def test_long_document_with_scattered_passages(spark):
 def test_passes_over_large_benchmarks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"intro text {i} " + "the very same passage of ten words or so is " * 2, "q") for i in range(3)] + [(None, "nothing", "q")], SCHEMA)
     items = spark.createDataFrame([(j, f"other item number {j} with words", "q") for j in range(30)] + [(99, "the very same passage of ten words or so is", "q")] * 2, ITEMS)
-    monkeypatch.setattr(d, "ITEM_BYTES", 100)
+    monkeypatch.setattr(d, "ITEM_BYTES", 300)
+    monkeypatch.setattr(d, "TABLE_BITS", 14)
     assert sorted((r.doc_id, r.item_id) for r in d.benchmark_matches(docs, items).collect()) == [(0, 99), (1, 99), (2, 99)]
-    assert [r.doc_id for r in d.drop_contaminated(docs, items).collect()] == [None]
+    out = d.drop_contaminated(docs.selectExpr("*", "1 AS own", "2 AS sig").union(docs.limit(0).selectExpr("*", "1", "2")), items)
+    assert out.columns == ["doc_id", "text", "item_id", "own", "sig"]
+    assert [tuple(r) for r in out.collect()] == [(None, "nothing", "q", 1, 2)]
+
+
+def test_table_of_shingles_loses_no_document(spark):
+    rng = random.Random(12)
+    items = [(j, " ".join(f"w{rng.randrange(200)}" for _ in range(12))) for j in range(30)]
+    docs = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(20)) + " " + items[i % 30][1] * (i % 2)) for i in range(60)] + [(60, ""), (61, "one")]
+    table = d._shingle_table(spark.createDataFrame(items, "item_id long, text string"), 5)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})
+    kept = {i for b in d._touching(table, 5)(iter([batch])) for i in b.column("doc_id").to_pylist()}
+    assert {i for i in range(60) if i % 2} <= kept and len(kept) < 40
 
 
 def test_empty_tables(spark):
