@@ -75,6 +75,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, long_
     return lost.groupBy("doc_id", "sig").agg(F.collect_set("pos").alias("drop"))
 
 
+def _without(lines: Column, lost: Column) -> Column:
+    """The lines at other positions than ``lost``, which are subtracted as a set: a text of n lines takes some n steps."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    return F.transform(stay, lambda i: F.get(lines, i))
+
+
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, long_tokens: int = 12) -> DataFrame:
     """docs with every column kept, recurring lines cut from text, and n_chars (if there is such a column) counted anew.
 
@@ -88,8 +94,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3
     drop = dropped_lines(docs, min_docs, min_tokens, long_tokens).toDF(other, sig, lost)
     hashed = docs.withColumn(own, F.xxhash64("text"))
     joined = hashed.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(own) == F.col(sig)), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(lost, i))
-    joined = joined.withColumn(new_text, F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    cut = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.array_join(_without(lines, F.col(lost)), "\n"))
+    joined = joined.withColumn(new_text, F.when(F.col(lost).isNull(), F.col("text")).otherwise(cut[0]))
     new = {"text": F.col(new_text)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(new_text).cast(docs.schema["n_chars"].dataType)

@@ -112,6 +112,14 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert linededup.line_report(spark.createDataFrame(rows, SCHEMA)).count() == 4
 
 
+def test_text_of_very_many_recurring_lines(spark):
+    line = lambda i: "a line of its own words " + " ".join("abcdefghij"[int(x)] * 3 for x in str(i))
+    shared = [line(i) for i in range(20_000)]
+    rows = [(i, "\n".join(x for y in shared for x in (y, f"own{i}")), 0, "x") for i in range(3)]
+    got = {r.doc_id: r.text for r in linededup.drop_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {0: rows[0][1], 1: "\n".join(["own1"] * 20_000), 2: "\n".join(["own2"] * 20_000)}
+
+
 def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(i, t, 0, "other") for i, t in ROWS], SCHEMA).repartition(2)
     plan = linededup.line_report(df)._jdf.queryExecution().executedPlan().toString()
