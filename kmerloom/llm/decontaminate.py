@@ -166,7 +166,7 @@ class Items:
                             x = weighted_similarity(window, shingles(words_of(text), self.k))
                             if x >= least and x > best.get(item_id, (0.0,))[0]:
                                 best[item_id] = (x, s, min(n + self.k - 1, len(words) - s))
-        return [(i, *best[i]) for i in sorted(best)]
+        return [(i, *best[i]) for i in sorted(best, key=lambda i: (i is not None, i))]
 
 
 #: The last items that this process has prepared: its next tasks need the same.
@@ -213,7 +213,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, shingle_words: int
 
     sig is the text's hash; start counts words. Null, blank and wordless texts and items match nothing. A text or item
     of fewer words than a shingle has one shingle of all its words. Repeated rows match each; items repeated under one
-    item_id count once. Empty tables give an empty result; other columns are ignored.
+    item_id count once, and those of a null item_id as one item. Empty tables give an empty result; other columns are ignored.
     """
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("sig"), "text")
     items, passes = _items(benchmark)
@@ -228,13 +228,13 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, shingle_words: int
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
     """The benchmark's items and the number of blocks that they fall into."""
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return items, -(-size // ITEM_BYTES) or 1
 
 
 def _block(items: DataFrame, i: int, passes: int) -> list[tuple[int, str]]:
-    some = items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i).orderBy("item_id", "text")
+    some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).orderBy("item_id", "text")
     return [tuple(r) for r in some.collect()]  # ITEM_BYTES on average
 
 

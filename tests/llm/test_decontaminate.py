@@ -115,6 +115,20 @@ def test_table_of_shingles_loses_no_document(spark):
     assert {i for i in range(60) if i % 2} <= kept and len(kept) < 40
 
 
+def test_null_ids_and_copies_of_an_item(spark, monkeypatch):
+    passage = "the very same passage of ten words or so is here"
+    docs = spark.createDataFrame([(None, passage, "q"), (1, f"some words before {passage}", "q"), (2, "nothing of it", "q")], SCHEMA)
+    items = spark.createDataFrame([(None, passage, "q"), (None, passage, "q"), *((j, passage, "q") for j in range(40))], ITEMS)
+    expected = {(i, j) for i in (None, 1) for j in (None, *range(40))}
+    assert {(r.doc_id, r.item_id) for r in d.benchmark_matches(docs, items).collect()} == expected
+    assert [r.doc_id for r in d.drop_contaminated(docs, items).collect()] == [2]
+    monkeypatch.setattr(d, "ITEM_BYTES", 1000)
+    known, passes = d._items(items)
+    assert max(len(d._block(known, i, passes)) for i in range(passes)) < 41  # copies of a text are dealt over the blocks
+    got = d.benchmark_matches(docs, items).collect()
+    assert len(got) == len(expected) and {(r.doc_id, r.item_id) for r in got} == expected
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c d e f", "q")], SCHEMA), spark.createDataFrame([(1, "a b c d e f", "q")], ITEMS)
     assert d.benchmark_matches(docs.limit(0), items).count() == 0
