@@ -65,6 +65,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether df is the whole result of ``materialize``, with no column or filter put on it since."""
+    return hasattr(df, "_kmerloom_path")
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     path = getattr(df, "_kmerloom_path", None)
