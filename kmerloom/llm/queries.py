@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import decontaminate, langid, linecrf, linededup, packing, puquality, sharding, simhash, tokencount, warc
+from kmerloom.llm import decontaminate, fim, langid, linecrf, linededup, mixing, packing, puquality, sharding, simhash, tokencount, warc, whitening
 from kmerloom.llm.common import table
 
 
@@ -56,6 +56,18 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_token_counts,
         op10_warc_zip,
+        op11_embedding_whitening,
+        op12_source_mixing,
+        op13_fill_in_middle,
     )
 }
 
@@ -101,4 +116,51 @@ WITH lines AS (
 SELECT doc_id, n_lines, length(kept) AS kept_chars, md5(kept) AS text_md5 FROM kept
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": _LINE_DEDUP}
+#: Targets in closed form: by rising bound over weight, sources reach their bound until the level of the rest is below it.
+_MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, s, no % 3 AS schedule, CASE no % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w, 3e0 * s AS most, sum(s) OVER () AS total FROM sources
+), ranked AS (
+  SELECT *, coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM weighed
+), bounded AS (SELECT *, most * rest <= w * (total - before) AS above FROM ranked
+), level AS (SELECT coalesce(sum(most) FILTER (WHERE above), 0) AS spent, sum(w) FILTER (WHERE NOT above) AS open_w FROM bounded
+), targets AS (
+  SELECT source, s, schedule, w, CASE WHEN above THEN most ELSE w * (total - spent) / open_w END AS target FROM bounded, level
+), placed AS (
+  SELECT d.doc_id, d.source, d.size, t.s, t.schedule, t.w, t.target,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), taken AS (
+  SELECT *, w * b / target AS y, CAST(floor(target + 0.5) AS BIGINT) AS budget FROM placed
+), counted AS (
+  SELECT *, greatest(0, least(size, budget - b)) + greatest(0, least(size, budget - s - b)) + greatest(0, least(size, budget - 2 * s - b)) AS taken FROM taken
+)
+SELECT doc_id, source, size, s AS source_size, target, CAST(taken AS BIGINT) AS taken,
+       CASE WHEN taken > 0 THEN CASE WHEN y <= 0 THEN 0e0 WHEN schedule = 0 THEN 2e0 * y / (8e0 + sqrt(greatest(64e0 + -12e0 * y, 0e0)))
+                                     WHEN schedule = 1 THEN 2e0 * y / (2e0 + sqrt(4e0)) ELSE 2e0 * y / sqrt(4e0 * y) END END AS position
+FROM counted
+"""
+
+_FILL_IN_MIDDLE = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), hashed AS (
+  SELECT doc_id, text, l, len(l) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(l) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(l) + 1) AS b,
+         CAST('0x' || h[25:32] AS BIGINT) % 100 AS kind FROM lines
+), cuts AS (
+  SELECT doc_id, text, n,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN kind < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(l[1:least(a, b)], '') AS p, array_to_string(l[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(l[greatest(a, b) + 1:], '') AS s FROM hashed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM cuts
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": _LINE_DEDUP, "op12_source_mixing": _MIXING, "op13_fill_in_middle": _FILL_IN_MIDDLE}
