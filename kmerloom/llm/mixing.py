@@ -13,9 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import column
 from kmerloom.operators.prefix import exclusive_sums
-from kmerloom.storage import materialize
+from kmerloom.storage import materialize, spread
 
 #: (time, weight) knots of the sources in turn: the first fades, the second is constant, the third grows. Integrals 5, 2, 1.
 SCHEDULES = (((0.0, 8.0), (1.0, 2.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.0), (1.0, 2.0)))
@@ -88,8 +87,8 @@ def placed_documents(docs: DataFrame, schedules: tuple[Knots, ...] = SCHEDULES,
     """
     ident = F.col("doc_id").cast("long")
     key = F.unhex(F.md5(F.coalesce(ident.cast("string"), F.lit(""))))
-    name = column("source").cast("string")
-    rows = docs.select(ident.alias("doc_id"), name.isNull().alias("absent"), F.coalesce(name, F.lit("")).alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("tie"))
+    name = F.col("source").cast("string")
+    rows = spread(docs.select("doc_id", "text", "source")).select(ident.alias("doc_id"), name.isNull().alias("absent"), F.coalesce(name, F.lit("")).alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("tie"))
     rows = materialize(rows, "sizes")
     sources = exclusive_sums(rows.groupBy("absent", "source").agg(F.sum("size").alias("size")), ["absent", "source"], {"no": None, "base": "size"})
     weights = [integral(k) for k in schedules]
