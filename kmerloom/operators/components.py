@@ -1,8 +1,10 @@
-"""Connected components as a fixpoint of star contractions.
+"""Connected components as a fixpoint of star contractions over local forests.
 
-Every round is two joins with map-side combined aggregates. A hub vertex is a skewed join key, never a collected
-group, so adaptive execution can split it. Edges shrink to stars, one per component, in O(log n) rounds. Once no more
-than ``ONE_TASK`` edges are left (16 bytes each), one task contracts them all, which saves the rounds of small graphs.
+Before anything is shuffled, every task reduces its own edges to the stars of a spanning forest with an array union-find
+of bounded size: edges that its other edges imply never leave it. A round is then two joins with map-side combined
+aggregates, and the forests of its own tasks again. A hub vertex is a skewed join key, never a collected group, so
+adaptive execution can split it. Edges shrink to stars, one per component, in O(log n) rounds; the same steps run at
+every size.
 """
 
 from __future__ import annotations
@@ -17,16 +19,14 @@ from pyspark.sql import functions as F
 from kmerloom.arrow import map_arrow
 from kmerloom.storage import discard, materialize
 
-ONE_TASK = 1_000_000
-
-#: Stars of a round are stored in files of so many edges, however many partitions the shuffle had.
-EDGES_PER_FILE = 100_000
+#: Edges that a task holds at once, 16 bytes each. A forest that fills more than half of them is passed on.
+HELD = 1 << 20
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.u", "p.v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -50,34 +50,52 @@ def lowest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids, ids[low]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [[c.to_numpy(zero_copy_only=False) for c in (b.column("u"), b.column("v"))] for b in batches]
-    if held:
-        ids, low = lowest_reachable(*(np.concatenate(x) for x in zip(*held)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["u", "v"])
+def _local_stars(held: int):
+    def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, low = lowest_reachable(u, v)
+        return ids[ids != low], low[ids != low]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            parts.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v")))
+            size += batch.num_rows
+            if size >= held:
+                parts = [stars(*map(np.concatenate, zip(*parts)))]
+                size = len(parts[0][0])
+                if 2 * size >= held:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, parts[0])], names=["u", "v"])
+                    parts, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, stars(*map(np.concatenate, zip(*parts))))], names=["u", "v"])
+
+    return run
+
+
+def local_stars(edges: DataFrame, held: int = HELD) -> DataFrame:
+    """(u, v), v < u: of every task's edges the stars of a spanning forest, from each vertex to the least it reaches there.
+
+    A task holds ``held`` edges; of more, forests of parts. No row is shuffled."""
+    return map_arrow(edges.select("u", "v"), _local_stars(held), "u long, v long")
+
+
+def _is_star_forest(e: DataFrame) -> bool:
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("root")), F.struct(F.col("v").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))).alias("p")).select("p.*")
+    return ends.groupBy("id").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).where("leaf > 1 OR leaf = 1 AND root = 1").isEmpty()
 
 
-def connected_components(edges: DataFrame, label: str = "min", one_task: int = ONE_TASK) -> DataFrame:
+def connected_components(edges: DataFrame, label: str = "min", held: int = HELD) -> DataFrame:
     """(id, label) of every vertex that has an edge; label is the smallest or the largest id of its component.
 
     ``edges`` has the columns u and v (long, no nulls; repeats, both directions and self loops are allowed; a vertex
-    with self loops only is not returned). Empty edges give an empty result.
+    with self loops only is not returned). Empty edges give an empty result. ``held`` is the number of edges that a task
+    holds at once.
     """
     sign = F.lit(-1 if label == "max" else 1)
-    spark = edges.sparkSession
     e = edges.select((F.col("u") * sign).alias("u"), (F.col("v") * sign).alias("v")).where("u <> v")
-    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        n = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
-        if seen == tuple(n) or n[0] == 0:
-            break
-        seen = tuple(n)
-        if n[0] <= one_task:
-            whole = materialize(map_arrow(e.select("u", "v").coalesce(1), _contract, "u long, v long"), "edges")
-            discard(e)
-            return whole.select((F.col("u") * sign).alias("id"), (F.col("v") * sign).alias("label"))
-        step = materialize(_small_star(_large_star(e)).coalesce(-(-n[0] // EDGES_PER_FILE)), "edges")
+    e = materialize(local_stars(e, held), "edges")
+    while not _is_star_forest(e):
+        step = materialize(local_stars(_small_star(_large_star(e)), held), "edges")
         discard(e)
         e = step
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()

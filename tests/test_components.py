@@ -24,17 +24,17 @@ def union_find(edges, pick):
     return {x: pick(g) for g in groups.values() for x in g}
 
 
-@pytest.mark.parametrize("one_task", [0, 1_000_000])
+@pytest.mark.parametrize("held", [3, 1 << 20])
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), max_size=25))
-def test_components_equal_union_find(spark, one_task, edges):
+def test_components_equal_union_find(spark, held, edges):
     df = spark.createDataFrame(edges, "u long, v long")
     for label, pick in (("min", min), ("max", max)):
-        assert {r.id: r.label for r in connected_components(df, label, one_task).collect()} == union_find(edges, pick)
+        assert {r.id: r.label for r in connected_components(df, label, held).collect()} == union_find(edges, pick)
 
 
-@pytest.mark.parametrize("one_task", [0, 150, 1_000_000])
-def test_long_path_and_hub(spark, one_task):
+@pytest.mark.parametrize("held", [1, 40, 1 << 20])
+def test_long_path_and_hub(spark, held):
     edges = [(i, i + 1) for i in range(64)] + [(1000, 1001 + i) for i in range(200)]
     df = spark.createDataFrame(edges, "u long, v long")
-    assert {r.id: r.label for r in connected_components(df, "max", one_task).collect()} == union_find(edges, max)
+    assert {r.id: r.label for r in connected_components(df, "max", held).collect()} == union_find(edges, max)
