@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from kmerloom.operators import histograms, mates, stats
 from kmerloom.operators.kmers import kmer_occurrences, minimizers3
 from kmerloom.plans.partition_reads import partition_reads
-from kmerloom.sources.fastq import chunk_index, read_fastq, scan_fastq, write_largest_component, write_partitions
+from kmerloom.sources.fastq import fastq_index, read_fastq, write_largest_component, write_partitions
 from kmerloom.storage import materialize
 
 
@@ -54,22 +54,18 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def files(args: argparse.Namespace) -> list[str]:
-    return [p for pair in args.paired for p in pair] + args.single + args.interleaved
-
-
 def reads_of(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     index = spark.read.parquet(args.index) if args.index else None
     return materialize(read_fastq(spark, [tuple(p) for p in args.paired], args.single, args.interleaved, args.chunk_bytes, index), "reads")
 
 
 def index(spark: SparkSession, args: argparse.Namespace) -> None:
-    chunk_index(scan_fastq(spark, files(args), args.chunk_bytes)).write.parquet(args.out)
+    fastq_index(spark, [tuple(p) for p in args.paired], args.single, args.interleaved, args.chunk_bytes).write.parquet(args.out)
 
 
 def view(spark: SparkSession, args: argparse.Namespace) -> None:
     """One line per chunk: id, file, first byte, reads."""
-    for r in spark.read.parquet(args.index).orderBy("chunk_id").toLocalIterator():
+    for r in spark.read.parquet(args.index).where("n > 0").orderBy("chunk_id").toLocalIterator():
         print(r.chunk_id, r.file_no, r.first_offset, r.n)
 
 

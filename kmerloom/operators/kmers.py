@@ -73,27 +73,35 @@ def _strands(codes: np.ndarray, k: int, at: np.ndarray) -> tuple[np.ndarray, np.
     return text(cut(letters[codes])), text(cut(letters[COMPLEMENT[codes]])[:, ::-1])
 
 
-def windows(codes: np.ndarray, ends: np.ndarray, k: int, a: int, b: int) -> tuple[np.ndarray, ...]:
-    """(position, read, kmer, prev, next) of the N-free windows that begin at positions a to b; codes as of base_codes."""
+def free_windows(codes: np.ndarray, ends: np.ndarray, k: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, read) of the N-free windows that begin at positions a to b; codes as of base_codes."""
     low, high = np.searchsorted(ends, [a, b], side="right")
     high = min(high + 1, len(ends))
     sizes = np.diff(np.clip(ends[low:high], a, b), prepend=a)
     read = np.repeat(np.arange(low, high), sizes)
     position = np.arange(a, a + len(read))
-    own = codes[a : b + k - 1]
-    unknown = np.cumsum(np.r_[0, own == UNKNOWN], dtype=np.int32)
+    unknown = np.cumsum(np.r_[0, codes[a : b + k - 1] == UNKNOWN], dtype=np.int32)
     able = np.flatnonzero(position + k <= ends[read])
     able = able[unknown[able + k] == unknown[able]]
-    if not len(able):
+    return position[able], read[able]
+
+
+def canonical(codes: np.ndarray, k: int, at: np.ndarray, prev: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(kmer, prev, next) of the windows at the positions ``at``, of which prev and after are the neighbour bases."""
+    forward, back = _strands(codes, k, at)
+    straight = forward < back
+    return np.where(straight, forward, back), np.where(straight, prev, COMPLEMENT[after]), np.where(straight, after, COMPLEMENT[prev])
+
+
+def windows(codes: np.ndarray, ends: np.ndarray, k: int, a: int, b: int) -> tuple[np.ndarray, ...]:
+    """(position, read, kmer, prev, next) of the N-free windows that begin at positions a to b; codes as of base_codes."""
+    position, read = free_windows(codes, ends, k, a, b)
+    if not len(position):
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64 if k <= PACKED else f"S{k}", np.uint8, np.uint8))
-    forward, back = _strands(own, k, able)
-    read, position = read[able], position[able]
     starts = np.r_[0, ends[:-1]]
     prev = np.where(position == starts[read], UNKNOWN, codes[position - 1])
     after = np.where(position + k == ends[read], UNKNOWN, codes[np.minimum(position + k, len(codes) - 1)])
-    straight = forward < back
-    kmer = np.where(straight, forward, back)
-    return position, read, kmer, np.where(straight, prev, COMPLEMENT[after]), np.where(straight, after, COMPLEMENT[prev])
+    return position, read, *canonical(codes[a : b + k - 1], k, position - a, prev, after)
 
 
 def _kmer_array(kmer: np.ndarray, k: int) -> pa.Array:
@@ -102,18 +110,18 @@ def _kmer_array(kmer: np.ndarray, k: int) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(kmer), [None, pa.py_buffer(np.ascontiguousarray(kmer))]).cast(pa.binary()).cast(pa.string())
 
 
-def _rows(read_id: np.ndarray, k: int, read, kmer, prev, after, neighbours: bool = True) -> pa.RecordBatch:
+def kmer_rows(read_id: np.ndarray, k: int, read, kmer, prev, after, neighbours: bool = True) -> pa.RecordBatch:
     columns = {"read_id": pa.array(read_id[read]), "kmer": _kmer_array(kmer, k)}
     if neighbours:
         columns |= {"prev": pa.array(prev.astype(np.int8)), "next": pa.array(after.astype(np.int8))}
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _schema(k: int, neighbours: bool = True) -> str:
+def kmer_schema(k: int, neighbours: bool = True) -> str:
     return f"read_id long, kmer {'long' if k <= PACKED else 'string'}" + (", prev tinyint, next tinyint" if neighbours else "")
 
 
-def _long_reads(reads: DataFrame, k: int) -> DataFrame:
+def long_reads(reads: DataFrame, k: int) -> DataFrame:
     check_k(k)
     return reads.where(F.length("seq") > k).select(F.col("read_id").cast("long"), "seq")
 
@@ -133,9 +141,9 @@ def kmer_occurrences(reads: DataFrame, k: int = 27, neighbours: bool = True) ->
             read_id = batch.column("read_id").to_numpy(zero_copy_only=False)
             for a in range(0, len(codes), step):
                 _, *found = windows(codes, ends, k, a, min(a + step, len(codes)))
-                yield _rows(read_id, k, *found, neighbours)
+                yield kmer_rows(read_id, k, *found, neighbours)
 
-    return map_arrow(_long_reads(reads, k), run, _schema(k, neighbours))
+    return map_arrow(long_reads(reads, k), run, kmer_schema(k, neighbours))
 
 
 def _third_starts(position: np.ndarray, read: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
@@ -183,9 +191,9 @@ def minimizers3(reads: DataFrame, k: int = 27) -> DataFrame:
             cuts = [0, *ends[np.flatnonzero(np.diff(ends // step))].tolist(), len(codes)]
             for a, b in zip(cuts, cuts[1:]):
                 if found := least(codes, ends, a, b):
-                    yield _rows(read_id, k, *found)
+                    yield kmer_rows(read_id, k, *found)
 
-    return map_arrow(_long_reads(reads, k), run, _schema(k))
+    return map_arrow(long_reads(reads, k), run, kmer_schema(k))
 
 
 def with_bucket(occurrences: DataFrame, k: int, bases: int = PREFIX) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from kmerloom.functions.dna import PACKED
 from kmerloom.operators.binpack import component_partitions, partition_manifest
 from kmerloom.operators.branch_filter import bad_reads, branch_groups, surviving_occurrences, touched_occurrences
 from kmerloom.operators.components import connected_components
 from kmerloom.operators.kmers import kmer_occurrences, minimizers3
 from kmerloom.operators.links import star_edges
 from kmerloom.operators.mates import full_labels, mate_pairs, merge_mates, merge_supported
+from kmerloom.operators.superkmers import HELD, Dealt
 from kmerloom.storage import discard, materialize, spread
 
 #: K-mers of a shuffled partition that a join may hash, some 100 bytes each, instead of sorting both sides.
@@ -29,10 +32,8 @@ def joinable(groups: DataFrame) -> DataFrame:
 
 @dataclass
 class Linked:
-    """What links reads: k-mer statistics, condemned reads, edges."""
+    """What links reads: condemned reads, edges."""
 
-    occurrences: DataFrame
-    groups: DataFrame
     bad: DataFrame
     edges: DataFrame
 
@@ -54,21 +55,50 @@ def occurrences_of(reads: DataFrame, k: int = 27, mode: str = "all") -> DataFram
     return kmer_occurrences(reads, k) if mode == "all" else minimizers3(reads, k)
 
 
-def link_reads(reads: DataFrame, k: int = 27, mode: str = "all", min_degree: int | None = None, max_degree: int | None = None) -> Linked:
+def _marked(occurrences: DataFrame, min_degree: int | None, max_degree: int | None) -> DataFrame:
+    """The stored occurrences that condemn or may link reads, by one join with the statistics of k-mers seen twice."""
+    groups = materialize(branch_groups(occurrences).where("deg > 1"), "groups")
+    return materialize(touched_occurrences(occurrences, joinable(groups), min_degree, max_degree), "touched")
+
+
+def condemned_reads(reads: DataFrame, k: int = 27) -> DataFrame:
+    """(read_id) of the reads that support a minority branch of any k-mer."""
+    if k > PACKED:
+        occurrences = kmer_occurrences(spread(reads), k)
+        return bad_reads(touched_occurrences(occurrences, joinable(materialize(branch_groups(occurrences).where("deg > 1"), "groups"))))
+    dealt = Dealt(spread(reads), k)
+    hot = dealt.hot_occurrences()
+    found = dealt.condemned()
+    return (found if hot is None else found.union(bad_reads(_marked(hot, None, None)))).distinct()
+
+
+def link_reads(reads: DataFrame, k: int = 27, mode: str = "all", min_degree: int | None = None, max_degree: int | None = None, held: int = HELD) -> Linked:
     """Filter k-mers and reads, then take star edges.
 
-    reads should be a stored table. K-mers are generated twice, for their statistics and for the one join that marks
-    what condemns reads and what may link them. Statistics of k-mers seen twice or more, marked occurrences, condemned
-    reads and surviving occurrences are stored, since later steps read them. All occurrences aren't: they are some
-    thirty times the input, and generating them anew costs less than storing them.
+    reads should be a stored table. All k-mers of up to 31 bases travel as runs, once for their statistics, which condemn
+    reads, and once, with these marked, for the edges. Those of hot buckets of more than ``held``, longer ones and
+    minimizers are rows, generated once for the statistics and once for the join that marks what they condemn and link.
     """
-    occurrences = occurrences_of(spread(reads), k, mode)
-    groups = materialize(branch_groups(occurrences).where("deg > 1"), "groups")
-    touched = materialize(touched_occurrences(occurrences, joinable(groups), min_degree, max_degree), "touched")
-    bad = materialize(bad_reads(touched), "bad")
-    survivors = materialize(surviving_occurrences(touched, bad), "survivors")
-    discard(touched)
-    return Linked(occurrences, groups, bad, materialize(star_edges(survivors), "stars"))
+    rows = spread(reads)
+    dealt = Dealt(rows, k, held) if mode == "all" and k <= PACKED else None
+    occurrences = dealt.hot_occurrences() if dealt else occurrences_of(rows, k, mode)
+    condemned, edges, touched = [], [], None
+    if dealt:
+        condemned.append(dealt.condemned())
+    if occurrences is not None:
+        touched = _marked(occurrences, min_degree, max_degree)
+        condemned.append(bad_reads(touched))
+    bad = materialize(reduce(DataFrame.union, condemned).distinct(), "bad")
+    if dealt:
+        edges.append(dealt.stars(bad, min_degree, max_degree))
+    if touched is not None:
+        survivors = materialize(surviving_occurrences(touched, bad), "survivors")
+        discard(touched)
+        edges.append(star_edges(survivors))
+    stars = materialize(reduce(DataFrame.union, edges).distinct(), "stars")
+    if dealt:
+        discard(dealt.runs)
+    return Linked(bad, stars)
 
 
 def partition_reads(

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from kmerloom.functions.dna import base_text, kmer_text
 from kmerloom.operators import branch_filter, components, histograms, kmers, links, mates, stats
 from kmerloom.operators.binpack import component_partitions, partition_manifest
-from kmerloom.plans.partition_reads import Linked, joinable, link_reads
-from kmerloom.sources.fastq import chunk_index, read_fastq, scan_fastq, write_largest_component, write_partitions
+from kmerloom.plans.partition_reads import Linked, condemned_reads, link_reads
+from kmerloom.sources.fastq import fastq_index, read_fastq, scan_fastq, write_largest_component, write_partitions
 from kmerloom.sources.text_reads import conversation_reads, document_reads
 from kmerloom.storage import materialize, new_path, spread
 
 K, PARTS, CAP, CHUNK = 27, 16, 1000, 1000
-#: Of the FASTQ files that queries write: reads of a file by id, bytes of a scanned range.
-FILE_IDS, RANGE = 8192, 1 << 16
+#: Of the FASTQ files that queries write: reads of a file by id, bytes of a scanned range and of a task.
+FILE_IDS, RANGE, TASK = 8192, 1 << 16, 1 << 20
 #: -1 for reads without a mate.
 MATE = "coalesce(mate_id, -1) AS mate_id"
 
@@ -186,9 +186,7 @@ def ambiguous_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bad_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = occurrences(spark, sf_dir)
-    groups = materialize(branch_filter.branch_groups(rows).where("deg > 1"), "groups")
-    return branch_filter.bad_reads(branch_filter.touched_occurrences(rows, joinable(groups)))
+    return condemned_reads(reads(spark, sf_dir), K)
 
 
 @query
@@ -291,7 +289,7 @@ def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads written as FASTQ text and scanned again in small byte ranges."""
     path = new_path(spark, "fastq")
     reads(spark, sf_dir).select(fastq(F.concat(F.lit("r"), F.col("read_id"))).alias("value")).write.text(path)
-    return scan_fastq(spark, listed(spark, path), RANGE).select("header", "seq", F.length("qual").cast("long").alias("quals"))
+    return scan_fastq(spark, listed(spark, path), RANGE, TASK).select("header", "seq", F.length("qual").cast("long").alias("quals"))
 
 
 @query
@@ -299,31 +297,31 @@ def paired_input_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mates written to two files each, single reads to others, read as one input set."""
     pairs, alone = mated_records(reads(spark, sf_dir, paired=True))
     left, right = (stored_files(pairs.where(side), "first") for side in ("read_id = first", "read_id <> first"))
-    return headed(read_fastq(spark, list(zip(left, right)), stored_files(alone), chunk_bytes=RANGE))
+    return headed(read_fastq(spark, list(zip(left, right)), stored_files(alone), chunk_bytes=RANGE, task_bytes=TASK))
 
 
 @query
 def interleaved_input_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, alone = mated_records(reads(spark, sf_dir, paired=True))
-    return headed(read_fastq(spark, single=stored_files(alone), interleaved=stored_files(pairs, "first"), chunk_bytes=RANGE))
+    return headed(read_fastq(spark, single=stored_files(alone), interleaved=stored_files(pairs, "first"), chunk_bytes=RANGE, task_bytes=TASK))
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame]:
     files = stored_files(mated_records(reads(spark, sf_dir))[1])
-    return files, materialize(chunk_index(scan_fastq(spark, files, RANGE)), "index")
+    return files, materialize(fastq_index(spark, single=files, chunk_bytes=RANGE, task_bytes=TASK), "index")
 
 
 @query
 def stored_chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of byte ranges, written and read again."""
-    return indexed(spark, sf_dir)[1]
+    return indexed(spark, sf_dir)[1].where("n > 0").select("chunk_id", "file_no", "first_offset", "n")
 
 
 @query
 def indexed_input_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An input set that takes its ids from a stored index."""
     files, index = indexed(spark, sf_dir)
-    return headed(read_fastq(spark, single=files, chunk_bytes=RANGE, index=index))
+    return headed(read_fastq(spark, single=files, chunk_bytes=RANGE, index=index, task_bytes=TASK))
 
 
 @query
@@ -336,7 +334,7 @@ def written_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_partitions(partition_manifest(own, rows, component_partitions(own, PARTS)), records, path, FILE_IDS)
     files = listed(spark, path)
     parts = spark.createDataFrame([(i, int(f.partition("part_id=")[2].partition("/")[0])) for i, f in enumerate(files)], "file_no int, part_id int")
-    return scan_fastq(spark, files, RANGE).join(F.broadcast(parts), "file_no").select("part_id", "header", "seq")  # a row per file
+    return scan_fastq(spark, files, RANGE, TASK).join(F.broadcast(parts), "file_no").select("part_id", "header", "seq")  # a row per file
 
 
 @query
@@ -348,7 +346,7 @@ def written_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_largest_component(own, rows.withColumn("record", fastq(F.concat(F.lit("r"), F.col("read_id")))), stats.largest_component(own).first().comp_id, path)
     files = listed(spark, path)
     kinds = spark.createDataFrame([(i, "/largest=true/" in f) for i, f in enumerate(files)], "file_no int, largest boolean")
-    return scan_fastq(spark, files, RANGE).join(F.broadcast(kinds), "file_no").select("largest", "header", "seq")  # a row per file
+    return scan_fastq(spark, files, RANGE, TASK).join(F.broadcast(kinds), "file_no").select("largest", "header", "seq")  # a row per file
 
 
 @query

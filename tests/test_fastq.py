@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyarrow import fs
 
-from kmerloom.sources import fastq
+from kmerloom.sources import fastq, fastq_text
+from kmerloom.storage import materialize
 
 
 def record(i, rng, name=None):
@@ -24,10 +26,9 @@ def test_any_split_reads_every_record_once(spark, tmp_path, chunk):
     if chunk == 1:
         found = []
         for i, p in enumerate(paths):
-            store, name = fastq._open(p)
-            with store.open_input_file(name) as source:
-                for _, a, b in fastq.plan_chunks([source.size()], chunk):
-                    found += [(i, *(x.decode() for x in r[1:])) for r in fastq.records_in(source, a, b)]
+            with fs.LocalFileSystem().open_input_file(p) as source:
+                for c in fastq.plan_chunks(fastq.input_set(single=[p]), [source.size()], chunk):
+                    found += [(i, *(x.decode() for x in r[1:])) for r in fastq_text.records_in(source, c.start, c.end)]
     else:
         found = [(r.file_no, r.header, r.seq, r.plus, r.qual) for r in fastq.scan_fastq(spark, paths, chunk).orderBy("file_no", "offset").collect()]
     assert found == [(i, *r) for i, f in enumerate(files) for r in f]
@@ -56,26 +57,142 @@ def test_mates_need_one_name(spark, tmp_path):
     swapped = [*pair[1][:2], pair[1][3], pair[1][2], *pair[1][4:]]
     a, b, c = (write(tmp_path / f"{i}.fq", r) for i, r in enumerate((*pair, swapped)))
     assert fastq.read_fastq(spark, [(a, b)]).count() == 12
-    with pytest.raises(ValueError, match="2.fq has reads|0.fq has reads"):
+    with pytest.raises(ValueError, match="2.fq: reads whose mates"):
         fastq.read_fastq(spark, [(a, b), (a, c)])
     mixed = [x for two in zip(*pair) for x in two]
     off = write(tmp_path / "off.fq", mixed[1:] + mixed[:1])
     assert fastq.read_fastq(spark, interleaved=[write(tmp_path / "mixed.fq", mixed)]).count() == 12
-    with pytest.raises(ValueError, match="off.fq has reads"):
+    with pytest.raises(ValueError, match="off.fq: reads whose mates"):
         fastq.read_fastq(spark, interleaved=[off])
 
 
-def test_stored_index(spark, tmp_path):
-    rng = random.Random(8)
+def indexed(spark, tmp_path, seed=8):
+    rng = random.Random(seed)
     paths = [write(tmp_path / f"{i}.fq", [record(i, rng) for i in range(n)]) for i, n in enumerate((30, 0, 17))]
-    index = fastq.chunk_index(fastq.scan_fastq(spark, paths, 300))
-    key = lambda r: r.read_id
-    want = sorted(fastq.read_fastq(spark, single=paths, chunk_bytes=300).collect(), key=key)
-    assert sorted(fastq.read_fastq(spark, single=paths, chunk_bytes=300, index=index).collect(), key=key) == want
+    return paths, materialize(fastq.fastq_index(spark, single=paths, chunk_bytes=300), "index")
+
+
+def by_id(df):
+    return sorted(df.collect(), key=lambda r: r.read_id)
+
+
+def test_stored_index(spark, tmp_path):
+    paths, index = indexed(spark, tmp_path)
+    want = by_id(fastq.read_fastq(spark, single=paths, chunk_bytes=300))
+    assert by_id(fastq.read_fastq(spark, single=paths, chunk_bytes=300, index=index)) == want
+    assert by_id(fastq.read_fastq(spark, single=paths, chunk_bytes=300, index=index.where("n >= 0"))) == want
     assert [r.read_id for r in want] == list(range(47))
-    for files, size in ((paths, 200), (paths[::-1], 300)):
-        with pytest.raises(ValueError, match="other files"):
+    for files, size in ((paths, 200), (paths[::-1], 300), (paths[:2], 300)):
+        with pytest.raises(ValueError, match="other files|another size"):
             fastq.read_fastq(spark, single=files, chunk_bytes=size, index=index)
+    with pytest.raises(ValueError, match="other files"):
+        fastq.read_fastq(spark, single=paths, chunk_bytes=300, index=index.where("chunk_id > 0"))
+
+
+def test_a_stale_index_raises(spark, tmp_path):
+    paths, index = indexed(spark, tmp_path)
+    text = (tmp_path / "0.fq").read_text()
+    lines = text.split("\n")
+    swapped = "\n".join([*lines[:56], *lines[60:64], *lines[56:60], *lines[64:]])
+    renamed = text.replace("@r9\n", "@r7\n")
+    for changed in (text * 10, text[: len(text) // 2], text + "@z\nA\n+\nI\n", ""):  # grown and shrunk
+        (tmp_path / "0.fq").write_text(changed)
+        with pytest.raises(ValueError):
+            fastq.read_fastq(spark, single=paths, chunk_bytes=300, index=index)
+    for changed in (swapped, renamed):  # edited, of the same size
+        assert len(changed) == len(text) and changed != text
+        (tmp_path / "0.fq").write_text(changed)
+        with pytest.raises(Exception, match="has changed since it was indexed"):
+            fastq.read_fastq(spark, single=paths, chunk_bytes=300, index=index).collect()
+    (tmp_path / "0.fq").write_text(text)
+    assert fastq.read_fastq(spark, single=paths, chunk_bytes=300, index=index).count() == 47
+
+
+def test_filters_reach_the_plan(spark, tmp_path):
+    paths, index = indexed(spark, tmp_path)
+    reads = fastq.read_fastq(spark, single=paths, chunk_bytes=300, index=index, task_bytes=1)
+    every = by_id(reads)
+    chunks = sorted({r.chunk_id for r in every})
+    assert len(chunks) > 4 and reads.rdd.getNumPartitions() == index.count()
+    for test, keep in ((f"chunk_id = {chunks[2]}", lambda r: r.chunk_id == chunks[2]), (f"chunk_id IN ({chunks[0]}, {chunks[3]})", lambda r: r.chunk_id in (chunks[0], chunks[3])), ("chunk_id >= 3 AND chunk_id < 5", lambda r: 3 <= r.chunk_id < 5)):
+        some = reads.where(test)
+        want = list(filter(keep, every))
+        assert some.rdd.getNumPartitions() == len({r.chunk_id for r in want}) and by_id(some) == want
+    some = reads.where("file_no = 2")
+    assert some.rdd.getNumPartitions() < reads.rdd.getNumPartitions() and by_id(some) == [r for r in every if r.file_no == 2]
+    (tmp_path / "0.fq").write_text((tmp_path / "0.fq").read_text().replace("@r0", "@q0"))  # a chunk that isn't opened
+    assert by_id(reads.where("file_no = 2")) == [r for r in every if r.file_no == 2]
+
+
+def mates(n, seed, lengths=(0, 60)):
+    rng = random.Random(seed)
+
+    def one(i, side):
+        size = rng.randrange(*lengths) if side == 1 else rng.randrange(3)
+        seq = "".join(rng.choice("ACGTN") for _ in range(size))
+        return f"@p{i * 7919 % 100003}{'/' if i % 2 else ' '}{side}", seq, "+", "".join(rng.choice("@+Ip") for _ in range(size))
+
+    return [[one(i, side) for i in range(n)] for side in (1, 2)]
+
+
+@pytest.mark.parametrize("chunk", [40, 333, 5000])
+def test_mates_meet_in_one_range(spark, tmp_path, chunk):
+    """Records of quite different lengths on both sides, in files of several ranges and in one file."""
+    left, right = mates(120, chunk)
+    a, b = write(tmp_path / "a.fq", left), write(tmp_path / "b.fq", right)
+    both = write(tmp_path / "c.fq", [r for pair in zip(left, right) for r in pair])
+    rows = by_id(fastq.read_fastq(spark, [(a, b)], interleaved=[both], chunk_bytes=chunk))
+    want = ["\n".join(r) for pair in zip(left, right) for r in pair]
+    assert [r.read_id for r in rows] == list(range(480)) and [r.record for r in rows] == want * 2
+    assert [r.mate_id for r in rows] == [i ^ 1 for i in range(480)]
+    assert {r.file_no for r in rows} == {0, 1, 2}
+
+
+def test_no_shuffle_for_ids_and_mates(spark, tmp_path):
+    left, right = mates(50, 1)
+    reads = fastq.read_fastq(spark, [(write(tmp_path / "a.fq", left), write(tmp_path / "b.fq", right))], chunk_bytes=300)
+    plan = reads._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_mates_far_from_their_share_of_the_file(tmp_path, monkeypatch):
+    monkeypatch.setattr(fastq_text, "WINDOW", 64)
+    left, right = mates(400, 3)
+    right = [(h, "ACGT" * (100 if i > 350 else 0), "+", "IIII" * (100 if i > 350 else 0)) for i, (h, *_) in enumerate(right)]
+    a, b = write(tmp_path / "a.fq", left), write(tmp_path / "b.fq", right)
+    with fs.LocalFileSystem().open_input_file(a) as x, fs.LocalFileSystem().open_input_file(b) as y:
+        found = [(p[1].decode(), q[1].decode()) for s in range(0, x.size(), 500) for p, q in fastq_text.pairs_of_files(x, y, s, min(s + 500, x.size()))]
+    assert found == [(p[0], q[0]) for p, q in zip(left, right)]
+
+
+def test_pairs_that_do_not_fit(spark, tmp_path):
+    left, right = mates(60, 4)
+    a = write(tmp_path / "a.fq", left)
+    for i, other in enumerate((right[:-1], right[1:], right[:30] + right[31:], right + right[:1], [], right[:59] + right[:1])):
+        b = write(tmp_path / f"b{i}.fq", other)
+        for chunk in (200, 1 << 20):
+            with pytest.raises(ValueError, match="different numbers|other names"):
+                fastq.read_fastq(spark, [(a, b)], chunk_bytes=chunk)
+            if not other:
+                with pytest.raises(ValueError, match="different numbers"):
+                    fastq.read_fastq(spark, [(b, a)], chunk_bytes=chunk)
+    empty = [write(tmp_path / f"e{i}.fq", []) for i in range(2)]
+    assert fastq.read_fastq(spark, [tuple(empty)], single=[a]).count() == 60
+    odd = write(tmp_path / "odd.fq", [r for pair in zip(left, right) for r in pair][:-1])
+    with pytest.raises(ValueError, match="odd number"):
+        fastq.read_fastq(spark, interleaved=[odd], chunk_bytes=200)
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    rng = random.Random(12)
+    paths = [write(tmp_path / f"{i:04}.fq", [record(i, rng) for _ in range(3)]) for i in range(300)]
+    reads = fastq.read_fastq(spark, single=paths, chunk_bytes=1 << 20, task_bytes=10_000)
+    assert reads.rdd.getNumPartitions() < 20
+    assert [r.record.split("\n")[0] for r in by_id(reads)] == [f"@r{i}" for i in range(300) for _ in range(3)]
+    chunks = [fastq.Chunk(i, i, "", 0, 10_000, 10_000) for i in range(10_000)]  # 10,000 files of 10 KB
+    assert len(fastq.packed_tasks(chunks, 4 << 20)) == 24
+    pair = fastq.Chunk(0, 0, "a", 0, 100, 200, mate="b", mate_size=600)
+    assert pair.weight == 400
 
 
 def test_windows_line_ends_and_missing_last_newline(spark, tmp_path):
@@ -91,8 +208,8 @@ def test_index_and_sinks(spark, tmp_path):
     rng = random.Random(3)
     path = write(tmp_path / "x.fq", [record(i, rng) for i in range(30)])
     scanned = fastq.scan_fastq(spark, [path], 200)
-    index = fastq.chunk_index(scanned).orderBy("chunk_id").collect()
-    assert sum(r.n for r in index) == 30 and index[0].first_offset == 0
+    index = fastq.fastq_index(spark, single=[path], chunk_bytes=200).orderBy("chunk_id").collect()
+    assert sum(r.n for r in index) == 30 == scanned.count() and index[0].first_offset == 0
     reads = fastq.read_fastq(spark, single=[path])
     manifest = reads.selectExpr("CAST(read_id % 3 AS INT) AS part_id", "read_id").union(reads.where("read_id = 4").selectExpr("0", "read_id"))
     out = str(tmp_path / "parts")
