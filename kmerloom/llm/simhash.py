@@ -14,7 +14,7 @@ For whole-document similarity (``near_duplicates``) two bits are far too near: d
 their five-word shingles differ in some ten bits of 64. There cells are min-wise sketch bands of the shingle hashes, and
 a 512-bit SimHash only makes copies one node. The exact Jaccard similarity of the shingle sets decides on every pair of a
 cell: small cells emit their pairs, which are verified once however many cells they share; large cells are cut into
-blocks, and each pair of blocks is a task that searches the exact graph breadth-first and yields a spanning forest. The
+blocks, of which each row is given once, and each pair of blocks is a task that searches the exact graph breadth-first and yields a spanning forest. The
 only pairs left out are those whose numbers of shingles rule the similarity out.
 """
 
@@ -40,6 +40,8 @@ BANDS, ROWS = 14, 4
 WIDE = 8
 #: Rows of a cell that emits its pairs; a larger one is cut into blocks of so many shingles (or one longer row).
 PAIRED, BLOCK_SHINGLES = 48, 1 << 20
+#: Rows of _cell_pairs.
+PAIR, MEMBER, TASK = 0, 1, 2
 #: Rows of a grid cell that is searched as it is; a larger one is cut by blocks of the fingerprint.
 CELL = 2048
 
@@ -243,19 +245,19 @@ def _sketches(k: int):
     return run
 
 
-def _blocks(sizes: np.ndarray, similarity: float) -> list[tuple[int, int, int, int]]:
-    """Ranges (a, b, c, d) of rows in order of ``sizes``: rows a to b meet rows c to d. Together they hold every pair that
-    the sizes allow to be similar, once; (a, b) = (c, d) stands for the pairs inside."""
+def _blocks(sizes: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Ranges of rows in order of ``sizes``, and the pairs (i, j), i <= j, of ranges that the sizes allow to hold similar
+    rows. Together they hold every pair of rows once; i = j stands for the pairs inside a range."""
     ends = np.cumsum(sizes)
     part = (ends - sizes) // BLOCK_SHINGLES
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     spans = list(zip(cuts, cuts[1:]))
-    return [(*x, *y) for i, x in enumerate(spans) for y in spans[i:] if sizes[x[1] - 1] >= similarity * sizes[y[0]] - 1e-9]
+    return spans, [(i, j) for i, x in enumerate(spans) for j, y in enumerate(spans[i:], i) if sizes[x[1] - 1] >= similarity * sizes[y[0]] - 1e-9]
 
 
 def _cell_pairs(similarity: float):
-    """Rows (cell, node, size) sorted by cell -> rows (task, side, u, v): pairs (u, v) of small cells, with no task; and
-    the rows u of large cells for every task that compares a block with itself (side 0) or two blocks (sides 1 and 2)."""
+    """Rows (cell, node, size) sorted by cell -> rows (kind, key, u, v): of small cells the PAIR (u, v); of large ones each
+    row u once, as a MEMBER of its block ``key``, and for each two blocks u and v to compare (u = v: inside) a TASK ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((3, 0), np.int64)
@@ -272,21 +274,21 @@ def _cell_pairs(similarity: float):
                     x, y = (some + i).ravel(), (some + j).ravel()
                     able = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
                     x, y = node[x[able]], node[y[able]]
-                    yield batch(None, 0, np.maximum(x, y), np.minimum(x, y))
+                    yield batch(PAIR, None, np.maximum(x, y), np.minimum(x, y))
             for a, n in zip(starts[counts > PAIRED].tolist(), counts[counts > PAIRED].tolist()):
                 order = a + np.lexsort((node[a : a + n], size[a : a + n]))
-                for p, q, r, t in _blocks(size[order], similarity):
-                    task = xxhash.xxh64_intdigest(np.array([cell[a], p, r]).tobytes(), SEED) - (1 << 63)
-                    if p == r:
-                        yield batch(task, 0, node[order[p:q]], None)
-                    else:
-                        yield batch(task, 1, node[order[p:q]], None)
-                        yield batch(task, 2, node[order[r:t]], None)
-
-        def batch(task: int | None, side: int, u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
-            n = len(u)
-            other = pa.nulls(n, pa.int64()) if v is None else pa.array(v)
-            return pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int64()), pa.array([side] * n, pa.int32()), pa.array(u), other], names=["task", "side", "u", "v"])
+                spans, pairs = _blocks(size[order], similarity)
+                name = lambda *x: xxhash.xxh64_intdigest(np.array([cell[a], *x]).tobytes(), SEED) - (1 << 63)  # noqa: B023, E731
+                ids = np.array([name(i) for i in range(len(spans))])
+                for block, (p, q) in zip(ids, spans):
+                    yield batch(MEMBER, np.full(q - p, block), node[order[p:q]], None)
+                for at in range(0, len(pairs), 1 << 16):
+                    i, j = np.array(pairs[at : at + (1 << 16)]).T
+                    yield batch(TASK, np.array([name(x, y) for x, y in zip(i.tolist(), j.tolist())]), ids[i], ids[j])
+
+        def batch(kind: int, key: np.ndarray | None, u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
+            n, none = len(u), pa.nulls(len(u), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), none if key is None else pa.array(key), pa.array(u), none if v is None else pa.array(v)], names=["kind", "key", "u", "v"])
 
         for given in batches:
             if not given.num_rows:
@@ -381,15 +383,18 @@ def _shingle_sets(k: int):
 def _verified(candidates: DataFrame, rows: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
     """Edges (u, v) of the candidates of _cell_pairs whose shingle sets have a Jaccard similarity of ``similarity`` or
     more; of a task's, a spanning forest. One text speaks for a node."""
-    ends = candidates.select(F.explode(F.array("u", "v")).alias("node")).where("node is not null").distinct()
+    kind = lambda x: candidates.where(F.col("kind") == x)
+    ends = kind(PAIR).select(F.explode(F.array("u", "v")).alias("node")).union(kind(MEMBER).select("u")).distinct()
     own = nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"))
     texts = rows.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sig") == F.col("__sig"))).select("node", "text")
     sets = materialize(map_arrow(texts, _shingle_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    pairs = candidates.where("task is null").select("u", "v").distinct().join(left, "u").join(right, "v").withColumn("both", both)
+    pairs = kind(PAIR).select("u", "v").distinct().join(left, "u").join(right, "v").withColumn("both", both)
     near = pairs.where(F.col("both") >= similarity * (F.size("a") + F.size("b") - F.col("both")) - 1e-9).select("u", "v")
-    tasks = candidates.where("task is not null").select("task", "side", F.col("u").alias("node")).join(sets, "node")
+    side = lambda n, block: F.struct(F.lit(n).alias("side"), F.col(block).alias("block"))
+    blocks = kind(TASK).select(F.col("key").alias("task"), F.explode(F.when(F.col("u") == F.col("v"), F.array(side(0, "u"))).otherwise(F.array(side(1, "u"), side(2, "v")))).alias("x"))
+    tasks = blocks.select("task", "x.*").join(kind(MEMBER).select(F.col("key").alias("block"), F.col("u").alias("node")), "block").drop("block").join(sets, "node")
     hot = map_arrow(tasks.repartition("task").sortWithinPartitions("task"), _task_edges(similarity), "u long, v long")
     return near.union(hot.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
 
@@ -407,7 +412,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     found = materialize(map_arrow(rows, _sketches(shingle_words), "doc_id long, sig long, wide binary, size long, cells array<long>").withColumn("node", F.xxhash64("wide")), "sketches")
     nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "sig", "size", "cells")).alias("one")).select("node", "one.*")
     cells = nodes.select(F.explode("cells").alias("cell"), "node", "size")
-    candidates = materialize(map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_pairs(similarity), "task long, side int, u long, v long"), "candidates")
+    candidates = materialize(map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_pairs(similarity), "kind int, key long, u long, v long"), "candidates")
     labels = connected_components(_verified(candidates, rows, nodes, shingle_words, similarity))
     each = found.groupBy("doc_id", "sig", "node").agg(F.count("*").alias("n"))
     linked = materialize(each.join(labels, F.col("node") == F.col("id"), "left").select("doc_id", "sig", "n", F.coalesce("label", "node").alias("label")), "members")

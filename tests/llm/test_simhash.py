@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -202,7 +203,8 @@ def test_hot_cell_of_many_small_groups(spark):
 def test_blocks_meet_every_pair_that_sizes_allow():
     rng = np.random.default_rng(15)
     sizes = np.sort(rng.integers(1, simhash.BLOCK_SHINGLES // 3, 40))
-    met = [(i, j) for a, b, c, d in simhash._blocks(sizes, 0.8) for i in range(a, b) for j in range(c, d) if i < j]
+    spans, pairs = simhash._blocks(sizes, 0.8)
+    met = [(i, j) for x, y in pairs for i in range(*spans[x]) for j in range(*spans[y]) if i < j]
     assert len(met) == len(set(met))
     assert {(i, j) for i in range(40) for j in range(i + 1, 40) if sizes[i] >= 0.8 * sizes[j]} <= set(met)
 
@@ -213,3 +215,36 @@ def test_pairs_of_short_texts(spark):
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(100)]
     rows = [(i, t, "e") for i, t in enumerate(texts + [f"{t} more{i}" for i, t in enumerate(texts)])]
     assert lowest(spark, rows) == {i: i % 100 for i in range(200)}
+
+
+def test_a_hot_cell_gives_every_row_once(monkeypatch):
+    """However many pairs of blocks there are, a row leaves its cell's task once."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 1000)
+    n = 4000
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.full(n, 20))], names=["cell", "node", "size"])
+    rows = [r for b in simhash._cell_pairs(0.8)(iter([batch])) for r in b.to_pylist()]
+    members = [r for r in rows if r["kind"] == simhash.MEMBER]
+    assert sorted(r["u"] for r in members) == list(range(n))
+    blocks = {r["key"] for r in members}
+    tasks = [(r["u"], r["v"]) for r in rows if r["kind"] == simhash.TASK]
+    assert len(blocks) == 80 and len(tasks) == len({frozenset(t) for t in tasks}) == 80 * 81 // 2
+    assert len({r["key"] for r in rows if r["kind"] == simhash.TASK}) == len(tasks)
+
+
+def test_share_of_similar_pairs_that_meet():
+    """Pairs of a similarity of 0.80 to 0.83, the least that count: measured share that meets in a cell."""
+    g, texts = np.random.default_rng(21), []
+    for _ in range(1500):
+        words = [f"w{x}" for x in g.integers(0, 10**6, 400)]
+        other = list(words)
+        for at in g.choice(400, 8, replace=False):  # eight words changed apart change up to 40 shingles of 396
+            other[at] = "x" + other[at]
+        texts.append((" ".join(words), " ".join(other)))
+    sets = [[set(np.frombuffer(simhash.shingle_hashes(t.encode().split(), 5), ">u8").tolist()) for t in pair] for pair in texts]
+    close = [i for i, (a, b) in enumerate(sets) if 0.80 <= len(a & b) / len(a | b) < 0.83]
+    flat = [t for i in close for t in texts[i]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(flat))), pa.array(range(len(flat))), pa.array(flat)], names=["doc_id", "sig", "text"])
+    cells = [c for b in simhash._sketches(5)(iter([batch])) for c in b.column("cells").to_pylist()]
+    met = sum(bool(set(a) & set(b)) for a, b in zip(cells[::2], cells[1::2]))
+    print(f"{met} of {len(close)} pairs meet")
+    assert len(close) > 300 and met >= 0.99 * len(close)
