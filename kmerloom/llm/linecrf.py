@@ -2,11 +2,12 @@
 
 Lines are the positions of a chain with two labels. Emission scores are linear in the features of a line, transition
 scores are a two-by-two table; Viterbi decoding gives the best labelling of a document. The model is fitted here, to
-evidence that its features don't hold: the quality marks of a bounded sample of documents. Every line of a document of
-quality 0 counts as boilerplate, every line of quality 1 as content, and the log-likelihood of those labels, with
-gradients by forward-backward, is maximised. Lines that occur in both kinds thus get weak emissions, and the chain decides
-them by their neighbours. Without documents of both kinds, rules of high precision label the lines instead. A document
-stays if its base statistics pass and enough of its words stand in content lines.
+evidence that its features don't hold: whether a line recurs in other documents of the whole table, and the quality marks
+of a bounded sample of documents. In a document of quality 1 lines that recur are boilerplate and all others content, so
+labels change inside documents; a document of which most lines recur is a copy, which tells nothing, and is left out. The
+lines of a document of quality 0 are boilerplate with less weight, since its mark is of the whole. The log-likelihood of
+these labels, with gradients by forward-backward, is maximised. Without documents of both kinds, rules of high precision
+label the lines instead. A document stays if its base statistics pass and enough of its words stand in content lines.
 """
 
 from __future__ import annotations
@@ -29,15 +30,17 @@ from kmerloom.llm.sampling import hashed_sample, remainder
 #: Documents whose crc32(doc_id as text) is divisible by HELD_OUT are never fitted on.
 DOCUMENTS, LINES, RUNS, HELD_OUT = 1000, 40, 4, 5
 CONTENT_SHARE = 0.5
+#: Documents in which a line stands that recurs; share of a run's lines that recur in a copy; weight of quality 0.
+RECURS, COPIED, WEAK = 3, 0.5, 0.25
 SYMBOLS, UPPER, DIGITS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58))
 CONTINUATION = bytes(range(128, 192))  # of UTF-8: every other byte begins a code point
 LEGAL = re.compile(rb"(?i)licen[sc]e|copyright|all rights reserved|cookie|https?://|www\.|\xc2\xa9")
-FEATURES, STEPS, RATE, DECAY = 12, 200, 0.3, 1e-5
+FEATURES, STEPS, RATE, DECAY = 15, 200, 0.3, 1e-5
 CONTENT, BOILERPLATE = 0, 1
 
 
-def line_features(line: bytes, words: list[bytes], repeated: bool) -> tuple:
-    """Features of a line that has words; repeated: an equal line came before it."""
+def line_features(line: bytes, words: list[bytes], before: bool, after: bool, first: bool, last: bool) -> tuple:
+    """Features of a line that has words; before and after: an equal line stands there; first and last of the document."""
     n, size = len(words), len(line)
     count = lambda chars: size - len(line.translate(None, chars))
     return (
@@ -50,15 +53,18 @@ def line_features(line: bytes, words: list[bytes], repeated: bool) -> tuple:
         float(line.rstrip().endswith((b".", b"!", b"?", b":", b'"'))),
         min(1.0, line.count(b"|") / n),
         sum(map(eq, words, words[1:])) / n,
-        float(repeated),
+        float(before),
         len(set(words)) / n,
         float(LEGAL.search(line) is not None),
+        float(after),
+        float(first),
+        float(last),
     )
 
 
 def seed_label(f: tuple) -> int:
     """Boilerplate if symbols, capitals, bars or repeats dominate, or a short line has legal or link words."""
-    _, length, symbols, upper, bangs, digits, _, bars, adjacent, repeated, distinct, legal = f
+    _, length, symbols, upper, bangs, digits, _, bars, adjacent, repeated, distinct, legal, *_ = f
     odd = symbols > 0.3 or upper > 0.4 or bangs > 0.4 or bars > 0.3 or adjacent > 0.3 or digits > 0.6 or distinct < 0.3
     return BOILERPLATE if odd or repeated or legal and length < 0.5 else CONTENT
 
@@ -69,9 +75,11 @@ class Chain:
     def __init__(self):
         self.emit, self.move = np.zeros((FEATURES, 2)), np.zeros((2, 2))
 
-    def gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Mean log-likelihood per line and its gradients; x (n, t, FEATURES), y and mask (n, t): padded chains."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean log-likelihood per line and its gradients; x (n, t, FEATURES), y and mask (n, t): padded chains; weight (n)
+        of each chain, 1 if None."""
         n, t, _ = x.shape
+        weight = np.ones(n) if weight is None else weight
         e = x @ self.emit
         alpha, beta = np.zeros((n, t, 2)), np.zeros((n, t, 2))
         alpha[:, 0] = e[:, 0]
@@ -84,13 +92,13 @@ class Chain:
             beta[:, i] = np.where(mask[:, i + 1, None], step, 0)
         single = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
         gold = np.eye(2)[y] * mask[..., None]
-        emit = np.einsum("ntf,ntk->fk", x, gold - single)
+        emit = np.einsum("ntf,ntk->fk", x, (gold - single) * weight[:, None, None])
         both = mask[:, 1:] & mask[:, :-1]
         pair = np.exp(alpha[:, :-1, :, None] + self.move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
         gold_pair = gold[:, :-1, :, None] * gold[:, 1:, None, :]
-        total = mask.sum()
-        value = (e * gold).sum() + (gold_pair * self.move).sum() - z.sum()
-        return value / total, emit / total, (gold_pair - pair).sum(axis=(0, 1)) / total
+        total = (mask.sum(axis=1) * weight).sum()
+        value = (((e * gold).sum(axis=(1, 2)) + (gold_pair * self.move).sum(axis=(1, 2, 3)) - z) * weight).sum()
+        return value / total, emit / total, ((gold_pair - pair).sum(axis=1) * weight[:, None, None]).sum(axis=0) / total
 
     def viterbi(self, e: np.ndarray) -> list[int]:
         """The best labels for emission scores e (t, 2); of equal scores content wins."""
@@ -106,28 +114,30 @@ class Chain:
         return labels[::-1]
 
 
-def fit(documents: list[tuple[list[tuple], int | None]]) -> Chain:
-    """Adam on the likelihood of the labels of lines; documents are lists of line features, each with its quality.
+def fit(documents: list[tuple[list[tuple], int | None, list[bool]]]) -> Chain:
+    """Adam on the likelihood of the labels of lines; documents are lists of line features, each with its quality and
+    with whether each line recurs in others.
 
     Without documents of both qualities seed labels take their place. Without any line weights stay zero.
     """
     chain = Chain()
     documents = [d for d in documents if d[0]]
-    marked = [d for d in documents if d[1] is not None]
-    if {q for _, q in marked} == {0, 1}:
-        labelled = [(d, [CONTENT if q else BOILERPLATE] * len(d)) for d, q in marked]
+    if {q for _, q, _ in documents} >= {0, 1}:
+        labelled = [(d, [BOILERPLATE] * len(d), WEAK) for d, q, _ in documents if q == 0]
+        labelled += [(d, [BOILERPLATE if r else CONTENT for r in recurs], 1.0) for d, q, recurs in documents if q == 1 and sum(recurs) <= COPIED * len(d)]
     else:
-        labelled = [(d, [seed_label(f) for f in d]) for d, _ in documents]
-    if not documents:
+        labelled = [(d, [seed_label(f) for f in d], 1.0) for d, *_ in documents]
+    if not labelled:
         return chain
-    n, t = len(labelled), max(len(d) for d, _ in labelled)
+    n, t = len(labelled), max(len(d) for d, *_ in labelled)
     x, y, mask = np.zeros((n, t, FEATURES)), np.zeros((n, t), int), np.zeros((n, t), bool)
-    for i, (d, labels) in enumerate(labelled):
+    weight = np.array([w for *_, w in labelled])
+    for i, (d, labels, _) in enumerate(labelled):
         x[i, : len(d)], y[i, : len(d)], mask[i, : len(d)] = d, labels, True
     weights = [chain.emit, chain.move]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, STEPS + 1):
-        _, *grads = chain.gradient(x, y, mask)
+        _, *grads = chain.gradient(x, y, mask, weight)
         for w, g, m, v in zip(weights, grads, first, second):
             g = g - DECAY * w
             m += 0.1 * (g - m)
@@ -159,33 +169,54 @@ def base_statistics(text: bytes, words: list[bytes]) -> tuple[int, int, int, int
 
 def document_lines(text: bytes) -> tuple[list[tuple], list[int]]:
     """Features and word counts of the \\n-split lines that have words."""
-    seen, found, sizes = set(), [], []
-    for line in text.split(b"\n"):
-        words = line.split()
-        if words:
-            found.append(line_features(line, words, line in seen))
-            sizes.append(len(words))
-            seen.add(line)
-    return found, sizes
-
-
-def sampled_runs(text: bytes) -> list[list[tuple]]:
-    """Features of at most RUNS runs of LINES lines (the last may be shorter), from anywhere in the document."""
-    found = document_lines(text)[0]
+    given = [(line, words) for line in text.split(b"\n") if (words := line.split())]
+    left, seen, found = Counter(line for line, _ in given), set(), []
+    for i, (line, words) in enumerate(given):
+        left[line] -= 1
+        found.append(line_features(line, words, line in seen, left[line] > 0, i == 0, i == len(given) - 1))
+        seen.add(line)
+    return found, [len(words) for _, words in given]
+
+
+def line_keys(text: bytes) -> list[int]:
+    """A hash of each line that has words, without the blanks around it."""
+    return [xxhash.xxh64_intdigest(own) - (1 << 63) for line in text.split(b"\n") if (own := line.strip())]
+
+
+def sampled_runs(text: bytes) -> list[tuple[list[tuple], list[int]]]:
+    """Features and keys of at most RUNS runs of LINES lines (the last may be shorter), from anywhere in the document."""
+    found, keys = document_lines(text)[0], line_keys(text)
     seed = xxhash.xxh64_intdigest(text)
     starts = sorted(range(0, len(found), LINES), key=lambda a: splitmix(seed + a))[:RUNS]
-    return [found[a : a + LINES] for a in sorted(starts)]
+    return [(found[a : a + LINES], keys[a : a + LINES]) for a in sorted(starts)]
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        runs = [(q, run) for q, t in zip(batch.column("quality").to_pylist(), raw(batch)) for run in sampled_runs(t or b"")]
-        x = pa.array([[v for f in run for v in f] for _, run in runs], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in runs], pa.int32()), x], names=["quality", "x"])
+        runs = [(q, *run) for q, t in zip(batch.column("quality").to_pylist(), raw(batch)) for run in sampled_runs(t or b"")]
+        x = pa.array([[v for f in run for v in f] for _, run, _ in runs], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, *_ in runs], pa.int32()), x, pa.array([k for *_, k in runs], pa.list_(pa.int64()))], names=["quality", "x", "keys"])
+
+
+def recurring_lines(docs: DataFrame, keys: np.ndarray, least: int = RECURS) -> set[int]:
+    """Those of the keys (sorted, of the sample's lines) whose line stands in ``least`` rows of docs or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [np.unique(np.array(line_keys(t or b""), np.int64)) for t in raw(batch)]
+            key, n = np.unique(np.concatenate(own), return_counts=True)
+            known = np.isin(key, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(key[known]), pa.array(n[known])], names=["key", "n"])
+
+    counted = map_arrow(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return {r.key for r in counted.where(F.col("n") >= least).select("key").collect()}  # of the sample's lines
 
 
 def train(docs: DataFrame, labels: DataFrame | None = None) -> Chain:
-    """Fit on a hashed sample of the documents that labels (doc_id, quality) mark, or of all if there are no labels."""
+    """Fit on a hashed sample of the documents that labels (doc_id, quality) mark, or of all if there are no labels.
+
+    Whether a line of the sample recurs is counted over all rows of docs.
+    """
     fitted = F.coalesce(remainder("doc_id", HELD_OUT) != 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), "text").where(fitted)
     marks = None
@@ -195,9 +226,12 @@ def train(docs: DataFrame, labels: DataFrame | None = None) -> Chain:
     if marks is None or marks.isEmpty():
         marks = hashed_sample(rows.select("doc_id"), DOCUMENTS).distinct().withColumn("quality", F.lit(None).cast("int"))
     chosen = rows.join(F.broadcast(marks), "doc_id").select("quality", "text")  # DOCUMENTS rows of two numbers
-    found = map_arrow(chosen, _sampled, "quality int, x array<double>").collect()  # RUNS runs of DOCUMENTS documents
+    found = map_arrow(chosen, _sampled, "quality int, x array<double>, keys array<long>").collect()  # RUNS runs of DOCUMENTS documents
+    keys = np.unique(np.array([k for r in found for k in r["keys"]], np.int64))
+    recurring = recurring_lines(docs, keys) if {r.quality for r in found} >= {0, 1} else set()
     split = lambda x: [tuple(x[i : i + FEATURES]) for i in range(0, len(x), FEATURES)]
-    return fit([(split(x), q) for x, q in sorted(((r.x, r.quality) for r in found), key=lambda r: (r[0], r[1] or 0))])
+    ordered = sorted(found, key=lambda r: (r["x"], r["quality"] or 0, r["keys"]))
+    return fit([(split(r["x"]), r["quality"], [k in recurring for k in r["keys"]]) for r in ordered])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame | None = None, min_words: int = 50, repeat_percent: int = 50, content_share: float = CONTENT_SHARE) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -59,6 +60,33 @@ def test_viterbi_and_gradient_equal_enumeration():
             assert (above - value) / 1e-6 == pytest.approx(grad[at], abs=1e-4)
 
 
+def test_weighted_gradient_is_that_of_repeated_chains():
+    rng = np.random.default_rng(8)
+    chain = linecrf.Chain()
+    chain.emit[:], chain.move[:] = rng.normal(size=chain.emit.shape), rng.normal(size=(2, 2))
+    x, y = rng.normal(size=(2, 4, linecrf.FEATURES)), rng.integers(0, 2, (2, 4))
+    mask = np.array([[True] * 4, [True] * 3 + [False]])
+    weighted, twice = chain.gradient(x, y, mask, np.array([3.0, 1.0])), chain.gradient(x[[0, 0, 0, 1]], y[[0, 0, 0, 1]], mask[[0, 0, 0, 1]])
+    assert all(np.allclose(a, b) for a, b in zip(weighted, twice))
+
+
+def test_line_labels_change_inside_documents(spark):
+    """Menu lines between sentences are told from them; documents have lines of both kinds; recurring lines are found."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    chain = linecrf.train(docs, labels)
+    decode = lambda lines: chain.viterbi(np.array(linecrf.document_lines("\n".join(lines).encode())[0]) @ chain.emit)
+    good = [f"The council of town {i} met on Tuesday to discuss the new plans for the harbour and for its cost." for i in range(6)]
+    menu = ["HOME | NEWS | SPORT | MORE", "LOG IN | SIGN UP | HELP", "SHARE | PRINT | EMAIL", "HOME | NEWS | SPORT | MORE", "### MENU ###", "TOP | CONTACT | COOKIES"]
+    assert decode(["A first line that opens the page with words of its own."] + [x for pair in zip(good, menu) for x in pair])[1:] == [linecrf.CONTENT, linecrf.BOILERPLATE] * 6
+    assert decode(good + menu[:5]) == [linecrf.CONTENT] * 6 + [linecrf.BOILERPLATE] * 5
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    counts = Counter(k for t in texts for k in set(linecrf.line_keys(t)))
+    keys = np.unique(np.array(list(counts)[::3], np.int64))
+    assert linecrf.recurring_lines(docs.repartition(7), keys) == {k for k in keys.tolist() if counts[k] >= linecrf.RECURS} != set()
+    kinds = [set(decode(t.decode().split("\n"))) for t in texts if sum(bool(x.split()) for x in t.split(b"\n")) > 1]
+    assert sum(len(k) == 2 for k in kinds) > 0.1 * len(kinds)
+
+
 def test_quality_rules(spark):
     out = queries.op1_quality_rules(spark, SF).join(table(spark, SF, "labels"), "doc_id").where("not base_failed").collect()
     assert np.mean([r.kept for r in out if r.quality == 1]) > 0.98
@@ -217,10 +245,11 @@ def test_training_rows_are_never_held_out(spark):
 def test_line_crf_is_fitted_on_lines_from_anywhere(spark):
     text = "\n".join(f"Sentence {i} of a plain text that goes on for a while." for i in range(60)) + "\n" + "\n".join(f"| MENU {i} | HOME | ### |" for i in range(20))
     runs = linecrf.sampled_runs(text.encode())
-    assert sum(runs, []) == linecrf.document_lines(text.encode())[0]
+    assert sum((f for f, _ in runs), []) == linecrf.document_lines(text.encode())[0]
+    assert sum((k for _, k in runs), []) == linecrf.line_keys(text.encode())
     long = linecrf.document_lines(("line of text\n" * 4000).encode())[0]
-    assert [len(r) for r in linecrf.sampled_runs(("line of text\n" * 4000).encode())] == [linecrf.LINES] * linecrf.RUNS and len(long) == 4000
-    last = [any(f == linecrf.document_lines(t.encode())[0][-1] for r in linecrf.sampled_runs(t.encode()) for f in r) for t in (f"{i}\n" + "a b c\n" * 500 + "THE LAST LINE" for i in range(100))]
+    assert [len(r) for r, _ in linecrf.sampled_runs(("line of text\n" * 4000).encode())] == [linecrf.LINES] * linecrf.RUNS and len(long) == 4000
+    last = [any(f == linecrf.document_lines(t.encode())[0][-1] for r, _ in linecrf.sampled_runs(t.encode()) for f in r) for t in (f"{i}\n" + "a b c\n" * 500 + "THE LAST LINE" for i in range(100))]
     assert 10 < sum(last) < 60
     chain = linecrf.train(spark.createDataFrame([(i, f"{i} {text}", "") for i in range(50)], "doc_id long, text string, x string"))  # seed labels
     bars = np.array(linecrf.document_lines(b"| MENU 1 | HOME | ### |")[0]) @ chain.emit
