@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from kmerloom.operators import histograms, mates, stats
 from kmerloom.operators.kmers import kmer_occurrences, minimizers3
 from kmerloom.plans.partition_reads import partition_reads
-from kmerloom.sources.fastq import fastq_index, read_fastq, write_largest_component, write_partitions
+from kmerloom.sources.fastq import fastq_index, read_fastq
+from kmerloom.sources.fastq_sink import write_largest_component, write_partitions
 from kmerloom.storage import materialize
 
 

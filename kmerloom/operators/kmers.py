@@ -162,12 +162,39 @@ def _third_starts(position: np.ndarray, read: np.ndarray, ends: np.ndarray, k: i
     return np.unique(np.concatenate(found))
 
 
+def folded_minimizers(codes: np.ndarray, k: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kmer, prev, next) of the minimizers of one read, slice by slice of ``step`` positions.
+
+    Between slices only the open window is carried: its end and the least k-mer in it so far.
+    """
+    ends, last = np.array([len(codes)]), len(codes) - k
+    third = last // 3
+    until, low, found = third, None, []
+    for a in range(0, len(codes), step):
+        position, _, kmer, prev, after = windows(codes, ends, k, a, min(a + step, len(codes)))
+        real, i = kmer != (0 if k <= PACKED else b"A" * k), 0
+        while i < len(position):
+            if position[i] > until:
+                found += [low] if low else []
+                low, until = None, last if until + 2 * third > last else until + third
+            j = max(i + 1, int(np.searchsorted(position, until + 1)))
+            own = i + np.flatnonzero(real[i:j])
+            if len(own):
+                best = own[kmer[own].argmin() if k <= PACKED else np.argsort(kmer[own], kind="stable")[0]]
+                if low is None or kmer[best] < low[0]:
+                    low = kmer[best], prev[best], after[best]
+            i = j
+    found += [low] if low else []
+    kinds = np.uint64 if k <= PACKED else f"S{k}", np.uint8, np.uint8
+    return tuple(np.array([x[c] for x in found], kind) for c, kind in enumerate(kinds))
+
+
 def minimizers3(reads: DataFrame, k: int = 27) -> DataFrame:
     """(read_id, kmer, prev, next): the least canonical k-mer of each third of a read, three rows a read as a rule.
 
     Windows end at last/3, then a third on, then at the last position; N-free k-mers are taken in order and a window
     advances one step per k-mer that lies beyond its end, so gaps of N shift it. A k-mer of A only is never a minimum;
-    of equal ones the first counts. A read is held whole.
+    of equal ones the first counts. Reads are taken many at once; one longer than a slice is folded over its slices.
     """
     step = READS if k <= PACKED else max(1, TEXT_BYTES // k)
 
@@ -188,9 +215,15 @@ def minimizers3(reads: DataFrame, k: int = 27) -> DataFrame:
         for batch in batches:
             codes, ends = base_codes(batch)
             read_id = batch.column("read_id").to_numpy(zero_copy_only=False)
-            cuts = [0, *ends[np.flatnonzero(np.diff(ends // step))].tolist(), len(codes)]
-            for a, b in zip(cuts, cuts[1:]):
-                if found := least(codes, ends, a, b):
+            long = np.flatnonzero(np.diff(ends, prepend=0) > step)
+            edges = np.unique(np.r_[0, ends[np.flatnonzero(np.diff(ends // step))], ends[long], np.r_[0, ends][long], len(codes)])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                read = int(np.searchsorted(ends, a, side="right"))
+                if ends[read] == b and b - a > step:
+                    kmer, prev, after = folded_minimizers(codes[a:b], k, step)
+                    if len(kmer):
+                        yield kmer_rows(read_id, k, np.full(len(kmer), read), kmer, prev, after)
+                elif found := least(codes, ends, a, b):
                     yield kmer_rows(read_id, k, *found)
 
     return map_arrow(long_reads(reads, k), run, kmer_schema(k))

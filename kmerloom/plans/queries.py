@@ -11,11 +11,12 @@ from kmerloom.functions.dna import base_text, kmer_text
 from kmerloom.operators import branch_filter, components, histograms, kmers, links, mates, stats
 from kmerloom.operators.binpack import component_partitions, partition_manifest
 from kmerloom.plans.partition_reads import Linked, condemned_reads, link_reads
-from kmerloom.sources.fastq import fastq_index, read_fastq, scan_fastq, write_largest_component, write_partitions
+from kmerloom.sources.fastq import fastq_index, read_fastq, scan_fastq
+from kmerloom.sources.fastq_sink import read_partitions, write_largest_component, write_partitions
 from kmerloom.sources.text_reads import conversation_reads, document_reads
 from kmerloom.storage import materialize, new_path, spread
 
-K, PARTS, CAP, CHUNK = 27, 16, 1000, 1000
+K, PARTS, CAP, SMALL_CAP, CHUNK = 27, 16, 1000, 8, 1000
 #: Of the FASTQ files that queries write: reads of a file by id, bytes of a scanned range and of a task.
 FILE_IDS, RANGE, TASK = 8192, 1 << 16, 1 << 20
 #: -1 for reads without a mate.
@@ -59,9 +60,9 @@ def labels(rows: DataFrame, mode: str = "all") -> tuple[Linked, DataFrame]:
     return linked, mates.full_labels(rows, components.connected_components(linked.edges, "max"))
 
 
-def merged(rows: DataFrame) -> DataFrame:
+def merged(rows: DataFrame, cap: int = CAP) -> DataFrame:
     _, own = labels(rows)
-    return materialize(mates.merge_mates(materialize(own, "components"), mates.mate_pairs(rows), CAP), "labels")
+    return materialize(mates.merge_mates(materialize(own, "components"), mates.mate_pairs(rows), cap), "labels")
 
 
 def listed(spark: SparkSession, folder: str) -> list[str]:
@@ -236,6 +237,12 @@ def mate_merged_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(reads(spark, sf_dir, paired=True))
 
 
+@query
+def mate_merged_components_small_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cap that binds: what unites depends on the order of pairs, which SQL doesn't express."""
+    return merged(reads(spark, sf_dir, paired=True), SMALL_CAP)
+
+
 @query
 def conversation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(turns(spark, sf_dir))
@@ -332,9 +339,7 @@ def written_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "partitions")
     records = rows.withColumn("record", fastq(F.concat(F.lit("r"), F.col("read_id"))))
     write_partitions(partition_manifest(own, rows, component_partitions(own, PARTS)), records, path, FILE_IDS)
-    files = listed(spark, path)
-    parts = spark.createDataFrame([(i, int(f.partition("part_id=")[2].partition("/")[0])) for i, f in enumerate(files)], "file_no int, part_id int")
-    return scan_fastq(spark, files, RANGE, TASK).join(F.broadcast(parts), "file_no").select("part_id", "header", "seq")  # a row per file
+    return read_partitions(spark, path, RANGE, TASK).select("part_id", "header", "seq")
 
 
 @query
@@ -344,9 +349,7 @@ def written_largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = materialize(labels(rows)[1], "components")
     path = new_path(spark, "largest")
     write_largest_component(own, rows.withColumn("record", fastq(F.concat(F.lit("r"), F.col("read_id")))), stats.largest_component(own).first().comp_id, path)
-    files = listed(spark, path)
-    kinds = spark.createDataFrame([(i, "/largest=true/" in f) for i, f in enumerate(files)], "file_no int, largest boolean")
-    return scan_fastq(spark, files, RANGE, TASK).join(F.broadcast(kinds), "file_no").select("largest", "header", "seq")  # a row per file
+    return read_partitions(spark, path, RANGE, TASK).select((F.col("part_id") == 1).alias("largest"), "header", "seq")
 
 
 @query

@@ -23,7 +23,6 @@ import pyarrow.dataset
 from pyarrow import fs
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from kmerloom.sources.fastq_text import Record, pairs_in, pairs_of_files, records_in
@@ -32,8 +31,8 @@ from kmerloom.storage import is_stored, materialize
 RECORDS = "file_no int, chunk_id int, offset long, row long, header string, seq string, plus string, qual string"
 READS = "read_id long, mate_id long, chunk_id int, file_no int, seq string, record string"
 INDEX = "chunk_id int, file_no int, first_offset long, n long, file_bytes long, mate_bytes long, digest long"
-#: Reads of a file that write_partitions writes, about; records of a batch; bytes of a chunk.
-FILE_READS, ROWS, CHUNK_BYTES = 1 << 20, 4096, 64 << 20
+#: Records of a batch, bytes of a chunk.
+ROWS, CHUNK_BYTES = 4096, 64 << 20
 STALE = "the index is of other files or another chunk size"
 
 
@@ -355,21 +354,3 @@ def read_fastq(
         index = index if is_stored(index) else materialize(index, "index")
         known_chunks(plan_chunks(files, file_sizes(_paths(files)), chunk_bytes), stored_rows(index._kmerloom_path))
     return _load(spark, FastqReads, files, chunk_bytes, task_bytes, index._kmerloom_path)
-
-
-def write_partitions(manifest: DataFrame, reads: DataFrame, path: str, file_reads: int = FILE_READS) -> None:
-    """Write each partition's records as FASTQ text under path/part_id=<p>/, in files of about ``file_reads`` records.
-
-    Records join late, on read_id alone. A partition's rows are dealt over as many files as its size asks for, so one
-    large partition is written by many tasks.
-    """
-    sizes = manifest.groupBy("part_id").agg(F.ceil(F.count("*") / file_reads).alias("files"))
-    rows = manifest.join(reads.select("read_id", "record"), "read_id").join(F.broadcast(sizes), "part_id")  # a row per partition
-    dealt = rows.repartition("part_id", F.pmod(F.xxhash64("read_id"), F.col("files")))
-    dealt.sortWithinPartitions("part_id", "read_id").select("part_id", F.col("record").alias("value")).write.partitionBy("part_id").text(path)
-
-
-def write_largest_component(labels: DataFrame, reads: DataFrame, largest: int, path: str) -> None:
-    """Write the records of one component, and of all others, under path/largest=true and path/largest=false."""
-    rows = labels.join(reads.select("read_id", "record"), "read_id")
-    rows.select((F.col("comp_id") == largest).alias("largest"), F.col("record").alias("value")).write.partitionBy("largest").text(path)

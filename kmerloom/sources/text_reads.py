@@ -21,13 +21,15 @@ def document_reads(documents: DataFrame, length: int = 100, stride: int = 60, pa
     """(read_id, mate_id, doc_id, seq): overlapping fragments over the whole length of every document; ids are dense in
     (doc_id, fragment). Paired: fragments 2j and 2j + 1 are mates, and a last one without a mate is a single read.
 
-    One pass of a pattern cuts a text, whatever its length, and documents are numbered, not fragments. Texts without
-    letters have no reads; of rows of one doc_id that of the smaller hash comes first.
+    A text is encoded once and stored; documents are numbered by rows without text, which join it again; one pass of a
+    pattern then cuts a text, whatever its length. Texts without letters have no reads; of rows of one doc_id that of the
+    smaller hash comes first.
     """
-    cut = F.regexp_extract_all(encode_text(F.col("text")), F.lit(f"(?=(.{{1,{length}}})).{{1,{stride}}}"), F.lit(1))
-    cuts = documents.select("doc_id", F.xxhash64("text").alias("hash"), cut.alias("cut"))
-    cuts = cuts.withColumn("n", F.greatest(F.coalesce(F.size("cut"), F.lit(0)), F.lit(0)).cast("long"))  # a filter here would cut every text twice
-    parts = exclusive_sum(cuts, ["doc_id", "hash"], "n", "first").select("doc_id", "n", "first", F.posexplode("cut").alias("o", "seq"))
+    rows = documents.select("doc_id", F.xxhash64("text").alias("hash"), encode_text(F.col("text")).alias("bases"), F.monotonically_increasing_id().alias("tie"))
+    stored = materialize(rows.withColumn("n", F.coalesce(F.ceil(F.length("bases") / stride), F.lit(0)).cast("long")), "encoded")
+    first = exclusive_sum(stored.select("doc_id", "hash", "tie", "n"), ["doc_id", "hash", "tie"], "n", "first").select("tie", "first")
+    cut = F.regexp_extract_all("bases", F.lit(f"(?=(.{{1,{length}}})).{{1,{stride}}}"), F.lit(1))
+    parts = stored.where("n > 0").join(first, "tie").select("doc_id", "n", "first", F.posexplode(cut).alias("o", "seq"))
     read_id = (F.col("first") + F.col("o")).alias("read_id")
     mate = F.expr("CASE WHEN o % 2 = 1 THEN first + o - 1 WHEN o + 1 < n THEN first + o + 1 END") if paired else F.lit(None).cast("long")
     return parts.select(read_id, mate.alias("mate_id"), "doc_id", "seq")

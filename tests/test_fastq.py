@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 
-from kmerloom.sources import fastq, fastq_text
+from kmerloom.sources import fastq, fastq_sink, fastq_text
 from kmerloom.storage import materialize
 
 
@@ -213,15 +214,53 @@ def test_index_and_sinks(spark, tmp_path):
     reads = fastq.read_fastq(spark, single=[path])
     manifest = reads.selectExpr("CAST(read_id % 3 AS INT) AS part_id", "read_id").union(reads.where("read_id = 4").selectExpr("0", "read_id"))
     out = str(tmp_path / "parts")
-    fastq.write_partitions(manifest, reads, out, file_reads=4)
+    fastq_sink.write_partitions(manifest, reads, out, file_reads=4)
     files = sorted(str(p) for p in (tmp_path / "parts").glob("part_id=*/part-*"))
     again = fastq.scan_fastq(spark, files).collect()
     assert sorted(r.header for r in again) == sorted([f"@r{i}" for i in range(30)] + ["@r4"])
     assert len(files) >= 3
     labels = reads.selectExpr("read_id", "read_id % 2 AS comp_id")
-    fastq.write_largest_component(labels, reads, 1, str(tmp_path / "largest"))
-    files = [str(p) for p in (tmp_path / "largest" / "largest=true").glob("part-*")]
-    assert fastq.scan_fastq(spark, files).count() == 15
+    fastq_sink.write_largest_component(labels, reads, 1, str(tmp_path / "largest"))
+    assert fastq_sink.read_partitions(spark, str(tmp_path / "largest")).where("part_id = 1").count() == 15
+
+
+def test_only_committed_attempts_are_read(spark, tmp_path, monkeypatch):
+    """An attempt that fails, one that is repeated, and a job that is aborted."""
+    out, names = tmp_path / "out", iter(["00000-1", "00000-2", "00001-3", "00001-4"])
+    monkeypatch.setattr(fastq_sink.FastqWriter, "_attempt", lambda self: next(names))
+    writer = fastq_sink.FastqWriter(str(out))
+    batch = lambda rows: pa.RecordBatch.from_pylist([{"part_id": p, "record": f"@{r}\nACGT\n+\nIIII"} for p, r in rows])
+
+    def failing():
+        yield batch([(0, "a"), (1, "b")])
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        writer.write(failing())
+    assert not list(out.glob("*/*"))
+    first = writer.write(iter([batch([(0, "a"), (1, "b")]), batch([(1, "c")])]))
+    second, again = (writer.write(iter([batch([(1, "d"), (2, "e")])])) for _ in range(2))
+    with pytest.raises(FileNotFoundError):
+        fastq_sink.written_files(str(out))
+    writer.commit([first, again, None])  # the repeated attempt's files stay out
+    assert sorted((p, r) for _, p, r in fastq_sink.written_files(str(out))) == [(0, 1), (1, 1), (1, 2), (2, 1)]
+    found = fastq_sink.read_partitions(spark, f"file://{out}").select("part_id", "header").collect()
+    assert sorted(tuple(r) for r in found) == [(0, "@a"), (1, "@b"), (1, "@c"), (1, "@d"), (2, "@e")]
+    assert len(list(out.glob("part_id=*/part-*"))) == 4 and second.files != again.files
+    writer.abort([first, again])
+    assert not list(out.glob("part_id=*/part-*"))
+
+
+def test_a_failed_job_leaves_no_output(spark, tmp_path):
+    rows = spark.range(100).selectExpr("CAST(id % 3 AS INT) AS part_id", "if(id = 97, raise_error('lost'), concat('@r', id, '\nA\n+\nI')) AS record")
+    with pytest.raises(Exception, match="lost"):
+        fastq_sink.write_records(rows, str(tmp_path / "out"))
+    assert not list(tmp_path.glob("out/*/*")) and not (tmp_path / "out/_manifest.json").exists()
+    good = rows.where("part_id = 2").selectExpr("part_id", "concat('@r', part_id, '\nA\n+\nI') AS record")
+    fastq_sink.write_records(good, str(tmp_path / "out"))
+    assert fastq_sink.read_partitions(spark, str(tmp_path / "out")).count() == 33
+    with pytest.raises(Exception, match="holds an output already"):
+        fastq_sink.write_records(good, str(tmp_path / "out"))
 
 
 def test_broken_records(spark, tmp_path):

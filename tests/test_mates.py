@@ -1,6 +1,7 @@
 """The mate merge in rounds against a serial replay of the pairs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 
 from kmerloom.operators import mates
 from kmerloom.operators.components import connected_components
+from kmerloom.plans import queries
 
 
 def replay(size, edges, cap):
@@ -72,3 +74,15 @@ def test_one_cluster_of_many_small_components(spark, ordered):
 
 def test_no_edges(spark):
     assert mates.accepted_joins(spark.createDataFrame([], "a long, na long, b long, nb long, pair long"), 3).count() == 0
+
+
+def test_registered_query_with_a_binding_cap(spark):
+    """The query over sf0.001 against the replay of all its pairs; the cap matters."""
+    rows = queries.reads(spark, "/root/testdata/sf0.001", paired=True)
+    own = {r.read_id: r.comp_id for r in queries.labels(rows)[1].collect()}
+    got = {r.read_id: r.comp_id for r in queries.QUERIES["mate_merged_components_small_cap"](spark, "/root/testdata/sf0.001").collect()}
+    edges = [(r.a, own[r.a], own[r.b]) for r in mates.mate_pairs(rows).collect() if own[r.a] != own[r.b]]
+    size = Counter(own.values())
+    found = {cap: replay(size, edges, cap) for cap in (queries.SMALL_CAP, 10**9)}
+    assert got == {r: found[queries.SMALL_CAP][c] for r, c in own.items()}
+    assert found[queries.SMALL_CAP] != found[10**9]

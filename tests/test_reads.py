@@ -1,7 +1,9 @@
 """Read operators against plain Python on hand-made and random reads."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import plain
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -252,3 +254,31 @@ def test_modes(spark):
     with pytest.raises(ValueError):
         partition_reads(frame(spark, ["ACGT"]), 4, mode="other")
     assert partition_reads(frame(spark, random_reads(3)), 8, mode="min3").labels.count() == 60
+
+
+@pytest.mark.parametrize("k", [4, 9, 33])
+def test_folded_minimizers(k):
+    """Slices of one position to seven, on reads rich in N, A and ties."""
+    rng = random.Random(k)
+    for n in range(250):
+        seq = "".join(rng.choices("ACGTN", weights=[5, 2, 2, 2, n % 3], k=rng.randrange(k + 1, 160))) + "A" * rng.randrange(3 * k) * (n % 2)
+        codes = kmers.CODES[np.frombuffer(seq.encode(), np.uint8)]
+        kmer, prev, after = kmers.folded_minimizers(codes, k, 1 + n % 7)
+        spell = lambda x: x.decode() if k > dna.PACKED else "".join("ACGT"[int(x) >> 2 * i & 3] for i in range(k))[::-1]  # noqa: B023, E731
+        assert [(spell(x), "ACGTN"[p], "ACGTN"[a]) for x, p, a in zip(kmer, prev, after)] == plain.minimizers(seq, k)
+
+
+def test_long_reads_among_short_ones(spark, monkeypatch):
+    rng = random.Random(17)
+    seqs = ["".join(rng.choices("ACGTN", weights=[5, 5, 5, 5, 1], k=n)) for n in (30, 700_000, 50, 40, 300_000, 12, 600_000, 9)] + [None, ""]
+    assert max(map(len, filter(None, seqs))) > 2 * kmers.READS
+    got = spelled(kmers.minimizers3(frame(spark, seqs), 9), 9)
+    assert got == sorted((i, *x) for i, s in enumerate(seqs) for x in plain.minimizers(s or "", 9))
+
+
+def test_a_long_read_in_bounded_memory():
+    codes = np.random.default_rng(4).integers(0, 5, 20_000_000).astype(np.uint8)
+    tracemalloc.start()
+    kmers.folded_minimizers(codes, 27, kmers.READS)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
