@@ -254,3 +254,97 @@ def test_line_crf_is_fitted_on_lines_from_anywhere(spark):
     chain = linecrf.train(spark.createDataFrame([(i, f"{i} {text}", "") for i in range(50)], "doc_id long, text string, x string"))  # seed labels
     bars = np.array(linecrf.document_lines(b"| MENU 1 | HOME | ### |")[0]) @ chain.emit
     assert bars[0, linecrf.BOILERPLATE] > bars[0, linecrf.CONTENT]
+
+
+def test_language_scores_equal_a_plain_forward_pass(spark, monkeypatch):
+    """lang_pred and score of every row from loops over bytes, windows and filters."""
+    docs = spark.createDataFrame(
+        [(i, t, lang) for i, (t, lang) in enumerate([("The words of " * 70, "en"), ("Über die Wörter " * 9, "de"), ("kurz", "de"), ("short one", "en"), ("ni hao 你好 " * 40, "zh")] * 8)] + [(99, "12 34", None), (100, None, None), (101, "É", None)],
+        "doc_id long, text string, lang string",
+    )
+    monkeypatch.setattr(langid, "STEPS", 40)
+    net = langid.train(docs)
+
+    def forward(window):
+        h = []
+        for f, w in zip(net.filters, langid.WIDTHS):
+            h += [max(0.0, max(sum(float(f[j, window[at + j], c]) for j in range(w)) for at in range(len(window) - w + 1))) for c in range(f.shape[2])]
+        return [sum(a * float(net.out[i, k]) for i, a in enumerate(h)) + float(net.bias[k]) for k in range(len(net.languages))]
+
+    found, known = {r.doc_id: r for r in langid.identify(docs).collect()}, {}
+    for r in docs.collect():
+        got, text = found[r.doc_id], (r.text or "").lower()
+        if not any(c.isalpha() for c in text):
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        if text not in known:
+            data = text.encode()
+            windows = [data[a : a + langid.WINDOW].ljust(langid.WINDOW, b"\0") for a in range(0, len(data), langid.WINDOW)]
+            mean = np.mean([forward(w) for w in windows], axis=0)
+            known[text] = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        p = known[text]
+        assert got.lang_pred == net.languages[int(p.argmax())] and got.score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_language_gradients():
+    rng, net = np.random.default_rng(3), langid.Network(["a", "b", "c"])
+    for w in net.parameters():
+        w[:] = rng.normal(0, 0.3, w.shape)
+    for f in net.filters:
+        f[:, 0] = 0
+    x, y = rng.integers(1, 40, (6, langid.WINDOW)), np.array([0, 1, 2, 0, 1, 1])
+
+    def loss():
+        pooled = [sum(f[j].astype(float)[x[:, j : langid.WINDOW - w + 1 + j]] for j in range(w)).max(axis=1) for f, w in zip(net.filters, langid.WIDTHS)]
+        z = np.maximum(np.concatenate(pooled, axis=1), 0) @ net.out.astype(float) + net.bias
+        return (np.logaddexp.reduce(z, axis=1) - z[np.arange(6), y]).mean()
+
+    for w, g in zip(net.parameters(), net.step(x, y)):
+        for at in {tuple(rng.integers(0, n) for n in w.shape) for _ in range(6)} | {np.unravel_index(np.abs(g).argmax(), g.shape)}:
+            if w.ndim == 3 and at[1] == 0:
+                assert g[at] == 0  # padding never learns
+                continue
+            old = w[at]
+            w[at] = old + 1e-3
+            above = loss()
+            w[at] = old - 1e-3
+            below = loss()
+            w[at] = old
+            assert (above - below) / 2e-3 == pytest.approx(float(g[at]), abs=2e-3)
+
+
+def test_quality_scores_equal_a_plain_forward_pass(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model, got = puquality.train(docs, labels), {r.doc_id: r.score for r in puquality.score_documents(docs, labels).collect()}
+    a, b, c, d = (w.tolist() for w in model.weights)
+    for r in docs.collect():
+        x = brute_features(r.text) if (r.text or "").split() else [0.0] * puquality.FEATURES
+        x = [min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale)]
+        hidden = [np.tanh(sum(v * w[j] for v, w in zip(x, a)) + b[j]) for j in range(puquality.HIDDEN)]
+        z = sum(h * w for h, w in zip(hidden, c)) + d[0]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-max(-40.0, min(40.0, z)))), abs=1e-9)
+
+
+@pytest.mark.parametrize("prior", [0.02, 0.98])
+def test_first_step_of_both_branches_of_the_risk(monkeypatch, prior):
+    """Adam's first step goes against the sign of the gradient: of the risk, or of the bracket turned round if that is negative."""
+    rng = np.random.default_rng(6)
+    u = rng.normal(0, 1, (80, 4))
+    model = puquality.Model(u)
+    before = [w.copy() for w in model.weights]
+    p = max((rng.normal(0, 2, 4) + rng.normal(0, 0.1, (50, 4)) for _ in range(20)), key=lambda p: model.forward(model.prepare(p))[1].mean())
+    value = lambda: puquality.risk(model.forward(model.prepare(p))[1], model.forward(model.prepare(u))[1], prior)
+    reverse = value()[1] < 0
+    assert reverse == (prior > 0.5)
+    target = lambda: -value()[1] if reverse else sum(value())
+    monkeypatch.setattr(puquality, "STEPS", 1)
+    after = puquality.fit(p, u, prior).weights
+    for w, old, new in zip(model.weights, before, after):
+        for at in np.ndindex(w.shape):
+            w[at] += 1e-6
+            above = target()
+            w[at] -= 2e-6
+            slope = (above - target()) / 2e-6 + puquality.DECAY * old[at]
+            w[at] += 1e-6
+            if abs(slope) > 1e-5:
+                assert new[at] - old[at] == pytest.approx(-np.sign(slope) * puquality.RATE, rel=1e-2)
