@@ -3,7 +3,7 @@
 The distinct pre-tokens of a batch are inserted in a byte trie. A node stands for a prefix; its forward score is the
 best log-probability of any segmentation of that prefix into vocabulary pieces, which depends on the path alone, so it
 is computed once however many pre-tokens share the prefix. A terminal node stores the number of pieces of its best
-segmentation, and a text's count is the sum over its pre-tokens.
+segmentation, and a text's count is the sum over its pre-tokens. Only the open path is held.
 """
 
 from __future__ import annotations
@@ -53,42 +53,57 @@ def suffix_tree(scores: dict[bytes, float]) -> dict:
     return top
 
 
+def deepest(tree: dict) -> int:
+    return 1 + max((deepest(below) for _, below in tree.values()), default=-1)
+
+
 class Trie:
-    """Nodes as parallel lists; inserted words must come in ascending order, so that the open path is all there is to search."""
+    """Words must come in ascending order: then a branch that is left is never entered again, and the open path is all of
+    the trie that has to be held, a score and a number of pieces for each of its nodes.
+
+    Of a word's bytes beyond ``LONGEST`` only the last few nodes are held that a piece reaches back to: that far down no
+    prefix is shared, and a word of any length takes the same memory.
+    """
 
     def __init__(self, suffixes: dict):
-        self.suffixes = suffixes
+        self.suffixes, self.reach = suffixes, deepest(suffixes)
         self.score, self.pieces = [0.0], [0]  # of the best segmentation of a node's prefix; of equal scores, the fewest pieces
-        self.terminal: dict[int, int] = {}  # terminal node -> its number of pieces
-        self.path, self.word = [0], b""
+        self.word = b""
 
-    def insert(self, word: bytes) -> int:
-        """Number of pieces of the word's best segmentation."""
-        last, shared = self.word, 0
-        for a, b in zip(last, word):
-            if a != b:
-                break
-            shared += 1
-        path = self.path
-        del path[shared + 1 :]
-        score, pieces, suffixes = self.score, self.pieces, self.suffixes
-        for end in range(shared, len(word)):
-            best, fewest, at, start = -math.inf, 0, suffixes, end
+    def _extend(self, word: bytes, score: list[float], pieces: list[int], begin: int, end: int, first: int) -> None:
+        """Append the nodes of the bytes begin to end; the lists begin with the node of the first ``first`` bytes."""
+        for at_byte in range(begin, end):
+            best, fewest, at, start = -math.inf, 0, self.suffixes, at_byte
             while start >= 0:
                 node = at.get(word[start])
                 if node is None:
                     break
                 if node[0] is not None:
-                    s, n = score[path[start]] + node[0], pieces[path[start]] + 1
+                    s, n = score[start - first] + node[0], pieces[start - first] + 1
                     if s > best or s == best and n < fewest:
                         best, fewest = s, n
                 at, start = node[1], start - 1
-            path.append(len(score))
             score.append(best)
             pieces.append(fewest)
-        self.word = word
-        self.terminal[path[-1]] = pieces[path[-1]]
-        return pieces[path[-1]]
+
+    def insert(self, word: bytes) -> int:
+        """Number of pieces of the word's best segmentation: what its terminal node stores."""
+        head, shared = word[:LONGEST], 0
+        for a, b in zip(self.word, head):
+            if a != b:
+                break
+            shared += 1
+        score, pieces = self.score, self.pieces
+        del score[shared + 1 :], pieces[shared + 1 :]
+        self._extend(word, score, pieces, shared, len(head), 0)
+        self.word = head
+        if len(word) == len(head):
+            return pieces[-1]
+        for begin in range(len(head), len(word), LONGEST):
+            first = max(0, begin - self.reach)
+            score, pieces = score[first - begin - 1 :], pieces[first - begin - 1 :]
+            self._extend(word, score, pieces, begin, min(begin + LONGEST, len(word)), first)
+        return pieces[-1]
 
 
 class Memory:

@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -29,13 +31,31 @@ def test_trie_equals_dynamic_programming(words):
         assert trie.insert(w) == brute(w, SCORES)
 
 
-def test_prefixes_are_computed_once():
-    trie = t.Trie(SUFFIXES)
+def test_prefixes_are_computed_once(monkeypatch):
+    trie, nodes = t.Trie(SUFFIXES), []
+    extend = trie._extend
+    monkeypatch.setattr(trie, "_extend", lambda word, score, pieces, begin, end, first: (nodes.extend(word[: i + 1] for i in range(begin, end)), extend(word, score, pieces, begin, end, first)))
     words = sorted({b" thing", b" things", b" thinking", b" th", b" other"})
     for w in words:
         trie.insert(w)
-    assert len(trie.score) == 1 + len({w[:i] for w in words for i in range(1, len(w) + 1)})
-    assert len(trie.terminal) == len(words)
+    assert sorted(nodes) == sorted({w[:i] for w in words for i in range(1, len(w) + 1)})
+
+
+@pytest.mark.parametrize("longest", [1, 7, 40])
+def test_words_beyond_the_held_path(monkeypatch, longest):
+    monkeypatch.setattr(t, "LONGEST", longest)
+    rng, trie = random.Random(longest), t.Trie(SUFFIXES)
+    words = {bytes(rng.choices(b"thenadisg -=", k=rng.randrange(200))) for _ in range(60)} | {b"=" * n for n in range(0, 150, 7)} | {b" the" * 30 + bytes([x]) for x in b"abc"}
+    for w in sorted(words):
+        assert trie.insert(w) == brute(w, SCORES)
+
+
+def test_a_long_token_in_bounded_memory():
+    word = bytes(random.Random(3).choices(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    tracemalloc.start()
+    t.Trie(SUFFIXES).insert(word)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
 
 
 def test_counts(spark):
