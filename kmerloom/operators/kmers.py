@@ -48,16 +48,16 @@ def base_codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(digits: np.ndarray, k: int, reverse: bool) -> np.ndarray:
-    """Base-4 numbers of the k digits from every position on; in reverse the first digit counts least."""
-    n, out, done, size, power = len(digits) - k + 1, None, 0, 1, digits
+    """Base-4 numbers of the k digits from every position on, in the digits' type; in reverse the first digit counts least."""
+    n, out, done, size, power, bits = len(digits) - k + 1, None, 0, 1, digits, digits.dtype.type
     while True:
         if k & size:
-            part, wide = power[done : done + n], np.uint64(2 * size)
-            out = part if out is None else out | part << np.uint64(2 * done) if reverse else out << wide | part
+            part, wide = power[done : done + n], bits(2 * size)
+            out = part if out is None else out | part << bits(2 * done) if reverse else out << wide | part
             done += size
         if 2 * size > k:
             return out
-        wide = np.uint64(2 * size)
+        wide = bits(2 * size)
         power = power[:-size] | power[size:] << wide if reverse else power[:-size] << wide | power[size:]
         size *= 2
 
@@ -86,13 +86,6 @@ def free_windows(codes: np.ndarray, ends: np.ndarray, k: int, a: int, b: int) ->
     return position[able], read[able]
 
 
-def canonical(codes: np.ndarray, k: int, at: np.ndarray, prev: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(kmer, prev, next) of the windows at the positions ``at``, of which prev and after are the neighbour bases."""
-    forward, back = _strands(codes, k, at)
-    straight = forward < back
-    return np.where(straight, forward, back), np.where(straight, prev, COMPLEMENT[after]), np.where(straight, after, COMPLEMENT[prev])
-
-
 def windows(codes: np.ndarray, ends: np.ndarray, k: int, a: int, b: int) -> tuple[np.ndarray, ...]:
     """(position, read, kmer, prev, next) of the N-free windows that begin at positions a to b; codes as of base_codes."""
     position, read = free_windows(codes, ends, k, a, b)
@@ -101,7 +94,10 @@ def windows(codes: np.ndarray, ends: np.ndarray, k: int, a: int, b: int) -> tupl
     starts = np.r_[0, ends[:-1]]
     prev = np.where(position == starts[read], UNKNOWN, codes[position - 1])
     after = np.where(position + k == ends[read], UNKNOWN, codes[np.minimum(position + k, len(codes) - 1)])
-    return position, read, *canonical(codes[a : b + k - 1], k, position - a, prev, after)
+    forward, back = _strands(codes[a : b + k - 1], k, position - a)
+    straight = forward < back
+    kmer = np.where(straight, forward, back)
+    return position, read, kmer, np.where(straight, prev, COMPLEMENT[after]), np.where(straight, after, COMPLEMENT[prev])
 
 
 def _kmer_array(kmer: np.ndarray, k: int) -> pa.Array:

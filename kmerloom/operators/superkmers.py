@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from kmerloom.arrow import map_arrow
 from kmerloom.functions.dna import CODE_ORDER, PACKED
-from kmerloom.operators.kmers import BASES, UNKNOWN, base_codes, canonical, free_windows, kmer_rows, kmer_schema, long_reads, packed, windows
+from kmerloom.operators.kmers import BASES, COMPLEMENT, UNKNOWN, base_codes, free_windows, kmer_rows, kmer_schema, long_reads, packed, windows
 from kmerloom.storage import materialize
 
-#: Bases of a minimizer at most, positions of a slice of reads.
-MINIMIZER, SLICE = 13, 1 << 20
+#: Bases of a minimizer at most, positions of a slice of reads, k-mers of a run that are unpacked one after the other.
+MINIMIZER, SLICE, PIECE = 13, 1 << 20, 64
 #: K-mers that a task sorts at once, some 100 bytes each at the peak: a bucket of more is hot.
 HELD = 1 << 20
 #: Code order of neighbour bases, in which ties fall.
@@ -35,8 +35,8 @@ RUNS = "bucket long, n long, reads binary, counts binary, sides binary, bases bi
 def minimizer_buckets(codes: np.ndarray, k: int, at: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of the minimizer of every window of k bases at the positions ``at``, the same for both strands."""
     m = min(MINIMIZER, (k + 1) // 2)
-    digits = codes.astype(np.uint64) & np.uint64(3)
-    least = np.minimum(packed(digits, m, False), packed(digits ^ np.uint64(3), m, True)).astype(np.uint32)
+    digits = codes.astype(np.uint32) & np.uint32(3)
+    least = np.minimum(packed(digits, m, False), packed(digits ^ np.uint32(3), m, True))
     least = (least + np.uint32(1)) * np.uint32(0x9E3779B1)  # odd: a permutation, so equal ranks are equal m-mers
     least ^= least >> np.uint32(15)
     width, size = k - m + 1, 1
@@ -102,18 +102,61 @@ def kmer_runs(reads: DataFrame, k: int, buckets: int, without: np.ndarray | None
 
 
 def unpacked_runs(k: int, reads: bytes, counts: bytes, sides: bytes, bases: bytes) -> tuple[np.ndarray, ...]:
-    """(read_id, bad, kmer, prev, next) of the k-mers of runs in a row."""
+    """(read_id, bad, kmer, prev, next) of the k-mers of runs in a row, in no order.
+
+    All runs advance together, a base at a time: a k-mer and its reverse complement come from those before. Runs are
+    taken in pieces of PIECE k-mers at most, the longest first, so that those that go on stay in front.
+    """
     read, count, side = np.frombuffer(reads, np.int64), np.frombuffer(counts, np.int32).astype(np.int64), np.frombuffer(sides, np.uint8)
     quads = np.frombuffer(bases, np.uint8)
     codes = np.empty(4 * len(quads), np.uint8)
     for i in range(4):
         codes[i::4] = quads >> 6 - 2 * i & 3
     size = -(-(count + k - 1) // 4) * 4
-    start, end = np.cumsum(size) - size, np.cumsum(count)
-    at = np.repeat(start - (end - count), count) + np.arange(end[-1])
-    prev, after = codes[at - 1], codes[np.minimum(at + k, len(codes) - 1)]
-    prev[end - count], after[end - 1] = side % 50 // 5, side % 5
-    return np.repeat(read, count), np.repeat(side >= 50, count), *canonical(codes, k, at, prev, after)
+    pieces = -(-count // PIECE)
+    run = np.repeat(np.arange(len(count)), pieces)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    left = count[run] - nth * PIECE
+    order = np.argsort(-np.minimum(left, PIECE), kind="stable")
+    run, nth, left = run[order], nth[order], left[order]
+    start, length = (np.cumsum(size) - size)[run] + nth * PIECE, np.minimum(left, PIECE)
+    read, bad = read[run], side[run] >= 50
+    before = np.where(nth == 0, side[run] % 50 // 5, codes[start - 1])
+    ends, last = left <= PIECE, side[run] % 5
+
+    two, top = np.uint64(2), np.uint64(2 * k - 2)
+    forward, back = np.zeros(len(run), np.uint64), np.zeros(len(run), np.uint64)
+    for i in range(k):
+        base = codes[start + i].astype(np.uint64)
+        forward, back = forward << two | base, back | (np.uint64(3) - base) << np.uint64(2 * i)
+    live = np.searchsorted(-length, -np.arange(1, int(length.max()) + 2), side="right")  # pieces of j + 1 k-mers or more
+    found = []
+    for j in range(int(length.max())):
+        n, more = int(live[j]), int(live[j + 1])
+        after = np.where(ends[:n] & (length[:n] == j + 1), last[:n], codes[np.minimum(start[:n] + k + j, len(codes) - 1)])
+        straight = forward < back
+        found.append((read[:n], bad[:n], np.where(straight, forward, back), np.where(straight, before, COMPLEMENT[after]), np.where(straight, after, COMPLEMENT[before])))
+        before, base = codes[start[:more] + j], after[:more].astype(np.uint64)
+        forward = (forward[:more] << two | base) & np.uint64((1 << 2 * k) - 1)
+        back = back[:more] >> two | (np.uint64(3) - base) << top
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def together(kmer: np.ndarray) -> np.ndarray:
+    """An order that puts equal k-mers side by side.
+
+    Sorting numbers is many times faster than sorting positions by them, so a number of a k-mer's leading hash bits and its
+    position is sorted. Where two k-mers share these bits, which is rare, the k-mers themselves order them.
+    """
+    wide = np.uint64(max(1, len(kmer)).bit_length())
+    key = np.sort(kmer * np.uint64(0x9E3779B97F4A7C15) >> wide << wide | np.arange(len(kmer), dtype=np.uint64))  # odd: a permutation
+    order, head = (key & np.uint64((1 << int(wide)) - 1)).astype(np.int64), key >> wide
+    own = kmer[order]
+    mixed = head[1:][(head[1:] == head[:-1]) & (own[1:] != own[:-1])]
+    if len(mixed):
+        at = np.flatnonzero(np.isin(head, mixed))
+        order[at] = order[at[np.lexsort((own[at], head[at]))]]
+    return order
 
 
 class Groups:
@@ -121,7 +164,7 @@ class Groups:
     out: they condemn no read and link none."""
 
     def __init__(self, read: np.ndarray, bad: np.ndarray, kmer: np.ndarray, prev: np.ndarray, after: np.ndarray):
-        order = np.argsort(kmer)
+        order = together(kmer)
         kmer = kmer[order]
         first = np.flatnonzero(np.r_[True, kmer[1:] != kmer[:-1]])
         degree = np.diff(np.r_[first, len(kmer)])

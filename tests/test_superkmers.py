@@ -108,3 +108,25 @@ def test_no_reads(spark):
     none = materialize(spark.createDataFrame([], "read_id long, seq string"), "reads")
     linked = link_reads(none, 8)
     assert linked.bad.count() == 0 and linked.edges.count() == 0
+
+
+def test_equal_kmers_come_together():
+    """With leading hash bits shared by different k-mers too."""
+    g = np.random.default_rng(2)
+    odd, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    close = np.array([(h * inverse) & (1 << 64) - 1 for h in range(500)], np.uint64)  # their products with odd differ in low bits only
+    for kmer in (g.integers(0, 50, 3000).astype(np.uint64), g.choice(close, 3000), np.zeros(5, np.uint64), np.empty(0, np.uint64), g.integers(0, 1 << 62, 9, dtype=np.uint64)):
+        order = superkmers.together(kmer)
+        assert sorted(order.tolist()) == list(range(len(kmer)))
+        own = kmer[order]
+        assert 1 + (own[1:] != own[:-1]).sum() == len(np.unique(kmer)) if len(kmer) else True
+    assert odd * inverse % (1 << 64) == 1
+
+
+def test_runs_longer_than_a_piece(spark):
+    seqs = ["ACGGT" * 200, "A" * 500, "ACGTTGCA" * 90 + "N" + "ACGTTGCA" * 90]
+    found = []
+    for r in superkmers.kmer_runs(frame(spark, seqs), 27, 1).collect():
+        read, _, kmer, prev, after = superkmers.unpacked_runs(27, *map(bytes, (r.reads, r.counts, r.sides, r.bases)))
+        found += zip(read.tolist(), kmer.tolist(), ("ACGTN"[x] for x in prev), ("ACGTN"[x] for x in after))
+    assert sorted(found) == sorted((i, number(x), p, n) for i, s in enumerate(seqs) for _, x, p, n in plain.canonical(s, 27))
