@@ -23,18 +23,27 @@ from kmerloom.functions.dna import CODE_ORDER, PACKED
 from kmerloom.operators.kmers import BASES, COMPLEMENT, UNKNOWN, base_codes, free_windows, kmer_rows, kmer_schema, long_reads, packed, windows
 from kmerloom.storage import materialize
 
-#: Bases of a minimizer at most, positions of a slice of reads, k-mers of a run that are unpacked one after the other.
-MINIMIZER, SLICE, PIECE = 13, 1 << 20, 64
+#: Bases of a minimizer, and at most, where many buckets ask for more; positions of a slice of reads; k-mers of a run that
+#: are unpacked one after the other.
+MINIMIZER, LONGEST, SLICE, PIECE = 13, 16, 1 << 20, 64
 #: K-mers that a task sorts at once, some 100 bytes each at the peak: a bucket of more is hot.
 HELD = 1 << 20
+#: K-mers that a task takes one after the other, about.
+TASK = 256 << 20
 #: Code order of neighbour bases, in which ties fall.
 ORDER = np.array([BASES.index(c) for c in CODE_ORDER], np.uint8)
 RUNS = "bucket long, n long, reads binary, counts binary, sides binary, bases binary"
 
 
+def minimizer_bases(k: int, buckets: int) -> int:
+    """Bases of a minimizer: enough for some sixteen of them in a bucket, but about half a k-mer or 11 less than it at most."""
+    wanted = next((m for m in range(MINIMIZER, LONGEST) if 4**m >= 32 * buckets), LONGEST)
+    return min(wanted, max((k + 1) // 2, k - 11))
+
+
 def minimizer_buckets(codes: np.ndarray, k: int, at: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of the minimizer of every window of k bases at the positions ``at``, the same for both strands."""
-    m = min(MINIMIZER, (k + 1) // 2)
+    m = minimizer_bases(k, buckets)
     digits = codes.astype(np.uint32) & np.uint32(3)
     least = np.minimum(packed(digits, m, False), packed(digits ^ np.uint32(3), m, True))
     least = (least + np.uint32(1)) * np.uint32(0x9E3779B1)  # odd: a permutation, so equal ranks are equal m-mers
@@ -267,7 +276,7 @@ class Dealt:
         self.reads, self.k, self.held = reads, k, held
         bases = reads.agg(F.sum(F.length("seq"))).first()[0] or 0
         self.buckets = max(1, 4 * bases // held)
-        self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bases // (4 * HELD))
+        self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bases // TASK)
         self.runs = materialize(kmer_runs(reads, k, self.buckets), "runs")
         found = self.runs.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > held).select("bucket").collect()
         self.hot = np.array(sorted(r.bucket for r in found), np.uint64)

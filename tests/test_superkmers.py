@@ -37,7 +37,12 @@ def number(kmer):
     return int(kmer.translate(str.maketrans("ACGT", "0123")), 4)
 
 
-@pytest.mark.parametrize("k,buckets", [(3, 7), (8, 16), (27, 50), (31, 3)])
+def test_minimizers_grow_with_the_buckets():
+    assert [superkmers.minimizer_bases(27, b) for b in (1, 10**6, 10**7, 10**8, 10**10)] == [13, 13, 15, 16, 16]
+    assert [superkmers.minimizer_bases(k, 10**9) for k in (2, 3, 8, 20, 31)] == [1, 2, 4, 10, 16]
+
+
+@pytest.mark.parametrize("k,buckets", [(3, 7), (8, 16), (27, 50), (27, 10**8), (31, 3), (31, 10**9)])
 def test_runs_hold_every_kmer_once(spark, k, buckets):
     seqs = some_reads(k, 60)
     found, home = [], {}
