@@ -2,7 +2,8 @@
 
 ``write.format("fastq")`` takes rows (part_id, record). A task writes files of its own attempt, one for each partition
 that it holds rows of, and reports them; the driver lists what was reported in one manifest and removes what failed or
-repeated attempts left behind. A folder without a manifest is an unfinished output.
+repeated attempts left behind. A job that fails removes the files of its finished tasks; those of tasks that it stops may
+stay until the next output is committed to the folder. Readers go by the manifest: a folder without one is unfinished.
 """
 
 from __future__ import annotations
@@ -77,8 +78,9 @@ class FastqWriter(DataSourceArrowWriter):
         files = sorted(f for m in messages if m for f in m.files)
         kept = {name for name, *_ in files}
         store.create_dir(root, recursive=True)
-        for part in {name.partition("/")[0] for name in kept}:
-            self._remove(n for n in (f"{part}/{x.base_name}" for x in store.get_file_info(pa.fs.FileSelector(f"{root}/{part}"))) if n not in kept)
+        below = store.get_file_info(pa.fs.FileSelector(root, recursive=True))
+        there = (x.path[len(root) + 1 :] for x in below if x.type == pa.fs.FileType.File)
+        self._remove(name for name in there if name.startswith("part_id=") and name not in kept)
         with store.open_output_stream(f"{root}/{MANIFEST}") as out:
             out.write("".join(json.dumps({"file": name, "part_id": part, "records": n}) + "\n" for name, part, n in files).encode())
 
