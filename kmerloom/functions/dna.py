@@ -6,6 +6,8 @@ one is its text. Both order as the text does.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -27,8 +29,15 @@ def base_text(base: Column) -> Column:
 
 
 def kmer_text(kmer: Column, k: int) -> Column:
-    """The letters of a k-mer."""
-    return kmer if k > PACKED else F.translate(F.lpad(F.conv(kmer.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    """The letters of a k-mer, looked up four bases at a time."""
+    if k > PACKED:
+        return kmer
+    parts = []
+    for left in range(k, 0, -4):
+        n = min(4, left)
+        words = F.split(F.lit(" ".join(map("".join, product("ACGT", repeat=n)))), " ")  # a constant of the plan
+        parts.append(F.get(words, F.shiftrightunsigned(kmer, 2 * (left - n)).bitwiseAND(F.lit(4**n - 1)).cast("int")))
+    return F.concat(*parts)
 
 
 def bucket(kmer: Column, k: int, bases: int = PREFIX) -> Column:

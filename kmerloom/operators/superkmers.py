@@ -217,14 +217,65 @@ class Groups:
         return ids[pair // len(ids)], ids[pair % len(ids)]
 
 
-def _met(k: int, held: int, names: list[str], found: Callable[[Groups], list[np.ndarray]]):
-    """Rows of kmer_runs, sorted by bucket -> what is found in some whole buckets at a time."""
+class Tally:
+    """Statistics of all k-mers, also of those seen once, as columns in the order of ``kmer`` (see branch_filter)."""
+
+    def __init__(self, read: np.ndarray, bad: np.ndarray, kmer: np.ndarray, prev: np.ndarray, after: np.ndarray):
+        order = together(kmer)
+        kmer = kmer[order]
+        self.first = np.flatnonzero(np.r_[True, kmer[1:] != kmer[:-1]])
+        self.kmer, self.degree = kmer[self.first].view(np.int64), np.diff(np.r_[self.first, len(kmer)])
+        self.order, self.read, self.sides = order, read, (prev, after)
+
+    def reads(self) -> np.ndarray:
+        """Distinct reads of each k-mer."""
+        again = np.repeat(self.degree > 1, self.degree)
+        ids, read = np.unique(self.read[self.order[again]], return_inverse=True)
+        group = np.repeat(np.arange(len(self.degree)), self.degree)[again]
+        pairs = np.sort(group * max(1, len(ids)) + read)
+        own = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] // max(1, len(ids)) if len(pairs) else pairs
+        return np.where(self.degree == 1, 1, np.bincount(own, minlength=len(self.degree)))
+
+    def _side(self, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of bases, the most frequent one and the count of the second."""
+        base = base[self.order]
+        counts = np.stack([np.add.reduceat((base == c).astype(np.int32), self.first) for c in ORDER])
+        n = (counts > 0).sum(axis=0, dtype=np.int32)
+        return n, ORDER[counts.argmax(axis=0)].astype(np.int8), np.sort(counts, axis=0)[-2].astype(np.int64)
+
+    def counts(self) -> list:
+        return [self.kmer, self.degree, self.reads()]
+
+    def degrees(self) -> list:
+        return [self.kmer, self.reads()]
+
+    def distribution(self) -> list:
+        return list(np.unique(self.reads(), return_counts=True))
+
+    def branches(self) -> list:
+        out = [self.kmer, self.degree, np.maximum.reduceat(self.read[self.order], self.first)]
+        for base in self.sides:
+            n, top, second = self._side(base)
+            out += [n, pa.array(top, mask=n == 0), second]
+        return out
+
+    def ambiguous(self) -> list:
+        several = np.logical_and(*(self._side(base)[0] > 1 for base in self.sides))
+        return [self.kmer[several]]
+
+    def mischief(self) -> list:
+        found = [(n > 1) & (5 * second >= 2 * self.degree) for n, _, second in map(self._side, self.sides)]
+        return [np.array([np.count_nonzero(found[0] & found[1])])]
+
+
+def _met(k: int, held: int, names: list[str], found: Callable[..., list]):
+    """Rows of kmer_runs, sorted by bucket -> what is found in the k-mers of some whole buckets at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, last = [], 0, None
 
         def flush() -> pa.RecordBatch:
-            columns = found(Groups(*unpacked_runs(k, *map(b"".join, zip(*parts)))))
+            columns = found(*unpacked_runs(k, *map(b"".join, zip(*parts))))
             return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=names)
 
         for batch in batches:
@@ -285,12 +336,17 @@ class Dealt:
     def hot_occurrences(self) -> DataFrame | None:
         return bucket_occurrences(self.reads, self.k, self.buckets, self.hot) if len(self.hot) else None
 
+    def tallied(self, schema: str, found: Callable[[Tally], list]) -> DataFrame:
+        """What ``found`` makes of the statistics of cold k-mers; each k-mer is in one task."""
+        names = [c.split()[0] for c in schema.split(", ")]
+        return map_arrow(_dealt(self.cold, self.tasks), _met(self.k, self.held, names, lambda *x: found(Tally(*x))), schema)
+
     def condemned(self) -> DataFrame:
         """(read_id): reads that a one-sided branch of a cold k-mer makes bad; a read may come from several tasks."""
-        return map_arrow(_dealt(self.cold, self.tasks), _met(self.k, self.held, ["read_id"], lambda g: [g.condemned()]), "read_id long")
+        return map_arrow(_dealt(self.cold, self.tasks), _met(self.k, self.held, ["read_id"], lambda *x: [Groups(*x).condemned()]), "read_id long")
 
     def stars(self, bad: DataFrame, min_degree: int | None = None, max_degree: int | None = None) -> DataFrame:
         """(u, v): star edges of the cold k-mers between reads that aren't bad; an edge may come from several tasks."""
         flagged = self.reads.select("read_id", "seq").join(bad.select("read_id", F.lit(True).alias("bad")), "read_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
         runs = kmer_runs(flagged, self.k, self.buckets, self.hot)
-        return map_arrow(_dealt(runs, self.tasks), _met(self.k, self.held, ["u", "v"], lambda g: list(g.stars(min_degree, max_degree))), "u long, v long")
+        return map_arrow(_dealt(runs, self.tasks), _met(self.k, self.held, ["u", "v"], lambda *x: list(Groups(*x).stars(min_degree, max_degree))), "u long, v long")

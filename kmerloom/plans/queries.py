@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kmerloom.functions.dna import base_text, kmer_text
 from kmerloom.operators import branch_filter, components, histograms, kmers, links, mates, stats
 from kmerloom.operators.binpack import component_partitions, partition_manifest
+from kmerloom.plans import kmer_statistics
 from kmerloom.plans.partition_reads import Linked, condemned_reads, link_reads
 from kmerloom.sources.fastq import fastq_index, read_fastq, scan_fastq
 from kmerloom.sources.fastq_sink import read_partitions, write_largest_component, write_partitions
@@ -182,7 +183,7 @@ def branch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ambiguous_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelled(branch_filter.ambiguous_kmers(branch_filter.branch_groups(occurrences(spark, sf_dir))))
+    return spelled(kmer_statistics.ambiguous_kmers(reads(spark, sf_dir), K))
 
 
 @query
