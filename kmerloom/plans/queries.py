@@ -178,7 +178,7 @@ def degree_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def branch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelled(branch_filter.branch_groups(occurrences(spark, sf_dir)))
+    return spelled(kmer_statistics.branch_groups(reads(spark, sf_dir), K))
 
 
 @query
