@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions.dna import base_text, kmer_text
-from kmerloom.operators import branch_filter, components, histograms, kmers, links, mates, stats
+from kmerloom.operators import components, histograms, kmers, links, mates, stats
 from kmerloom.operators.binpack import component_partitions, partition_manifest
 from kmerloom.plans import kmer_statistics
 from kmerloom.plans.partition_reads import Linked, condemned_reads, link_reads
@@ -193,7 +193,7 @@ def bad_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mischief_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return branch_filter.mischief_count(branch_filter.branch_groups(occurrences(spark, sf_dir)))
+    return kmer_statistics.mischief_count(reads(spark, sf_dir), K)
 
 
 @query
