@@ -173,7 +173,7 @@ def kmer_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def degree_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.degree_distribution(occurrences(spark, sf_dir, False))
+    return kmer_statistics.degree_distribution(reads(spark, sf_dir), K)
 
 
 @query

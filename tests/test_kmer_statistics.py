@@ -41,7 +41,7 @@ def test_no_reads(spark):
     assert kmer_statistics.mischief_count(none, 8).first().mischief == 0
 
 
-@pytest.mark.parametrize("name", ["ambiguous_kmers", "branch_groups", "kmer_canonical_counts", "kmer_degree", "mischief_count"])
+@pytest.mark.parametrize("name", ["ambiguous_kmers", "branch_groups", "degree_distribution", "kmer_canonical_counts", "kmer_degree", "mischief_count"])
 def test_queries_shuffle_runs(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(kmer" not in plan and "hashpartitioning(xxhash64(bucket" in plan
