@@ -30,12 +30,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more.
+    """One document of each group of near-duplicates.
 
-    Candidates come from min-wise bands, not from the popcount grid of op5: at this similarity SimHash fingerprints differ
-    in a seventh of their bits, and a grid of that radius has far too many cells. Every candidate is verified exactly.
+    Rows are linked by op5's operator: SimHash fingerprints within two bits, found by the segment-popcount grid and the
+    exact Hamming check. Documents whose five-word shingles have a Jaccard similarity of 0.8 or more, which mostly differ
+    in a seventh of these bits and so lie beyond the grid's radius, are linked besides, by min-wise bands and that exact
+    similarity. Groups are the components of both kinds of links.
     """
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, radius=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

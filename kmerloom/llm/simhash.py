@@ -194,6 +194,12 @@ def grid_edges(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_edges(radius), "u long, v long")
 
 
+def fingerprint_classes(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """nodes (distinct ``fp``, other columns) with the column ``label``: the least fingerprint, as a long, that links reach."""
+    labels = connected_components(grid_edges(nodes.select("fp"), radius))
+    return nodes.join(labels, F.col("fp") == F.col("id"), "left").select(*nodes.columns, F.coalesce("label", "fp").alias("label"))
+
+
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -205,9 +211,7 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2)
     Other columns are ignored.
     """
     fps = materialize(fingerprints(docs, shingle_words), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    labels = connected_components(grid_edges(nodes.select("fp"), radius))
-    linked = nodes.join(labels, F.col("fp") == F.col("id"), "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
+    linked = fingerprint_classes(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), radius)
     lowest = linked.groupBy("label").agg(F.min("low").alias("component_id"))
     named = linked.join(lowest, "label").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -399,12 +403,23 @@ def _verified(candidates: DataFrame, rows: DataFrame, nodes: DataFrame, k: int,
     return near.union(hot.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _grid_links(rows: DataFrame, found: DataFrame, radius: int) -> DataFrame:
+    """Edges (u, v) between the nodes of rows that simhash_components puts in one component, as stars."""
+    fps = materialize(fingerprints(rows.select(F.col("sig").alias("doc_id"), "text")).distinct(), "fingerprints")
+    classes = fingerprint_classes(fps.select("fp").distinct(), radius)
+    classed = fps.join(classes, "fp").select(F.col("doc_id").alias("sig"), "label")
+    member = materialize(found.select("node", "sig").distinct().join(classed, "sig").select("node", "label").distinct(), "classes")
+    least = member.groupBy("label").agg(F.min("node").alias("v"))
+    return member.join(least, "label").where("node <> v").select(F.col("node").alias("u"), "v")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, sig (hash of the text), n (rows), component, keeper (whether it stays).
 
     Rows of equal 512-bit SimHash are one node. Nodes that share a band of the min-wise sketch are linked if the Jaccard
     similarity of their shingle sets (lower-cased A-Z) is ``similarity`` or more; no pair of a cell is left out, whatever
-    the cell's size. Of every component the row of the smallest doc_id (null first; then of the smallest sig) stays. Null,
+    the cell's size. With ``radius`` the links of simhash_components, by its grid and for that radius, count besides, so
+    that its components are never divided. Of every component the row of the smallest doc_id (null first; then of the smallest sig) stays. Null,
     empty and wordless texts are copies of one another; fewer words than a shingle make one. An empty table gives an
     empty result.
     """
@@ -413,20 +428,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float =
     nodes = found.groupBy("node").agg(F.min(F.struct("doc_id", "sig", "size", "cells")).alias("one")).select("node", "one.*")
     cells = nodes.select(F.explode("cells").alias("cell"), "node", "size")
     candidates = materialize(map_arrow(cells.repartition("cell").sortWithinPartitions("cell"), _cell_pairs(similarity), "kind int, key long, u long, v long"), "candidates")
-    labels = connected_components(_verified(candidates, rows, nodes, shingle_words, similarity))
+    links = _verified(candidates, rows, nodes, shingle_words, similarity)
+    labels = connected_components(links if radius is None else links.union(_grid_links(rows, found, radius)))
     each = found.groupBy("doc_id", "sig", "node").agg(F.count("*").alias("n"))
     linked = materialize(each.join(labels, F.col("node") == F.col("id"), "left").select("doc_id", "sig", "n", F.coalesce("label", "node").alias("label")), "members")
     first = linked.groupBy("label").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
     return linked.join(first, "label").select("doc_id", "sig", "n", F.col("label").alias("component"), F.struct("doc_id", "sig").eqNullSafe(F.col("first")).alias("keeper"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """The rows of docs, all their columns, with one of every group of near-duplicates (see ``near_duplicates``).
 
     Of repeated rows (equal doc_id and text) one stays. Extra columns may have any names.
     """
     own, other, sig, n = free_names(docs, "own", "other_id", "sig", "n")
-    keep = near_duplicates(docs, shingle_words, similarity).where("keeper")
+    keep = near_duplicates(docs, shingle_words, similarity, radius).where("keeper")
     keep = materialize(keep.select(F.col("doc_id").alias(other), F.col("sig").alias(sig), F.col("n").alias(n)), "keepers")
     hashed = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = hashed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.col(own) == F.col(sig)))

@@ -5,7 +5,7 @@ import test_linededup
 import test_packing
 
 import corpus_pipeline
-from kmerloom.llm import puquality
+from kmerloom.llm import puquality, simhash
 from kmerloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +63,16 @@ def test_empty_documents(spark, tmp_path):
         table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
     table(spark, SF, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_an_op5_component(spark, monkeypatch):
+    """Fingerprints within two bits link by op5's grid, also where the shingle sets differ too much for the other links."""
+    line = "every line of this long page is the same sentence again and again "
+    texts = [line * 60 + " ".join(f"{c}{i}" for i in range(14)) for c in "xyz"] + ["an unrelated text of a few words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    components = {r.doc_id: r.component_id for r in simhash.simhash_components(docs).collect()}
+    assert components == {0: 0, 1: 0, 2: 0, 3: 3} and brute_keepers(dict(enumerate(texts))) == {0, 1, 2, 3}
+    grids, grid = [], simhash.grid_edges
+    monkeypatch.setattr(simhash, "grid_edges", lambda *x: grids.append(x) or grid(*x))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {0, 3}
+    assert len(grids) == 1
