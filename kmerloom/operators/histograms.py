@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kmerloom.functions.dna import PREFIX
-from kmerloom.operators.kmers import kmer_occurrences, with_bucket
+from kmerloom.arrow import map_arrow
+from kmerloom.functions.dna import PACKED, PREFIX
+from kmerloom.operators.kmers import SLICE, base_codes, check_k, kmer_occurrences, windows, with_bucket
 from kmerloom.operators.prefix import exclusive_sum
 
 
@@ -19,12 +22,57 @@ def bucket_histogram(occurrences: DataFrame, k: int) -> DataFrame:
     return with_bucket(occurrences, k).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-def chunk_bucket_histogram(reads: DataFrame, k: int, enumerate: Callable[..., DataFrame] = kmer_occurrences) -> DataFrame:
+def _chunk_counts(k: int):
+    """Rows (chunk_id, seq) sorted by chunk -> (chunk_id, bucket, n), each once. Counts of one chunk, a row per bucket at
+    most, and the k-mers of a slice are held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, open_rows = None, [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            buckets, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return buckets, np.bincount(at, np.concatenate([n for _, n in held]), len(buckets)).astype(np.int64)
+
+        def counted() -> pa.RecordBatch:
+            buckets, n = summed()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(buckets), chunk, np.int32)), pa.array(buckets.astype(np.int32)), pa.array(n)], names=["chunk_id", "bucket", "n"])
+
+        for batch in batches:
+            codes, ends = base_codes(batch)
+            chunks = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            for a in range(0, len(codes), SLICE):
+                _, read, kmer, *_ = windows(codes, ends, k, a, min(a + SLICE, len(codes)))
+                if not len(read):
+                    continue
+                bucket, own = kmer.view(np.int64) >> 2 * max(0, k - PREFIX), chunks[read]
+                cuts = np.r_[0, np.flatnonzero(np.diff(own)) + 1, len(own)]
+                for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if chunk is not None and own[x] != chunk:
+                        yield counted()
+                        held, open_rows = [], 0
+                    chunk = int(own[x])
+                    held.append(np.unique(bucket[x:y], return_counts=True))
+                    open_rows += len(held[-1][0])
+                    if open_rows > 1 << 22:
+                        held = [summed()]
+                        open_rows = len(held[0][0])
+        if held:
+            yield counted()
+
+    return run
+
+
+def chunk_bucket_histogram(reads: DataFrame, k: int, enumerate: Callable[..., DataFrame] | None = None) -> DataFrame:
     """(chunk_id, bucket, n) of the k-mers of reads (chunk_id, seq), of all or of those that ``enumerate`` picks.
 
-    Reads go in under their chunk's id, so nothing is joined.
+    The reads of a chunk, and not its k-mers, are brought together, and counted there. Picked k-mers and those of more
+    than 31 bases go by rows, with their chunk's id for a read's, so nothing is joined.
     """
-    found = with_bucket(enumerate(reads.select(F.col("chunk_id").cast("long").alias("read_id"), "seq"), k), k)
+    if enumerate is None and k <= PACKED:
+        check_k(k)
+        met = reads.where(F.length("seq") > k).select(F.col("chunk_id").cast("int"), "seq").repartition("chunk_id").sortWithinPartitions("chunk_id")
+        return map_arrow(met, _chunk_counts(k), "chunk_id int, bucket int, n long")
+    found = with_bucket((enumerate or kmer_occurrences)(reads.select(F.col("chunk_id").cast("long").alias("read_id"), "seq"), k), k)
     return found.groupBy(F.col("read_id").cast("int").alias("chunk_id"), "bucket").agg(F.count("*").alias("n"))
 
 
