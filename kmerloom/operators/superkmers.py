@@ -26,6 +26,8 @@ from kmerloom.storage import materialize
 #: Bases of a minimizer, and at most, where many buckets ask for more; positions of a slice of reads; k-mers of a run that
 #: are unpacked one after the other.
 MINIMIZER, LONGEST, SLICE, PIECE = 13, 16, 1 << 20, 64
+#: Runs that a task gathers, some 60 bytes each, before it sorts them by bucket: many buckets still get rows of several runs.
+GATHERED = 1 << 20
 #: K-mers that a task sorts at once, some 100 bytes each at the peak: a bucket of more is hot.
 HELD = 1 << 20
 #: K-mers that a task takes one after the other, about.
@@ -57,13 +59,14 @@ def minimizer_buckets(codes: np.ndarray, k: int, at: np.ndarray, buckets: int) -
 
 
 def kmer_runs(reads: DataFrame, k: int, buckets: int, without: np.ndarray | None = None) -> DataFrame:
-    """(bucket, n, reads, counts, sides, bases): the runs of each slice of reads by bucket, n k-mers in all.
+    """(bucket, n, reads, counts, sides, bases): the runs of some slices of reads by bucket, n k-mers in all.
 
     Of every run in a row: its read_id, its number of k-mers, its read's flag ``bad`` and the two bases beside it, and its
     bases, four in a byte. Buckets in ``without`` (sorted) are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             codes, ends = base_codes(batch)
             read_id, bad = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("read_id", "bad"))
@@ -76,13 +79,17 @@ def kmer_runs(reads: DataFrame, k: int, buckets: int, without: np.ndarray | None
                         cold = ~np.isin(bucket, without)
                         position, read, bucket = position[cold], read[cold], bucket[cold]
                 if len(position):
-                    yield rows(codes, ends, read_id, bad, position, read, bucket)
+                    parts.append(runs_of(codes, ends, read_id, bad, position, read, bucket))
+                    size += len(parts[-1][0])
+                if size >= GATHERED:
+                    yield rows(*map(np.concatenate, zip(*parts)))
+                    parts, size = [], 0
+        if parts:
+            yield rows(*map(np.concatenate, zip(*parts)))
 
-    def rows(codes, ends, read_id, bad, position, read, bucket) -> pa.RecordBatch:
+    def runs_of(codes, ends, read_id, bad, position, read, bucket) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.r_[True, (np.diff(position) != 1) | (bucket[1:] != bucket[:-1])])
         counts = np.diff(np.r_[first, len(position)])
-        order = np.argsort(bucket[first], kind="stable")
-        first, counts = first[order], counts[order]
         start, read, bucket = position[first], read[first], bucket[first]
         stop = start + counts + k - 1
         prev = np.where(start == np.r_[0, ends[:-1]][read], UNKNOWN, codes[start - 1])
@@ -91,17 +98,26 @@ def kmer_runs(reads: DataFrame, k: int, buckets: int, without: np.ndarray | None
         end = np.cumsum(quads)
         at = np.repeat(start - 4 * (end - quads), 4 * quads) + np.arange(4 * end[-1])
         bases = (codes[np.minimum(at, len(codes) - 1)] & 3).reshape(-1, 4) @ np.array([64, 16, 4, 1], np.uint8)
+        return bucket.astype(np.int64), read_id[read], counts.astype(np.int32), (50 * bad[read].astype(np.uint8) + 5 * prev + after).astype(np.uint8), bases.astype(np.uint8)
+
+    def rows(bucket, read, counts, sides, bases) -> pa.RecordBatch:
+        order = np.argsort(bucket, kind="stable")
+        quads = -(-(counts.astype(np.int64) + k - 1) // 4)
+        begin = (np.cumsum(quads) - quads)[order]
+        bucket, read, counts, sides, quads = bucket[order], read[order], counts[order], sides[order], quads[order]
+        end = np.cumsum(quads)
+        bases = bases[np.repeat(begin - (end - quads), quads) + np.arange(end[-1])]
         cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
         size = np.diff(cuts)
-        cut = lambda data, wide, at: pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((at * wide).astype(np.int32)), pa.py_buffer(data)])
+        cut = lambda data, wide, at: pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((at * wide).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(bucket[cuts[:-1]].astype(np.int64)),
-                pa.array(np.add.reduceat(counts, cuts[:-1])),
-                cut(np.ascontiguousarray(read_id[read]), 8, cuts),
-                cut(counts.astype(np.int32), 4, cuts),
-                cut((50 * bad[read].astype(np.uint8) + 5 * prev + after).astype(np.uint8), 1, cuts),
-                cut(np.ascontiguousarray(bases, np.uint8), 1, np.r_[0, end][cuts]),
+                pa.array(bucket[cuts[:-1]]),
+                pa.array(np.add.reduceat(counts.astype(np.int64), cuts[:-1])),
+                cut(read, 8, cuts),
+                cut(counts, 4, cuts),
+                cut(sides, 1, cuts),
+                cut(bases, 1, np.r_[0, end][cuts]),
             ],
             names=["bucket", "n", "reads", "counts", "sides", "bases"],
         )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_superkmers import frame, some_reads
 
 from kmerloom.functions import dna
-from kmerloom.operators import branch_filter, stats
+from kmerloom.operators import branch_filter, histograms, stats, superkmers
 from kmerloom.operators.kmers import canonical_counts, kmer_occurrences
 from kmerloom.operators.superkmers import HELD
 from kmerloom.plans import kmer_statistics, queries
@@ -52,3 +52,23 @@ def test_kmer_text(spark):
         ids = [0, 1, 4**k - 1, 4**k // 3]
         got = [r.t for r in spark.createDataFrame([(i,) for i in ids], "kmer long").select(dna.kmer_text(F.col("kmer"), k).alias("t")).collect()]
         assert got == ["".join("ACGT"[i >> 2 * j & 3] for j in range(k - 1, -1, -1)) for i in ids]
+
+
+@pytest.mark.parametrize("k", [8, 27, 33])
+def test_chunk_histogram_shuffles_reads_only(spark, monkeypatch, k):
+    monkeypatch.setattr(histograms, "SLICE", 70)
+    chunks = frame(spark, some_reads(4) + ["ACGTTGCA" * 60]).select((F.col("read_id") / 20).cast("int").alias("chunk_id"), "seq")
+    got, want = histograms.chunk_bucket_histogram(chunks, k), histograms.chunk_bucket_histogram(chunks, k, kmer_occurrences)
+    assert rows(got) == rows(want) and sorted(got.dtypes) == sorted(want.dtypes)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert k > 31 or "hashpartitioning(chunk_id" in plan and ", bucket" not in plan.split("hashpartitioning", 1)[1].split("]")[0]
+
+
+def test_runs_of_small_batches_are_gathered(spark):
+    """A row per bucket and task, not one per bucket and batch of Arrow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        found = superkmers.kmer_runs(frame(spark, some_reads(6)).coalesce(1), 27, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len({r.bucket for r in found}) <= 5
