@@ -33,6 +33,8 @@ READS = "read_id long, mate_id long, chunk_id int, file_no int, seq string, reco
 INDEX = "chunk_id int, file_no int, first_offset long, n long, file_bytes long, mate_bytes long, digest long"
 #: Records of a batch, bytes of a chunk.
 ROWS, CHUNK_BYTES = 4096, 64 << 20
+#: Tasks of a scan, about, from which on they grow with the input, up to CHUNK_BYTES, instead of their number.
+TASKS = 2048
 STALE = "the index is of other files or another chunk size"
 
 
@@ -99,7 +101,10 @@ def plan_chunks(files: dict, sizes: list[int], chunk_bytes: int) -> list[Chunk]:
 
 
 def packed_tasks(chunks: list[Chunk], task_bytes: int) -> list[Task]:
-    """Neighbouring chunks put together up to ``task_bytes``, mates counted; a larger chunk is a task of its own."""
+    """Neighbouring chunks put together up to ``task_bytes``, mates counted; a larger chunk is a task of its own.
+
+    Of inputs that would need more than TASKS of these, tasks take more."""
+    task_bytes = max(task_bytes, min(CHUNK_BYTES, sum(c.weight for c in chunks) // TASKS))
     tasks, held = [], 0
     for chunk in chunks:
         if not tasks or held + chunk.weight > task_bytes:
@@ -190,6 +195,7 @@ def known_chunks(chunks: list[Chunk], index: list[dict]) -> list[Chunk]:
             raise ValueError(STALE)
         if (c.known["file_bytes"], c.known["mate_bytes"]) != (c.size, c.mate_size):
             raise ValueError(f"{c.path} has changed since it was indexed: it has another size")
+        c.known = {x: c.known[x] for x in ("n", "digest")}  # a task gets no more than it checks
         c.first_id, before = before, before + c.known["n"]
     return chunks
 
@@ -204,6 +210,10 @@ class ChunkReader(DataSourceReader):
         self.chunk_bytes, self.task_bytes = int(options["chunkbytes"]), int(options["taskbytes"])
         self.columns, self.rows, self.by_file, self.filters = schema, rows, by_file, []
 
+    def __getstate__(self) -> dict:
+        """What tasks get: without the list of files, as long as the input; their chunks name those that they read."""
+        return self.__dict__ | {"files": None, "index": None}
+
     def pushFilters(self, filters: list) -> Iterator:
         for f in filters:
             known = type(f) in self.TESTS and f.attribute in (("chunk_id",), ("file_no",))

@@ -12,16 +12,23 @@ from collections.abc import Iterator
 #: Up to a slash or blank, mates have one name.
 NAME = re.compile(rb"@([^/ \t]*)")
 BLOCK = 1 << 20
+#: Bytes read first where it isn't known how many are needed; twice as many on every further read, up to a block.
+FIRST = 1 << 12
 #: Bytes around the place where a mate is looked for first; four times as many on every further try.
 WINDOW = 1 << 16
 Record = tuple[int, bytes, bytes, bytes, bytes]
 
 
-def lines_from(source, offset: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, line without its end) from a byte offset on, read in blocks."""
-    size, rest, at = source.size(), b"", offset
+def lines_from(source, offset: int, until: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(offset, line without its end) from a byte offset on, read in blocks.
+
+    Up to the byte ``until`` all is read, beyond it little at first: a short range doesn't cost a whole block."""
+    size, rest, at, step = source.size(), b"", offset, FIRST
     while True:
-        block = source.read_at(min(BLOCK, size - offset), offset) if offset < size else b""
+        wanted = until - offset
+        if wanted <= 0:
+            wanted, step = step, 2 * step
+        block = source.read_at(min(BLOCK, wanted, size - offset), offset) if offset < size else b""
         offset += len(block)
         *whole, rest = (rest + block).split(b"\n")
         for line in whole:
@@ -55,9 +62,10 @@ def align(source, start: int) -> int | None:
     return None
 
 
-def records_from(source, at: int | None) -> Iterator[Record]:
-    """(offset, header, sequence, plus line, quality) of all records from one's offset on."""
-    lines = lines_from(source, at) if at is not None else iter(())
+def records_from(source, at: int | None, until: int = 0) -> Iterator[Record]:
+    """(offset, header, sequence, plus line, quality) of all records from one's offset on; those that begin before ``until``
+    are sure to be read."""
+    lines = lines_from(source, at, until) if at is not None else iter(())
     for at, head in lines:
         if not head:
             continue
@@ -69,7 +77,7 @@ def records_from(source, at: int | None) -> Iterator[Record]:
 
 def records_in(source, start: int, end: int) -> Iterator[Record]:
     """The records that begin in [start, end)."""
-    for record in records_from(source, align(source, start)):
+    for record in records_from(source, align(source, start), end):
         if record[0] >= end:
             return
         yield record
@@ -112,8 +120,8 @@ def pairs_of_files(left, right, start: int, end: int) -> Iterator[tuple[Record,
     mate = align(right, 0) if start == 0 else find_mate(right, head, guess)
     if mate is None:
         raise ValueError("different numbers of records" if start == 0 else f"reads whose mates have other names: no mate of {head.decode('latin-1')}")
-    others = records_from(right, mate)
-    for record in records_from(left, first):
+    others = records_from(right, mate, mate + int((end - first) * right.size() / max(left.size(), 1)))
+    for record in records_from(left, first, end):
         if record[0] >= end:
             return
         other = next(others, None)
@@ -131,7 +139,7 @@ def pairs_in(source, start: int, end: int) -> Iterator[tuple[Record, Record]]:
 
     Inside a file, a range begins with a pair's second record if that has another name than the one after it.
     """
-    records = records_from(source, align(source, start))
+    records = records_from(source, align(source, start), end)
     first = next(records, None)
     if first is not None and start > 0 and first[0] < end:
         second = next(records, None)

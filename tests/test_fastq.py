@@ -1,3 +1,5 @@
+import json
+import pickle
 import random
 
 import pyarrow as pa
@@ -272,3 +274,45 @@ def test_broken_records(spark, tmp_path):
     path.write_text("@a\nACGT\n+\nIIII\n@b\nACGT\n+\nIII\n@c\nA\n+\nI\n")
     with pytest.raises(Exception, match="broken FASTQ record"):
         fastq.scan_fastq(spark, [str(path)]).count()
+
+
+class Counted:
+    """A file in memory that counts the bytes read."""
+
+    def __init__(self, text):
+        self.text, self.read = text, 0
+
+    def size(self):
+        return len(self.text)
+
+    def read_at(self, n, offset):
+        self.read += n
+        return self.text[offset : offset + n]
+
+
+def test_short_ranges_read_little_more_than_themselves():
+    text = "".join(f"@r{i // 2}\n{'A' * 100}\n+\n{'@' * 100}\n" for i in range(20000)).encode()
+    chunk = 1 << 16
+    for found in (
+        lambda s, a: fastq_text.records_in(s, a, a + chunk),
+        lambda s, a: (r for pair in fastq_text.pairs_in(s, a, a + chunk) for r in pair),
+    ):
+        source = Counted(text)
+        assert sum(1 for a in range(0, len(text), chunk) for _ in found(source, a)) == 20000
+        assert source.read < 2 * len(text)
+    left, right = (Counted("".join(f"@r{i}/{side}\n{'A' * 100}\n+\n{'@' * 100}\n" for i in range(20000)).encode()) for side in (1, 2))
+    assert sum(1 for a in range(0, left.size(), chunk) for _ in fastq_text.pairs_of_files(left, right, a, min(a + chunk, left.size()))) == 20000
+    assert left.read + right.read < 3 * (left.size() + right.size())
+
+
+def test_tasks_get_no_list_of_files():
+    files = fastq.input_set(single=[f"file:///reads/{i:08}.fq" for i in range(10000)])
+    reader = fastq.FastqReads({"files": json.dumps(files)}).reader(None)
+    assert len(reader.files["single"]) == 10000 and len(pickle.dumps(reader)) < 2000
+
+
+def test_tasks_grow_with_the_input():
+    for gb in (1, 10, 50):
+        chunks = fastq.plan_chunks(fastq.input_set(single=["a"]), [gb << 30], 1 << 16)
+        tasks = fastq.packed_tasks(chunks, 1 << 20)
+        assert [c.chunk_id for t in tasks for c in t.chunks] == list(range(len(chunks))) and len(tasks) <= 1.01 * fastq.TASKS
