@@ -34,6 +34,7 @@ HELD = 1 << 20
 TASK = 256 << 20
 #: Code order of neighbour bases, in which ties fall.
 ORDER = np.array([BASES.index(c) for c in CODE_ORDER], np.uint8)
+MET = ["condemned", "reads", "sizes", "members"]
 RUNS = "bucket long, n long, reads binary, counts binary, sides binary, bases binary"
 
 
@@ -216,21 +217,54 @@ class Groups:
         hit = (left & fifth_p | right & fifth_n)[self.group] | left[self.group] & off_p | right[self.group] & off_n
         return np.unique(self.read[hit])
 
-    def stars(self, min_degree: int | None, max_degree: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct edges from the largest read of each linking k-mer, without bad reads, to its others."""
+    def sets(self, min_degree: int | None, max_degree: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(reads, sizes, members): the distinct sets of two reads or more that share a linking k-mer. Members are places in
+        ``reads``, which ascend, set by set and ascending in each. Neighbouring k-mers mostly have one set."""
         (two_p, _, _), (two_n, _, _) = self.sides
         links = ~(two_p & two_n) & (self.kmer != 0) & (self.degree >= max(2, int(min_degree or 2)))
         if max_degree:
             links &= self.degree < int(max_degree)
-        live = links[self.group] & ~self.bad
+        live = links[self.group]
         ids, read = np.unique(self.read[live], return_inverse=True)
-        group = self.group[live]
-        if not len(group):
-            return ids, ids
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        centre = np.repeat(np.maximum.reduceat(read, first), np.diff(np.r_[first, len(group)]))
-        pair = np.unique(centre[centre != read] * len(ids) + read[centre != read])
-        return ids[pair // len(ids)], ids[pair % len(ids)]
+        pair = np.sort(self.group[live] * max(1, len(ids)) + read)
+        group, read = np.divmod(pair[np.diff(pair, prepend=-1) != 0], max(1, len(ids)))
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        size = np.diff(np.r_[first, len(group)])
+        first, size = first[size > 1], size[size > 1]
+        if not len(first):
+            return ids[:0], size.astype(np.int32), read[:0].astype(np.int32)
+        mixed = (read.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = np.r_[np.uint64(0), np.cumsum(mixed ^ mixed >> np.uint64(32))]
+        mixed = mixed[first + size] - mixed[first]
+        order = np.lexsort((mixed, size))
+        first, size, mixed = first[order], size[order], mixed[order]
+        # only a set that equals the one before it, read by read, is left out
+        like = np.flatnonzero((size[1:] == size[:-1]) & (mixed[1:] == mixed[:-1])) + 1
+        new = np.ones(len(first), bool)
+        if len(like):
+            within = _ranges(size[like])
+            equal = read[np.repeat(first[like], size[like]) + within] == read[np.repeat(first[like - 1], size[like]) + within]
+            new[like] = ~np.logical_and.reduceat(equal, np.cumsum(size[like]) - size[like])
+        first, size = first[new], size[new]
+        used, member = np.unique(read[np.repeat(first, size) + _ranges(size)], return_inverse=True)
+        return ids[used], size.astype(np.int32), member.astype(np.int32)
+
+
+def _ranges(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size, one after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def set_stars(reads: np.ndarray, sizes: np.ndarray, members: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct edges from the largest read of each set (see Groups.sets), without bad reads, to its others."""
+    live = ~np.isin(reads, bad)[members]
+    group, read = np.repeat(np.arange(len(sizes)), sizes)[live], members[live].astype(np.int64)
+    if not len(group):
+        return reads[:0], reads[:0]
+    last = np.r_[np.flatnonzero(np.diff(group)), len(group) - 1]
+    centre = np.repeat(read[last], np.diff(np.r_[-1, last]))
+    pair = np.unique(centre[centre != read] * len(reads) + read[centre != read])
+    return reads[pair // len(reads)], reads[pair % len(reads)]
 
 
 class Tally:
@@ -292,7 +326,7 @@ def _met(k: int, held: int, names: list[str], found: Callable[..., list]):
 
         def flush() -> pa.RecordBatch:
             columns = found(*unpacked_runs(k, *map(b"".join, zip(*parts))))
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=names)
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("bucket", "n", "reads", "counts", "sides", "bases")]
@@ -361,8 +395,33 @@ class Dealt:
         """(read_id): reads that a one-sided branch of a cold k-mer makes bad; a read may come from several tasks."""
         return map_arrow(_dealt(self.cold, self.tasks), _met(self.k, self.held, ["read_id"], lambda *x: [Groups(*x).condemned()]), "read_id long")
 
-    def stars(self, bad: DataFrame, min_degree: int | None = None, max_degree: int | None = None) -> DataFrame:
-        """(u, v): star edges of the cold k-mers between reads that aren't bad; an edge may come from several tasks."""
-        flagged = self.reads.select("read_id", "seq").join(bad.select("read_id", F.lit(True).alias("bad")), "read_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-        runs = kmer_runs(flagged, self.k, self.buckets, self.hot)
-        return map_arrow(_dealt(runs, self.tasks), _met(self.k, self.held, ["u", "v"], lambda *x: list(Groups(*x).stars(min_degree, max_degree))), "u long, v long")
+    def linked(self, min_degree: int | None = None, max_degree: int | None = None) -> DataFrame:
+        """(met, condemned, reads, sizes, members), stored: a row for every lot of k-mers that a task sorts, with the reads that
+        they condemn and the sets of reads that they link, bad ones included (see Groups.sets)."""
+        row = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), pa.array(x))
+
+        def found(*x) -> list:
+            groups = Groups(*x)
+            reads, sizes, members = groups.sets(min_degree, max_degree)
+            return [row(groups.condemned()), row(reads), [sizes.tobytes()], [members.tobytes()]]
+
+        rows = map_arrow(_dealt(self.cold, self.tasks), _met(self.k, self.held, MET, found), "condemned array<long>, reads array<long>, sizes binary, members binary")
+        return materialize(rows.withColumn("met", F.monotonically_increasing_id()), "met")
+
+    def stars(self, linked: DataFrame, bad: DataFrame) -> DataFrame:
+        """(u, v): star edges of the cold k-mers between reads that aren't bad; an edge may come from several tasks.
+
+        A lot gets those of its own reads that are bad, and takes the stars of its sets without them: no k-mer is sorted
+        again, and no more rows are shuffled than lots have reads."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    reads, bad = (batch.column(c)[i].values for c in ("reads", "bad"))
+                    sizes, members = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in ("sizes", "members"))
+                    gone = np.empty(0, np.int64) if bad is None else bad.to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, set_stars(reads.to_numpy(zero_copy_only=False), sizes, members, gone))], names=["u", "v"])
+
+        sets = linked.where(F.size("reads") > 0).select("met", "reads", "sizes", "members")
+        marks = sets.select("met", F.explode("reads").alias("read_id")).join(bad, "read_id").groupBy("met").agg(F.collect_list("read_id").alias("bad"))
+        return map_arrow(sets.join(marks, "met", "left").select("reads", "sizes", "members", "bad"), run, "u long, v long")

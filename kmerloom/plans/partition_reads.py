@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kmerloom.functions.dna import PACKED
 from kmerloom.operators.binpack import component_partitions, partition_manifest
@@ -75,29 +76,32 @@ def condemned_reads(reads: DataFrame, k: int = 27) -> DataFrame:
 def link_reads(reads: DataFrame, k: int = 27, mode: str = "all", min_degree: int | None = None, max_degree: int | None = None, held: int = HELD) -> Linked:
     """Filter k-mers and reads, then take star edges.
 
-    reads should be a stored table. All k-mers of up to 31 bases travel as runs, once for their statistics, which condemn
-    reads, and once, with these marked, for the edges. Those of hot buckets of more than ``held``, longer ones and
-    minimizers are rows, generated once for the statistics and once for the join that marks what they condemn and link.
+    reads should be a stored table. All k-mers of up to 31 bases travel once, as runs, for their statistics, which condemn
+    reads, and for the sets of reads that they link, from which edges are taken once all condemned reads are known. Those
+    of hot buckets of more than ``held``, longer ones and minimizers are rows, generated once for the statistics and once
+    for the join that marks what they condemn and link.
     """
     rows = spread(reads)
     dealt = Dealt(rows, k, held) if mode == "all" and k <= PACKED else None
     occurrences = dealt.hot_occurrences() if dealt else occurrences_of(rows, k, mode)
     condemned, edges, touched = [], [], None
     if dealt:
-        condemned.append(dealt.condemned())
+        linked = dealt.linked(min_degree, max_degree)
+        discard(dealt.runs)
+        condemned.append(linked.select(F.explode("condemned").alias("read_id")))
     if occurrences is not None:
         touched = _marked(occurrences, min_degree, max_degree)
         condemned.append(bad_reads(touched))
     bad = materialize(reduce(DataFrame.union, condemned).distinct(), "bad")
     if dealt:
-        edges.append(dealt.stars(bad, min_degree, max_degree))
+        edges.append(dealt.stars(linked, bad))
     if touched is not None:
         survivors = materialize(surviving_occurrences(touched, bad), "survivors")
         discard(touched)
         edges.append(star_edges(survivors))
     stars = materialize(reduce(DataFrame.union, edges).distinct(), "stars")
     if dealt:
-        discard(dealt.runs)
+        discard(linked)
     return Linked(bad, stars)
 
 
