@@ -25,7 +25,7 @@ from kmerloom.storage import materialize
 
 #: Bases of a minimizer, and at most, where many buckets ask for more; positions of a slice of reads; k-mers of a run that
 #: are unpacked one after the other.
-MINIMIZER, LONGEST, SLICE, PIECE = 13, 16, 1 << 20, 64
+MINIMIZER, LONGEST, SLICE, PIECE = 13, 16, 1 << 17, 64
 #: Runs that a task gathers, some 60 bytes each, before it sorts them by bucket: many buckets still get rows of several runs.
 GATHERED = 1 << 20
 #: K-mers that a task sorts at once, some 100 bytes each at the peak: a bucket of more is hot.
@@ -203,12 +203,19 @@ class Groups:
     def _side(self, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each k-mer whether it has two bases or more here and whether the second makes a fifth or more; for each
         occurrence whether its base is another than the most frequent."""
-        if not len(base):
-            return tuple(np.empty(0, bool) for _ in range(3))
-        counts = np.stack([np.add.reduceat((base == c).astype(np.int64), self.first) for c in ORDER])
-        top = ORDER[counts.argmax(axis=0)]
-        second = np.sort(counts, axis=0)[-2]
-        return second > 0, 5 * second >= self.degree, base != top[self.group]
+        two, fifth, off = np.zeros(len(self.first), bool), np.zeros(len(self.first), bool), np.zeros(len(base), bool)
+        if len(base):
+            two = np.minimum.reduceat(base, self.first) != np.maximum.reduceat(base, self.first)
+        some = np.flatnonzero(two)  # few k-mers have several bases or an N; only these are counted
+        if len(some):
+            size = self.degree[some]
+            at, first = np.repeat(self.first[some], size) + _ranges(size), np.cumsum(size) - size
+            base = base[at]
+            counts = np.stack([np.add.reduceat((base == c).astype(np.int64), first) for c in ORDER])
+            second = np.sort(counts, axis=0)[-2]
+            two[some], fifth[some] = second > 0, 5 * second >= size
+            off[at] = base != np.repeat(ORDER[counts.argmax(axis=0)], size)
+        return two, fifth, off
 
     def condemned(self) -> np.ndarray:
         """The distinct reads that a one-sided branch makes bad."""
@@ -225,14 +232,21 @@ class Groups:
         if max_degree:
             links &= self.degree < int(max_degree)
         live = links[self.group]
-        ids, read = np.unique(self.read[live], return_inverse=True)
-        pair = np.sort(self.group[live] * max(1, len(ids)) + read)
-        group, read = np.divmod(pair[np.diff(pair, prepend=-1) != 0], max(1, len(ids)))
+        group, read = self.group[live], self.read[live]
+        low = read.min() if len(read) else 0
+        wide = int(read.max() - low).bit_length() if len(read) else 0
+        ids = None
+        if wide + len(self.degree).bit_length() > 62:  # ids too far apart to be sorted with their k-mer's number
+            ids, read = np.unique(read, return_inverse=True)
+            low, wide = 0, len(ids).bit_length()
+        pair = np.sort(group << wide | read - low)
+        pair = pair[np.diff(pair, prepend=-1) != 0]
+        group, read = pair >> wide, (pair & (1 << wide) - 1) + low
         first = np.flatnonzero(np.diff(group, prepend=-1))
         size = np.diff(np.r_[first, len(group)])
         first, size = first[size > 1], size[size > 1]
         if not len(first):
-            return ids[:0], size.astype(np.int32), read[:0].astype(np.int32)
+            return read[:0], size.astype(np.int32), read[:0].astype(np.int32)
         mixed = (read.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         mixed = np.r_[np.uint64(0), np.cumsum(mixed ^ mixed >> np.uint64(32))]
         mixed = mixed[first + size] - mixed[first]
@@ -247,7 +261,7 @@ class Groups:
             new[like] = ~np.logical_and.reduceat(equal, np.cumsum(size[like]) - size[like])
         first, size = first[new], size[new]
         used, member = np.unique(read[np.repeat(first, size) + _ranges(size)], return_inverse=True)
-        return ids[used], size.astype(np.int32), member.astype(np.int32)
+        return used if ids is None else ids[used], size.astype(np.int32), member.astype(np.int32)
 
 
 def _ranges(size: np.ndarray) -> np.ndarray:

@@ -135,3 +135,23 @@ def test_runs_longer_than_a_piece(spark):
         read, _, kmer, prev, after = superkmers.unpacked_runs(27, *map(bytes, (r.reads, r.counts, r.sides, r.bases)))
         found += zip(read.tolist(), kmer.tolist(), ("ACGTN"[x] for x in prev), ("ACGTN"[x] for x in after))
     assert sorted(found) == sorted((i, number(x), p, n) for i, s in enumerate(seqs) for _, x, p, n in plain.canonical(s, 27))
+
+
+@pytest.mark.parametrize("far", [1, 10**13])
+def test_sets_of_linked_reads(far):
+    """The stars of what the sets are, for any bad reads; equal sets once; ids far apart too."""
+    rng = np.random.default_rng(5)
+    kmer = np.r_[rng.integers(0, 40, 300), np.repeat(np.arange(50, 60), 3)].astype(np.uint64)
+    read = np.r_[rng.integers(0, 30, 300), np.tile([31, 32, 33], 10)] * far
+    prev, after = (np.where(rng.random(len(kmer)) < 0.2, rng.integers(0, 5, len(kmer)), 1).astype(np.uint8) for _ in range(2))
+    groups = superkmers.Groups(read, np.zeros(len(kmer), bool), kmer, prev, after)
+    ids, sizes, members = groups.sets(None, None)
+    found = [tuple(x) for x in np.split(ids[members], np.cumsum(sizes)[:-1])]
+    several = lambda x, side: len({int(b) for b, y in zip(side, kmer) if y == x and b < 4}) > 1
+    live = [int(x) for x in np.unique(kmer) if x and not (several(x, prev) and several(x, after))]
+    sets = {t for x in live if len(t := tuple(sorted({int(r) for r, y in zip(read, kmer) if y == x}))) > 1}
+    assert len(found) == len(set(found)) and set(found) == sets and (31 * far, 32 * far, 33 * far) in sets
+    for bad in ([], [33 * far], list(range(0, 30 * far, 2 * far))[:15]):
+        u, v = superkmers.set_stars(ids, sizes, members, np.array(bad, np.int64))
+        left = [[r for r in s if r not in bad] for s in sets]
+        assert sorted(zip(u.tolist(), v.tolist())) == sorted({(s[-1], r) for s in left if s for r in s[:-1]})
