@@ -6,6 +6,7 @@ import plain
 import pytest
 
 from kmerloom.plans.queries import QUERIES
+from kmerloom.sources import text_reads
 
 LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", "ACGT" * 6 + "AC"))
 
@@ -88,3 +89,16 @@ def test_conversations(spark, tmp_path):
     assert got == want
     merged = plain.merge_mates(components([s for _, _, s in want]), [(r, m) for r, m in mate.items() if r < m], 1000)
     assert dict(tuple(r) for r in QUERIES["conversation_components"](spark, str(tmp_path)).collect()) == merged
+
+
+def test_texts_are_encoded_by_code_points(spark, monkeypatch):
+    """As by the column expression: letters of any script, marks, slices that end inside a letter, nulls and empty texts."""
+    monkeypatch.setattr(text_reads, "SLICE", 7)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000, 7)]))
+    texts = [None, "", "Hello, World 12", "\u0130stanbul \u212a\u03a3\u03c3\u03c2 \u00c4\u00d6\u00df\u1e9e", "a" * 20 + "\U0001d400\u4e2d", None, "...", every, "z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for parts in (1, 3):
+        found = {r.id: r.bases for r in text_reads.encoded(rows.repartition(parts, "id"), "text", "bases").collect()}
+        assert found == {r.id: r.bases for r in rows.select("id", text_reads.encode_text(rows.text).alias("bases")).collect()}
+    broken = spark.sql("SELECT 1L AS doc_id, CAST(X'41FF42E3814380' AS STRING) AS text")
+    assert text_reads.document_reads(broken).first().seq == broken.select(text_reads.encode_text(broken.text)).first()[0]
