@@ -79,7 +79,7 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
 
 def fastq(name: Column) -> Column:
     """The record of a named read without its last line end."""
-    return F.concat(F.lit("@"), name, F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.regexp_replace("seq", ".", "@"))
+    return F.concat(F.lit("@"), name, F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq")))
 
 
 def stored_files(rows: DataFrame, first: str = "read_id") -> list[str]:
