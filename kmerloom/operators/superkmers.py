@@ -28,6 +28,9 @@ from kmerloom.storage import materialize
 MINIMIZER, LONGEST, SLICE, PIECE = 13, 16, 1 << 17, 64
 #: Runs that a task gathers, some 60 bytes each, before it sorts them by bucket: many buckets still get rows of several runs.
 GATHERED = 1 << 20
+#: Rows that a task makes of what it gathered, at most: with more buckets than these a row holds several of them, so that
+#: rows get no shorter, and compress no worse, as the input grows.
+ROWS = 1 << 12
 #: K-mers that a task sorts at once, some 100 bytes each at the peak: a bucket of more is hot.
 HELD = 1 << 20
 #: K-mers that a task takes one after the other, about.
@@ -36,6 +39,8 @@ TASK = 256 << 20
 ORDER = np.array([BASES.index(c) for c in CODE_ORDER], np.uint8)
 MET = ["condemned", "reads", "sizes", "members"]
 RUNS = "bucket long, n long, reads binary, counts binary, sides binary, bases binary"
+#: Runs as they are stored and dealt: of a row the range of buckets, those that it holds, the k-mers of each, and the runs.
+PACKED_RUNS = "bucket_range long, buckets array<long>, n array<long>, size long, runs binary"
 
 
 def minimizer_bases(k: int, buckets: int) -> int:
@@ -59,11 +64,12 @@ def minimizer_buckets(codes: np.ndarray, k: int, at: np.ndarray, buckets: int) -
     return (mixed >> np.uint64(32) ^ mixed & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
 
 
-def kmer_runs(reads: DataFrame, k: int, buckets: int, without: np.ndarray | None = None) -> DataFrame:
+def kmer_runs(reads: DataFrame, k: int, buckets: int, without: np.ndarray | None = None, span: int = 0) -> DataFrame:
     """(bucket, n, reads, counts, sides, bases): the runs of some slices of reads by bucket, n k-mers in all.
 
     Of every run in a row: its read_id, its number of k-mers, its read's flag ``bad`` and the two bases beside it, and its
-    bases, four in a byte. Buckets in ``without`` (sorted) are left out.
+    bases, four in a byte. Buckets in ``without`` (sorted) are left out. With ``span`` rows are packed instead, and hold
+    the runs of so many neighbouring buckets (see packed_rows).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,13 +107,10 @@ def kmer_runs(reads: DataFrame, k: int, buckets: int, without: np.ndarray | None
         bases = (codes[np.minimum(at, len(codes) - 1)] & 3).reshape(-1, 4) @ np.array([64, 16, 4, 1], np.uint8)
         return bucket.astype(np.int64), read_id[read], counts.astype(np.int32), (50 * bad[read].astype(np.uint8) + 5 * prev + after).astype(np.uint8), bases.astype(np.uint8)
 
-    def rows(bucket, read, counts, sides, bases) -> pa.RecordBatch:
+    def rows(bucket, *runs) -> pa.RecordBatch:
         order = np.argsort(bucket, kind="stable")
-        quads = -(-(counts.astype(np.int64) + k - 1) // 4)
-        begin = (np.cumsum(quads) - quads)[order]
-        bucket, read, counts, sides, quads = bucket[order], read[order], counts[order], sides[order], quads[order]
-        end = np.cumsum(quads)
-        bases = bases[np.repeat(begin - (end - quads), quads) + np.arange(end[-1])]
+        bucket, (read, counts, sides, bases) = bucket[order], taken(k, order, *runs)
+        end = np.cumsum(base_bytes(counts, k))
         cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
         size = np.diff(cuts)
         cut = lambda data, wide, at: pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((at * wide).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
@@ -124,11 +127,94 @@ def kmer_runs(reads: DataFrame, k: int, buckets: int, without: np.ndarray | None
         )
 
     slim = long_reads(reads, k).select("read_id", "seq", F.lit(False).alias("bad")) if "bad" not in reads.columns else reads.where(F.length("seq") > k).select(F.col("read_id").cast("long"), "seq", "bad")
+    if span:
+        return map_arrow(slim, lambda batches: (packed_rows(batch, span) for batch in run(batches)), PACKED_RUNS)
     return map_arrow(slim, run, RUNS)
 
 
+def base_bytes(counts: np.ndarray, k: int) -> np.ndarray:
+    """Bytes of the bases of runs of so many k-mers."""
+    return -(-(counts.astype(np.int64) + k - 1) // 4)
+
+
+def taken(k: int, at: np.ndarray, read: np.ndarray, counts: np.ndarray, sides: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs at the places ``at``, in that order."""
+    quads = base_bytes(counts, k)
+    begin, quads = (np.cumsum(quads) - quads)[at], quads[at]
+    end = np.cumsum(quads)
+    return read[at], counts[at], sides[at], bases[np.repeat(begin - (end - quads), quads) + np.arange(quads.sum())]
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones, ...: equal bytes come together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.ravel()
+
+
+def _numbers(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def squeezed(sizes: np.ndarray, read: np.ndarray, counts: np.ndarray, sides: np.ndarray, bases: np.ndarray) -> tuple[int, bytes]:
+    """Runs in the order of their buckets, ``sizes`` of each, compressed, and the bytes that they are without that."""
+    body = np.concatenate([_planes(sizes.astype(np.int32)), _planes(np.diff(read, prepend=0)), _planes(counts.astype(np.int32)), sides, bases])
+    return len(body), pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unsqueezed(buckets: np.ndarray, size: int, runs: bytes) -> tuple[np.ndarray, ...]:
+    """(bucket, read, counts, sides, bases) of the runs of a packed row."""
+    body = np.frombuffer(pa.decompress(runs, decompressed_size=size, codec="zstd"), np.uint8)
+    at = 4 * len(buckets)
+    sizes = _numbers(body[:at], np.int32)
+    n = int(sizes.sum())
+    return np.repeat(buckets, sizes), np.cumsum(_numbers(body[at : at + 8 * n], np.int64)), _numbers(body[at + 8 * n : at + 12 * n], np.int32), body[at + 12 * n : at + 13 * n], body[at + 13 * n :]
+
+
+def packed_rows(batch: pa.RecordBatch, span: int) -> pa.RecordBatch:
+    """Rows of runs by bucket as rows (bucket_range, buckets, n, size, runs) of ``span`` neighbouring buckets each."""
+    bucket, n = (batch.column(c).to_numpy() for c in ("bucket", "n"))
+    cuts = np.r_[0, np.flatnonzero(np.diff(bucket // span)) + 1, len(bucket)]
+    columns = [batch.column(c).buffers() for c in ("reads", "counts", "sides", "bases")]
+    at = [np.frombuffer(offsets, np.int32) for _, offsets, _ in columns]
+    data = [np.frombuffer(x, np.uint8) for _, _, x in columns]
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        read, counts, sides, bases = (x[p[a] : p[b]] for x, p in zip(data, at))
+        rows.append(squeezed(np.diff(at[2][a : b + 1]), read.view(np.int64), counts.view(np.int32), sides, bases))
+    return _packed_batch(bucket[cuts[:-1]] // span, cuts, bucket, n, rows)
+
+
+def _packed_batch(ranges: np.ndarray, cuts: np.ndarray, buckets: np.ndarray, n: np.ndarray, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    lists = (pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(x)) for x in (buckets, n))
+    sizes, runs = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(ranges), *lists, pa.array(sizes, pa.int64()), pa.array(runs, pa.binary())], names=["bucket_range", "buckets", "n", "size", "runs"])
+
+
+def _without(k: int, hot: np.ndarray):
+    """Packed rows without the runs of the buckets ``hot``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, rows = [], []
+            for span, buckets, n, size, runs in zip(*(batch.column(c).to_pylist() for c in ("bucket_range", "buckets", "n", "size", "runs"))):
+                cold = ~np.isin(buckets, hot)
+                if cold.all():
+                    rows.append((size, runs))
+                elif cold.any():
+                    bucket, *own = unsqueezed(np.array(buckets, np.int64), size, runs)
+                    at = np.flatnonzero(~np.isin(bucket, hot))
+                    buckets, n = np.array(buckets, np.int64)[cold], np.array(n, np.int64)[cold]
+                    rows.append(squeezed(np.diff(np.searchsorted(bucket[at], np.r_[buckets, buckets[-1] + 1])), *taken(k, at, *own)))
+                if cold.any():
+                    kept.append((span, buckets, n))
+            if kept:
+                cuts = np.cumsum([0, *(len(b) for _, b, _ in kept)])
+                yield _packed_batch(np.array([s for s, _, _ in kept], np.int64), cuts, *(np.concatenate([x[i] for x in kept]).astype(np.int64) for i in (1, 2)), rows)
+
+    return run
+
+
 def unpacked_runs(k: int, reads: bytes, counts: bytes, sides: bytes, bases: bytes) -> tuple[np.ndarray, ...]:
-    """(read_id, bad, kmer, prev, next) of the k-mers of runs in a row, in no order.
+    """(read_id, bad, kmer, prev, next) of the k-mers of runs in a row, run by run.
 
     All runs advance together, a base at a time: a k-mer and its reverse complement come from those before. Runs are
     taken in pieces of PIECE k-mers at most, the longest first, so that those that go on stay in front.
@@ -143,10 +229,11 @@ def unpacked_runs(k: int, reads: bytes, counts: bytes, sides: bytes, bases: byte
     run = np.repeat(np.arange(len(count)), pieces)
     nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     left = count[run] - nth * PIECE
-    order = np.argsort(-np.minimum(left, PIECE), kind="stable")
-    run, nth, left = run[order], nth[order], left[order]
-    start, length = (np.cumsum(size) - size)[run] + nth * PIECE, np.minimum(left, PIECE)
-    read, bad = read[run], side[run] >= 50
+    length = np.minimum(left, PIECE)
+    begin = np.cumsum(length) - length
+    order = np.argsort(-length, kind="stable")
+    run, nth, left, length, begin = run[order], nth[order], left[order], length[order], begin[order]
+    start = (np.cumsum(size) - size)[run] + nth * PIECE
     before = np.where(nth == 0, side[run] % 50 // 5, codes[start - 1])
     ends, last = left <= PIECE, side[run] % 5
 
@@ -156,16 +243,17 @@ def unpacked_runs(k: int, reads: bytes, counts: bytes, sides: bytes, bases: byte
         base = codes[start + i].astype(np.uint64)
         forward, back = forward << two | base, back | (np.uint64(3) - base) << np.uint64(2 * i)
     live = np.searchsorted(-length, -np.arange(1, int(length.max()) + 2), side="right")  # pieces of j + 1 k-mers or more
-    found = []
+    total = int(count.sum())
+    kmer, prev, following = np.empty(total, np.uint64), np.empty(total, np.uint8), np.empty(total, np.uint8)
     for j in range(int(length.max())):
         n, more = int(live[j]), int(live[j + 1])
         after = np.where(ends[:n] & (length[:n] == j + 1), last[:n], codes[np.minimum(start[:n] + k + j, len(codes) - 1)])
-        straight = forward < back
-        found.append((read[:n], bad[:n], np.where(straight, forward, back), np.where(straight, before, COMPLEMENT[after]), np.where(straight, after, COMPLEMENT[before])))
+        straight, at = forward < back, begin[:n] + j
+        kmer[at], prev[at], following[at] = np.where(straight, forward, back), np.where(straight, before, COMPLEMENT[after]), np.where(straight, after, COMPLEMENT[before])
         before, base = codes[start[:more] + j], after[:more].astype(np.uint64)
         forward = (forward[:more] << two | base) & np.uint64((1 << 2 * k) - 1)
         back = back[:more] >> two | (np.uint64(3) - base) << top
-    return tuple(map(np.concatenate, zip(*found)))
+    return np.repeat(read, count), np.repeat(side >= 50, count), kmer, prev, following
 
 
 def together(kmer: np.ndarray) -> np.ndarray:
@@ -282,7 +370,8 @@ def set_stars(reads: np.ndarray, sizes: np.ndarray, members: np.ndarray, bad: np
 
 
 class Tally:
-    """Statistics of all k-mers, also of those seen once, as columns in the order of ``kmer`` (see branch_filter)."""
+    """Statistics of all k-mers, also of those seen once (see branch_filter). Columns with a row per k-mer are in the order in
+    which k-mers first stand in runs: neighbours share all bases but one, so that files of them compress well."""
 
     def __init__(self, read: np.ndarray, bad: np.ndarray, kmer: np.ndarray, prev: np.ndarray, after: np.ndarray):
         order = together(kmer)
@@ -307,6 +396,10 @@ class Tally:
         n = (counts > 0).sum(axis=0, dtype=np.int32)
         return n, ORDER[counts.argmax(axis=0)].astype(np.int8), np.sort(counts, axis=0)[-2].astype(np.int64)
 
+    def _by_run(self, *columns: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(self.order[self.first])  # equal k-mers stand in the order of their places
+        return [x[order] for x in columns]
+
     def counts(self) -> list:
         return [self.kmer, self.degree, self.reads()]
 
@@ -317,9 +410,9 @@ class Tally:
         return list(np.unique(self.reads(), return_counts=True))
 
     def branches(self) -> list:
-        out = [self.kmer, self.degree, np.maximum.reduceat(self.read[self.order], self.first)]
+        out = self._by_run(self.kmer, self.degree, np.maximum.reduceat(self.read[self.order], self.first))
         for base in self.sides:
-            n, top, second = self._side(base)
+            n, top, second = self._by_run(*self._side(base))
             out += [n, pa.array(top, mask=n == 0), second]
         return out
 
@@ -333,31 +426,41 @@ class Tally:
 
 
 def _met(k: int, held: int, names: list[str], found: Callable[..., list]):
-    """Rows of kmer_runs, sorted by bucket -> what is found in the k-mers of some whole buckets at a time."""
+    """Packed rows of runs, sorted by bucket_range -> what is found in the k-mers of some whole buckets at a time."""
+
+    def lots(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        bucket, *runs = map(np.concatenate, zip(*parts))
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        cuts, size = [0], 0
+        for at, n in zip(first, np.add.reduceat(runs[1][order].astype(np.int64), first)):
+            if 2 * size >= held:
+                cuts.append(at)
+                size = 0
+            size += n
+        cuts.append(len(bucket))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = runs if len(cuts) == 2 else taken(k, order[a:b], *runs)
+            columns = found(*unpacked_runs(k, *own))
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, last = [], 0, None
-
-        def flush() -> pa.RecordBatch:
-            columns = found(*unpacked_runs(k, *map(b"".join, zip(*parts))))
-            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
-
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "n", "reads", "counts", "sides", "bases")]
-            for bucket, n, *blobs in zip(*columns):
-                if bucket != last and 2 * size >= held:
-                    yield flush()
+            for span, buckets, n, raw, runs in zip(*(batch.column(c).to_pylist() for c in ("bucket_range", "buckets", "n", "size", "runs"))):
+                if span != last and 2 * size >= held:
+                    yield from lots(parts)
                     parts, size = [], 0
-                parts.append(blobs)
-                last, size = bucket, size + n
+                parts.append(unsqueezed(np.array(buckets, np.int64), raw, runs))
+                last, size = span, size + sum(n)
         if parts:
-            yield flush()
+            yield from lots(parts)
 
     return run
 
 
 def _dealt(runs: DataFrame, tasks: int) -> DataFrame:
-    return runs.repartition(tasks, F.xxhash64("bucket")).sortWithinPartitions("bucket")
+    return runs.repartition(tasks, F.xxhash64("bucket_range")).sortWithinPartitions("bucket_range")
 
 
 def bucket_occurrences(reads: DataFrame, k: int, buckets: int, only: np.ndarray) -> DataFrame:
@@ -392,10 +495,11 @@ class Dealt:
         bases = reads.agg(F.sum(F.length("seq"))).first()[0] or 0
         self.buckets = max(1, 4 * bases // held)
         self.tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bases // TASK)
-        self.runs = materialize(kmer_runs(reads, k, self.buckets), "runs")
-        found = self.runs.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > held).select("bucket").collect()
-        self.hot = np.array(sorted(r.bucket for r in found), np.uint64)
-        self.cold = self.runs.where(~F.col("bucket").isin([int(b) for b in self.hot])) if len(self.hot) else self.runs
+        self.runs = materialize(kmer_runs(reads, k, self.buckets, span=-(-self.buckets // ROWS)), "runs")
+        counts = self.runs.select(F.explode(F.arrays_zip("buckets", "n")).alias("x")).select("x.*")
+        found = counts.groupBy("buckets").agg(F.sum("n").alias("n")).where(F.col("n") > held).select("buckets").collect()
+        self.hot = np.array(sorted(r.buckets for r in found), np.uint64)
+        self.cold = map_arrow(self.runs, _without(k, self.hot.astype(np.int64)), PACKED_RUNS) if len(self.hot) else self.runs
 
     def hot_occurrences(self) -> DataFrame | None:
         return bucket_occurrences(self.reads, self.k, self.buckets, self.hot) if len(self.hot) else None

@@ -14,30 +14,33 @@ from pyspark.sql import functions as F
 from kmerloom.functions.dna import PACKED
 from kmerloom.operators import branch_filter, kmers, stats
 from kmerloom.operators.superkmers import HELD, Dealt, Tally
-from kmerloom.storage import spread
+from kmerloom.storage import discard, spread
 
 SIDE = "n_{0} int, top_{0} tinyint, s_{0} long"
 BRANCHES = f"kmer long, deg long, last_read long, {SIDE.format('prev')}, {SIDE.format('next')}"
 
 
-def _tallied(reads: DataFrame, k: int, held: int, schema: str, found: Callable[[Tally], list], by_rows: Callable[[DataFrame], DataFrame], neighbours: bool = False) -> DataFrame:
-    """What ``found`` makes of cold k-mers and ``by_rows`` of the occurrences of all others. reads should be stored."""
+def _tallied(reads: DataFrame, k: int, held: int, schema: str, found: Callable[[Tally], list], by_rows: Callable[[DataFrame], DataFrame], neighbours: bool = False, spent: bool = False) -> DataFrame:
+    """What ``found`` makes of cold k-mers and ``by_rows`` of the occurrences of all others. reads should be stored; if
+    ``spent``, nothing else will read them, and they are deleted once their runs are stored, unless there are hot k-mers."""
     rows = spread(reads)
     if k > PACKED:
         return by_rows(kmers.kmer_occurrences(rows, k, neighbours))
     dealt = Dealt(rows, k, held)
     cold, hot = dealt.tallied(schema, found), dealt.hot_occurrences()
+    if spent and hot is None:
+        discard(reads)
     return cold if hot is None else cold.union(by_rows(hot).select(*cold.columns))
 
 
-def canonical_counts(reads: DataFrame, k: int, held: int = HELD) -> DataFrame:
+def canonical_counts(reads: DataFrame, k: int, held: int = HELD, spent: bool = False) -> DataFrame:
     """(kmer, n, reads): occurrences and distinct reads of each k-mer."""
-    return _tallied(reads, k, held, "kmer long, n long, reads long", Tally.counts, kmers.canonical_counts)
+    return _tallied(reads, k, held, "kmer long, n long, reads long", Tally.counts, kmers.canonical_counts, spent=spent)
 
 
-def kmer_degrees(reads: DataFrame, k: int, held: int = HELD) -> DataFrame:
+def kmer_degrees(reads: DataFrame, k: int, held: int = HELD, spent: bool = False) -> DataFrame:
     """(kmer, deg): distinct reads of each k-mer."""
-    return _tallied(reads, k, held, "kmer long, deg long", Tally.degrees, stats.kmer_degrees)
+    return _tallied(reads, k, held, "kmer long, deg long", Tally.degrees, stats.kmer_degrees, spent=spent)
 
 
 def degree_distribution(reads: DataFrame, k: int, held: int = HELD) -> DataFrame:
@@ -46,9 +49,9 @@ def degree_distribution(reads: DataFrame, k: int, held: int = HELD) -> DataFrame
     return parts.groupBy("deg").agg(F.sum("kmers").alias("kmers"))
 
 
-def branch_groups(reads: DataFrame, k: int, held: int = HELD) -> DataFrame:
+def branch_groups(reads: DataFrame, k: int, held: int = HELD, spent: bool = False) -> DataFrame:
     """The statistics of branch_filter.branch_groups."""
-    return _tallied(reads, k, held, BRANCHES, Tally.branches, branch_filter.branch_groups, True)
+    return _tallied(reads, k, held, BRANCHES, Tally.branches, branch_filter.branch_groups, True, spent)
 
 
 def ambiguous_kmers(reads: DataFrame, k: int, held: int = HELD) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from kmerloom.arrow import map_arrow
 from kmerloom.operators.prefix import dense_ids, exclusive_sum
-from kmerloom.storage import materialize
+from kmerloom.storage import discard, materialize
 
 ALPHABET, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGT" * 6 + "AC"
 #: Bytes of text that are looked up at once.
@@ -86,8 +86,23 @@ def document_reads(documents: DataFrame, length: int = 100, stride: int = 60, pa
     pattern then cuts a text, whatever its length. Texts without letters have no reads; of rows of one doc_id that of the
     smaller hash comes first.
     """
+    return _fragments(_stored_bases(documents, stride), length, stride, paired)
+
+
+def stored_document_reads(documents: DataFrame, length: int = 100, stride: int = 60, paired: bool = False) -> DataFrame:
+    """The reads of document_reads, stored; encoded texts are deleted once they are cut."""
+    encoded = _stored_bases(documents, stride)
+    reads = materialize(_fragments(encoded, length, stride, paired), "reads")
+    discard(encoded)
+    return reads
+
+
+def _stored_bases(documents: DataFrame, stride: int) -> DataFrame:
     rows = documents.select("doc_id", F.xxhash64("text").alias("hash"), F.make_valid_utf8("text").alias("text"), F.monotonically_increasing_id().alias("tie"))
-    stored = materialize(encoded(rows, "text", "bases").withColumn("n", F.coalesce(F.ceil(F.length("bases") / stride), F.lit(0)).cast("long")), "encoded")
+    return materialize(encoded(rows, "text", "bases").withColumn("n", F.coalesce(F.ceil(F.length("bases") / stride), F.lit(0)).cast("long")), "encoded")
+
+
+def _fragments(stored: DataFrame, length: int, stride: int, paired: bool) -> DataFrame:
     first = exclusive_sum(stored.select("doc_id", "hash", "tie", "n"), ["doc_id", "hash", "tie"], "n", "first").select("tie", "first")
     cut = F.regexp_extract_all("bases", F.lit(f"(?=(.{{1,{length}}})).{{1,{stride}}}"), F.lit(1))
     parts = stored.where("n > 0").join(first, "tie").select("doc_id", "n", "first", F.posexplode(cut).alias("o", "seq"))

@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Deletes what a query shuffled when it ends, not when the driver's garbage collection comes to it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL_ROOT: str | None = None
 
 
@@ -47,10 +50,15 @@ def release(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write df once and return the stored table."""
+    """Write df once and return the stored table. What was shuffled for it is deleted with the end of the write."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._kmerloom_path = path
     return stored

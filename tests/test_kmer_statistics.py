@@ -1,5 +1,8 @@
 """Statistics of k-mers by runs, against the operators on rows; no exchange holds a row per occurrence."""
 
+import pathlib
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from test_superkmers import frame, some_reads
@@ -9,7 +12,7 @@ from kmerloom.operators import branch_filter, histograms, stats, superkmers
 from kmerloom.operators.kmers import canonical_counts, kmer_occurrences
 from kmerloom.operators.superkmers import HELD
 from kmerloom.plans import kmer_statistics, queries
-from kmerloom.storage import materialize
+from kmerloom.storage import CLEANUP, materialize, release, session_root
 
 BY_ROWS = {
     "canonical_counts": canonical_counts,
@@ -72,3 +75,38 @@ def test_runs_of_small_batches_are_gathered(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(found) == len({r.bucket for r in found}) <= 5
+
+
+@pytest.mark.parametrize("k,held", [(8, 40), (8, 3000), (27, HELD)])
+def test_equal_to_rows_with_several_buckets_in_a_row(spark, monkeypatch, k, held):
+    monkeypatch.setattr(superkmers, "ROWS", 3)
+    test_equal_to_rows(spark, k, held)
+
+
+@pytest.mark.parametrize("name", ["branch_groups"])
+def test_queries_keep_runs_only(spark, name):
+    """Neither encoded texts nor reads stay beside the runs that the result is read from."""
+    release(spark)
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    kept = {f.name.split("-")[0] for f in pathlib.Path(session_root(spark).removeprefix("file://")).iterdir()}
+    assert "runs" in kept and not kept & {"reads", "encoded"}
+    assert got.count() > 0
+
+
+def test_reads_with_hot_kmers_are_kept(spark):
+    reads = materialize(frame(spark, some_reads(11)), "reads")
+    assert rows(kmer_statistics.kmer_degrees(reads, 8, 40, spent=True)) == rows(stats.kmer_degrees(kmer_occurrences(reads, 8)))
+
+
+def test_a_stored_table_leaves_nothing_shuffled(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in map(str, disk.getAllBlocks().mkString(" ").split()) if f.startswith("shuffle_")}
+    before = shuffled()
+    own = spark.conf.get(CLEANUP, None)
+    stored = materialize(spark.range(1000).repartition(4, "id"), "dealt")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert stored.count() == 1000 and spark.conf.get(CLEANUP, None) == own

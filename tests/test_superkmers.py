@@ -155,3 +155,62 @@ def test_sets_of_linked_reads(far):
         u, v = superkmers.set_stars(ids, sizes, members, np.array(bad, np.int64))
         left = [[r for r in s if r not in bad] for s in sets]
         assert sorted(zip(u.tolist(), v.tolist())) == sorted({(s[-1], r) for s in left if s for r in s[:-1]})
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_packed_rows_hold_the_same_runs(spark, span):
+    """Rows of some neighbouring buckets each, and those without hot ones."""
+    seqs, buckets = some_reads(7) + ["ACGGT" * 200], 50
+    plain_rows = superkmers.kmer_runs(frame(spark, seqs), 27, buckets).collect()
+    rows = superkmers.kmer_runs(frame(spark, seqs), 27, buckets, span=span)
+    hot = np.array(sorted({r.bucket for r in plain_rows})[::2], np.int64)
+    for found, out in ((rows, []), (rows.mapInArrow(superkmers._without(27, hot), superkmers.PACKED_RUNS), hot.tolist())):
+        got, count = [], {}
+        for r in found.collect():
+            assert {b // span for b in r.buckets} == {r.bucket_range} and not set(r.buckets) & set(out)
+            bucket, *runs = superkmers.unsqueezed(np.array(r.buckets), r.size, bytes(r.runs))
+            assert sorted(set(bucket.tolist())) == r.buckets
+            read, bad, kmer, prev, after = superkmers.unpacked_runs(27, *runs)
+            got += zip(read.tolist(), kmer.tolist(), prev.tolist(), after.tolist())
+            for b, n in zip(r.buckets, r.n):
+                count[b] = count.get(b, 0) + n
+        want, total = [], {}
+        for r in plain_rows:
+            if r.bucket not in out:
+                read, _, kmer, prev, after = superkmers.unpacked_runs(27, *map(bytes, (r.reads, r.counts, r.sides, r.bases)))
+                want += zip(read.tolist(), kmer.tolist(), prev.tolist(), after.tolist())
+                total[r.bucket] = total.get(r.bucket, 0) + r.n
+        assert sorted(got) == sorted(want) and count == total
+
+
+def test_rows_get_no_shorter_with_more_buckets(spark, monkeypatch):
+    """A task makes a row per range of buckets, and reads more often stored than a bucket each."""
+    monkeypatch.setattr(superkmers, "ROWS", 3)
+    dealt = superkmers.Dealt(materialize(frame(spark, some_reads(6)).coalesce(1), "reads"), 27, 300)
+    assert dealt.buckets > 30 and dealt.runs.count() <= 4 * 3
+    assert dealt.runs.selectExpr("max(size(buckets)) AS n").first().n > 1
+
+
+@pytest.mark.parametrize("held", [40, 300, 3000])
+def test_links_with_several_buckets_in_a_row(spark, monkeypatch, held):
+    monkeypatch.setattr(superkmers, "ROWS", 5)
+    seqs = some_reads(1)
+    linked = link_reads(materialize(frame(spark, seqs), "reads"), 8, held=held)
+    bad, edges = expected(seqs, 8)
+    assert {r.read_id for r in linked.bad.collect()} == bad
+    assert {tuple(r) for r in linked.edges.select("u", "v").collect()} == edges
+
+
+def test_kmers_come_run_by_run():
+    """Neighbours of a run stay neighbours, also in runs of several pieces and beside shorter ones."""
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (40, 400, 28, 90)]
+    codes = [np.array(["ACGT".index(c) for c in s] + [0] * (-len(s) % 4), np.uint8).reshape(-1, 4) @ np.array([64, 16, 4, 1], np.uint8) for s in seqs]
+    counts = np.array([len(s) - 26 for s in seqs], np.int32)
+    found = superkmers.unpacked_runs(27, np.arange(4).tobytes(), counts.tobytes(), bytes([24] * 4), np.concatenate(codes).astype(np.uint8).tobytes())
+    want = [number(x) for s in seqs for _, x, _, _ in plain.canonical(s, 27)]
+    assert found[2].tolist() == want and found[0].tolist() == np.repeat(np.arange(4), counts).tolist()
+    tally = superkmers.Tally(*found)
+    first = list(dict.fromkeys(want))
+    for columns in (tally.branches(),):
+        assert np.asarray(columns[0]).tolist() == first
