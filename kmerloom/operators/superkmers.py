@@ -401,7 +401,7 @@ class Tally:
         return [x[order] for x in columns]
 
     def counts(self) -> list:
-        return [self.kmer, self.degree, self.reads()]
+        return self._by_run(self.kmer, self.degree, self.reads())
 
     def degrees(self) -> list:
         return [self.kmer, self.reads()]

@@ -133,7 +133,7 @@ def kmer_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmer_canonical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelled(kmer_statistics.canonical_counts(reads(spark, sf_dir), K))
+    return spelled(kmer_statistics.canonical_counts(reads(spark, sf_dir), K, spent=True))
 
 
 @query
