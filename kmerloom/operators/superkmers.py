@@ -404,7 +404,7 @@ class Tally:
         return self._by_run(self.kmer, self.degree, self.reads())
 
     def degrees(self) -> list:
-        return [self.kmer, self.reads()]
+        return self._by_run(self.kmer, self.reads())
 
     def distribution(self) -> list:
         return list(np.unique(self.reads(), return_counts=True))

@@ -168,7 +168,7 @@ def reads_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmer_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelled(kmer_statistics.kmer_degrees(reads(spark, sf_dir), K))
+    return spelled(kmer_statistics.kmer_degrees(reads(spark, sf_dir), K, spent=True))
 
 
 @query

@@ -83,7 +83,7 @@ def test_equal_to_rows_with_several_buckets_in_a_row(spark, monkeypatch, k, held
     test_equal_to_rows(spark, k, held)
 
 
-@pytest.mark.parametrize("name", ["branch_groups", "kmer_canonical_counts"])
+@pytest.mark.parametrize("name", ["branch_groups", "kmer_canonical_counts", "kmer_degree"])
 def test_queries_keep_runs_only(spark, name):
     """Neither encoded texts nor reads stay beside the runs that the result is read from."""
     release(spark)

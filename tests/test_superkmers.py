@@ -212,5 +212,5 @@ def test_kmers_come_run_by_run():
     assert found[2].tolist() == want and found[0].tolist() == np.repeat(np.arange(4), counts).tolist()
     tally = superkmers.Tally(*found)
     first = list(dict.fromkeys(want))
-    for columns in (tally.counts(), tally.branches()):
+    for columns in (tally.degrees(), tally.counts(), tally.branches()):
         assert np.asarray(columns[0]).tolist() == first
