@@ -86,3 +86,15 @@ def test_registered_query_with_a_binding_cap(spark):
     found = {cap: replay(size, edges, cap) for cap in (queries.SMALL_CAP, 10**9)}
     assert got == {r: found[queries.SMALL_CAP][c] for r, c in own.items()}
     assert found[queries.SMALL_CAP] != found[10**9]
+
+
+@pytest.mark.parametrize("copies", [1000, 1001])
+def test_registered_query_at_its_cap(spark, tmp_path, copies):
+    """Equal texts of two fragments that share no k-mer: two components of a read per text, which their mates unite while
+    one of them has no more reads than the cap, 1000."""
+    rng = random.Random(1)
+    letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (80, 39)]
+    pd.DataFrame({"doc_id": range(copies), "text": ["ж".join(letters)] * copies}).to_parquet(tmp_path / "documents.parquet")
+    got = queries.QUERIES["mate_merged_components"](spark, str(tmp_path)).toPandas()
+    last = 2 * copies - 1
+    assert got.groupby("comp_id").size().to_dict() == ({last: 2 * copies} if copies <= queries.CAP else {last: copies, last - 1: copies})
